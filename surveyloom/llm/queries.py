@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import op6_chat as op6
+from .op1_decontamination import overlaps
+from .op3_secrets import scan
+from .op4_sharding import shard_corpus
 from .op7_quality_rules import quality_rules
 from .op8_packing import pack
 from .op9_licenses import scan_licenses
 from .op10_quality_classifier import classify
+from .shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +24,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three arrivals, dealt by the hash of the id, then compaction to files of 128 MB."""
+    docs = _table(spark, sf_dir, "documents")
+    arrivals = [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k) for k in range(3)]
+    return shard_corpus(arrivals, fresh_path(spark, "shards"), columns=["doc_id", "n_chars"])
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.collapse(_table(spark, sf_dir, "conversations"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -37,10 +62,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op3_secrets": op3_secrets,
+    "op4_sharding": op4_sharding,
+    "op6_chat": op6_chat,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_chat": op6.ORACLE}
