@@ -21,8 +21,8 @@ BROADCAST_SEEDS = 500_000
 
 
 def words(text: Column) -> Column:
-    """Hashes of the lower-cased words (runs of letters and digits) of a text; none for null."""
-    split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    """Hashes of the lower-cased words of a text, cut at ASCII characters that aren't letters or digits; none for null."""
+    split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     return F.transform(F.array_remove(split, ""), lambda w: F.xxhash64(w))
 
 
@@ -31,8 +31,8 @@ def seeds(df: DataFrame, key: str, words_col: str, place: str) -> DataFrame:
 
     Windows are exploded before they are hashed, which keeps the hashing in generated code.
     """
-    at = F.explode(F.sequence(F.lit(0), F.size(words_col) - SPAN)).alias(place)
-    each = df.where(F.size(words_col) >= SPAN).select(key, words_col, at)
+    last = F.size(words_col) - SPAN
+    each = df.select(key, words_col, F.explode(F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))).alias(place))
     picks = [[k for k, c in enumerate(mask) if c == "1"] for mask in MASKS]
     masked = [F.xxhash64(F.lit(m), *[F.get(words_col, F.col(place) + k) for k in ks]) for m, ks in enumerate(picks)]
     return each.select(key, place, F.explode(F.array(*masked)).alias("seed"))
@@ -76,9 +76,12 @@ def overlaps(docs: DataFrame, bench: DataFrame, *, min_score: int = 13, id_col:
     wanted = seeds(b, "item_id", "iw", "j")
     if wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         wanted = F.broadcast(wanted)
-    hits = found.join(wanted, "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
-    hits = hits.join(b, hits["item_id"].eqNullSafe(b["item_id"])).select(F.col("doc_id").alias("_doc"), hits["item_id"], "shift", "iw")
-    pair = d.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc"))).withColumn("dw", words(F.col("_text")))
+    hits = found.join(wanted, "seed").select(F.col("doc_id").alias("_doc"), "item_id", (F.col("i") - F.col("j")).alias("shift"))
+    # a document's diagonals come to it together, so that its words are made once
+    hits = hits.groupBy("_doc").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))
+    met = d.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", words(F.col("_text")).alias("dw"), "hits")
+    met = met.select("doc_id", "dw", F.explode("hits").alias("x")).select("doc_id", "dw", "x.*")
+    pair = met.join(b.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item")))
     first = F.greatest(F.lit(0), -F.col("shift"))
     size = F.least(F.size("iw"), F.size("dw") - F.col("shift")) - first
     same = F.transform(F.sequence(first, first + size - 1), lambda k: F.get("iw", k) == F.get("dw", k + F.col("shift")))
