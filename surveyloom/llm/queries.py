@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import op6_chat as op6
 from .op1_decontamination import overlaps
+from .op2_jaccard_join import jaccard_components
 from .op3_secrets import scan
 from .op4_sharding import shard_corpus
 from .op7_quality_rules import quality_rules
@@ -28,6 +29,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_secrets": op3_secrets,
     "op4_sharding": op4_sharding,
     "op6_chat": op6_chat,
