@@ -12,6 +12,7 @@ from .op1_decontamination import overlaps
 from .op2_jaccard_join import jaccard_components
 from .op3_secrets import scan
 from .op4_sharding import shard_corpus
+from .op5_substring_dedup import digest, parse
 from .op7_quality_rules import quality_rules
 from .op8_packing import pack
 from .op9_licenses import scan_licenses
@@ -44,6 +45,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_corpus(arrivals, fresh_path(spark, "shards"), columns=["doc_id", "n_chars"])
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(parse(_table(spark, sf_dir, "documents")))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.collapse(_table(spark, sf_dir, "conversations"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_secrets": op3_secrets,
     "op4_sharding": op4_sharding,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_chat": op6_chat,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
