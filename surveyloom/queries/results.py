@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import measures as ms
 from ..operators import regress, rules, stats, trend
 from .fixture import ALL, DESIGN, EST, M, pv, query, rounded, sql_comb, sql_f, sql_join, sql_mean, sql_rep, sql_stats, survey, table
-from .linear import CNT, PVA, PVB, sql_quarters
+from .linear import CNT, pva, pvb, sql_quarters
 
 CYC = ["c1", "c2", "c3"]
-ESCS = F.col("escs")
 
 
 def _means(spark, d, by=("cycle", "cnt"), measure=None):
     """A result frame, the input of the rules."""
-    return stats.weighted_mean(survey(spark, d), DESIGN, measure or PVA, list(by))
+    return stats.weighted_mean(survey(spark, d), DESIGN, measure or pva(), list(by))
 
 
 def _cte(by=("cycle", "cnt"), measures=None, where="", name="res"):
@@ -40,12 +39,12 @@ def _beta_sql(by, src="f", pre=""):
 
 @query("regression", _beta_sql(CNT))
 def regression(spark, d):
-    return rounded(regress.regression(survey(spark, d), DESIGN, PVA, {"escs": ESCS}, CNT))
+    return rounded(regress.regression(survey(spark, d), DESIGN, pva(), {"escs": F.col("escs")}, CNT))
 
 
 @query("regression_by_quarter", _beta_sql(["quarter", "cnt"], "q", sql_quarters("sch_x") + ", "))
 def regression_by_quarter(spark, d):
-    return rounded(regress.regression_by_quarter(survey(spark, d), DESIGN, PVA, {"escs": ESCS}, F.col("sch_x"), CNT))
+    return rounded(regress.regression_by_quarter(survey(spark, d), DESIGN, pva(), {"escs": F.col("escs")}, F.col("sch_x"), CNT))
 
 
 _ITEM = "CASE WHEN cnt IN ('NATION_5', 'NATION_6') THEN NULL WHEN cnt = 'NATION_7' THEN 1.0 ELSE CAST(item AS DOUBLE) END"
@@ -53,7 +52,7 @@ _ITEM = "CASE WHEN cnt IN ('NATION_5', 'NATION_6') THEN NULL WHEN cnt = 'NATION_
 
 @query("regression_skipped", f"WITH {sql_f()} SELECT cnt, CASE WHEN count({_ITEM}) = 0 THEN 'item has no values' ELSE 'item has a single value' END AS reason FROM f GROUP BY cnt HAVING coalesce(stddev_pop(CASE WHEN pv1a IS NOT NULL THEN {_ITEM} END), 0) < 1e-12")
 def regression_skipped(spark, d):
-    return regress.regression_skipped(survey(spark, d), DESIGN, PVA, {"item": F.expr(_ITEM)}, CNT)
+    return regress.regression_skipped(survey(spark, d), DESIGN, pva(), {"item": F.expr(_ITEM)}, CNT)
 
 
 _DUM = "CASE WHEN immig = 2 THEN 1.0 WHEN immig IN (1, 2, 3) THEN 0.0 END"
@@ -86,7 +85,7 @@ _TWO = f"{sql_f()}, {sql_rep(['cycle', 'cnt'], pv(), p='ma')}, {sql_comb(['cycle
 
 @query("trend_multi", _trend_sql("CASE measure WHEN 'math' THEN 2.5 ELSE 1.2 END", ["cnt", "measure"], _TWO))
 def trend_multi(spark, d):
-    res = stats.weighted_means_multi(survey(spark, d), DESIGN, {"math": PVA, "read": PVB}, ["cycle", "cnt"])
+    res = stats.weighted_means_multi(survey(spark, d), DESIGN, {"math": pva(), "read": pvb()}, ["cycle", "cnt"])
     links = spark.sql("SELECT * FROM VALUES ('math', 2.5D), ('read', 1.2D) AS t(measure, link_error)")
     return rounded(trend.trend_with_link_errors(res, ["cnt", "measure"], CYC, links, ["measure"])).select("cnt", "measure", *[f"{v}_{c}" for c in CYC for v in ("estimate", "se")], "change", "se_change")
 
@@ -109,7 +108,7 @@ _SHIFT = lambda s: [f"CASE WHEN {p} IS NOT NULL THEN CASE WHEN {p} + {s} >= 200
 
 @query("share_link_error", f"WITH {sql_f()}, {sql_rep(CNT, _SHIFT('2.5'), p='up')}, {sql_comb(CNT, p='up')}, {sql_rep(CNT, _SHIFT('(-2.5)'), p='dn')}, {sql_comb(CNT, p='dn')} SELECT upc.cnt, round(abs(upc.estimate - dnc.estimate) / 2, 6) AS link_error FROM {sql_join(CNT, 'upc', 'dnc')}")
 def share_link_error(spark, d):
-    return rounded(trend.share_link_error(survey(spark, d), DESIGN, PVA, ">=", 200, 2.5, CNT))
+    return rounded(trend.share_link_error(survey(spark, d), DESIGN, pva(), ">=", 200, 2.5, CNT))
 
 
 _AVG = "avg(estimate) AS estimate, sqrt(sum(pow(se, 2))) / count(*) AS se, count(*) AS n_members"
@@ -139,7 +138,7 @@ def benchmark_groups(spark, d):
 
 @query("stratum_rows", f"WITH {sql_f(chr(34) + 'cnt' + chr(34) + ' = ' + chr(39) + 'NATION_3' + chr(39))}, {sql_rep(CNT, pv())}, {sql_comb(CNT)}, g AS (SELECT * FROM f WHERE stratum NOT IN ('BUILDING')), {sql_rep(CNT, pv(), p='h', src='g')}, {sql_comb(CNT, p='h')} SELECT cnt, {ALL} FROM c UNION ALL SELECT 'NATION_3 without', {ALL} FROM hc")
 def stratum_rows(spark, d):
-    return rounded(trend.stratum_rows(survey(spark, d), DESIGN, PVA, "NATION_3", "stratum", ["BUILDING"], "NATION_3 without", True))
+    return rounded(trend.stratum_rows(survey(spark, d), DESIGN, pva(), "NATION_3", "stratum", ["BUILDING"], "NATION_3 without", True))
 
 
 _SCHOOL = "avg(escs) OVER (PARTITION BY sch)"
@@ -164,7 +163,7 @@ def school_share_gap(spark, d):
     from ..operators.schools import school_share
 
     df = school_share(survey(spark, d), DESIGN, F.col("item"), [1, 2], "share")
-    return rounded(stats.gap(df, DESIGN, PVA, F.when(F.col("share") >= 0.4, 1).otherwise(0), 1, 0, CNT, label="high minus low"))
+    return rounded(stats.gap(df, DESIGN, pva(), F.when(F.col("share") >= 0.4, 1).otherwise(0), 1, 0, CNT, label="high minus low"))
 
 
 @query(
@@ -232,7 +231,7 @@ _GRID = "SELECT n_name AS key, cycle FROM {nation} CROSS JOIN (VALUES ('c1'), ('
 )
 def missing_reason(spark, d):
     df = survey(spark, d)
-    res = rules.suppress_small_cells(stats.weighted_mean(df, DESIGN, PVA, ["cycle", "cnt", "item"], (F.col("immig") == 1) & (F.col("item") == 5)))
+    res = rules.suppress_small_cells(stats.weighted_mean(df, DESIGN, pva(), ["cycle", "cnt", "item"], (F.col("immig") == 1) & (F.col("item") == 5)))
     grid = spark.sql(_GRID, nation=table(spark, d, "nation"))
     cells = grid.join(res.select(F.col("cnt").alias("key"), "cycle", "estimate", "suppressed"), ["key", "cycle"], "left")
     presence = df.select(F.col("cnt").alias("key"), "cycle").distinct()
@@ -242,7 +241,7 @@ def missing_reason(spark, d):
 
 @query("empty_cycles", f"WITH {_cte(['cycle', 'cnt'], None, 'k2 > 4 AND cycle <> ' + chr(39) + 'c2' + chr(39))}, g AS (SELECT unnest(['c1', 'c2', 'c3']) AS cycle) SELECT g.cycle, count(res.cnt) AS n_rows, count(res.cnt) = 0 AS empty FROM g LEFT JOIN res ON g.cycle = res.cycle GROUP BY g.cycle")
 def empty_cycles(spark, d):
-    res = stats.weighted_mean(survey(spark, d), DESIGN, PVA, ["cycle", "cnt"], (F.col("k2") > 4) & (F.col("cycle") != "c2"))
+    res = stats.weighted_mean(survey(spark, d), DESIGN, pva(), ["cycle", "cnt"], (F.col("k2") > 4) & (F.col("cycle") != "c2"))
     return rules.empty_cycles(res, survey(spark, d).select("cycle").distinct())
 
 
@@ -322,7 +321,7 @@ def diff_from_average(spark, d):
 
 @query("significance", f"WITH {_cte(['cnt'], ['escs'])} SELECT cnt, {EST}, {_SIG('estimate', 'se')} AS significant FROM res")
 def significance(spark, d):
-    res = _means(spark, d, CNT, [ESCS])
+    res = _means(spark, d, CNT, [F.col("escs")])
     return rounded(res.select("cnt", "estimate", "se", rules.verdict(F.col("estimate"), F.col("se")).alias("significant")))
 
 
@@ -349,7 +348,7 @@ def cycle_override(spark, d):
     df = survey(spark, d).withColumn("male", F.when(F.col("cycle") == "c3", 2 - F.col("gender")))
     df = df.withColumn("gender", F.when(F.col("cycle") != "c3", F.col("gender")))
     aligned = per_cycle(df, "cycle", "gender", {"c3": F.when(F.col("male") == 1, 1).when(F.col("male") == 0, 2)})
-    return rounded(stats.weighted_mean(aligned, DESIGN, PVA, ["cycle", "cnt", "gender"], F.col("gender").isin(1, 2)).select("cycle", "cnt", "gender", "estimate", "se"))
+    return rounded(stats.weighted_mean(aligned, DESIGN, pva(), ["cycle", "cnt", "gender"], F.col("gender").isin(1, 2)).select("cycle", "cnt", "gender", "estimate", "se"))
 
 
 @query("level_of_score", f"WITH {sql_f()} SELECT cnt, CASE WHEN pv1a IS NULL THEN NULL WHEN pv1a < 100 THEN 'below level 1' WHEN pv1a < 200 THEN 'level 1' WHEN pv1a < 300 THEN 'level 2' WHEN pv1a < 400 THEN 'level 3' ELSE 'level 4' END AS level, count(*) AS n FROM f GROUP BY ALL")

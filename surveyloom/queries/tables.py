@@ -11,7 +11,7 @@ from ..operators import events as ev
 from ..operators import joins, quality, stats
 from ..sources import ingest
 from .fixture import DESIGN, EST, pv, query, rounded, sql_comb, sql_f, sql_mean, sql_rep, survey, table
-from .linear import CNT, PVA
+from .linear import CNT, pva
 
 _V = lambda sql, *ts: _fill(sql, {t: t for t in ts})  # noqa: E731  the SQL for DuckDB
 
@@ -123,12 +123,12 @@ def safe_sql(spark, d):
 def filter_economy(spark, d):
     alias = {"N3": "NATION_3", "N4": "NATION_4"}
     keep = F.col("cnt").isin(*[alias.get(c, c) for c in ("N3", "NATION_4")]) & ~F.col("cnt").isin(alias["N4"])
-    return rounded(stats.weighted_mean(survey(spark, d), DESIGN, PVA, CNT, keep).select("cnt", "estimate", "se"))
+    return rounded(stats.weighted_mean(survey(spark, d), DESIGN, pva(), CNT, keep).select("cnt", "estimate", "se"))
 
 
 @query("filter_stratum", sql_mean(["cnt", "stratum"], pv(), "stratum NOT IN ('BUILDING', 'MACHINERY')", f"cnt, stratum, {EST}"))
 def filter_stratum(spark, d):
-    return rounded(stats.weighted_mean(survey(spark, d), DESIGN, PVA, ["cnt", "stratum"], ~F.col("stratum").isin("BUILDING", "MACHINERY")).select("cnt", "stratum", "estimate", "se"))
+    return rounded(stats.weighted_mean(survey(spark, d), DESIGN, pva(), ["cnt", "stratum"], ~F.col("stratum").isin("BUILDING", "MACHINERY")).select("cnt", "stratum", "estimate", "se"))
 
 
 @query("filter_region", f"WITH {sql_f()}, c AS (SELECT DISTINCT cycle FROM f), p AS (SELECT DISTINCT cycle, cnt FROM f) SELECT r_name AS region, n_name AS code, c.cycle, p.cnt IS NOT NULL AS present FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN c LEFT JOIN p ON p.cycle = c.cycle AND p.cnt = n_name")
@@ -418,14 +418,14 @@ _RES = f"{sql_f()}, {sql_rep(CNT, pv())}, {sql_comb(CNT)}"
 
 @query("reconcile_means", f"WITH {_RES}, p AS (SELECT cnt, {_PUB} AS published FROM c), m AS (SELECT * FROM c WHERE cnt <> 'NATION_8') SELECT p.cnt, published, round(estimate, 6) AS estimate, round(abs(published - estimate), 6) AS difference, CASE WHEN estimate IS NULL THEN 'missing' WHEN abs(published - estimate) <= 0.05 THEN 'ok' ELSE 'fail' END AS status FROM p LEFT JOIN m ON p.cnt = m.cnt")
 def reconcile_means(spark, d):
-    res = stats.weighted_mean(survey(spark, d), DESIGN, PVA, CNT).select("cnt", "estimate")
+    res = stats.weighted_mean(survey(spark, d), DESIGN, pva(), CNT).select("cnt", "estimate")
     return rounded(quality.reconcile_means(res.select("cnt", F.expr(_PUB).alias("published")), res.where("cnt <> 'NATION_8'"), CNT))
 
 
 @query("reconcile_se", f"WITH {_RES}, z AS (SELECT cnt, sum(w0) AS pop FROM f GROUP BY cnt) SELECT c.cnt, CASE WHEN c.cnt = 'NATION_8' THEN 'missing' WHEN c.cnt = 'NATION_2' THEN 'noted' WHEN c.cnt IN ('NATION_4', 'NATION_5', 'NATION_6') THEN 'fail' ELSE 'ok' END AS status FROM c")
 def reconcile_se(spark, d):
     df = survey(spark, d)
-    res = stats.weighted_mean(df, DESIGN, PVA, CNT).select("cnt", "n", "se").join(df.groupBy("cnt").agg(F.sum("w0").alias("pop")), "cnt")
+    res = stats.weighted_mean(df, DESIGN, pva(), CNT).select("cnt", "n", "se").join(df.groupBy("cnt").agg(F.sum("w0").alias("pop")), "cnt")
     at = lambda c, x, y: F.when(F.col("cnt") == c, x).otherwise(y)
     pub = res.select("cnt", at("NATION_4", F.col("n") + 2, F.col("n")).alias("p_n"), at("NATION_5", F.col("pop") * 1.01, F.col("pop")).alias("p_pop"), F.when(F.col("cnt") != "NATION_2", at("NATION_6", F.col("se") + 1, F.round("se", 2))).alias("p_se"))
     return quality.reconcile_se(pub, res.where("cnt <> 'NATION_8'"), CNT)
@@ -433,7 +433,7 @@ def reconcile_se(spark, d):
 
 @query("result_drift", f"WITH {_RES}, g AS (SELECT cnt, CASE WHEN cnt = 'NATION_4' THEN estimate + 1 WHEN cnt = 'NATION_5' THEN NULL ELSE estimate END AS golden FROM c WHERE cnt <> 'NATION_1'), n AS (SELECT cnt, estimate AS current FROM c WHERE cnt <> 'NATION_2') SELECT coalesce(g.cnt, n.cnt) AS cnt, round(golden, 6) AS golden, round(current, 6) AS current, CASE WHEN g.cnt IS NULL THEN 'new' WHEN n.cnt IS NULL THEN 'gone' WHEN abs(golden - current) <= 0.02 THEN 'same' ELSE 'moved' END AS status FROM g FULL JOIN n ON g.cnt = n.cnt")
 def result_drift(spark, d):
-    res = stats.weighted_mean(survey(spark, d), DESIGN, PVA, CNT).select("cnt", "estimate")
+    res = stats.weighted_mean(survey(spark, d), DESIGN, pva(), CNT).select("cnt", "estimate")
     golden = res.where("cnt <> 'NATION_1'").withColumn("estimate", F.when(F.col("cnt") == "NATION_4", F.col("estimate") + 1).when(F.col("cnt") != "NATION_5", F.col("estimate")))
     return rounded(quality.result_drift(golden, res.where("cnt <> 'NATION_2'"), CNT))
 
