@@ -77,9 +77,11 @@ def _skipped(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str]
     spread = [F.stddev_pop(c).alias(f"s{j}") for j, c in enumerate(x, 1)]
     cross = [F.corr(x[a], x[b]).alias(f"r{a}_{b}") for a in range(k) for b in range(a + 1, k)]
     g = frame.groupBy(*by).agg(*counts, *spread, *cross, F.count(F.when(full, 1)).alias("complete"))
-    reason = F.when(F.least(*[F.col(f"y{i}") for i in range(1, n_y + 1)], F.lit(1 << 60)) == 0, "outcome has no values")
-    for j, name in enumerate(names, 1):
+    # the outcome counts only where all predictors are known, so they are named first
+    reason = F.when(F.col("n1") == 0, f"{names[0]} has no values")
+    for j, name in enumerate(names[1:], 2):
         reason = reason.when(F.col(f"n{j}") == 0, f"{name} has no values")
+    reason = reason.when(F.least(*[F.col(f"y{i}") for i in range(1, n_y + 1)], F.lit(1 << 60)) == 0, "outcome has no values")
     reason = reason.when(F.col("complete") < k + 2, "too few complete rows")
     for j, name in enumerate(names, 1):
         reason = reason.when(F.coalesce(F.col(f"s{j}"), F.lit(0.0)) < 1e-12, f"{name} has a single value")
