@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import code_share, share
 from ..plans.design import SurveyDesign
+from ..sources.work import materialized
 from .quantile import percentiles as percentile_values
 from .quantile import weighted_quarters
 from .replicate import analysis_frame, combine, contrast, group_stats, null_safe_join, replicate_frame, replicate_means, weighted_sums, with_stats
@@ -157,18 +158,22 @@ def crosstab(df: DataFrame, design: SurveyDesign, row: str, col: str, by: By = (
 
 def resilient_share(df: DataFrame, design: SurveyDesign, measure: Measure, over: Column, by: By = (), cut: float | None = None, where: Column | None = None) -> DataFrame:
     """Of the bottom quarter of an index: per cent in the top quarter of each imputation (or at or above ``cut``)."""
-    within = [design.economy] if design.economy in by else []
     rows = _quartered(df, design, over, by, where).withColumnRenamed("quarter", "_low")
-    tops = []
-    for i, m in enumerate(measure, 1):
-        if cut is not None:
-            rows = rows.withColumn(f"_top_{i}", share(m >= cut, m.isNotNull()))
-        else:
-            q = weighted_quarters(rows, design, m, within, f"_q_{i}").select(*design.order, *within, f"_q_{i}")
-            rows = null_safe_join(rows, q, [*design.order, *within], "left")
-            rows = rows.withColumn(f"_top_{i}", share(F.col(f"_q_{i}") == 4, F.col(f"_q_{i}").isNotNull()))
-        tops.append(F.col(f"_top_{i}"))
-    return weighted_mean(rows, design, tops, by, F.col("_low") == 1)
+    if cut is not None:
+        return weighted_mean(rows, design, [share(m >= cut, m.isNotNull()) for m in measure], by, F.col("_low") == 1)
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("pv"), m.cast("double").alias("_score")) for i, m in enumerate(measure, 1)])).alias("_c")
+    keep = list(dict.fromkeys([*by, *design.order, design.economy, design.weight, "_low"]))
+    school = [F.col(design.school).alias("_school")] if design.school and design.school in df.columns else [F.lit(None).cast("long").alias("_school")]
+    base = rows.select(*keep, *school, design.weights.alias("_weights"), cells).select(*keep, "_school", "_weights", "_c.*")
+    # the top quarter is cut among all rows with the index, so these are written before they are read again
+    base = materialized(base, "resilient")
+    within = [design.economy, "pv"] if design.economy in by else ["pv"]
+    top = weighted_quarters(base, design, F.col("_score"), within, "_top").where("_low = 1")
+    frame = top.select(*by, "pv", share(F.col("_top") == 4, F.col("_top").isNotNull()).alias("m_1"), "_weights", "_school")
+    values = weighted_sums(frame, [*by, "pv"], {"num": F.col("m_1"), "den": F.col("m_1").isNotNull()})
+    values = values.select(*by, "pv", "rep", F.try_divide("num", "den").alias("value"))
+    first = base.where("_low = 1 AND pv = 1").select(*by, F.col("_score").alias("m_1"), "_weights", "_school")
+    return combine(with_stats(values, first, by), by, design)
 
 
 def between_school_share(df: DataFrame, design: SurveyDesign, measure: Measure, by: By = (), where: Column | None = None) -> DataFrame:

@@ -210,18 +210,13 @@ def crosstab(spark, d):
 
 
 _TOP = [_share(f"q{i} = 4", f"q{i} IS NOT NULL") for i in range(1, M + 1)]
-_QS = ", ".join(
-    f"t{i} AS (SELECT {_ORDER}, cnt, q{i} FROM z{i})" for i in range(1, M + 1)
-)
-
-
 @query(
     "resilient_share",
     f"WITH {sql_f()}, {sql_quarters('escs', 'low')}, "
     + ", ".join(f"{sql_quarters(f'pv{i}a', f'q{i}', 'q', dest=f'z{i}')}" for i in range(1, M + 1))
     + ", y AS (SELECT q.*, " + ", ".join(f"z{i}.q{i}" for i in range(1, M + 1)) + " FROM q "
     + " ".join(f"LEFT JOIN z{i} ON " + " AND ".join(f"q.{k} = z{i}.{k}" for k in ("cnt", *DESIGN.order)) for i in range(1, M + 1))
-    + f" WHERE low = 1), {sql_rep(CNT, _TOP, src='y')}, {sql_comb(CNT)} SELECT cnt, {ALL} FROM c",
+    + f" WHERE q.low = 1), {sql_rep(CNT, _TOP, src='y')}, {sql_comb(CNT)} SELECT cnt, {ALL} FROM c",
 )
 def resilient_share(spark, d):
     return rounded(stats.resilient_share(survey(spark, d), DESIGN, pva(), F.col("escs"), CNT))

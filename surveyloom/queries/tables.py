@@ -10,6 +10,7 @@ from ..operators import catalog as cat
 from ..operators import events as ev
 from ..operators import joins, quality, stats
 from ..sources import ingest
+from ..sources.work import work_path
 from .fixture import DESIGN, EST, pv, query, rounded, sql_comb, sql_f, sql_mean, sql_rep, survey, table
 from .linear import CNT, pva
 
@@ -26,15 +27,6 @@ def _sql(spark: SparkSession, d: str, sql: str, *names: str) -> DataFrame:
     return spark.sql(sql, **{t: table(spark, d, t) for t in names})
 
 
-def _work(spark: SparkSession, name: str) -> str:
-    """A fresh folder for what a query writes, in the folder that all executors share."""
-    import tempfile
-    import uuid
-
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(conf or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # -- sources ---------------------------------------------------------------------------------------
 
 
@@ -46,14 +38,14 @@ def scan_instrument(spark, d):
 
 @query("scan_csv_trend", "SELECT c_custkey, c_mktsegment, round(c_acctbal, 6) AS c_acctbal FROM customer")
 def scan_csv_trend(spark, d):
-    path = _work(spark, "csv")
+    path = work_path(spark, "csv")
     table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal").write.option("header", True).csv(path)
     return rounded(spark.read.option("header", True).schema("c_custkey bigint, c_mktsegment string, c_acctbal double").csv(path))
 
 
 @query("export_csv", "SELECT n_nationkey, 'say \"' || n_name || '\", ok' AS note, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def export_csv(spark, d):
-    path = _work(spark, "export")
+    path = work_path(spark, "export")
     df = table(spark, d, "nation").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count("c_custkey").alias("n"))
     ingest.export_csv(df.select("n_nationkey", F.concat(F.lit('say "'), "n_name", F.lit('", ok')).alias("note"), "n"), path)
     return spark.read.option("header", True).option("escape", '"').schema("n_nationkey int, note string, n bigint").csv(path)
@@ -79,12 +71,12 @@ def validate_source(spark, d):
 @query("publish_parquet", "SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def publish_parquet(spark, d):
     df = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
-    return rounded(ingest.publish_parquet(df, _work(spark, "published"), df.count()))
+    return rounded(ingest.publish_parquet(df, work_path(spark, "published"), df.count()))
 
 
 @query("scan_events", "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events WHERE event_id % 7 <> 0")
 def scan_events(spark, d):
-    path = _work(spark, "events")
+    path = work_path(spark, "events")
     lines = table(spark, d, "events").select(F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.to_json(F.struct("event_id", "user_id", "event_type", "value"))).alias("value"))
     lines.write.text(path)
     return rounded(spark.read.schema("event_id bigint, user_id bigint, event_type string, value double").option("mode", "DROPMALFORMED").json(path).where("event_id IS NOT NULL"))
@@ -95,7 +87,7 @@ _META = "SELECT c_mktsegment AS source, to_json(map_from_entries(collect_list(st
 
 @query("scan_metadata_json", "SELECT c_mktsegment AS source, CAST(c_custkey AS VARCHAR) AS variable, c_name AS label FROM customer")
 def scan_metadata_json(spark, d):
-    path = _work(spark, "meta")
+    path = work_path(spark, "meta")
     _sql(spark, d, _META, "customer").select(F.to_json(F.struct("source", F.from_json("labels", "map<string,string>").alias("labels")))).write.text(path)
     return spark.read.schema("source string, labels map<string,string>").json(path).select("source", F.explode("labels").alias("variable", "label"))
 
