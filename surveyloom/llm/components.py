@@ -14,12 +14,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     tied = both.join(least, "u")
     if large:
-        out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        return stored(tied.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "star")
+    out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return stored(out.where("u <> v").distinct(), "star")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one parent, and no parent has one itself."""
+    nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    nodes = nodes.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    worst = nodes.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return worst.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v: long); the component is its smallest node.
 
@@ -27,12 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     diameter. Loops and repeated edges change nothing; no edges give no rows.
     """
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
+    while not _are_stars(now):
         now = _star(_star(now, True), False)
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen:
-            break
-        seen = mark
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

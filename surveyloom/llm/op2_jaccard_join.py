@@ -28,7 +28,7 @@ SPREAD = 1.4
 #: Empty segments say nothing; so many of them may agree beside an equal segment that is not empty.
 EMPTIES = 2
 #: Classes in a block at most, on average.
-BLOCK = 192
+BLOCK = 2048
 
 
 def shingle_sets(col: pa.Array, n: int) -> list[np.ndarray]:
@@ -228,7 +228,7 @@ _LINKS = "u long, v long"
 def _with_sets(members: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Add the set to (block, half, key, rep); the text comes from the document ``rep``."""
     d = docs.withColumnRenamed("doc_id", "_rep")
-    rows = members.join(d, F.col("rep").eqNullSafe(F.col("_rep"))).select("block", "half", "key", "text")
+    rows = members.hint("merge").join(d, F.col("rep").eqNullSafe(F.col("_rep"))).select("block", "half", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,6 +246,12 @@ def _with_sets(members: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "block long, half int, key long, set array<long>")
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """(node, component) of links that join each node to the first of its component already."""
+    roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
 def _joined(rows: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) of all blocks; half 1 are members, half 0 (if any) the probes matched against them."""
 
@@ -285,7 +291,8 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     classes = stored(own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
     seg = segments(docs, n, percent)
     shared = stored(seg.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("segment", "low"), "shared")
-    tied = seg.join(shared, "segment").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct()
+    # the joins with all documents always shuffle, so that their cost grows evenly with the input
+    tied = seg.join(shared.hint("merge"), "segment").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct()
     groups = stored(components(stored(tied, "tied")), "groups")
     sized = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
     placed = groups.join(sized, "component").join(classes.select("key", "rep"), F.col("node") == F.col("key"))
@@ -297,14 +304,15 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
         first.select(block("cut").alias("block"), F.lit(1).alias("half"), "key", "rep")
     )
     links = stored(_joined(_with_sets(rows, docs, n), percent), "links")
-    found = components(links)
-    apart = placed.where("cuts > 1").join(found, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key"))
-    main = apart.where("key = group").select("group", F.col("part").alias("main"))
-    left = apart.join(main, "group").where("part <> main")
-    if not left.isEmpty():
-        left = stored(left.select("group", "cuts", "key", "rep"), "left")
-        spread = F.ceil(F.count("*") / BLOCK)
-        some = left.groupBy("group").agg(spread.alias("probe_cuts"))
+    large = placed.where("cuts > 1")
+    if large.isEmpty():
+        found = _stars(links)
+    else:
+        found = components(links)
+        apart = large.join(found, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key"))
+        main = apart.where("key = group").select("group", F.col("part").alias("main"))
+        left = stored(apart.join(main, "group").where("part <> main").select("group", "cuts", "key", "rep"), "left")
+        some = left.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("probe_cuts"))
         probes = left.join(some, "group").withColumn("p", F.pmod(F.xxhash64(F.col("key"), F.lit(11)), F.col("probe_cuts")))
         probes = probes.select("group", "p", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "key", "rep").select(block("p", "cut").alias("block"), F.lit(0).alias("half"), "key", "rep")
         against = placed.join(some, "group").select("group", "cut", F.explode(F.sequence(F.lit(0), F.col("probe_cuts") - 1)).alias("p"), "key", "rep")
