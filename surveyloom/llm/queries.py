@@ -17,6 +17,7 @@ from .op7_quality_rules import quality_rules
 from .op8_packing import pack
 from .op9_licenses import scan_licenses
 from .op10_quality_classifier import classify
+from .oracles import ORACLES
 from .shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +32,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90).drop("class_size")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +85,4 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE: dict[str, str] = {"op6_chat": op6.ORACLE}
+ORACLE: dict[str, str] = {"op6_chat": op6.ORACLE} | ORACLES
