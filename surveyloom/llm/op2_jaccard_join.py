@@ -27,6 +27,8 @@ from .words import blocks, mix, windows, words_of
 SPREAD = 1.4
 #: Empty segments say nothing; so many of them may agree beside an equal segment that is not empty.
 EMPTIES = 2
+#: Elements in a node of a tree with more than LARGE elements.
+PIECE, LARGE = 64, 30_000
 #: Classes in a block at most, on average.
 BLOCK = 2048
 
@@ -90,10 +92,12 @@ class PrefixTree:
     """Ordered sets as a path-compressed trie, held level by level in arrays.
 
     A node has its run of elements, its parent, the range of sets below it (in sorted order), and
-    the smallest and largest of their sizes.
+    the smallest and largest of their sizes. In a large tree long runs are cut into a chain of
+    nodes, so that a walk can leave them early.
     """
 
     def __init__(self, sets: list[np.ndarray]):
+        most = PIECE if sum(map(len, sets)) > LARGE else 1 << 62
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         ordered = [sets[i] for i in self.order]
         self.sizes = np.array([len(s) for s in ordered], np.int64)
@@ -110,8 +114,9 @@ class PrefixTree:
             for low, high, depth, parent in todo:
                 cuts = [low, *(low + 1 + np.flatnonzero(self.lcp[low + 1 : high] <= depth)).tolist(), high]
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    end = int(self.lcp[a + 1 : b].min()) if b - a > 1 else int(self.sizes[a])
-                    if b - a > 1:
+                    whole = int(self.lcp[a + 1 : b].min()) if b - a > 1 else int(self.sizes[a])
+                    end = min(whole, depth + most)
+                    if b - a > 1 or end < whole:
                         deeper.append((a, b, end, len(nodes)))
                     nodes.append((parent, a, b, depth, end, ordered[a][depth:end]))
             sizes = [self.sizes[a:b] for _, a, b, *_ in nodes]
@@ -152,12 +157,11 @@ class PrefixTree:
             rest = np.minimum(level["large"][k] - level["end"][k], n - np.searchsorted(probe, level["last"][k], side="right"))
             need = -(-percent * (n + level["small"][k]) // (100 + percent))
             reach = overlap[k] + np.maximum(rest, 0) >= need
-            leaf = (level["high"][k] - level["low"][k] == 1) & reach
+            leaf = (level["high"][k] - level["low"][k] == 1) & (level["end"][k] == level["large"][k]) & reach
             sure = k[leaf]
             found.append(level["low"][sure][overlap[sure] >= -(-percent * (n + level["small"][sure]) // (100 + percent))])
             alive_up = np.zeros(len(parent), bool)
             alive_up[k[reach]] = True
-            alive_up &= level["high"] - level["low"] > 1
             overlap_up = overlap
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
