@@ -2,9 +2,10 @@
 
 Documents with equal n-gram sets form a class, and one set stands for it. Sets are ordered
 by the n-gram hashes. Two sets that reach the similarity differ in few elements, so when
-the ordered sets are cut at fixed hashes into more segments than that, at least one
-segment is equal: equal segments are the candidates, exactly. Classes tied by candidates
-form blocks; in a block the sets go into a prefix tree, and every set is matched against
+the ordered sets are cut at fixed hashes into more segments than that, some segments are equal: equal segments are
+the candidates, exactly. A few segments more than needed let each set leave out its most
+frequent ones, such as those inside a passage that many documents share: of the equal
+segments the rarest is never left out by either set. Classes tied by candidates form blocks; in a block the sets go into a prefix tree, and every set is matched against
 all of them in one walk that shares the overlap of common prefixes and leaves a subtree
 when what remains cannot reach the required overlap.
 """
@@ -16,17 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import release, stored
 from .words import blocks, mix, windows, words_of
 
 #: Sizes of one interval span this factor; sets of two sizes that can match share an interval.
 SPREAD = 1.4
 #: Empty segments say nothing; so many of them may agree beside an equal segment that is not empty.
 EMPTIES = 2
+#: Segments beyond the necessary ones, as a part of them; a set leaves out as many, the most frequent first.
+EXTRA = 0.3
 #: Elements in a node of a tree with more than LARGE elements.
 PIECE, LARGE = 64, 30_000
 #: Classes in a block at most, on average.
@@ -60,32 +63,39 @@ def required(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def intervals(size: int, percent: int) -> list[tuple[int, int]]:
-    """(interval, segments) that a set of this size takes part in."""
+def intervals(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """(interval, segments, segments to leave out) that a set of this size takes part in.
+
+    Sets that reach the similarity differ in ``most`` elements at most, so of the segments of an
+    interval at least 1 + EMPTIES + left-out are equal.
+    """
     t = percent / 100
     k = math.floor(math.log(size) / math.log(SPREAD) + 1e-9)
     found = []
     while k >= 0 and size <= SPREAD ** (k + 1) / t + 1e-9:
         high = SPREAD ** (k + 1)
-        found.append((k, math.floor((high + high / t) * (1 - t) / (1 + t) + 1e-9) + 1 + EMPTIES))
+        most = math.floor((high + high / t) * (1 - t) / (1 + t) + 1e-9)
+        extra = int(EXTRA * most)
+        found.append((k, most + 1 + EMPTIES + extra, extra))
         k -= 1
     return found
 
 
-def segment_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the segments by which a set meets its candidates."""
+def segment_keys(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(interval, segments to leave out, hashes of the segments) by which a set meets its candidates."""
     out = []
-    for k, m in intervals(len(s), percent) if len(s) else ():
+    for k, m, extra in intervals(len(s), percent) if len(s) else ():
         part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         held = part[at]
         value = np.add.reduceat(mix(s), at)
         salt = np.uint64(k * 1_000_003 + m)
-        out.append(mix(value ^ mix(held * np.uint64(0x9E3779B97F4A7C15) + salt)))
+        keys = mix(value ^ mix(held * np.uint64(0x9E3779B97F4A7C15) + salt))
         if m - len(held) > EMPTIES:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), held)
-            out.append(mix(mix(empty * np.uint64(0x9E3779B97F4A7C15) + salt) + np.uint64(1)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            keys = np.concatenate([keys, mix(mix(empty * np.uint64(0x9E3779B97F4A7C15) + salt) + np.uint64(1))])
+        out.append((k, extra, keys))
+    return out
 
 
 class PrefixTree:
@@ -212,18 +222,33 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(segment, key): every segment of every document's set."""
+    """(segment, key, slot, extra): every segment of every document's set, with its interval."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                sets = [s for s in shingle_sets(part.column(1), n) if len(s)]
-                own = [segment_keys(s, percent) for s in sets]
-                keys = np.repeat(np.array([set_key(s) for s in sets], np.uint64), [len(x) for x in own])
-                flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(keys.view(np.int64))], names=["segment", "key"])
+                rows = [(set_key(s), *x) for s in shingle_sets(part.column(1), n) if len(s) for x in segment_keys(s, percent)]
+                lens = [len(x[3]) for x in rows]
+                flat = np.concatenate([x[3] for x in rows]) if rows else np.zeros(0, np.uint64)
+                own = [np.repeat(np.array([x[c] for x in rows], kind), lens) for c, kind in ((0, np.uint64), (1, np.int32), (2, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(own[0].view(np.int64)), pa.array(own[1]), pa.array(own[2])], names=["segment", "key", "slot", "extra"])
+
+    return docs.mapInArrow(run, "segment long, key long, slot int, extra int")
+
 
-    return docs.mapInArrow(run, "segment long, key long")
+def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(u, v): ties of each class to the smallest one that keeps an equal segment."""
+    seg = segments(docs, n, percent)
+    shared = seg.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("often"))
+    shared = stored(shared.where("low <> high").select("segment", "often"), "shared")
+    release(docs.sparkSession)
+    # the joins with all documents always shuffle, so that their cost grows evenly with the input
+    rows = stored(seg.join(shared.hint("merge"), "segment").select("segment", "key", "slot", "extra", "often").distinct(), "rows")
+    release(docs.sparkSession)
+    order = Window.partitionBy("key", "slot").orderBy(F.col("often").desc(), "segment")
+    kept = stored(rows.withColumn("place", F.row_number().over(order)).where("place > extra").select("segment", "key"), "kept")
+    low = kept.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("segment", "low")
+    return kept.join(low, "segment").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct()
 
 
 _LINKS = "u long, v long"
@@ -293,11 +318,9 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     docs = _documents(df, id_col, text_col)
     own = stored(document_sets(docs, n), "sets")
     classes = stored(own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
-    seg = segments(docs, n, percent)
-    shared = stored(seg.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("segment", "low"), "shared")
-    # the joins with all documents always shuffle, so that their cost grows evenly with the input
-    tied = seg.join(shared.hint("merge"), "segment").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct()
-    groups = stored(components(stored(tied, "tied")), "groups")
+    tied = stored(candidates(docs, n, percent), "tied")
+    release(df.sparkSession)
+    groups = stored(components(tied), "groups")
     sized = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
     placed = groups.join(sized, "component").join(classes.select("key", "rep"), F.col("node") == F.col("key"))
     cut = F.pmod(F.xxhash64(F.col("key"), F.lit(7)), F.col("cuts"))
@@ -308,6 +331,7 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
         first.select(block("cut").alias("block"), F.lit(1).alias("half"), "key", "rep")
     )
     links = stored(_joined(_with_sets(rows, docs, n), percent), "links")
+    release(df.sparkSession)
     large = placed.where("cuts > 1")
     if large.isEmpty():
         found = _stars(links)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,3 +30,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now; it does so once their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
