@@ -64,8 +64,9 @@ def describe_variable(catalog: DataFrame, name: str, cycle: str | None = None) -
 
 
 def _score(tokens: Sequence[str], phrase: str, entities: Sequence[str]) -> Column:
+    """Points of a catalog row: the phrase in its label, then each word in its name and label, then word stems."""
     name, label = compact(F.col("variable")), F.lower("label")
-    parts = [F.when(F.lit(" ") == F.lit("x"), 0).otherwise(0), F.when(label.contains(phrase.lower()), 25).otherwise(0)]
+    parts = [F.when(label.contains(phrase.lower()), 25).otherwise(0)]
     for t in tokens:
         t = t.lower()
         parts += [
@@ -77,7 +78,7 @@ def _score(tokens: Sequence[str], phrase: str, entities: Sequence[str]) -> Colum
             parts.append(F.when(label.contains(stem), 4).otherwise(0))
             if t not in entities:
                 parts.append(F.when(name.startswith(stem), 30).otherwise(0))
-    return reduce(lambda a, b: a + b, parts[1:])
+    return reduce(lambda a, b: a + b, parts)
 
 
 def search(catalog: DataFrame, text: str, n: int = 20, entities: Sequence[str] = ()) -> DataFrame:

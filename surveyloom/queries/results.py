@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as ms
 from ..operators import regress, rules, stats, trend
-from .fixture import ALL, DESIGN, EST, M, pv, query, rounded, sql_comb, sql_f, sql_join, sql_mean, sql_rep, sql_stats, survey, table
+from .fixture import ALL, DESIGN, EST, pv, query, rounded, sql_comb, sql_f, sql_join, sql_mean, sql_rep, sql_stats, survey, table
 from .linear import CNT, pva, pvb, sql_quarters
 
 CYC = ["c1", "c2", "c3"]
