@@ -2,9 +2,10 @@
 
 Base rules look at one document. The method counts, per host, in how many distinct
 documents each normalised line stands; lines above the host's limit go, and a document
-that keeps too small a part of its words is rejected. A document is told apart from its
-copies by its smallest other line hash, so that a group of copies counts about once and
-is left to deduplication instead of being rejected as boilerplate.
+that keeps too small a part of its words is rejected. Documents are told apart by a hash
+of all their line hashes, so that a group of copies with the same lines counts once and is
+left to deduplication instead of being rejected as boilerplate; any other document counts,
+however many lines it shares.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SCHEMA = (
     "uid long, doc_id long, host string, "
     + ", ".join(f"{x} long" for x in STATS)
-    + ", line_hash array<long>, line_rest array<long>, line_words array<long>"
+    + ", line_hash array<long>, doc_key long, line_words array<long>"
 )
 #: At most so many (host, line) pairs over the limit go to the tasks at once; beyond it they are joined.
 BROADCAST_LINES = 200_000
@@ -36,6 +37,11 @@ def line_key(line: bytes) -> int:
     return int(hashlib.md5(b" ".join(line.lower().split())).hexdigest()[:15], 16)
 
 
+def doc_key(keys: list[int]) -> int:
+    """60-bit hash of a document's sorted line hashes."""
+    return int(hashlib.md5(np.array(keys, "<i8").tobytes()).hexdigest()[:15], 16)
+
+
 def _lines(text: bytes) -> tuple[int, dict[int, int]]:
     """Lines equal to an earlier one, and words per normalised line; lines without words count nowhere."""
     seen, dup, words = set(), 0, {}
@@ -72,13 +78,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             repeat = np.bincount(doc[covered], minlength=len(col))
             lines = [_lines((t or "").encode()) for t in col.to_pylist()]
             keys = [sorted(x) for _, x in lines]
-            rest = [[(k[1] if x == k[0] else k[0]) if len(k) > 1 else None for x in k] for k in keys]
             n = np.diff(w.bounds)
             ints = [n, total(chars & inside), total(SYMBOLS[w.data]), [d for d, _ in lines], repeat]
             arrays = [part.column(0), part.column(1), part.column(2), *(pa.array(x, pa.int64()) for x in ints)]
             kind = pa.list_(pa.int64())
-            arrays += [pa.array(keys, kind), pa.array(rest, kind), pa.array([[x[k] for k in ks] for (_, x), ks in zip(lines, keys, strict=True)], kind)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "doc_id", "host", *STATS, "line_hash", "line_rest", "line_words"])
+            arrays += [pa.array(keys, kind), pa.array([doc_key(x) for x in keys], pa.int64()), pa.array([[x[k] for k in ks] for (_, x), ks in zip(lines, keys, strict=True)], kind)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "doc_id", "host", *STATS, "line_hash", "doc_key", "line_words"])
 
 
 def base_failed() -> Column:
@@ -103,13 +108,12 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def frequent_lines(measured: DataFrame, min_docs: int = 50, share: float = 0.01) -> DataFrame:
     """(host, line) pairs that stand in more distinct documents of the host than its limit.
 
-    The limit is ``share`` of the host's distinct documents, ``min_docs`` at least.
+    The limit is ``share`` of the host's distinct documents, ``min_docs`` at least. Copies go before
+    lines are exploded, so a line's rows add up in the tasks that read them.
     """
-    lines = measured.select("host", F.explode(F.arrays_zip("line_hash", "line_rest")).alias("x"))
-    per_line = lines.select("host", "x.line_hash", "x.line_rest").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("docs"))
-    hosts = (
-        measured.select("host", F.array_min("line_hash").alias("first")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    )
+    docs = measured.select("host", "doc_key", "line_hash").dropDuplicates(["host", "doc_key"])
+    per_line = docs.select("host", F.explode("line_hash").alias("line_hash")).groupBy("host", "line_hash").agg(F.count("*").alias("docs"))
+    hosts = measured.select("host", "doc_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     often = per_line.where(F.col("docs") > min_docs).join(hosts, "host")
     return often.where(F.col("docs") > F.col("host_docs") * share).select("host", "line_hash")
 

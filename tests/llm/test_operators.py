@@ -175,6 +175,22 @@ def test_frequent_lines_go_and_copies_stay(spark):
     assert len(rows) == 60 and all(junk not in r.text and r.n_chars == len(r.text) for r in rows)
 
 
+def test_lines_of_one_template_do_not_hide_each_other(spark):
+    rng = random.Random(6)
+    template = [f"menu entry {k} of the site" for k in range(20)]
+    pages = ["\n".join([*template, prose(rng, 12, 10**6)]) for _ in range(200)]
+    pages += [pages[0]] * 3
+    own = ["\n".join([prose(rng, 40, 10**6), prose(rng, 40, 10**6)]) for _ in range(20)]
+    own += [own[0]] * 100
+    df = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in enumerate(pages + own)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality_rules(df, min_docs=50).collect()}
+    assert all(got[i].n_removed_words == 120 and not got[i].kept for i in range(len(pages)))
+    assert all(got[i].n_removed_words == 0 and got[i].kept for i in range(len(pages), len(pages) + len(own)))
+    assert clean_documents(df, min_docs=50).count() == len(own)
+    few = df.where("doc_id < 50 or doc_id >= 200")
+    assert all(r.n_removed_words == 0 for r in quality_rules(few, min_docs=50).collect())
+
+
 def test_packing_round_trip(spark, texts):
     extra = texts + ["a  b", " x\n y \n\n z ", "tail ", "q<|endoftext|>r", "word " * 9000]
     whole = Encoder(*TOKENS).whole
