@@ -4,7 +4,8 @@ A mask keeps some of the words in a window and ignores the others, so a replaced
 costs only the seeds that look at it. Hashes of the kept words are looked up among those
 of the benchmark; around each hit the two texts are laid side by side on the hit's
 diagonal and the best stretch is scored +1 per equal and -3 per replaced word, which
-tolerates a replaced word in four or more equal ones.
+tolerates a replaced word in four or more equal ones. A diagonal on which most of the item's
+words are equal counts too, so that short items bear a replaced word as well.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 MASKS = ("1110111", "110110011", "101100111")
 SPAN = max(map(len, MASKS))
 MISMATCH = -3
+#: An item is met too if so many per cent of its words are equal on one diagonal.
+ITEM_PERCENT = 80
+#: Items of fewer words than the shortest mask have no seeds and are compared as a whole.
+SHORTEST = min(map(len, MASKS))
 #: A benchmark whose seed table stays under this many rows is sent to every task.
 BROADCAST_SEEDS = 500_000
 
@@ -31,11 +36,30 @@ def seeds(df: DataFrame, key: str, words_col: str, place: str) -> DataFrame:
 
     Windows are exploded before they are hashed, which keeps the hashing in generated code.
     """
-    last = F.size(words_col) - SPAN
+    last = F.size(words_col) - SHORTEST
     each = df.select(key, words_col, F.explode(F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))).alias(place))
     picks = [[k for k, c in enumerate(mask) if c == "1"] for mask in MASKS]
-    masked = [F.xxhash64(F.lit(m), *[F.get(words_col, F.col(place) + k) for k in ks]) for m, ks in enumerate(picks)]
-    return each.select(key, place, F.explode(F.array(*masked)).alias("seed"))
+    # each mask has its own last window
+    masked = [
+        F.when(F.col(place) + len(MASKS[m]) <= F.size(words_col), F.xxhash64(F.lit(m), *[F.get(words_col, F.col(place) + k) for k in ks])) for m, ks in enumerate(picks)
+    ]
+    return each.select(key, place, F.explode(F.array(*masked)).alias("seed")).where("seed IS NOT NULL")
+
+
+def whole(d: DataFrame, short: DataFrame) -> DataFrame:
+    """Every place of a document where all words of an item shorter than the masks stand: doc_id, item_id, x."""
+    sizes = sorted(n for (n,) in short.select(F.size("iw")).distinct().collect())
+    w = d.select("doc_id", words(F.col("_text")).alias("dw"))
+
+    def runs(n: int) -> Column:
+        last = F.size("dw") - n
+        at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
+        return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.struct(i.alias("doc_start"), F.slice("dw", i + 1, F.lit(n)).alias("run")))
+
+    each = w.select("doc_id", F.explode(F.concat(*[runs(n) for n in sizes])).alias("r"))
+    met = each.select("doc_id", "r.*").join(F.broadcast(short), F.col("run") == F.col("iw"))
+    n = F.size("iw")
+    return met.select("doc_id", "item_id", F.struct(n.alias("score"), n.alias("length"), n.alias("n_equal"), "doc_start").alias("x"))
 
 
 def _best(same: Column) -> Column:
@@ -66,7 +90,8 @@ def overlaps(docs: DataFrame, bench: DataFrame, *, min_score: int = 13, id_col:
 
     Columns: doc_id, item_id, score, length and n_equal (words of the stretch, and those that are
     equal), doc_start (its first word). The threshold is ``min_score``, or the item's words when it
-    has fewer; items and documents shorter than the widest mask have no seeds and give no row. Null
+    has fewer; ``ITEM_PERCENT`` of the item's words on one diagonal suffice as well. Items under
+    ``SHORTEST`` words have no seeds and must stand in a document word for word. Null
     texts have no words; repeated rows and rows with one id count as one document; empty tables
     give no rows; further columns are ignored.
     """
@@ -85,10 +110,13 @@ def overlaps(docs: DataFrame, bench: DataFrame, *, min_score: int = 13, id_col:
     first = F.greatest(F.lit(0), -F.col("shift"))
     size = F.least(F.size("iw"), F.size("dw") - F.col("shift")) - first
     same = F.transform(F.sequence(first, first + size - 1), lambda k: F.get("iw", k) == F.get("dw", k + F.col("shift")))
-    scored = pair.where(size > 0).select("doc_id", "item_id", F.size("iw").alias("n"), (first + F.col("shift")).alias("from"), _best(same).alias("x"))
-    good = scored.where(F.col("x.score") >= F.least(F.lit(min_score), F.col("n")))
+    scored = pair.where(size > 0).select("doc_id", "item_id", F.size("iw").alias("n"), (first + F.col("shift")).alias("from"), _best(same).alias("x"), F.size(F.filter(same, lambda x: x)).alias("equal"))
+    good = scored.where((F.col("x.score") >= F.least(F.lit(min_score), F.col("n"))) | (100 * F.col("equal") >= ITEM_PERCENT * F.col("n")))
     n_equal = ((F.col("x.score") - MISMATCH * F.col("x.length")) / (1 - MISMATCH)).cast("int")
     best = good.select("doc_id", "item_id", F.struct(F.col("x.score").alias("score"), F.col("x.length").alias("length"), n_equal.alias("n_equal"), (F.col("from") + F.col("x.start")).alias("doc_start")).alias("x"))
+    short = b.where(F.size("iw").between(1, SHORTEST - 1))
+    if short.limit(1).count():
+        best = best.unionByName(whole(d, short))
     return best.groupBy("doc_id", "item_id").agg(F.max("x").alias("x")).select("doc_id", "item_id", "x.*")
 
 
