@@ -11,7 +11,7 @@ however many lines it shares.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,7 @@ from .words import blocks, mix, windows, words_of
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_SCHEMA = (
-    "uid long, doc_id long, host string, "
-    + ", ".join(f"{x} long" for x in STATS)
-    + ", line_hash array<long>, doc_key long, line_words array<long>"
-)
-#: At most so many (host, line) pairs over the limit go to the tasks at once; beyond it they are joined.
-BROADCAST_LINES = 200_000
+_SCHEMA = "uid long, doc_id long, host string, " + ", ".join(f"{x} long" for x in STATS) + ", doc_key long, line_hash array<long>, line_words array<int>"
 
 
 def line_key(line: bytes) -> int:
@@ -37,29 +31,39 @@ def line_key(line: bytes) -> int:
     return int(hashlib.md5(b" ".join(line.lower().split())).hexdigest()[:15], 16)
 
 
-def doc_key(keys: list[int]) -> int:
-    """60-bit hash of a document's sorted line hashes."""
-    return int(hashlib.md5(np.array(keys, "<i8").tobytes()).hexdigest()[:15], 16)
-
-
-def _lines(text: bytes) -> tuple[int, dict[int, int]]:
-    """Lines equal to an earlier one, and words per normalised line; lines without words count nowhere."""
-    seen, dup, words = set(), 0, {}
+def _lines(text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """Lines equal to an earlier one, and the hash and words of every line; a line without words has hash 0."""
+    seen, dup, keys, words = set(), 0, [], []
     for line in text.split(b"\n"):
         n = len(line.split())
         if n:
-            if line in seen:
-                dup += 1
+            dup += line in seen
             seen.add(line)
-            key = line_key(line)
-            words[key] = words.get(key, 0) + n
-    return dup, words
+        keys.append(line_key(line) if n else 0)
+        words.append(n)
+    return dup, np.array(keys, np.int64), np.array(words, np.int32)
+
+
+def _doc_key(keys: np.ndarray) -> int:
+    """60-bit hash of a document's distinct line hashes; that of a document without lines is the same everywhere."""
+    return int(hashlib.md5(np.unique(keys[keys != 0]).tobytes()).hexdigest()[:15], 16)
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), kind))
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], at: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Columns uid, doc_id, host and one struct or text column; further columns pass as they are.
+
+    ``at`` is the path of the text: the column, and perhaps its field.
+    """
     for batch in batches:
-        for part in blocks(batch):
-            col = part.column(3)
+        for part in blocks(batch, at=at):
+            col = part.column(at[0])
+            if len(at) > 1:
+                col = col.field(at[1])
             w = words_of(col)
             h = w.hashes()
             chars = (w.data & 0xC0) != 0x80
@@ -68,22 +72,23 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(in_words, w.ends, -1)
             inside = np.cumsum(in_words[:-1]) > 0
             total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.offsets])
-            win, at = windows(h, w.bounds, 3)
+            win, first = windows(h, w.bounds, 3)
             doc = np.repeat(np.arange(len(col)), np.diff(w.bounds))
-            _, inverse, count = np.unique(mix(win + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-            twice = at[count[inverse] > 1]
+            _, inverse, count = np.unique(mix(win + doc[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+            twice = first[count[inverse] > 1]
             covered = np.zeros(len(h), bool)
             for k in range(3):
                 covered[twice + k] = True
             repeat = np.bincount(doc[covered], minlength=len(col))
-            lines = [_lines((t or "").encode()) for t in col.to_pylist()]
-            keys = [sorted(x) for _, x in lines]
-            n = np.diff(w.bounds)
-            ints = [n, total(chars & inside), total(SYMBOLS[w.data]), [d for d, _ in lines], repeat]
-            arrays = [part.column(0), part.column(1), part.column(2), *(pa.array(x, pa.int64()) for x in ints)]
-            kind = pa.list_(pa.int64())
-            arrays += [pa.array(keys, kind), pa.array([doc_key(x) for x in keys], pa.int64()), pa.array([[x[k] for k in ks] for (_, x), ks in zip(lines, keys, strict=True)], kind)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "doc_id", "host", *STATS, "line_hash", "doc_key", "line_words"])
+            data = w.data.tobytes()
+            dup, keys, words = zip(*(_lines(data[a:b]) for a, b in zip(w.offsets.tolist(), w.offsets[1:].tolist(), strict=False)), strict=True)
+            ints = [np.diff(w.bounds), total(chars & inside), total(SYMBOLS[w.data]), dup, repeat, [_doc_key(k) for k in keys]]
+            out = {x: part.column(x) for x in ("uid", "doc_id", "host")}
+            out |= {x: pa.array(v, pa.int64()) for x, v in zip([*STATS, "doc_key"], ints, strict=True)}
+            out |= {"line_hash": _lists(keys, pa.int64()), "line_words": _lists(words, pa.int32())}
+            if len(at) > 1:
+                out[at[0]] = part.column(at[0])
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
 def base_failed() -> Column:
@@ -91,103 +96,83 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Per row: base statistics and its normalised lines, written to the shared folder.
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, whole: bool = False) -> DataFrame:
+    """Per row: base statistics, and hash and words of every line, written to the shared folder.
 
-    ``uid`` tells repeated rows apart. A null host counts as the host ''.
+    ``uid`` is written with them, so it names the same row for every later reader. ``whole`` keeps the
+    row itself as the struct ``row``. A null host counts as the host ''.
     """
-    cols = df.select(
+    cols = [
         F.monotonically_increasing_id().alias("uid"),
         df[id_col].cast("long").alias("doc_id"),
         F.coalesce(df[host_col].cast("string"), F.lit("")).alias("host"),
-        df[text_col].alias("text"),
-    )
-    return stored(cols.mapInArrow(_measure, _SCHEMA), "lines")
+    ]
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(*cols, own.alias("row") if whole else df[text_col].alias("text"))
+    at = ["row", text_col] if whole else ["text"]
+    schema = _SCHEMA + (f", row {rows.schema['row'].dataType.simpleString()}" if whole else "")
+    return stored(rows.mapInArrow(lambda batches: _measure(batches, at), schema), "lines")
 
 
-def frequent_lines(measured: DataFrame, min_docs: int = 50, share: float = 0.01) -> DataFrame:
-    """(host, line) pairs that stand in more distinct documents of the host than its limit.
+def frequent_lines(measured: DataFrame, min_docs: int = 5, share: float = 0.03) -> DataFrame:
+    """(host, key) of the lines that stand in more distinct documents of the host than its limit.
 
     The limit is ``share`` of the host's distinct documents, ``min_docs`` at least. Copies go before
     lines are exploded, so a line's rows add up in the tasks that read them.
     """
-    docs = measured.select("host", "doc_key", "line_hash").dropDuplicates(["host", "doc_key"])
-    per_line = docs.select("host", F.explode("line_hash").alias("line_hash")).groupBy("host", "line_hash").agg(F.count("*").alias("docs"))
+    docs = measured.select("host", "doc_key", F.array_distinct("line_hash").alias("line_hash")).dropDuplicates(["host", "doc_key"])
+    each = docs.select("host", F.explode("line_hash").alias("key")).where("key <> 0")
     hosts = measured.select("host", "doc_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    often = per_line.where(F.col("docs") > min_docs).join(hosts, "host")
-    return often.where(F.col("docs") > F.col("host_docs") * share).select("host", "line_hash")
+    often = each.groupBy("host", "key").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs).join(hosts, "host")
+    return often.where(F.col("docs") > F.col("host_docs") * share).select("host", "key")
 
 
-def quality_rules(df: DataFrame, *, min_docs: int = 50, share: float = 0.01, keep_percent: int = 40, **cols: str) -> DataFrame:
-    """One row per row of ``df``: base statistics, ``n_removed_words``, ``base_failed`` and ``kept``.
+def removed_lines(measured: DataFrame, often: DataFrame) -> DataFrame:
+    """(uid, n_removed_words, keys): what every row loses, for rows that lose anything.
 
-    A row is kept if it passes the base rules and at least ``keep_percent`` of its words stand in
-    lines within the limit. Null and empty texts have no words and fail; an empty table gives no
-    rows; repeated rows are judged alike; further columns of ``df`` are ignored.
+    A row sends each of its distinct lines once. A very common line is one key of this join: Spark
+    broadcasts ``often`` where its file is small, and else splits the key's rows (AQE).
     """
-    measured = measure(df, **cols)
-    return judge(measured, frequent_lines(measured, min_docs, share), keep_percent).drop("uid")
+    zipped = F.arrays_zip(F.col("line_hash").alias("key"), F.col("line_words").alias("words"))
+    each = measured.select("uid", "host", F.explode(zipped).alias("x")).select("uid", "host", "x.key", "x.words").where("key <> 0")
+    return each.join(often, ["host", "key"]).groupBy("uid").agg(F.sum("words").alias("n_removed_words"), F.collect_set("key").alias("keys"))
 
 
 def judge(measured: DataFrame, often: DataFrame, keep_percent: int = 40) -> DataFrame:
-    """The verdict of ``quality_rules`` for measured documents, given the lines over the limit."""
-    lines = measured.select("uid", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x"))
-    lines = lines.select("uid", "host", F.col("x.line_hash").alias("line_hash"), F.col("x.line_words").alias("words"))
-    gone = lines.join(often, ["host", "line_hash"]).groupBy("uid").agg(F.sum("words").alias("n_removed_words"))
-    out = measured.select("uid", "doc_id", *STATS).join(gone, "uid", "left")
-    out = out.withColumns({"n_removed_words": F.coalesce("n_removed_words", F.lit(0)), "base_failed": base_failed()})
+    """``measured`` with ``n_removed_words``, ``keys`` (lines that go), ``base_failed`` and ``kept``, given the lines over the limit."""
+    out = measured.join(stored(removed_lines(measured, often), "removed"), "uid", "left")
+    out = out.withColumns({"n_removed_words": F.coalesce("n_removed_words", F.lit(0).cast("long")), "base_failed": base_failed()})
     enough = 100 * (F.col("n_words") - F.col("n_removed_words")) >= keep_percent * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & enough)
 
 
-def clean_documents(df: DataFrame, *, min_docs: int = 50, share: float = 0.01, keep_percent: int = 40) -> DataFrame:
+def quality_rules(df: DataFrame, *, min_docs: int = 5, share: float = 0.03, keep_percent: int = 40, **cols: str) -> DataFrame:
+    """One row per row of ``df``: base statistics, ``n_removed_words``, ``base_failed`` and ``kept``.
+
+    A row is kept if it passes the base rules and at least ``keep_percent`` of its words stand in
+    lines within the limit. Null and empty texts have no words and fail; an empty table gives no
+    rows; repeated rows and rows with one id are judged each by its own text; further columns of
+    ``df`` are ignored.
+    """
+    measured = measure(df, **cols)
+    often = stored(frequent_lines(measured, min_docs, share), "often")
+    return judge(measured.drop("doc_key"), often, keep_percent).select("doc_id", *STATS, "n_removed_words", "base_failed", "kept")
+
+
+def clean_documents(df: DataFrame, *, min_docs: int = 5, share: float = 0.03, keep_percent: int = 40, **cols: str) -> DataFrame:
     """The documents that ``quality_rules`` keeps, without their lines over the limit; same columns.
 
-    ``text`` loses those lines and ``n_chars`` follows it; a text without such a line is unchanged.
+    The text loses those lines and ``n_chars``, if there is such a column, follows it; a text without
+    such a line is unchanged. Own columns of any name, null texts, repeated rows and rows with one id
+    pass as ``quality_rules`` says.
     """
-    rows = df.withColumn("_uid", F.monotonically_increasing_id())
-    measured = measure(df)
+    measured = measure(df, **cols, whole=True)
     often = stored(frequent_lines(measured, min_docs, share), "often")
-    if often.count() <= BROADCAST_LINES:
-        found: dict[str, set[int]] = {}
-        for host, key in often.collect():
-            found.setdefault(host, set()).add(key)
-        held = df.sparkSession.sparkContext.broadcast(found)
-        per_row = rows.withColumn("_gone", F.lit(None).cast("array<long>"))
-    else:
-        held = None
-        lines = measured.select("uid", "host", F.explode("line_hash").alias("line_hash")).join(often, ["host", "line_hash"])
-        per_row = rows.join(lines.groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("line_hash").alias("_gone")), "_uid", "left")
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _cut(batch, names, held.value if held else None, keep_percent)
-
-    return per_row.mapInArrow(run, df.schema)
-
-
-def _cut(batch: pa.RecordBatch, names: list[str], found: dict[str, set[int]] | None, keep_percent: int) -> pa.RecordBatch:
-    """Rows that pass, their lines over the limit cut out."""
-    by = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
-    take, texts, n_chars = [], [], []
-    stats = pa.Table.from_batches(
-        _measure(iter([pa.RecordBatch.from_arrays([by["_uid"], by["_uid"], by["source"], by["text"]], names=["uid", "doc_id", "host", "text"])])),
-    )
-    rows = zip(by["text"].to_pylist(), by["source"].to_pylist(), by["_gone"].to_pylist(), *(stats.column(x).to_pylist() for x in ("n_words", "n_repeat_words", "line_hash", "line_words")), strict=True)
-    for i, (text, host, own, n, repeat, keys, words) in enumerate(rows):
-        gone = found.get(host or "", ()) if found is not None else set(own or ())
-        if n < 50 or 100 * repeat > 50 * n:
-            continue
-        removed = sum(w for k, w in zip(keys, words, strict=True) if k in gone)
-        if 100 * (n - removed) < keep_percent * n:
-            continue
-        if removed:
-            text = "\n".join(x for x in text.split("\n") if line_key(x.encode()) not in gone)
-        take.append(i)
-        texts.append(text)
-        n_chars.append(len(text))
-    rest = batch.take(pa.array(take, pa.int64())).select(names)
-    new = {"text": pa.array(texts, rest.schema.field("text").type), "n_chars": pa.array(n_chars, pa.int64())}
-    changed = {k: v for k, v in new.items() if k in names}
-    return pa.RecordBatch.from_arrays([changed[x].cast(rest.schema.field(x).type) if x in changed else rest.column(i) for i, x in enumerate(names)], names=names)
+    kept = judge(measured.drop("doc_key"), often, keep_percent).where("kept").select("row", "line_hash", "keys")
+    name = cols.get("text_col", "text")
+    text = F.col("row").getField(name)
+    stay = F.filter(F.arrays_zip(F.split(text, "\n", -1).alias("line"), F.col("line_hash").alias("key")), lambda x: ~F.array_contains(F.col("keys"), x["key"]))
+    new = F.when(F.col("keys").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda x: x["line"]), "\n"))
+    out = kept.select("row", "keys", new.alias("new"))
+    value = {name: F.col("new"), "n_chars": F.when(F.col("keys").isNull(), F.col("row").getField("n_chars")).otherwise(F.length("new"))}
+    return out.select(*[(value[c].cast(df.schema[c].dataType) if c in value else F.col("row").getField(c)).alias(c) for c in df.columns])

@@ -39,10 +39,9 @@ lw AS (SELECT doc_id, host, line, {_WORDS.format(t="line")} AS w FROM ln),
 lk AS (SELECT doc_id, host, line, len(w) AS words, CAST('0x' || substr(md5({_LOWER.format(t="array_to_string(w, ' ')")}), 1, 15) AS BIGINT) AS key FROM lw WHERE len(w) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lk GROUP BY doc_id),
 one AS (SELECT doc_id, host, key, sum(words) AS words FROM lk GROUP BY ALL),
-two AS (SELECT *, min(key) OVER x AS a, nth_value(key, 2) OVER (x ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b FROM one WINDOW x AS (PARTITION BY doc_id)),
-rest AS (SELECT *, CASE WHEN key = a THEN b ELSE a END AS other FROM two),
-hosts AS (SELECT host, count(*) AS n FROM (SELECT DISTINCT host, first FROM (SELECT d.host, d.doc_id, min(key) AS first FROM d LEFT JOIN one ON d.doc_id = one.doc_id GROUP BY ALL)) GROUP BY host),
-often AS (SELECT r.host, r.key FROM (SELECT host, key, count(*) AS n FROM (SELECT DISTINCT host, key, other FROM rest) GROUP BY ALL) r JOIN hosts h ON r.host = h.host WHERE r.n > 50 AND r.n > h.n * 0.01),
+same AS (SELECT d.doc_id, d.host, coalesce(string_agg(CAST(key AS VARCHAR), ',' ORDER BY key), '') AS whole FROM d LEFT JOIN one ON d.doc_id = one.doc_id GROUP BY ALL),
+hosts AS (SELECT host, count(DISTINCT whole) AS n FROM same GROUP BY host),
+often AS (SELECT r.host, r.key FROM (SELECT one.host, key, count(DISTINCT whole) AS n FROM one JOIN same ON one.doc_id = same.doc_id GROUP BY ALL) r JOIN hosts h ON r.host = h.host WHERE r.n > 5 AND r.n > h.n * 0.03),
 gone AS (SELECT doc_id, sum(words) AS n_removed_words FROM one JOIN often ON one.host = often.host AND one.key = often.key GROUP BY doc_id),
 s AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words

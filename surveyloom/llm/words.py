@@ -6,7 +6,7 @@ takes whole texts; null texts have no words. Hashes are 64-bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,17 +54,23 @@ class Words:
         return mix(np.add.reduceat(value, np.cumsum(lens) - lens))
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about ``most`` bytes of text (one document at least)."""
-    col = batch.column(batch.schema.get_field_index(text))
+def blocks(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20, at: Sequence[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds about ``most`` bytes of text (one document at least).
+
+    ``at`` is the path of the text where it is a field of a struct.
+    """
+    at = at or [text]
+    col = batch.column(batch.schema.get_field_index(at[0]))
+    for name in at[1:]:
+        col = col.field(name)
     size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(size)
-    at = 0
-    while at < len(size):
-        before = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
+    low = 0
+    while low < len(size):
+        before = total[low - 1] if low else 0
+        end = max(low + 1, int(np.searchsorted(total, before + most, side="right")))
+        yield batch.slice(low, end - low)
+        low = end
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

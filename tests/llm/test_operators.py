@@ -191,6 +191,23 @@ def test_lines_of_one_template_do_not_hide_each_other(spark):
     assert all(r.n_removed_words == 0 for r in quality_rules(few, min_docs=50).collect())
 
 
+def test_clean_documents_keeps_clashing_columns_and_long_texts(spark):
+    rng = random.Random(8)
+    junk = "menu home about contact"
+    docs = [prose(rng, 70, 5000) + f"\n{junk}" for _ in range(12)] + [None, "", "\n".join(prose(rng, 40, 10**6) for _ in range(4000)) + "\n" + junk]
+    docs += [docs[-1]]
+    names = ["row", "uid", "keys", "new", "kept", "host", "line_hash", "_gone"]
+    rows = [(i % 14, t, None if i == 3 else "h", i, *[f"{n}{i}" for n in names]) for i, t in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names))
+    got = {r.uid: r for r in clean_documents(df).collect()}
+    assert set(got) == {f"uid{i}" for i in range(16) if i not in (12, 13)} and clean_documents(df).schema == df.schema
+    for i, t in enumerate(docs):
+        if f"uid{i}" in got:
+            r = got[f"uid{i}"]
+            assert r.text == (t if i == 3 else t.replace("\n" + junk, "")) and r.n_chars == (i if i == 3 else len(r.text))
+            assert all(r[n] == f"{n}{i}" for n in names)
+
+
 def test_packing_round_trip(spark, texts):
     extra = texts + ["a  b", " x\n y \n\n z ", "tail ", "q<|endoftext|>r", "word " * 9000]
     whole = Encoder(*TOKENS).whole
