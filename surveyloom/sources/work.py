@@ -8,14 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; in a temporary folder only where that is unset (local tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset a local session takes a temporary folder; on a cluster executors could not
+    read one, so an unset folder is an error there.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="surveyloom-"))
         found = sc.getCheckpointDir()
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
