@@ -4,8 +4,9 @@ Every document becomes its token ids plus an end token and is cut into pieces; a
 is a vector (tokens, one segment, loss-bearing tokens). Each task packs the documents of
 its partition: of the open pieces the one with the largest dot product between its vector
 and what the sequence has left goes in next; when no whole piece fits, one is cut to fill
-the rest. A task leaves at most one short sequence open, so padding does not grow with
-the data, nothing is shuffled, and a retried task rebuilds the same sequences.
+the rest. Where another limit than the tokens ends a sequence, it is cut back to a power of
+two, which needs no padding, and what was cut off waits on. Nothing is shuffled, a task
+holds a bounded number of documents, and a retried task rebuilds the same sequences.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .words import blocks
 
@@ -45,11 +47,17 @@ class Encoder:
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.size = np.zeros(max(table.values()) + 1, np.int64)
+        added = self.whole.get_added_tokens_decoder()
+        self.size = np.zeros(max(*table.values(), *added) + 1, np.int64)
+        self.size[list(added)] = [len(x.content.encode()) for x in added.values()]
         self.size[list(table.values())] = [len(x) for x in table]
         self.part = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.known: dict[str, bytes | None] = {}
 
+    def inside(self, ids: np.ndarray, size: int) -> int:
+        """How many of the first tokens end within the first ``size`` bytes of their text."""
+        return int(np.searchsorted(np.cumsum(self.size[ids]), size, side="right"))
+
     def _ids(self, text: str) -> np.ndarray:
         return self.part.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
@@ -91,6 +99,7 @@ class Packer:
     """Documents waiting in one task, and the sequences made of them so far."""
 
     def __init__(self, room: int, segments: int, loss: int, base: int):
+        self.room = room
         self.caps = np.array([room, segments, loss], np.float64)
         self.sequence, self.rows, self.open, self.tokens = base, [], [], 0
 
@@ -100,45 +109,50 @@ class Packer:
         self.tokens += len(ids)
 
     def _close(self, chosen: list[tuple[int, int]]) -> None:
-        """Write one sequence from (open piece, tokens of it to take)."""
+        """Write one sequence from (open piece, tokens of it to take), cut back to a power of two unless it is full."""
+        total = sum(n for _, n in chosen)
+        rest = self.room if total >= self.room else 1 << (total.bit_length() - 1)
+        self.tokens -= rest
         offset = 0
-        for k, length in chosen:
+        for k, most in chosen:
+            length = min(most, rest)
+            if not length:
+                break
             doc_id, ids, at, masked = self.open[k]
             lossy = length - min(max(0, masked - at), length)
             crc = zlib.crc32(ids[at : at + length].tobytes())
             self.rows.append((doc_id, at, length, crc, len(ids), self.sequence, offset, lossy))
             self.open[k][2] += length
             offset += length
+            rest -= length
         self.open = [p for p in self.open if p[2] < len(p[1])]
-        self.tokens -= offset
         self.sequence += 1
 
-    def fill(self, room: int) -> None:
-        """Fill one sequence of ``room`` tokens: whole pieces by the dot-product rule, then a cut piece in the gap."""
+    def fill(self) -> None:
+        """Fill one sequence: whole pieces by the dot-product rule, then a cut piece in the gap or the last segment."""
         left_of = np.array([len(ids) - at for _, ids, at, _ in self.open], np.float64)
         free = np.array([max(0, m - at) for _, _, at, m in self.open], np.float64)
         need = np.stack([left_of, np.ones(len(left_of)), left_of - free], 1)
-        gap = np.minimum(self.caps, [room, np.inf, np.inf])
-        live, chosen = np.ones(len(need), bool), []
+        weight = need / self.caps
+        gap, live, chosen = self.caps.copy(), np.ones(len(need), bool), []
         while gap[0] >= 1 and gap[1] >= 1:
             fits = live & (need <= gap).all(1)
-            if not fits.any():
+            if gap[1] == 1 or not fits.any():
                 most = np.where(live, np.minimum(np.minimum(left_of, gap[0]), free + gap[2]), 0)
-                k = int(most.argmax()) if len(most) else 0
-                if len(most) and most[k] >= 1:
+                k = int(most.argmax())
+                if most[k] >= 1:
                     chosen.append((k, int(most[k])))
                 break
-            k = int(np.where(fits, (need / self.caps) @ (gap / self.caps), -1.0).argmax())
+            k = int(np.where(fits, weight @ (gap / self.caps), -1.0).argmax())
             chosen.append((k, int(left_of[k])))
             gap = gap - need[k]
             live[k] = False
         self._close(chosen)
 
     def drain(self, waiting: int) -> None:
-        """Fill sequences until at most ``waiting`` tokens wait; the last ones have lengths that are powers of two."""
-        full = int(self.caps[0])
-        while self.tokens > waiting:
-            self.fill(full if self.tokens >= full else 1 << (self.tokens.bit_length() - 1))
+        """Fill sequences until at most ``waiting`` documents, of ``waiting`` sequences' tokens, wait."""
+        while self.open and (len(self.open) > waiting or self.tokens > waiting * self.room):
+            self.fill()
 
     def take(self) -> pa.RecordBatch:
         """The rows made since the last call."""
@@ -148,6 +162,12 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=names)
 
 
+def first_line_bytes(text: Column) -> Column:
+    """Bytes of a text's first line with its line end, where more text follows; else 0."""
+    at = F.instr(text, "\n")
+    return F.when((at > 0) & (at < F.length(text)), F.octet_length(F.substring(text, 1, at))).otherwise(0)
+
+
 def pack(
     df: DataFrame,
     tokenizer: str,
@@ -161,19 +181,21 @@ def pack(
     waiting: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
-    masked_col: str | None = None,
+    prompt_bytes: Column | None = None,
 ) -> DataFrame:
     """Pack ``df`` into sequences of at most ``room`` tokens, ``segments`` pieces and ``loss`` loss-bearing tokens.
 
     One row per piece (``SCHEMA``). A null or empty text is the end token alone; a repeated row is
     packed as often as it stands there; an empty table gives no rows; other columns are ignored.
-    ``masked_col`` counts a document's leading tokens without loss (null: none), such as a prompt.
-    ``room`` must be a power of two and ``loss`` positive. ``waiting`` bounds the documents a task holds.
+    Every sequence is full or has a length that is a power of two. ``prompt_bytes`` tells how many
+    of a text's first bytes are a prompt; tokens inside it bear no loss (null: none). ``room`` must
+    be a power of two and ``loss`` positive. A task holds at most ``waiting`` documents beside the
+    block of texts at hand.
     """
     if room < 1 or room & (room - 1) or segments < 1 or loss < 1:
         raise ValueError("room must be a power of two, segments and loss positive")
-    cols = [df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")]
-    cols += [df[masked_col].cast("long").alias("masked")] if masked_col else []
+    prompt = F.lit(0) if prompt_bytes is None else F.coalesce(prompt_bytes, F.lit(0))
+    cols = [df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), prompt.cast("long").alias("prompt")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, ranks, pattern)
@@ -182,11 +204,9 @@ def pack(
         for batch in batches:
             for part in blocks(batch, most=1 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                masked = part.column(2).to_pylist() if masked_col else [0] * len(texts)
-                for doc, ids, m in zip(part.column(0).to_pylist(), encoder.ids(texts), masked, strict=True):
-                    packer.add(doc, np.concatenate([ids, end]), max(0, m or 0))
-                    if len(packer.open) > waiting or packer.tokens > waiting * room:
-                        packer.drain(waiting * room // 4)
+                for doc, ids, size in zip(part.column(0).to_pylist(), encoder.ids(texts), part.column(2).to_pylist(), strict=True):
+                    packer.add(doc, np.concatenate([ids, end]), encoder.inside(ids, size) if size > 0 else 0)
+                    packer.drain(waiting)
             yield packer.take()
         packer.drain(0)
         yield packer.take()

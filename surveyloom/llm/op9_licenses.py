@@ -3,7 +3,9 @@
 Notices are short word sequences. A notice that stands in a text with at most k edits
 holds at least one of k + 1 pieces of it unchanged, so exact search for the pieces finds
 every candidate; around each, bounded-error matching of the ``regex`` library verifies
-the edits and gives the span. Each text is judged alone, in the task that reads it.
+the edits and gives the span. The words that tell one licence from its neighbours, such as
+its version, must stand in the span unchanged. Each text is judged alone, in the task that
+reads it.
 """
 
 from __future__ import annotations
@@ -19,20 +21,46 @@ from .words import LOWER, blocks
 
 #: Phrases that are found exactly, with their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices that are found with edits, with the labels of the method.
+#: Notices that are found with edits, with the labels of the method; a word after ``=`` must stand unchanged.
 NOTICES = {
-    "this work is licensed under the gnu general public license version 3": "gpl-3",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "released under the mit license": "mit",
+    "under the =gnu =general public license version =1": "gpl-1",
+    "under the =gnu =general public license version =2": "gpl-2",
+    "under the =gnu =general public license version =3": "gpl-3",
+    "under the terms of the =gnu =general public license": "gpl",
+    "this program is free software you can redistribute it and or modify it under the terms of the =gnu =general public license": "gpl",
+    "under the =gnu =lesser general public license version =2 =1": "lgpl-2.1",
+    "under the =gnu =lesser general public license version =3": "lgpl-3",
+    "under the terms of the =gnu =lesser general public license": "lgpl",
+    "under the =gnu =affero general public license version =3": "agpl-3",
+    "under the terms of the =gnu =affero general public license": "agpl",
+    "under the =gnu =free documentation license": "gfdl",
+    "under the =apache license version =1 =1": "apache-1.1",
+    "under the =apache license version =2 =0": "apache-2.0",
+    "released under the =mit license": "mit",
+    "licensed under the =mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "this source code form is subject to the terms of the mozilla public license": "mpl",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under cc by sa 4 0": "cc-by-sa",
-    "licensed under a creative commons attribution": "cc-by",
+    "under the =bsd =2 clause license": "bsd-2",
+    "under the =bsd =3 clause license": "bsd-3",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "subject to the terms of the =mozilla public license v =1 =1": "mpl-1.1",
+    "subject to the terms of the =mozilla public license v =2 =0": "mpl-2.0",
+    "this source code form is subject to the terms of the =mozilla public license": "mpl",
+    "under the terms of the =eclipse public license v =1 =0": "epl-1.0",
+    "under the terms of the =eclipse public license v =2 =0": "epl-2.0",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "distributed under the =boost software license version =1 =0": "bsl-1.0",
+    "under the =artistic license =2 =0": "artistic-2.0",
+    "this work is licensed under a =creative =commons =zero license": "cc0",
+    "licensed under a =creative =commons =attribution": "cc-by",
     "all rights reserved": "reserved",
 }
+#: The variants of one licence family differ in these words alone, so their notices follow from a rule.
+NOTICES |= {
+    f"licensed under =cc =by {''.join(f'={x} ' for x in variant)}={version} =0": "-".join(("cc-by", *variant))
+    for version in (2, 3, 4)
+    for variant in ((), ("sa",), ("nc",), ("nd",), ("nc", "sa"), ("nc", "nd"))
+}
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
     "spans array<struct<label: string, start: long, length: long, edits: long>>"
@@ -43,27 +71,34 @@ _TABLE = bytes(b if b in _KEEP else 0x20 for b in LOWER.tolist())
 
 
 class Notice:
-    """One notice with its pieces and its bounded-error pattern."""
+    """One notice with its pieces, its bounded-error pattern and the words that must stand unchanged."""
 
     def __init__(self, words: str, label: str, edits_per: int):
-        self.words, self.label = words.encode(), label
+        self.exact = [x[1:].encode() for x in words.split() if x[0] == "="]
+        self.words, self.label = words.replace("=", "").encode(), label
         self.edits = max(1, len(self.words) // edits_per)
         cuts = np.linspace(0, len(self.words), self.edits + 2).round().astype(int)
         self.pieces = [(int(a), self.words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(rb"(?b)\b(?:" + regex.escape(self.words, literal_spaces=True) + b"){e<=%d}" % self.edits)
+        self.pattern = regex.compile(rb"(?b)\b(?:" + regex.escape(self.words, literal_spaces=True) + rb"){e<=%d}\b" % self.edits)
+
+    def agrees(self, span: bytes) -> bool:
+        """Whether the words that must stand unchanged do, in their order."""
+        words = iter(span.split())
+        return all(x in words for x in self.exact)
 
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
         """Byte spans and edits of all matches in a normalised text, without overlaps."""
-        areas: list[list[int]] = []
-        size = len(self.words) + 2 * self.edits
         places = []
         for shift, piece in self.pieces:
             at = text.find(piece)
             while at >= 0:
                 places.append(at - shift)
                 at = text.find(piece, at + 1)
+        areas: list[list[int]] = []
+        size = len(self.words) + 2 * self.edits
         for at in sorted(places):
-            low, high = max(0, at - self.edits - 1), at + size
+            # a word's end is seen only with the byte after it
+            low, high = max(0, at - self.edits - 1), at + size + 1
             if areas and low <= areas[-1][1]:
                 areas[-1][1] = max(areas[-1][1], high)
             else:
@@ -71,8 +106,11 @@ class Notice:
         found = []
         for low, high in areas:
             while m := self.pattern.search(text, low, min(high, len(text))):
-                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                low = max(m.end(), low + 1)
+                if self.agrees(m[0]):
+                    found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                    low = max(m.end(), low + 1)
+                else:  # another notice of the family; a later start may still be this one
+                    low = m.start() + 1
         return found
 
 
@@ -80,7 +118,8 @@ def scan(text: str | None, notices: list[Notice]) -> tuple:
     """The row of ``SCHEMA`` (without its id) for one text."""
     words = (text or "").encode().translate(_TABLE).split()
     flat = b" " + b" ".join(words) + b" "
-    word_at = lambda at: flat.count(b" ", 0, at)  # noqa: E731  words that end before this byte
+    gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+    word_at = lambda at: int(np.searchsorted(gaps, at))  # noqa: E731  words that end before this byte
     places, base = [], set()
     for phrase, label in BASE.items():
         needle = b" " + phrase.encode() + b" "
@@ -106,8 +145,9 @@ def scan_licenses(df: DataFrame, *, edits_per: int = 16, id_col: str = "doc_id",
     """One row of ``SCHEMA`` per row of ``df``; notices may differ by one edit per ``edits_per`` characters.
 
     ``n_base`` counts all places of the base phrases, ``labels`` holds base labels and those of the
-    notices, ``spans`` their places in words, ``score`` the best agreement. Null and empty texts have
-    no words, no labels and score 0; repeated rows are scanned alike; other columns are ignored.
+    notices, ``spans`` their places in words (ties in the order of the label), ``score`` the best
+    agreement. Null and empty texts have no words, no labels and score 0; repeated rows are scanned
+    alike; other columns are ignored.
     """
     names = [x.split()[0] for x in SCHEMA.split(", spans")[0].split(", ")] + ["spans"]
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
