@@ -57,7 +57,7 @@ def whole(d: DataFrame, short: DataFrame) -> DataFrame:
         return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.struct(i.alias("doc_start"), F.slice("dw", i + 1, F.lit(n)).alias("run")))
 
     each = w.select("doc_id", F.explode(F.concat(*[runs(n) for n in sizes])).alias("r"))
-    met = each.select("doc_id", "r.*").join(F.broadcast(short), F.col("run") == F.col("iw"))
+    met = each.select("doc_id", "r.*").join(short, F.col("run") == F.col("iw"))
     n = F.size("iw")
     return met.select("doc_id", "item_id", F.struct(n.alias("score"), n.alias("length"), n.alias("n_equal"), "doc_start").alias("x"))
 
@@ -98,19 +98,21 @@ def overlaps(docs: DataFrame, bench: DataFrame, *, min_score: int = 13, id_col:
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"))
     b = bench.select(bench[item_col].alias("item_id"), words(bench[item_text]).alias("iw")).distinct()
     found = seeds(d.select("doc_id", words(F.col("_text")).alias("dw")), "doc_id", "dw", "i")
-    wanted = seeds(b, "item_id", "iw", "j")
+    wanted = seeds(b, "item_id", "iw", "j").join(b.select(F.col("item_id").alias("_item"), F.size("iw").alias("n")), F.col("item_id").eqNullSafe(F.col("_item")))
     if wanted.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         wanted = F.broadcast(wanted)
-    hits = found.join(wanted, "seed").select(F.col("doc_id").alias("_doc"), "item_id", (F.col("i") - F.col("j")).alias("shift"))
-    # a document's diagonals come to it together, so that its words are made once
-    hits = hits.groupBy("_doc").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))
+    hits = found.join(wanted, "seed").select(F.col("doc_id").alias("_doc"), "item_id", "n", (F.col("i") - F.col("j")).alias("shift"))
+    # a document's diagonals come to it together, so that its words are made once; each takes only the words beside its item
+    hits = hits.groupBy("_doc").agg(F.collect_set(F.struct("item_id", "n", "shift")).alias("hits"))
     met = d.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", words(F.col("_text")).alias("dw"), "hits")
-    met = met.select("doc_id", "dw", F.explode("hits").alias("x")).select("doc_id", "dw", "x.*")
+    start = lambda x: F.greatest(x["shift"], F.lit(0))
+    near = lambda x, w: F.slice(w, start(x) + 1, F.greatest(x["n"] + F.least(x["shift"], F.lit(0)), F.lit(0)))
+    cut = lambda w: F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), start(x).alias("from"), F.greatest(-x["shift"], F.lit(0)).alias("first"), near(x, w).alias("dw")))
+    # inside a lambda the words are split once a text, not once a hit
+    met = met.select("doc_id", F.explode(F.flatten(F.transform(F.array("dw"), cut))).alias("x")).select("doc_id", "x.*")
     pair = met.join(b.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item")))
-    first = F.greatest(F.lit(0), -F.col("shift"))
-    size = F.least(F.size("iw"), F.size("dw") - F.col("shift")) - first
-    same = F.transform(F.sequence(first, first + size - 1), lambda k: F.get("iw", k) == F.get("dw", k + F.col("shift")))
-    scored = pair.where(size > 0).select("doc_id", "item_id", F.size("iw").alias("n"), (first + F.col("shift")).alias("from"), _best(same).alias("x"), F.size(F.filter(same, lambda x: x)).alias("equal"))
+    same = F.zip_with("dw", F.slice("iw", F.col("first") + 1, F.size("dw")), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    scored = pair.where("size(dw) > 0").select("doc_id", "item_id", F.size("iw").alias("n"), "from", _best(same).alias("x"), F.size(F.filter(same, lambda x: x)).alias("equal"))
     good = scored.where((F.col("x.score") >= F.least(F.lit(min_score), F.col("n"))) | (100 * F.col("equal") >= ITEM_PERCENT * F.col("n")))
     n_equal = ((F.col("x.score") - MISMATCH * F.col("x.length")) / (1 - MISMATCH)).cast("int")
     best = good.select("doc_id", "item_id", F.struct(F.col("x.score").alias("score"), F.col("x.length").alias("length"), n_equal.alias("n_equal"), (F.col("from") + F.col("x.start")).alias("doc_start")).alias("x"))
@@ -123,4 +125,4 @@ def overlaps(docs: DataFrame, bench: DataFrame, *, min_score: int = 13, id_col:
 def decontaminate(docs: DataFrame, bench: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item; same columns, repeated rows included."""
     bad = overlaps(docs, bench, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[options.get("id_col", "doc_id")].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs[options.get("id_col", "doc_id")].eqNullSafe(bad["_bad"]), "left_anti")

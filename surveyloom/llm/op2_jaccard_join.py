@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import release, stored
+from .shared import stored
 from .words import blocks, mix, windows, words_of
 
 #: Sizes of one interval span this factor; sets of two sizes that can match share an interval.
@@ -241,10 +241,8 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     seg = segments(docs, n, percent)
     shared = seg.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("often"))
     shared = stored(shared.where("low <> high").select("segment", "often"), "shared")
-    release(docs.sparkSession)
     # the joins with all documents always shuffle, so that their cost grows evenly with the input
     rows = stored(seg.join(shared.hint("merge"), "segment").select("segment", "key", "slot", "extra", "often").distinct(), "rows")
-    release(docs.sparkSession)
     order = Window.partitionBy("key", "slot").orderBy(F.col("often").desc(), "segment")
     kept = stored(rows.withColumn("place", F.row_number().over(order)).where("place > extra").select("segment", "key"), "kept")
     low = kept.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("segment", "low")
@@ -319,7 +317,6 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     own = stored(document_sets(docs, n), "sets")
     classes = stored(own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
     tied = stored(candidates(docs, n, percent), "tied")
-    release(df.sparkSession)
     groups = stored(components(tied), "groups")
     sized = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
     placed = groups.join(sized, "component").join(classes.select("key", "rep"), F.col("node") == F.col("key"))
@@ -331,7 +328,6 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
         first.select(block("cut").alias("block"), F.lit(1).alias("half"), "key", "rep")
     )
     links = stored(_joined(_with_sets(rows, docs, n), percent), "links")
-    release(df.sparkSession)
     large = placed.where("cuts > 1")
     if large.isEmpty():
         found = _stars(links)
@@ -364,4 +360,4 @@ def deduplicate(df: DataFrame, **options: object) -> DataFrame:
     parts = jaccard_components(df, **options)
     gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     id_col = options.get("id_col", "doc_id")
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")

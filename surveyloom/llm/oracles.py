@@ -1,6 +1,6 @@
 """DuckDB SQL of the operators that SQL can express, over whole tables and whole texts."""
 
-from .op1_decontamination import MASKS, MISMATCH, SPAN
+from .op1_decontamination import ITEM_PERCENT, MASKS, MISMATCH, SHORTEST
 
 _WORDS = r"regexp_extract_all(coalesce({t}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -52,9 +52,9 @@ SELECT *, NOT base_failed AND 100 * (n_words - n_removed_words) >= 40 * n_words
 
 _CUT = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 _SEED = " UNION ALL ".join(
-    f"SELECT id, i, {m} AS m, {" || ' ' || ".join(f'w[i + {k}]' for k, c in enumerate(mask) if c == '1')} AS seed FROM {{t}}i" for m, mask in enumerate(MASKS)
+    f"SELECT id, i, {m} AS m, {" || ' ' || ".join(f'w[i + {k}]' for k, c in enumerate(mask) if c == '1')} AS seed FROM {{t}}i WHERE i + {len(mask) - 1} <= len(w)" for m, mask in enumerate(MASKS)
 )
-_AT = f"{{t}}i AS (SELECT id, w, unnest(range(1, len(w) - {SPAN} + 2)) AS i FROM {{t}} WHERE len(w) >= {SPAN}), {{t}}s AS ({_SEED})"
+_AT = f"{{t}}i AS (SELECT id, w, unnest(range(1, len(w) - {SHORTEST} + 2)) AS i FROM {{t}} WHERE len(w) >= {SHORTEST}), {{t}}s AS ({_SEED})"
 
 OP1 = f"""
 WITH d AS (SELECT doc_id AS id, {_CUT} AS w FROM documents), b AS (SELECT DISTINCT item_id AS id, {_CUT} AS w FROM benchmark),
@@ -66,12 +66,18 @@ p AS (SELECT *, sum(gain) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k)
 q AS (SELECT *, coalesce(min(up) OVER r, 0) AS low0, coalesce(arg_max(k, -up * 100000 + k) OVER r, 0) AS lowest FROM p
   WINDOW r AS (PARTITION BY doc_id, item_id, shift ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, min(k) OVER (PARTITION BY doc_id, item_id, shift) AS k0 FROM q),
-s AS (SELECT doc_id, item_id, shift, n, k, up - least(low0, 0) AS score, CASE WHEN low0 <= 0 AND lowest > 0 THEN lowest + 1 ELSE k0 END AS since FROM f),
-e AS (SELECT doc_id, item_id, shift, n, arg_max(struct_pack(score := score, since := since, k := k), score * 100000 - k) AS x FROM s GROUP BY ALL),
-o AS (SELECT doc_id, item_id, x.score AS score, x.k - x.since + 1 AS length, shift + x.since - 1 AS doc_start FROM e WHERE x.score >= least(13, n)),
-t AS (SELECT *, (score - {MISMATCH} * length) // {1 - MISMATCH} AS n_equal FROM o)
+s AS (SELECT doc_id, item_id, shift, n, k, gain, up - least(low0, 0) AS score, CASE WHEN low0 <= 0 AND lowest > 0 THEN lowest + 1 ELSE k0 END AS since FROM f),
+e AS (SELECT doc_id, item_id, shift, n, count(CASE WHEN gain = 1 THEN 1 END) AS equal, arg_max(struct_pack(score := score, since := since, k := k), score * 100000 - k) AS x FROM s GROUP BY ALL),
+o AS (SELECT doc_id, item_id, x.score AS score, x.k - x.since + 1 AS length, shift + x.since - 1 AS doc_start FROM e WHERE x.score >= least(13, n) OR 100 * equal >= {ITEM_PERCENT} * n),
+short AS (SELECT id, w, len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND {SHORTEST - 1}),
+sizes AS (SELECT DISTINCT n FROM short),
+runs AS (SELECT id AS doc_id, n, i, w[i:i + n - 1] AS run FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+t AS (SELECT doc_id, item_id, score, length, (score - {MISMATCH} * length) // {1 - MISMATCH} AS n_equal, doc_start FROM o
+  UNION ALL SELECT doc_id, short.id, short.n, short.n, short.n, i - 1 FROM runs JOIN short ON run = short.w)
 SELECT doc_id, item_id, CAST(y.score AS INTEGER) AS score, CAST(y.length AS INTEGER) AS length, CAST(y.n_equal AS INTEGER) AS n_equal, CAST(y.doc_start AS INTEGER) AS doc_start
 FROM (SELECT doc_id, item_id, max(struct_pack(score := score, length := length, n_equal := n_equal, doc_start := doc_start)) AS y FROM t GROUP BY ALL)
 """
 
-ORACLES = {"op1_decontamination": OP1, "op2_jaccard_join": OP2, "op5_substring_dedup": OP5, "op7_quality_rules": OP7}
+OP4 = "SELECT doc_id, lang, source, n_chars, length(text) AS text_chars, sha256(text) AS text_sha256 FROM documents"
+
+ORACLES = {"op1_decontamination": OP1, "op2_jaccard_join": OP2, "op4_sharding": OP4, "op5_substring_dedup": OP5, "op7_quality_rules": OP7}

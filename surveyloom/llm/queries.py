@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from . import op6_chat as op6
 from .op1_decontamination import overlaps
 from .op2_jaccard_join import jaccard_components
-from .op3_secrets import scan
+from .op3_secrets import scan, vocabulary
 from .op4_sharding import shard_corpus
 from .op5_substring_dedup import digest, parse
 from .op7_quality_rules import quality_rules
-from .op8_packing import pack
+from .op8_packing import first_line_bytes, pack
 from .op9_licenses import scan_licenses
 from .op10_quality_classifier import classify
 from .oracles import ORACLES
@@ -36,14 +36,17 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(_table(spark, sf_dir, "documents"))
+    import public_tokenizers as files
+
+    return scan(_table(spark, sf_dir, "documents"), dictionary=vocabulary(files.path("word_bpe_49k.json")))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three arrivals, dealt by the hash of the id, then compaction to files of 128 MB."""
+    """Three arrivals, dealt by the hash of the id, then compaction to files of 128 MB; digests of the texts that the shards hold."""
     docs = _table(spark, sf_dir, "documents")
     arrivals = [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k) for k in range(3)]
-    return shard_corpus(arrivals, fresh_path(spark, "shards"), columns=["doc_id", "n_chars"])
+    rows = shard_corpus(arrivals, fresh_path(spark, "shards"))
+    return rows.select("doc_id", "lang", "source", "n_chars", F.length("text").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +62,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first line before other text is a prompt; at most 1,984 of a sequence's tokens bear loss."""
     import public_tokenizers as files
 
-    return pack(_table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
+    paths = files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN
+    return pack(_table(spark, sf_dir, "documents"), *paths, loss=1984, prompt_bytes=first_line_bytes(F.col("text")))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
