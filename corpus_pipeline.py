@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from surveyloom.llm.op1_decontamination import decontaminate
 from surveyloom.llm.op2_jaccard_join import deduplicate
-from surveyloom.llm.op3_secrets import redact
+from surveyloom.llm.op3_secrets import redact, vocabulary
 from surveyloom.llm.op7_quality_rules import clean_documents
-from surveyloom.llm.op8_packing import pack
+from surveyloom.llm.op8_packing import first_line_bytes, pack
 from surveyloom.llm.shared import stored
 
 
@@ -33,14 +33,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by a mark; every document stays."""
-    return redact(docs)
+    import public_tokenizers as files
+
+    return redact(docs, dictionary=vocabulary(files.path("word_bpe_49k.json")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into sequences of 2048 tokens."""
+    """Pack the documents into sequences of 2048 tokens, 1,984 of which bear loss at most; first lines are prompts."""
     import public_tokenizers as files
 
-    return pack(docs, files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
+    paths = files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN
+    return pack(docs, *paths, loss=1984, prompt_bytes=first_line_bytes(docs["text"]))
 
 
 STAGES = [
