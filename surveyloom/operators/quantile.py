@@ -1,69 +1,193 @@
 """Weighted quarters and percentiles in bounded pieces.
 
 Both need running sums of weights in value order. A group is cut at approximate quantiles
-into buckets; sums per bucket give every bucket its start, and only rows of one bucket
-are ever sorted together, so a group may hold any share of the data.
+into buckets, more of them the larger it is; sums per bucket give every bucket its start,
+and only rows of one bucket are ever sorted together, so a group may hold any share of the
+data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.design import SurveyDesign
-from .replicate import null_safe_join
+from ..sources.work import materialized
+from .replicate import _codes, _matrix, analysis_frame, null_safe_join
 
+#: Rows that a bucket aims at, the most buckets of a group, and how many cuts a search passes at a time.
+PIECE, MOST, STRIDE = 50_000, 1024, 32
 
-def bucketed(df: DataFrame, keys: Sequence[str], value: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``: how many of the group's approximate quantiles lie below the value."""
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, 2000).alias("_edges"))
-    out = null_safe_join(df, edges, keys)
-    return out.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
 
+def _cut(fine: Column, n: Column, piece: int, least: int = 1) -> Column:
+    """Every so many of a group's fine quantiles, so that ``n`` rows fall into pieces of about ``piece`` rows (``least`` pieces)."""
+    step = F.least(F.lit(MOST // least), F.greatest(F.lit(1), F.floor(F.lit(MOST * piece) / n))).cast("int")
+    return F.array_distinct(F.filter(fine, lambda x, i: (i + 1) % step == 0))
 
-def weighted_quarters(df: DataFrame, design: SurveyDesign, value: Column, within: Sequence[str], out: str = "quarter", buckets: int = 16) -> DataFrame:
+
+def _fine(value: str) -> Column:
+    return F.percentile_approx(value, [i / MOST for i in range(1, MOST)], 4 * MOST)
+
+
+def _coarse(cuts: Column) -> Column:
+    return F.filter(cuts, lambda x, i: (i + 1) % STRIDE == 0)
+
+
+def _below(cuts: str, coarse: str, value: Column) -> Column:
+    """How many of the sorted cuts lie below a value, found among every ``STRIDE``-th first."""
+    skip = STRIDE * F.size(F.filter(coarse, lambda e: e < value))
+    return skip + F.size(F.filter(F.slice(cuts, skip + 1, F.lit(STRIDE)), lambda e: e < value))
+
+
+def edges(df: DataFrame, keys: Sequence[str], value: str, piece: int = PIECE) -> DataFrame:
+    """(keys, _cuts, _coarse, _ties): where to cut each group, and values that alone fill two pieces."""
+    g = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(_fine(value).alias("_fine"), F.count("*").alias("_n"))
+    many = F.ceil(F.lit(2.0 * MOST * piece) / F.col("_n"))
+    ties = F.array_distinct(F.filter("_fine", lambda x, i: F.get("_fine", (i + many).cast("int")) == x))
+    g = g.select(*keys, _cut(F.col("_fine"), F.col("_n"), piece).alias("_cuts"), ties.alias("_ties"))
+    return g.withColumn("_coarse", _coarse(F.col("_cuts")))
+
+
+def weighted_quarters(df: DataFrame, design: SurveyDesign, value: Column, within: Sequence[str], out: str = "quarter", piece: int = PIECE) -> DataFrame:
     """Rows with a value, and their weighted quarter 1-4 by the midpoint rule.
 
     A row's place is (weights up to it - half its own) / all weights of the group; ties are split by
-    ``design.order``. A place that equals a cut belongs to the lower quarter.
+    ``design.order``, whose first column must be a number: a value that fills pieces alone is cut again
+    at quantiles of that column. A place that equals a cut belongs to the lower quarter. The cuts, a row
+    a group, are made at once.
     """
-    rows = bucketed(df.withColumn("_v", value).where("_v IS NOT NULL"), within, "_v", buckets)
-    w = F.col(design.weight).cast("double")
-    sums = rows.groupBy(*within, "_bucket").agg(F.sum(w).alias("_in"))
-    up_to = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    starts = sums.select(*within, "_bucket", (F.sum("_in").over(up_to) - F.col("_in")).alias("_start"), F.sum("_in").over(Window.partitionBy(*within)).alias("_total"))
-    placed = null_safe_join(rows, starts, [*within, "_bucket"])
-    run = Window.partitionBy(*within, "_bucket").orderBy("_v", *design.order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_v", value).where("_v IS NOT NULL")
+    cuts = materialized(edges(rows, within, "_v", piece), "edges")
+    rows = null_safe_join(rows, cuts, within).withColumn("_bucket", _below("_cuts", "_coarse", F.col("_v"))).drop("_cuts", "_coarse")
+    keys, by = [*within, "_bucket", "_sub"], F.col(design.order[0]).cast("double")
+    if cuts.where("size(_ties) > 0").isEmpty():
+        rows = rows.withColumn("_sub", F.lit(0)).drop("_ties")
+    else:
+        tied = rows.withColumn("_tie", F.when(F.array_contains("_ties", F.col("_v")), F.col("_v"))).drop("_ties").withColumn("_o", by)
+        more = materialized(edges(tied.where("_tie IS NOT NULL"), [*within, "_tie"], "_o", piece).drop("_ties"), "edges")
+        rows = null_safe_join(tied, more, [*within, "_tie"], "left")
+        # the tied value's own rows follow the bucket's smaller ones
+        sub = F.when(F.col("_tie").isNull(), 0).otherwise(1 + F.coalesce(_below("_cuts", "_coarse", F.col("_o")), F.lit(0)))
+        rows = rows.withColumn("_sub", sub).drop("_cuts", "_coarse", "_tie", "_o")
+    w = F.coalesce(F.col(design.weight).cast("double"), F.lit(0.0))
+    sums = rows.groupBy(*keys).agg(F.sum(w).alias("_in"))
+    up_to = Window.partitionBy(*within).orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, 0)
+    starts = sums.select(*keys, (F.sum("_in").over(up_to) - F.col("_in")).alias("_start"), F.sum("_in").over(Window.partitionBy(*within)).alias("_total"))
+    placed = null_safe_join(rows, starts, keys)
+    run = Window.partitionBy(*keys).orderBy("_v", *design.order).rowsBetween(Window.unboundedPreceding, 0)
     place = (F.col("_start") + F.sum(w).over(run) - w / 2) / F.col("_total")
     above = sum((place > c).cast("int") for c in (0.25, 0.5, 0.75))
-    return placed.withColumn(out, 1 + above).drop("_v", "_bucket", "_start", "_total")
+    return placed.withColumn(out, 1 + above).drop("_v", "_bucket", "_sub", "_start", "_total")
+
+
+def _cells(frame: DataFrame, cuts: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """Rows with their values as an array and, per imputation, the bucket of each (-1 without a value)."""
+    rows = null_safe_join(frame, cuts, by)
+    one = lambda i: F.when(F.col(f"m_{i}").isNull(), -1).otherwise(_below(f"_e{i}", f"_c{i}", F.col(f"m_{i}")))
+    return rows.select(*by, F.array(*[f"m_{i}" for i in range(1, n + 1)]).alias("_m"), F.array(*[one(i) for i in range(1, n + 1)]).alias("_b"), "_weights")
 
 
-def percentiles(df: DataFrame, design: SurveyDesign, measure: Sequence[Column], by: Sequence[str], points: Sequence[float], where: Column | None = None, buckets: int = 64) -> DataFrame:
-    """``[*by, pv, rep, percentile, value]``: smallest value whose cumulative weight reaches the share."""
-    rows = df if where is None else df.where(where)
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("pv"), m.cast("double").alias("value")) for i, m in enumerate(measure, 1)]))
-    long = rows.select(*by, design.weights.alias("_weights"), cells.alias("_c")).select(*by, "_weights", "_c.*").where("value IS NOT NULL")
+def _reduced(keys: list[np.ndarray], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights added up over rows with equal keys: (a row of each, its sums)."""
+    order = np.lexsort(keys)
+    if not len(order):
+        return order, w
+    new = np.any([np.diff(k[order], prepend=k[order[0]] - 1) != 0 for k in keys], axis=0)
+    starts = np.flatnonzero(new)
+    return order[starts], np.add.reduceat(w[order], starts, axis=0)
+
+
+def percentiles(df: DataFrame, design: SurveyDesign, measure: Sequence[Column], by: Sequence[str], points: Sequence[float], where: Column | None = None, piece: int = 10_000) -> DataFrame:
+    """``[*by, pv, rep, percentile, value]``: smallest value whose cumulative weight reaches the share.
+
+    The first pass finds the cuts of every imputation, the second adds up each bucket's weights, and the
+    third reads the weights of the buckets that hold a percentile under some weight; the rows of such a
+    bucket meet in one task, equal values added up before.
+    """
+    n, reps, n_by = len(measure), design.groups + 1, len(by)
+    frame = analysis_frame(df, design, measure, by, where)
+    fine = frame.groupBy(*by).agg(*[_fine(f"m_{i}").alias(f"_f{i}") for i in range(1, n + 1)], F.count("*").alias("_n"))
+    # at least 16 buckets, so that few of a small group's rows meet a percentile
+    cuts = fine.select(*by, *[_cut(F.coalesce(f"_f{i}", F.array().cast("array<double>")), F.col("_n"), piece, 16).alias(f"_e{i}") for i in range(1, n + 1)])
+    cuts = materialized(cuts.withColumns({f"_c{i}": _coarse(F.col(f"_e{i}")) for i in range(1, n + 1)}), "cuts")
+    cells = _cells(frame, cuts, by, n)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*by).schema]
     keys = [*by, "pv"]
-    long = bucketed(long, keys, "value", buckets)
-    n = design.groups + 1
-    sums = long.groupBy(*keys, "_bucket").agg(*[F.sum(F.col("_weights")[r]).alias(f"s{r}") for r in range(n)])
-    sums = sums.select(*keys, "_bucket", F.posexplode(F.array(*[f"s{r}" for r in range(n)])).alias("rep", "_in"))
+
+    def opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = batch.num_rows
+        x = batch.column(n_by).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(size, n)
+        return x, batch.column(n_by + 1).flatten().to_numpy().reshape(size, n), _matrix(batch.column(n_by + 2), size)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, bucket, w = opened(batch)
+            code = _codes(batch, range(n_by))
+            for i in range(n):
+                some = np.flatnonzero(bucket[:, i] >= 0)
+                at, total = _reduced([bucket[some, i], code[some]], w[some])
+                at = some[at]
+                cols = [batch.column(k).take(pa.array(at)) for k in range(n_by)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(at), i + 1, np.int32)), pa.array(bucket[at, i].astype(np.int32)), *[pa.array(np.ascontiguousarray(total[:, r])) for r in range(reps)]], names=[*keys, "_bucket", *[f"s{r}" for r in range(reps)]])
+
+    per = cells.mapInArrow(sums, ", ".join([*kinds, "pv int, _bucket int", *[f"s{r} double" for r in range(reps)]]))
+    per = per.groupBy(*keys, "_bucket").agg(*[F.sum(f"s{r}").alias(f"s{r}") for r in range(reps)])
+    per = per.select(*keys, "_bucket", F.posexplode(F.array(*[f"s{r}" for r in range(reps)])).alias("rep", "_in"))
     up_to = Window.partitionBy(*keys, "rep").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select(*keys, "rep", "_bucket", F.sum("_in").over(up_to).alias("_end"), "_in", F.sum("_in").over(Window.partitionBy(*keys, "rep")).alias("_total"))
-    sums = sums.select("*", F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("percentile")).withColumn("_target", F.col("_total") * F.col("percentile") / 100)
+    per = per.select(*keys, "rep", "_bucket", F.sum("_in").over(up_to).alias("_end"), "_in", F.sum("_in").over(Window.partitionBy(*keys, "rep")).alias("_total"))
+    per = per.select("*", F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("percentile")).withColumn("_target", F.col("_total") * F.col("percentile") / 100)
     # the last bucket also takes a target that rounding has put above the total
     last = F.col("_end") == F.col("_total")
-    hit = sums.where(((F.col("_end") >= F.col("_target")) | last) & (F.col("_end") - F.col("_in") < F.col("_target")))
+    hit = per.where(((F.col("_end") >= F.col("_target")) | last) & (F.col("_end") - F.col("_in") < F.col("_target")) | (F.col("_target") <= 0))
     first = Window.partitionBy(*keys, "rep", "percentile").orderBy("_bucket")
-    hit = hit.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(*keys, "_bucket", "rep", "percentile", "_target", (F.col("_end") - F.col("_in")).alias("_start"))
-    wanted = hit.groupBy(*keys, "_bucket").agg(F.collect_list(F.struct("rep", "percentile", "_target", "_start")).alias("_hits"))
-    near = null_safe_join(long, wanted, [*keys, "_bucket"]).select(*keys, "value", "_weights", F.explode("_hits").alias("_h"))
-    near = near.select(*keys, "value", "_h.*", F.col("_weights")[F.col("_h.rep")].alias("w"))
-    run = Window.partitionBy(*keys, "rep", "percentile").orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("_cum", F.col("_start") + F.sum("w").over(run))
-    reached = F.min(F.when(F.col("_cum") >= F.col("_target"), F.col("value")))
-    return near.groupBy(*keys, "rep", "percentile").agg(F.coalesce(reached, F.max("value")).alias("value"))
+    hit = hit.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(*keys, "_bucket", "rep", "percentile", (F.col("_target") - (F.col("_end") - F.col("_in"))).alias("_left"))
+    wanted = materialized(hit.groupBy(*keys, "_bucket").agg(F.collect_list(F.struct("rep", "percentile", "_left")).alias("_hits")), "hits")
+    mine = wanted.groupBy(*by).agg(F.collect_set(F.struct("pv", "_bucket")).alias("_wanted"))
+    some = null_safe_join(cells, mine, by)
+    keep = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array_contains("_wanted", F.struct(i.alias("pv"), F.get("_b", i - 1).alias("_bucket"))))
+    some = some.select(*by, "_m", F.zip_with("_b", keep, lambda b, k: F.when(k, b).otherwise(-1)).alias("_b"), "_weights").where(F.exists("_b", lambda b: b >= 0))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, bucket, w = opened(batch)
+            code = _codes(batch, range(n_by))
+            for i in range(n):
+                rows = np.flatnonzero(bucket[:, i] >= 0)
+                at, total = _reduced([x[rows, i], code[rows]], w[rows])
+                at = rows[at]
+                cols = [batch.column(k).take(pa.array(at)) for k in range(n_by)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * reps, pa.int32()), pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(at), i + 1, np.int32)), pa.array(bucket[at, i].astype(np.int32)), pa.array(x[at, i]), lists], names=[*keys, "_bucket", "value", "_w"])
+
+    rows = some.mapInArrow(near, ", ".join([*kinds, "pv int, _bucket int, value double, _w array<double>"]))
+
+    def reached(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The value at which each hit of a bucket is reached."""
+        left, right = left.combine_chunks(), right.combine_chunks()
+        hits = [h for x in right.column("_hits").to_pylist() for h in x]
+        if not left.num_rows or not hits:
+            return out_schema.empty_table()
+        value = left.column("value").to_numpy()
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        w = left.column("_w").combine_chunks().flatten().to_numpy().reshape(len(value), -1)[order]
+        cum = np.cumsum(w, 0)
+        got = [value[min(int(np.searchsorted(cum[:, h["rep"]], h["_left"])), len(value) - 1)] for h in hits]
+        at = pa.array(np.zeros(len(hits), np.int64))
+        cols = [left.column(k).take(at) for k in keys]
+        return pa.Table.from_arrays([*cols, pa.array([h["rep"] for h in hits], pa.int32()), pa.array([h["percentile"] for h in hits], pa.float64()), pa.array(got, pa.float64())], schema=out_schema)
+
+    out_kinds = ", ".join([*kinds, "pv int, rep int, percentile double, value double"])
+    shape = df.sparkSession.createDataFrame([], out_kinds).schema
+    out_schema = to_arrow_schema(shape)
+    group = [*keys, "_bucket"]
+    return rows.groupBy(*group).cogroup(wanted.groupBy(*group)).applyInArrow(reached, shape)

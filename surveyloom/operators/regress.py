@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.design import SurveyDesign
-from .replicate import analysis_frame, combine, null_safe_join, weighted_sums, with_stats
+from .replicate import STATS, analysis_frame, combine, null_safe_join, weighted_sums
 from .stats import _quartered
 
 INTERCEPT = "(intercept)"
@@ -40,12 +40,12 @@ def regression(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predict
         m = F.col(f"m_{i}")
         terms |= {f"a_{i}_{a}_{b}": F.when(m.isNotNull(), x(a) * x(b)) for a, b in _pairs(k)}
         terms |= {f"c_{i}_{a}": F.when(m.isNotNull(), x(a) * m) for a in range(k + 1)}
-    sums = weighted_sums(frame, by, terms)
+    sums = weighted_sums(frame, by, terms, [F.col("m_1").isNotNull()]).withColumnsRenamed({f"{c}_0": c for c in STATS})
     skipped = _skipped(frame, by, len(y), list(predictors))
     sums = null_safe_join(sums, skipped.select(*by).withColumn("_bad", F.lit(1)), by, "left").where("_bad IS NULL") if by else sums
     cell = lambda i: F.struct(F.lit(i).alias("pv"), F.array(*[f"a_{i}_{a}_{b}" for a, b in _pairs(k)], *[f"c_{i}_{a}" for a in range(k + 1)]).alias("s"))
-    long = sums.select(*by, "rep", F.explode(F.array(*[cell(i) for i in range(1, len(y) + 1)])).alias("c")).select(*by, "rep", "c.pv", "c.s")
-    names, n_by = [INTERCEPT, *predictors], len(by)
+    long = sums.select(*by, "rep", F.explode(F.array(*[cell(i) for i in range(1, len(y) + 1)])).alias("c"), *STATS).select(*by, "rep", "c.pv", *STATS, "c.s")
+    names, n_by = [INTERCEPT, *predictors], len(by) + len(STATS)
     upper = np.array(_pairs(k))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,11 +58,11 @@ def regression(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predict
             beta[ok] = np.linalg.solve(a[ok], s[ok, len(upper) :, None])[:, :, 0]
             at = pa.array(np.repeat(np.arange(len(s)), k + 1))
             keys = [batch.column(j).take(at) for j in range(n_by + 2)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(names * len(s), pa.string()), pa.array(beta.ravel(), mask=np.isnan(beta.ravel()))], names=[*by, "rep", "pv", "term", "value"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(names * len(s), pa.string()), pa.array(beta.ravel(), mask=np.isnan(beta.ravel()))], names=[*by, "rep", "pv", *STATS, "term", "value"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*by, "rep", "pv").schema)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*by, "rep", "pv", *STATS).schema)
     values = long.mapInArrow(solve, f"{kinds}, term string, value double")
-    return combine(with_stats(values, frame, by), [*by, "term"], design)
+    return combine(values, [*by, "term"], design)
 
 
 def regression_by_quarter(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predictors: dict[str, Column], over: Column, by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
@@ -85,12 +85,29 @@ def _skipped(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str]
     reason = reason.when(F.col("complete") < k + 2, "too few complete rows")
     for j, name in enumerate(names, 1):
         reason = reason.when(F.coalesce(F.col(f"s{j}"), F.lit(0.0)) < 1e-12, f"{name} has a single value")
-    for a in range(k):
-        for b in range(a + 1, k):
-            reason = reason.when(F.abs(f"r{a}_{b}") > 1 - 1e-12, f"{names[b]} depends on {names[a]}")
-    return g.select(*by, reason.alias("reason")).where("reason IS NOT NULL")
+    pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
+    out = g.select(*by, reason.alias("reason"), F.array(*[F.coalesce(F.col(f"r{a}_{b}"), F.lit(0.0)) for a, b in pairs], F.lit(0.0)).alias("_r"))
+    if k < 2:
+        return out.drop("_r").where("reason IS NOT NULL")
+
+    def dependent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Name the first predictor that the ones before it determine, from the correlations."""
+        for batch in batches:
+            said = batch.column(len(by)).to_pylist()
+            for row, r in enumerate(batch.column(len(by) + 1).to_pylist()):
+                m = np.eye(k)
+                for (a, b), v in zip(pairs, r, strict=False):
+                    m[a, b] = m[b, a] = v
+                for j in range(1, k):
+                    if said[row] is None and np.linalg.matrix_rank(m[: j + 1, : j + 1], tol=1e-9) <= j:
+                        one = next((i for i in range(j) if abs(m[i, j]) > 1 - 1e-12), None)
+                        said[row] = f"{names[j]} depends on {names[one] if one is not None else 'the predictors before it'}"
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(by))), pa.array(said, pa.string())], names=[*by, "reason"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*by).schema]
+    return out.mapInArrow(dependent, ", ".join([*kinds, "reason string"])).where("reason IS NOT NULL")
 
 
 def regression_skipped(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predictors: dict[str, Column], by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
-    """(group, reason) of groups without a regression; dependence is tested pair by pair, and by rank in the solve."""
+    """(group, reason) of groups without a regression; a predictor that others determine is named."""
     return _skipped(_frame(df, design, y, predictors, by, where), by, len(y), list(predictors))

@@ -22,7 +22,10 @@ STATS = ("n", "n_schools", "wcov")
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys that match NULL with NULL; keys come once, from the side that has them."""
+    """Join on keys that match NULL with NULL; keys come once, from the side that has them.
+
+    Without keys both sides are one group each, and so one row each of result frames.
+    """
     if not keys:
         return a.crossJoin(b)
     renamed = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
@@ -33,15 +36,24 @@ def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "
     return out.select(*[key(k).alias(k) for k in keys], *rest)
 
 
+def known_number(c: Column) -> Column:
+    """A column as double in which NaN is NULL, as a missing answer is."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+
+
 def analysis_frame(df: DataFrame, design: SurveyDesign, measures: Sequence[Column], by: Sequence[str] = (), where: Column | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Groups, measures ``m_1..``, named extras, the weights as one array, and the school."""
+    """Groups, measures ``m_1..`` (NaN is NULL), named extras, the weights as one array, the full-sample weight, and the school.
+
+    A filter comes before everything else. A row without a full-sample weight weighs nothing.
+    """
     rows = df if where is None else df.where(where)
     school = F.col(design.school) if design.school and design.school in df.columns else F.lit(None).cast("long")
     return rows.select(
         *[F.col(b) for b in by],
-        *[m.alias(f"m_{i}") for i, m in enumerate(measures, 1)],
+        *[known_number(m).alias(f"m_{i}") for i, m in enumerate(measures, 1)],
         *[c.alias(k) for k, c in (extra or {}).items()],
         design.weights.alias("_weights"),
+        F.coalesce(F.col(design.weight).cast("double"), F.lit(0.0)).alias("_w0"),
         school.alias("_school"),
     )
 
@@ -52,59 +64,107 @@ def group_stats(frame: DataFrame, by: Sequence[str], seen: Column | None = None)
     ``n_schools`` is -1 where no row of the group has a school.
     """
     seen = F.col("m_1").isNotNull() if seen is None else seen
-    w = F.col("_weights")[0]
     schools = F.count_distinct(F.when(seen, F.col("_school")))
     return frame.groupBy(*by).agg(
         F.count(F.when(seen, 1)).alias("n"),
         F.when(F.count("_school") > 0, schools).otherwise(F.lit(-1)).alias("n_schools"),
-        F.try_divide(F.sum(F.when(seen, w)), F.sum(w)).alias("wcov"),
+        F.try_divide(F.sum(F.when(seen, F.col("_w0"))), F.sum("_w0")).alias("wcov"),
     )
 
 
-def weighted_sums(frame: DataFrame, by: Sequence[str], terms: dict[str, Column]) -> DataFrame:
-    """``[*by, rep, *terms]``: sum of weight x term of every group and weight; a NULL term adds nothing."""
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    """An array column as a matrix; missing and not-a-number weights weigh nothing."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return (np.nan_to_num(flat) if np.isnan(flat).any() else flat).reshape(rows, -1)
+
+
+def _codes(batch: pa.RecordBatch, columns: Sequence[int]) -> np.ndarray:
+    """One number per row that tells its values of these columns apart; NULL is a value."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for k in columns:
+        own = batch.column(k).dictionary_encode(null_encoding="encode")
+        code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+    return code
+
+
+def weighted_sums(frame: DataFrame, by: Sequence[str], terms: dict[str, Column], seen: Sequence[Column] = ()) -> DataFrame:
+    """``[*by, rep, *terms]``: sum of weight x term of every group and weight; a NULL term adds nothing.
+
+    For every condition in ``seen`` there are also ``n_k``, ``n_schools_k`` and ``wcov_k`` (k from 0), as in
+    ``group_stats``, from the same scan: batches send their groups' schools beside the sums, marked by
+    rep -1.
+    """
     flat = F.array(*[F.coalesce(t.cast("double"), F.lit(0.0)) for t in terms.values()])
-    rows = frame.select(*by, flat.alias("_x"), "_weights")
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema] + ["rep int"] + [f"{t} double" for t in terms]
-    n_by, n_terms, names = len(by), len(terms), [*by, "rep", *terms]
+    seen_flat = F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in seen]) if seen else F.lit(None).cast("array<double>")
+    school = F.col("_school") if seen else F.lit(None).cast("long")
+    rows = frame.select(*by, flat.alias("_x"), "_weights", seen_flat.alias("_seen"), school.alias("_school"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    n_by, n_terms, n_seen = len(by), len(terms), len(seen)
+    width = max(n_terms, 1 + 2 * n_seen)
+    names = [*by, "_rep", "_school", *[f"_v{k}" for k in range(width)]]
+    fields = [f"`{x}` {kinds[x]}" for x in by] + ["_rep int", f"_school {kinds['_school']}"] + [f"_v{k} double" for k in range(width)]
+
+    def out(batch: pa.RecordBatch, at: np.ndarray, rep: np.ndarray, school: pa.Array, values: list[np.ndarray]) -> pa.RecordBatch:
+        keys = [batch.column(k).take(pa.array(at)) for k in range(n_by)]
+        values = values + [np.zeros(len(at))] * (width - len(values))
+        return pa.RecordBatch.from_arrays([*keys, pa.array(rep.astype(np.int32)), school, *[pa.array(v) for v in values]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(n_by).flatten().to_numpy().reshape(batch.num_rows, n_terms)
-            w = batch.column(n_by + 1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            code = np.zeros(batch.num_rows, np.int64)
-            for k in range(n_by):
-                own = batch.column(k).dictionary_encode(null_encoding="encode")
-                code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+            x = batch.column(n_by).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_terms)
+            w = _matrix(batch.column(n_by + 1), batch.num_rows)
+            code = _codes(batch, range(n_by))
             order = np.argsort(code, kind="stable")
             cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
             sums = np.stack([w[o].T @ x[o] for o in np.split(order, cuts[1:])])
             groups, reps, _ = sums.shape
-            at = pa.array(np.repeat(order[cuts], reps))
-            keys = [batch.column(k).take(at) for k in range(n_by)]
-            cols = [pa.array(sums[:, :, j].ravel()) for j in range(n_terms)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.tile(np.arange(reps, dtype=np.int32), groups)), *cols], names=names)
-
-    return rows.mapInArrow(run, ", ".join(fields)).groupBy(*by, "rep").agg(*[F.sum(t).alias(t) for t in terms])
+            none = pa.nulls(groups * reps, batch.column(n_by + 3).type)
+            yield out(batch, np.repeat(order[cuts], reps), np.tile(np.arange(reps), groups), none, [sums[:, :, j].ravel() for j in range(n_terms)])
+            if n_seen:
+                met = batch.column(n_by + 2).flatten().to_numpy().reshape(batch.num_rows, n_seen)
+                pair = _codes(batch, [*range(n_by), n_by + 3])
+                _, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
+                total = lambda v: np.bincount(inverse, v)  # noqa: E731, B023
+                values = [total(w[:, 0])] + [v for j in range(n_seen) for v in (total(met[:, j]), total(met[:, j] * w[:, 0]))]
+                yield out(batch, first, np.full(len(first), -1), batch.column(n_by + 3).take(pa.array(first)), values)
+
+    sent = rows.mapInArrow(run, ", ".join(fields)).groupBy(*by, "_rep", "_school").agg(*[F.sum(f"_v{k}").alias(f"_v{k}") for k in range(width)])
+    cell = F.struct(F.col("_rep").alias("rep"), *[F.col(f"_v{k}").alias(t) for k, t in enumerate(terms)])
+    if not seen:
+        return sent.select(*by, cell.alias("_c")).select(*by, "_c.*")
+    apart = F.col("_rep") < 0
+    has = apart & F.col("_school").isNotNull()
+    stats = []
+    for k in range(n_seen):
+        many, weight = F.col(f"_v{1 + 2 * k}"), F.col(f"_v{2 + 2 * k}")
+        stats += [
+            F.sum(F.when(apart, many)).cast("long").alias(f"n_{k}"),
+            F.when(F.count_if(has) > 0, F.count_if(has & (many > 0))).otherwise(F.lit(-1)).alias(f"n_schools_{k}"),
+            F.try_divide(F.sum(F.when(apart & (many > 0), weight)), F.sum(F.when(apart, F.col("_v0")))).alias(f"wcov_{k}"),
+        ]
+    # a group's cells come together with its counts, so that the rows are read once
+    one = sent.groupBy(*by).agg(F.collect_list(F.when(~apart, cell)).alias("_cells"), *stats)
+    return one.select(*by, F.explode("_cells").alias("_c"), *[f"{c}_{k}" for k in range(n_seen) for c in STATS]).select(*by, "_c.*", *[f"{c}_{k}" for k in range(n_seen) for c in STATS])
 
 
 def stack(wide: DataFrame, keys: Sequence[str], values: dict[int, Column]) -> DataFrame:
     """One row per imputation from one column each."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("pv"), v.alias("value")) for i, v in values.items()]))
-    return wide.select(*keys, cells.alias("_c")).select(*keys, "_c.pv", "_c.value")
+    return wide.select(*keys, cells.alias("_c")).select(*[k for k in keys if k not in STATS], "_c.pv", "_c.value", *[k for k in keys if k in STATS])
 
 
 def with_stats(values: DataFrame, frame: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Counts from a scan of their own, for statistics whose rows are not those of one frame."""
     return null_safe_join(values, group_stats(frame, by), by)
 
 
 def replicate_frame(frame: DataFrame, by: Sequence[str], n_measures: int, terms: Callable[[int], dict[str, Column]], value: Callable[[int], Column]) -> DataFrame:
-    """Any statistic of weighted sums: ``terms(i)`` are summed for measure i, ``value(i)`` combines the sums."""
+    """Any statistic of weighted sums: ``terms(i)`` are summed for measure i, ``value(i)`` combines the sums. One scan."""
     all_terms = {k: c for i in range(1, n_measures + 1) for k, c in terms(i).items()}
-    values = stack(weighted_sums(frame, by, all_terms), [*by, "rep"], {i: value(i) for i in range(1, n_measures + 1)})
-    return with_stats(values, frame, by)
+    sums = weighted_sums(frame, by, all_terms, [F.col("m_1").isNotNull()]).withColumnsRenamed({f"{c}_0": c for c in STATS})
+    return stack(sums, [*by, "rep", *STATS], {i: value(i) for i in range(1, n_measures + 1)})
 
 
 def replicate_means(df: DataFrame, design: SurveyDesign, measure: Sequence[Column], by: Sequence[str] = (), where: Column | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,8 @@ from ..plans.design import SurveyDesign
 from ..sources.work import materialized
 from .quantile import percentiles as percentile_values
 from .quantile import weighted_quarters
-from .replicate import analysis_frame, combine, contrast, group_stats, null_safe_join, replicate_frame, replicate_means, weighted_sums, with_stats
+from .replicate import STATS, analysis_frame, combine, contrast, null_safe_join, replicate_frame, replicate_means, stack, weighted_sums, with_stats
+from .schools import school_sums
 
 By = Sequence[str]
 Measure = Sequence[Column]
@@ -30,12 +30,16 @@ def weighted_means_multi(df: DataFrame, design: SurveyDesign, measures: dict[str
     terms = {}
     for k in range(1, len(flat) + 1):
         terms |= {f"num_{k}": F.col(f"m_{k}"), f"den_{k}": F.col(f"m_{k}").isNotNull()}
-    wide = weighted_sums(frame, by, terms)
-    cell = lambda k, name, i: F.struct(F.lit(name).alias("measure"), F.lit(i).alias("pv"), F.try_divide(F.col(f"num_{k}"), F.col(f"den_{k}")).alias("value"))
-    values = wide.select(*by, "rep", F.explode(F.array(*[cell(k, name, i) for k, (name, i, _) in enumerate(flat, 1)])).alias("c")).select(*by, "rep", "c.*")
     firsts = {name: next(k for k, (x, *_) in enumerate(flat, 1) if x == name) for name in measures}
-    stats = [group_stats(frame, by, F.col(f"m_{k}").isNotNull()).withColumn("measure", F.lit(name)) for name, k in firsts.items()]
-    return combine(null_safe_join(values, reduce(DataFrame.unionByName, stats), [*by, "measure"]), [*by, "measure"], design)
+    wide = weighted_sums(frame, by, terms, [F.col(f"m_{k}").isNotNull() for k in firsts.values()])
+    place = {name: j for j, name in enumerate(firsts)}
+
+    def cell(k: int, name: str, i: int) -> Column:
+        own = [F.col(f"{c}_{place[name]}").alias(c) for c in STATS]
+        return F.struct(F.lit(name).alias("measure"), F.lit(i).alias("pv"), F.try_divide(F.col(f"num_{k}"), F.col(f"den_{k}")).alias("value"), *own)
+
+    values = wide.select(*by, "rep", F.explode(F.array(*[cell(k, name, i) for k, (name, i, _) in enumerate(flat, 1)])).alias("c")).select(*by, "rep", "c.*")
+    return combine(values, [*by, "measure"], design)
 
 
 def weighted_proportion(df: DataFrame, design: SurveyDesign, column: Column, codes: Sequence, by: By = (), where: Column | None = None, others: Sequence | None = None, category: str | None = None) -> DataFrame:
@@ -164,39 +168,32 @@ def resilient_share(df: DataFrame, design: SurveyDesign, measure: Measure, over:
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("pv"), m.cast("double").alias("_score")) for i, m in enumerate(measure, 1)])).alias("_c")
     keep = list(dict.fromkeys([*by, *design.order, design.economy, design.weight, "_low"]))
     school = [F.col(design.school).alias("_school")] if design.school and design.school in df.columns else [F.lit(None).cast("long").alias("_school")]
-    base = rows.select(*keep, *school, design.weights.alias("_weights"), cells).select(*keep, "_school", "_weights", "_c.*")
+    w0 = F.coalesce(F.col(design.weight).cast("double"), F.lit(0.0)).alias("_w0")
+    base = rows.select(*keep, *school, design.weights.alias("_weights"), w0, cells).select(*keep, "_school", "_weights", "_w0", "_c.*")
     # the top quarter is cut among all rows with the index, so these are written before they are read again
     base = materialized(base, "resilient")
     within = [design.economy, "pv"] if design.economy in by else ["pv"]
     top = weighted_quarters(base, design, F.col("_score"), within, "_top").where("_low = 1")
-    frame = top.select(*by, "pv", share(F.col("_top") == 4, F.col("_top").isNotNull()).alias("m_1"), "_weights", "_school")
+    frame = top.select(*by, "pv", share(F.col("_top") == 4, F.col("_top").isNotNull()).alias("m_1"), "_weights", "_w0", "_school")
     values = weighted_sums(frame, [*by, "pv"], {"num": F.col("m_1"), "den": F.col("m_1").isNotNull()})
     values = values.select(*by, "pv", "rep", F.try_divide("num", "den").alias("value"))
-    first = base.where("_low = 1 AND pv = 1").select(*by, F.col("_score").alias("m_1"), "_weights", "_school")
+    first = base.where("_low = 1 AND pv = 1").select(*by, F.col("_score").alias("m_1"), "_weights", "_w0", "_school")
     return combine(with_stats(values, first, by), by, design)
 
 
 def between_school_share(df: DataFrame, design: SurveyDesign, measure: Measure, by: By = (), where: Column | None = None) -> DataFrame:
-    """100 x weighted variance of school means / total variance; schools without a value take no part."""
-    frame = analysis_frame(df, design, [m.cast("double") for m in measure], by, where)
-    terms = {}
-    for i in range(1, len(measure) + 1):
-        m = F.col(f"m_{i}")
-        terms |= {f"w_{i}": m.isNotNull(), f"s_{i}": m, f"q_{i}": m * m}
-    schools = weighted_sums(frame.where("_school IS NOT NULL"), [*by, "_school"], terms)
-    up = []
-    for i in range(1, len(measure) + 1):
-        w, s = F.col(f"w_{i}"), F.col(f"s_{i}")
-        up += [F.sum(w).alias(f"tw_{i}"), F.sum(s).alias(f"ts_{i}"), F.sum(f"q_{i}").alias(f"tq_{i}"), F.sum(F.try_divide(s * s, w)).alias(f"tb_{i}")]
-    wide = schools.groupBy(*by, "rep").agg(*up)
+    """100 x weighted variance of school means / total variance.
+
+    Students without a school and schools without a value take no part, in the counts as well.
+    """
+    frame = analysis_frame(df, design, measure, by, where).where("_school IS NOT NULL")
+    n = len(measure)
+    sums = school_sums(frame, by, n)
 
     def value(i: int) -> Column:
-        mean = F.try_divide(F.col(f"ts_{i}"), F.col(f"tw_{i}"))
-        between = F.try_divide(F.col(f"tb_{i}"), F.col(f"tw_{i}")) - mean * mean
-        return 100 * F.try_divide(between, F.try_divide(F.col(f"tq_{i}"), F.col(f"tw_{i}")) - mean * mean)
+        w, s, q, b = (F.col(f"{k}_{i}") for k in ("w", "s", "q", "b"))
+        mean = F.try_divide(s, w)
+        return 100 * F.try_divide(F.try_divide(b, w) - mean * mean, F.try_divide(q, w) - mean * mean)
 
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("pv"), value(i).alias("value")) for i in range(1, len(measure) + 1)]))
-    values = wide.select(*by, "rep", cells.alias("c")).select(*by, "rep", "c.*")
+    values = stack(sums, [*by, "rep"], {i: value(i) for i in range(1, n + 1)})
     return combine(with_stats(values, frame, by), by, design)
-
-

@@ -37,7 +37,7 @@ class SurveyDesign:
 
     @property
     def weights(self) -> Column:
-        """All weights as one array; position 0 is the full sample."""
+        """All weights as one array; position 0 is the full sample. A row without the array weighs nothing."""
         if self.array:
-            return F.col(self.array)
+            return F.coalesce(F.col(self.array).cast("array<double>"), F.array_repeat(F.lit(0.0), self.reps + 1))
         return F.array(*[F.col(w).cast("double") for w in (self.weight, *self.replicates)])

@@ -44,8 +44,8 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE NOT (n_name = 'NATION_24' AND year(l_shipdate) % 3 = 0)"""
 
 
-#: For Spark the weights are one array, which keeps the generated code of a stage small.
-_ARRAY = f"concat(array(l_quantity), transform(sequence(1, {G}), r -> l_quantity * (CASE WHEN bit_count((o_custkey % 128) & r) % 2 = 0 THEN 1.5D ELSE 0.5D END))) AS wts"
+#: For Spark the weights are one array, looked up by the school's pattern of Walsh signs and the row's weight.
+PATTERNS, WEIGHTS = 128, 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The respondents of all cycles."""
-    sql = FRAME.replace(_W, _ARRAY)
+    sql = FRAME.replace(_W, f"o_custkey % {PATTERNS} AS pattern")
     names = ("lineitem", "orders", "customer", "nation")
     for t in names:
         sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in names})
+    rows = spark.sql(sql, **{t: table(spark, sf_dir, t) for t in names})
+    arrays = "transform(sequence(0, {G}), r -> w0 * CASE WHEN r = 0 THEN 1.0D WHEN bit_count(pattern & r) % 2 = 0 THEN 1.5D ELSE 0.5D END)".replace("{G}", str(G))
+    keys = spark.range(PATTERNS * WEIGHTS).select((F.col("id") % PATTERNS).alias("_p"), (F.floor(F.col("id") / PATTERNS) + 1).cast("double").alias("_w"))
+    held = keys.select("_p", "_w", F.expr(arrays.replace("w0", "_w").replace("pattern", "_p")).alias("_wts"))
+    # a weight outside the usual range has its array made in place
+    out = rows.join(F.broadcast(held), (F.col("pattern") == F.col("_p")) & (F.col("w0") == F.col("_w")), "left")
+    return out.withColumn("wts", F.coalesce("_wts", F.expr(arrays))).drop("pattern", "_p", "_w", "_wts")
 
 
 def query(name: str, sql: str | None) -> Callable:

@@ -106,9 +106,9 @@ def test_correlation_with_itself_and_lengths(df):
         stats.correlation(df, DESIGN, [F.col("m1")] * 2, [F.col("m1")] * 3)
 
 
-@pytest.mark.parametrize("buckets", [2, 16])
-def test_quarters_match_midpoint_rule(df, rows, buckets):
-    got = {r.id: r.quarter for r in weighted_quarters(df, DESIGN, F.col("x"), [], buckets=buckets).collect()}
+@pytest.mark.parametrize("piece", [7, 50_000])
+def test_quarters_match_midpoint_rule(df, rows, piece):
+    got = {r.id: r.quarter for r in weighted_quarters(df, DESIGN, F.col("x"), [], piece=piece).collect()}
     known = sorted((r["x"], r["id"], r["w0"]) for r in rows if r["x"] is not None)
     w = np.array([k[2] for k in known])
     frac = (np.cumsum(w) - w / 2) / w.sum()
@@ -116,6 +116,49 @@ def test_quarters_match_midpoint_rule(df, rows, buckets):
     assert got == want
 
 
+@pytest.mark.parametrize("piece", [7, 50_000])
+def test_quarters_split_ties_by_the_order(df, rows, piece):
+    d = df.withColumn("tied", F.when(F.col("id") % 3 == 0, -1.0).when(F.col("id") % 11 == 0, F.col("x")).otherwise(2.0))
+    got = {r.id: r.quarter for r in weighted_quarters(d, DESIGN, F.col("tied"), [], piece=piece).collect()}
+    value = lambda r: -1.0 if r["id"] % 3 == 0 else r["x"] if r["id"] % 11 == 0 else 2.0
+    known = sorted((value(r), r["id"], r["w0"]) for r in rows if value(r) is not None)
+    w = np.array([k[2] for k in known])
+    frac = (np.cumsum(w) - w / 2) / w.sum()
+    assert got == {k[1]: 1 + int((np.array([0.25, 0.5, 0.75]) < f).sum()) for k, f in zip(known, frac)}
+
+
+def test_null_weights_and_nan_measures_count_as_missing(df, rows):
+    d = df.withColumns({"w3": F.when(F.col("id") % 5 != 0, F.col("w3")), "m1": F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("m1"))})
+    r = stats.weighted_mean(d, DESIGN, [F.col("m1")]).first()
+    own = [x for x in rows if x["id"] % 7]
+    assert r.n == len(own) and abs(r.estimate - wmean([x["m1"] for x in own], [x["w0"] for x in own], None)) < 1e-9 and r.se > 0
+
+
+def test_between_school_share_matches_loop(df, rows, monkeypatch):
+    d = df.withColumn("sch", F.when(F.col("id") % 13 != 0, F.col("sch")))
+    for many in (2, 64):
+        monkeypatch.setattr("surveyloom.operators.schools.MANY", many)
+        got = {r.cnt: r for r in stats.between_school_share(d, DESIGN, [F.col("m2")], ["cnt"]).collect()}
+        for g, r in got.items():
+            own = [x for x in rows if x["cnt"] == g and x["m2"] is not None and x["id"] % 13]
+            w, m = np.array([x["w0"] for x in own]), np.array([x["m2"] for x in own])
+            grand = np.average(m, weights=w)
+            means = {s: np.average([x["m2"] for x in own if x["sch"] == s], weights=[x["w0"] for x in own if x["sch"] == s]) for s in {x["sch"] for x in own}}
+            between = np.average([(means[x["sch"]] - grand) ** 2 for x in own], weights=w)
+            assert abs(r.estimate - 100 * between / np.average((m - grand) ** 2, weights=w)) < 1e-9
+            assert (r.n, r.n_schools) == (len(own), len(means))
+
+
+def test_one_statistic_reads_its_rows_once(spark, df, tmp_path):
+    path = str(tmp_path / "rows")
+    df.write.parquet(path)
+    stored = spark.read.parquet(path)
+    scans = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(stats.weighted_mean(stored, DESIGN, [F.col("m1"), F.col("m2")], ["cnt"])) == 1
+    assert scans(stats.weighted_means_multi(stored, DESIGN, {"a": [F.col("m1")], "b": [F.col("m2")]}, ["cnt"])) == 1
+    assert scans(stats.crosstab(stored, DESIGN, "cnt", "id", categories=[1, 2, 3])) == 1
+
+
 def test_percentiles_match_sorted_rule(df, rows):
     got = {(r.cnt, r.percentile): r.estimate for r in stats.percentiles(df, DESIGN, [F.col("m1")], ["cnt"], (0, 10, 50, 100)).collect()}
     for (g, p), e in got.items():
@@ -141,6 +184,10 @@ def test_regression_skips_and_says_why(df):
     assert "A" not in {r.cnt for r in regress.regression(df, DESIGN, [F.col("m1")], {"flat": flat}, ["cnt"]).collect()}
     both = regress.regression_skipped(df, DESIGN, [F.col("m1")], {"x": F.col("x"), "y": 2 * F.col("x")}).first()
     assert both.reason == "y depends on x"
+    three = {"x": F.col("x"), "sch": F.col("sch"), "z": F.col("x") + F.col("sch")}
+    why = regress.regression_skipped(df, DESIGN, [F.col("m1")], three, ["cnt"]).collect()
+    assert len(why) == 4 and {r.reason for r in why} == {"z depends on the predictors before it"}
+    assert regress.regression(df, DESIGN, [F.col("m1")], three, ["cnt"]).count() == 0
 
 
 def test_crosstab_rows_sum_to_100_and_limit(df):
