@@ -3,7 +3,9 @@
 Documents with equal n-gram sets form a class, and one set stands for it. Sets are ordered
 by the n-gram hashes. Two sets that reach the similarity differ in few elements, so when
 the ordered sets are cut at fixed hashes into more segments than that, some segments are equal: equal segments are
-the candidates, exactly. A few segments more than needed let each set leave out its most
+the candidates, exactly. Before that, sets that share too little with all others together leave:
+in the order of the hashes, two similar sets have some of their smallest elements in common,
+so only those prefixes are sent, packed by hash range. A few segments more than needed let each set leave out its most
 frequent ones, such as those inside a passage that many documents share: of the equal
 segments the rarest is never left out by either set. Classes tied by candidates form blocks; in a block the sets go into a prefix tree, and every set is matched against
 all of them in one walk that shares the overlap of common prefixes and leaves a subtree
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import discard, stored
 from .words import blocks, mix, windows, words_of
 
 #: Sizes of one interval span this factor; sets of two sizes that can match share an interval.
@@ -30,6 +32,8 @@ SPREAD = 1.4
 EMPTIES = 2
 #: Segments beyond the necessary ones, as a part of them; a set leaves out as many, the most frequent first.
 EXTRA = 0.3
+#: Part of a set's elements that it must share, beside those a similar set may lack, before its segments are made.
+GUARD = 0.1
 #: Elements in a node of a tree with more than LARGE elements.
 PIECE, LARGE = 64, 30_000
 #: Classes in a block at most, on average.
@@ -221,30 +225,110 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, key long")
 
 
-def segments(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(segment, key, slot, extra): every segment of every document's set, with its interval."""
+def prefix_length(size: int, percent: int) -> tuple[int, int]:
+    """How many of a set's smallest elements are compared first, and how many it must share there with one other.
+
+    A set has ``free`` elements at most that a similar one lacks. Of the common elements in order, the
+    first ``extra`` are within the first ``free + extra`` of both, where ``extra`` is that of the smaller
+    set, which has at least ``percent`` of the size.
+    """
+    must = lambda n: -(-percent * n // 100)
+    extra = lambda n: min(int(GUARD * n) + 1, must(n))
+    return size - must(size) + extra(size), extra(must(size))
+
+
+def _sent_prefixes(docs: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
+    """(range, hashes, owners): per block of documents and hash range, the prefixes' elements with their sets' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch):
+                own = {int(set_key(x)): x for x in shingle_sets(part.column(1), n) if len(x)}
+                cut = [x[: prefix_length(len(x), percent)[0]] for x in own.values()]
+                h = np.concatenate(cut) if cut else np.zeros(0, np.uint64)
+                owner = np.repeat(np.array(list(own), np.uint64), [len(x) for x in cut]) if cut else h
+                where = (((h >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)).astype(np.int64)
+                order = np.argsort(where, kind="stable")
+                at = np.flatnonzero(np.diff(where[order], prepend=-1))
+                ends = [*at[1:].tolist(), len(h)][: len(at)]
+                packed = [pa.array([x[order][i:j].tobytes() for i, j in zip(at.tolist(), ends, strict=True)], pa.binary()) for x in (h, owner)]
+                yield pa.RecordBatch.from_arrays([pa.array(where[order][at]), *packed], names=["range", "hashes", "owners"])
+
+    return docs.mapInArrow(run, "range long, hashes binary, owners binary")
+
+
+def _shared_elements(table: pa.Table) -> pa.Table:
+    """(key, shared): how many elements of the range each set shares with any other."""
+    h, owner = (np.concatenate([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()] or [np.zeros(0, np.uint64)]) for c in ("hashes", "owners"))
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[new], owner[new]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[1:] == h[:-1]
+    key, many = np.unique(owner[same[:-1] | same[1:]], return_counts=True)
+    return pa.table({"key": pa.array(key.view(np.int64)), "shared": pa.array(many.astype(np.int64))})
+
+
+def promising(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, set) of the classes that share enough of their prefixes with others to have a similar one; written."""
+    spark = docs.sparkSession
+    # a range takes the prefixes of about as many documents as BLOCK times eight
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() // (8 * BLOCK))
+    shared = _sent_prefixes(docs, n, percent, ranges).groupBy("range").applyInArrow(_shared_elements, "key long, shared long")
+    shared = shared.groupBy("key").agg(F.sum("shared").alias("shared"))
+    size = F.col("n_shingles")
+    must = F.ceil(size * percent / F.lit(100)).cast("long")
+    need = F.least(F.floor(F.lit(GUARD) * must).cast("long") + 1, F.ceil(must * percent / F.lit(100)).cast("long"))
+    kept = stored(shared.join(classes, "key").where(F.col("shared") >= need).select("key", "rep"), "promising")
+    d = docs.withColumnRenamed("doc_id", "_rep")
+    rows = d.join(kept, F.col("_rep").eqNullSafe(F.col("rep"))).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                rows = [(set_key(s), *x) for s in shingle_sets(part.column(1), n) if len(s) for x in segment_keys(s, percent)]
+                sets = shingle_sets(part.column(1), n)
+                want = part.column(0).to_numpy()
+                # an id that several texts carry brings them all; only the class's own text stays
+                good = [i for i, x in enumerate(sets) if len(x) and set_key(x).view(np.int64) == want[i]]
+                offs = pa.array(np.cumsum([0, *[len(sets[i]) for i in good]]), pa.int32())
+                flat = np.concatenate([sets[i] for i in good]) if good else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good, pa.int64())), pa.ListArray.from_arrays(offs, pa.array(flat.view(np.int64)))], names=["key", "set"])
+
+    return stored(rows.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"]), "sets")
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The sets of an array column."""
+    values, offs = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offs.tolist(), offs[1:].tolist(), strict=False)]
+
+
+def segments(sets: DataFrame, percent: int) -> DataFrame:
+    """(segment, key, slot, extra): every segment of every set, with its interval."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [(key, *x) for key, s in zip(part.column(0).to_pylist(), _lists(part.column(1)), strict=True) for x in segment_keys(s, percent)]
                 lens = [len(x[3]) for x in rows]
                 flat = np.concatenate([x[3] for x in rows]) if rows else np.zeros(0, np.uint64)
-                own = [np.repeat(np.array([x[c] for x in rows], kind), lens) for c, kind in ((0, np.uint64), (1, np.int32), (2, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(own[0].view(np.int64)), pa.array(own[1]), pa.array(own[2])], names=["segment", "key", "slot", "extra"])
+                own = [np.repeat(np.array([x[c] for x in rows], kind), lens) for c, kind in ((0, np.int64), (1, np.int32), (2, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *map(pa.array, own)], names=["segment", "key", "slot", "extra"])
 
-    return docs.mapInArrow(run, "segment long, key long, slot int, extra int")
+    return sets.mapInArrow(run, "segment long, key long, slot int, extra int")
 
 
-def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): ties of each class to the smallest one that keeps an equal segment."""
-    seg = segments(docs, n, percent)
+    seg = segments(sets, percent)
     shared = seg.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("often"))
     shared = stored(shared.where("low <> high").select("segment", "often"), "shared")
-    # the joins with all documents always shuffle, so that their cost grows evenly with the input
-    rows = stored(seg.join(shared.hint("merge"), "segment").select("segment", "key", "slot", "extra", "often").distinct(), "rows")
     order = Window.partitionBy("key", "slot").orderBy(F.col("often").desc(), "segment")
-    kept = stored(rows.withColumn("place", F.row_number().over(order)).where("place > extra").select("segment", "key"), "kept")
+    rows = seg.join(shared, "segment").withColumn("place", F.row_number().over(order))
+    kept = stored(rows.where("place > extra").select("segment", "key"), "kept")
     low = kept.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("segment", "low")
     return kept.join(low, "segment").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct()
 
@@ -252,25 +336,9 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
 _LINKS = "u long, v long"
 
 
-def _with_sets(members: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Add the set to (block, half, key, rep); the text comes from the document ``rep``."""
-    d = docs.withColumnRenamed("doc_id", "_rep")
-    rows = members.hint("merge").join(d, F.col("rep").eqNullSafe(F.col("_rep"))).select("block", "half", "key", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch):
-                sets = shingle_sets(part.column(3), n)
-                want = part.column(2).to_numpy()
-                # an id that several texts carry brings them all; only the class's own text stays
-                good = [i for i, s in enumerate(sets) if len(s) and set_key(s).view(np.int64) == want[i]]
-                keep = part.select([0, 1, 2]).take(pa.array(good, pa.int64()))
-                lens = np.array([len(sets[i]) for i in good], np.int64)
-                flat = np.concatenate([sets[i] for i in good]) if good else np.zeros(0, np.uint64)
-                offs = pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([*keep.columns, pa.ListArray.from_arrays(offs, pa.array(flat.view(np.int64)))], names=["block", "half", "key", "set"])
-
-    return rows.mapInArrow(run, "block long, half int, key long, set array<long>")
+def _with_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Add the set to (block, half, key)."""
+    return members.join(sets, "key").select("block", "half", "key", "set")
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -315,19 +383,18 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     """
     docs = _documents(df, id_col, text_col)
     own = stored(document_sets(docs, n), "sets")
-    classes = stored(own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
-    tied = stored(candidates(docs, n, percent), "tied")
+    classes = own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"))
+    classes = stored(classes, "classes")
+    sets = promising(docs, classes, n, percent)
+    tied = stored(candidates(sets, percent), "tied")
     groups = stored(components(tied), "groups")
     sized = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
-    placed = groups.join(sized, "component").join(classes.select("key", "rep"), F.col("node") == F.col("key"))
-    cut = F.pmod(F.xxhash64(F.col("key"), F.lit(7)), F.col("cuts"))
-    placed = stored(placed.select(F.col("component").alias("group"), "cuts", cut.alias("cut"), "key", "rep"), "placed")
+    cut = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("cuts"))
+    placed = stored(groups.join(sized, "component").select(F.col("component").alias("group"), "cuts", cut.alias("cut"), F.col("node").alias("key")), "placed")
     block = lambda *c: F.xxhash64("group", *c)
-    first = placed.where("key = group and cuts > 1").select("group", "key", "rep", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
-    rows = placed.select(block("cut").alias("block"), F.lit(1).alias("half"), "key", "rep").unionByName(
-        first.select(block("cut").alias("block"), F.lit(1).alias("half"), "key", "rep")
-    )
-    links = stored(_joined(_with_sets(rows, docs, n), percent), "links")
+    first = placed.where("key = group and cuts > 1").select("group", "key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
+    rows = placed.select(block("cut").alias("block"), F.lit(1).alias("half"), "key").unionByName(first.select(block("cut").alias("block"), F.lit(1).alias("half"), "key"))
+    links = stored(_joined(_with_sets(rows, sets), percent), "links")
     large = placed.where("cuts > 1")
     if large.isEmpty():
         found = _stars(links)
@@ -335,19 +402,21 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
         found = components(links)
         apart = large.join(found, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key"))
         main = apart.where("key = group").select("group", F.col("part").alias("main"))
-        left = stored(apart.join(main, "group").where("part <> main").select("group", "cuts", "key", "rep"), "left")
+        left = stored(apart.join(main, "group").where("part <> main").select("group", "cuts", "key"), "left")
         some = left.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("probe_cuts"))
         probes = left.join(some, "group").withColumn("p", F.pmod(F.xxhash64(F.col("key"), F.lit(11)), F.col("probe_cuts")))
-        probes = probes.select("group", "p", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "key", "rep").select(block("p", "cut").alias("block"), F.lit(0).alias("half"), "key", "rep")
-        against = placed.join(some, "group").select("group", "cut", F.explode(F.sequence(F.lit(0), F.col("probe_cuts") - 1)).alias("p"), "key", "rep")
-        against = against.select(block("p", "cut").alias("block"), F.lit(1).alias("half"), "key", "rep")
-        more = _joined(_with_sets(probes.unionByName(against), docs, n), percent)
+        probes = probes.select("group", "p", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "key").select(block("p", "cut").alias("block"), F.lit(0).alias("half"), "key")
+        against = placed.join(some, "group").select("group", "cut", F.explode(F.sequence(F.lit(0), F.col("probe_cuts") - 1)).alias("p"), "key")
+        against = against.select(block("p", "cut").alias("block"), F.lit(1).alias("half"), "key")
+        more = _joined(_with_sets(probes.unionByName(against), sets), percent)
         found = components(stored(links.unionByName(more), "links"))
-    found = stored(found, "found")
-    named = classes.join(found, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key"))
-    least = stored(named.groupBy("part").agg(F.min("rep").alias("component_id")), "least")
-    named = stored(named.join(least, "part").select("key", "component_id", "class_size"), "named")
-    out = own.join(named, "key", "left")
+    # classes of one document without links keep their own id, so only the others are joined to documents
+    linked = classes.join(stored(found, "found"), F.col("key") == F.col("node"), "left").where("node IS NOT NULL OR class_size > 1")
+    linked = linked.withColumn("part", F.coalesce("component", "key"))
+    least = linked.groupBy("part").agg(F.min("rep").alias("component_id"))
+    named = stored(linked.join(least, "part").select("key", "component_id", "class_size"), "named")
+    out = own.where("n_shingles > 0").join(named, "key", "left").unionByName(own.where("n_shingles = 0").selectExpr("*", "CAST(NULL AS BIGINT) AS component_id", "CAST(NULL AS BIGINT) AS class_size"))
+    discard(sets, tied, groups, placed, links)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
