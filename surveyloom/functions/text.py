@@ -35,26 +35,62 @@ def region_lookup(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return names.select("name").distinct().join(found, "name", "left")
 
 
-def tag_entities(docs: DataFrame, id_col: str, text_col: str, dictionary: DataFrame) -> DataFrame:
-    """(id, code) of every dictionary word in a text, unless one of the entry's negative words comes before it.
+def _phrases(text: Column, lower: bool, longest: int) -> Column:
+    """All runs of up to ``longest`` words of a text (letters a-z and digits), each once."""
+    clean = F.lower(text) if lower else text
+    words = F.array_remove(F.split(F.regexp_replace(clean, "[^A-Za-z0-9]", " "), " "), "")
+    runs = lambda w: F.transform(w, lambda x, i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(w, i + 1, n), " ")))
+    return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(words), runs))))
 
-    Words are exploded and joined, so the dictionary may be of any size; entries are single words.
+
+def tag_entities(docs: DataFrame, id_col: str, text_col: str, aliases: DataFrame, negatives: DataFrame | None = None, longest: int = 4) -> DataFrame:
+    """(id, code): entities that a text names by their code, in capitals only, or by an alias of up to ``longest`` words.
+
+    ``aliases`` has rows (code, alias); ``negatives`` (code, alias) are phrases that name something else,
+    such as "north korea": where one stands, only aliases that are no part of it count. Runs of words are
+    exploded and joined, so the dictionary may be of any size.
     """
-    # the word before travels with each word, so no ordering of the exploded rows is needed
-    words = docs.select(F.col(id_col).alias("id"), F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+").alias("w"))
-    words = words.select("id", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.get("w", i - 1).alias("before")))).alias("x")).select("id", "x.*")
-    hits = words.join(dictionary, "word").where(F.col("negative").isNull() | F.col("before").isNull() | (F.col("before") != F.col("negative")))
-    return hits.groupBy("id", "code").agg(F.count("*").alias("n"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    names = aliases.select("code", F.lower("alias").alias("phrase")).distinct()
+    wrong = negatives.select("code", F.lower("alias").alias("not_this")).distinct() if negatives is not None else names.select("code", F.col("phrase").alias("not_this")).limit(0)
+    part = names.join(wrong, "code").where(F.col("not_this").contains(F.col("phrase"))).select("code", "phrase").distinct().withColumn("part", F.lit(True))
+    known = names.join(part, ["code", "phrase"], "left").select("code", "phrase", F.when(F.col("part").isNull(), "name").otherwise("part").alias("kind"))
+    known = known.unionByName(wrong.select("code", F.col("not_this").alias("phrase"), F.lit("not").alias("kind")))
+    runs = docs.select(F.col(id_col).alias("id"), F.explode(_phrases(text, True, longest)).alias("phrase")).join(known, "phrase").select("id", "code", "kind")
+    caps = docs.select(F.col(id_col).alias("id"), F.explode(_phrases(text, False, 1)).alias("phrase"))
+    caps = caps.join(names.select("code").distinct(), F.col("phrase") == F.col("code")).select("id", "code", F.lit("code").alias("kind"))
+    has = lambda k: F.max(F.col("kind") == k)
+    found = runs.unionByName(caps).groupBy("id", "code").agg((has("code") | has("name") | (has("part") & ~has("not"))).alias("named"))
+    return found.where("named").select("id", "code")
+
+
+#: Decimals to which numbers are compared.
+DIGITS = 12
+#: Numbers in prose, grouped thousands first; not parts of words, versions or lists.
+NUMBER = r"(?U)(?<![\w.])\d{1,3}(?:,\d{3})+(?:\.\d+)?(?![\w.])|(?<![\w.,])\d+(?:\.\d+)?(?!\w|\.\d|,\d{3})"
 
 
 def ungrounded_numbers(texts: DataFrame, id_col: str, text_col: str, pool: DataFrame) -> DataFrame:
-    """Numbers of a text that no pool value matches at the written precision; years and integers below 10 pass.
+    """Numbers of a text that no pool value matches at the written precision; years and integers up to 12 pass.
 
-    A number is looked up by its rounded value, one equi-join a precision, not against every pool value.
+    A number of d decimals (``DIGITS`` at most) is an integer of 10^-d, and a pool value matches the one or
+    two such integers within half a unit, so every precision is met by one equi-join.
     """
-    found = texts.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.expr(f"regexp_extract_all({text_col}, '(?<![0-9.])([0-9]{{1,9}}(?:[.][0-9]{{1,2}})?)(?![0-9])', 1)"))).alias("number"))
-    value = F.col("number").cast("double")
-    digits = F.length(F.regexp_extract("number", r"\.(\d+)$", 1))
-    found = found.withColumns({"value": value, "digits": digits}).where(~((digits == 0) & ((value < 10) | value.between(1900, 2100))))
-    near = pool.select(F.explode(F.array(*[F.struct(F.lit(d).alias("digits"), F.round(F.col("value").cast("double"), d).alias("value")) for d in (0, 1, 2)])).alias("p")).select("p.*").distinct()
-    return found.join(near, ["digits", "value"], "left_anti").select("id", "number")
+    found = texts.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(NUMBER), F.lit(0)))).alias("number"))
+    clean = F.regexp_replace("number", ",", "")
+    digits = F.least(F.length(F.regexp_extract(clean, r"\.(\d+)$", 1)), F.lit(DIGITS))
+    found = found.withColumns({"value": clean.cast("double"), "digits": digits})
+    found = found.where(~(F.col("number").rlike(r"^(19|20)\d\d$") | ((F.col("digits") == 0) & (F.col("value") <= 12))))
+    unit = F.pow(F.lit(10.0), F.col("digits"))
+    found = found.withColumn("units", F.round(F.col("value") * unit).cast("decimal(38,0)"))
+    near = pool.select(F.abs(F.col("value").cast("double")).alias("value")).distinct().select("value", F.explode(F.sequence(F.lit(0), F.lit(DIGITS))).alias("digits"))
+    low, high = F.ceil(F.col("value") * unit - 0.5 - 1e-9 * unit), F.floor(F.col("value") * unit + 0.5 + 1e-9 * unit)
+    near = near.select("digits", F.explode(F.array(low.cast("decimal(38,0)"), high.cast("decimal(38,0)"))).alias("units")).distinct()
+    return found.join(near, ["digits", "units"], "left_anti").select("id", "number")
+
+
+def number_text(value: Column, decimals: int | None = None) -> Column:
+    """A number as a reader sees it: one decimal from 10 on, two below; "no estimate" without one."""
+    text = lambda d: F.format_string(f"%.{d}f", value)
+    shown = text(decimals) if decimals is not None else F.when(F.abs(value) >= 10, text(1)).otherwise(text(2))
+    return F.when(value.isNull() | F.isnan(value), "no estimate").otherwise(shown)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_family, compact
+from ..plans.design import SurveyDesign
 
 
 def coverage_table(df: DataFrame, economy: str, columns: Sequence[str], chunk: int = 60) -> DataFrame:
@@ -36,13 +39,72 @@ def no_school_link(df: DataFrame, economy: str, school: str) -> DataFrame:
 
 
 def mode_by_economy(df: DataFrame, economy: str, code: str, labels: dict, least: float = 0.9) -> DataFrame:
-    """Majority mode of administration: its label at ``least`` or more of the rows, else mixed."""
+    """Majority mode of administration: its label at ``least`` or more of the rows, else mixed; of equal codes the smaller counts."""
     counts = df.where(F.col(code).isNotNull()).groupBy("cycle", economy, code).agg(F.count("*").alias("n"))
-    g = counts.groupBy("cycle", economy).agg(F.max_by(code, "n").alias("top"), (F.max("n") / F.sum("n")).alias("part"))
+    top = F.max(F.struct(F.col("n"), (-F.col(code)).alias("_c")))["_c"]
+    g = counts.groupBy("cycle", economy).agg((-top).alias("top"), (F.max("n") / F.sum("n")).alias("part"))
     name = reduce(lambda a, kv: a.when(F.col("top") == kv[0], kv[1]), list(labels.items())[1:], F.when(F.col("top") == list(labels)[0], list(labels.values())[0]))
     return g.select("cycle", economy, F.when(F.col("part") >= least, name).otherwise("mixed").alias("mode"))
 
 
+def mode_changes(modes: DataFrame, economy: str, first: str, last: str) -> DataFrame:
+    """Economies whose mode in the last cycle is not that of the first: (economy, mode_first, mode_last)."""
+    one = lambda c: F.max(F.when(F.col("cycle") == c, F.col("mode")))
+    wide = modes.groupBy(economy).agg(one(first).alias("mode_first"), one(last).alias("mode_last"))
+    return wide.where("mode_first <> mode_last")
+
+
+def sample_counts(df: DataFrame, design: SurveyDesign, by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
+    """Students, schools, economies and the weighted population, overall or by group."""
+    rows = df if where is None else df.where(where)
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("students"), F.count_distinct(design.school).alias("schools"),
+        F.count_distinct(design.economy).alias("economies"), F.sum(design.weight).alias("population"),
+    )
+
+
+def flag_members(df: DataFrame, economy: str, flag: Column) -> DataFrame:
+    """Economies whose rows carry a flag."""
+    return df.where(flag).select(economy).distinct()
+
+
+def check_columns(tables: dict[str, DataFrame], wanted: Sequence[str], use: str) -> None:
+    """Raise for columns that table ``use`` lacks, naming the tables that have them; names compare without case."""
+    names = {t: {c.lower() for c in df.columns} for t, df in tables.items()}
+    said = []
+    for c in wanted:
+        if c.lower() not in names[use]:
+            where = sorted(t for t, have in names.items() if c.lower() in have)
+            said.append(f"{c} is not in {use}" + (f" but in {', '.join(where)}" if where else " nor in any other table"))
+    if said:
+        raise ValueError("; ".join(said))
+
+
+def cycles_with(cycles: dict[str, DataFrame], measures: dict[str, Sequence[str]]) -> tuple[dict[str, list[str]], list[tuple[str, str]]]:
+    """The cycles that have each measure's columns, and the (measure, cycle) pairs left out; no cycle at all raises."""
+    have = {name: [c for c, df in cycles.items() if {x.lower() for x in cols} <= {x.lower() for x in df.columns}] for name, cols in measures.items()}
+    left = [(name, c) for name, found in have.items() for c in cycles if c not in found]
+    if not any(have.values()):
+        raise ValueError(f"no cycle has the columns of {', '.join(measures)}")
+    return have, left
+
+
+def benchmark_keys(by: Sequence[str], economy: str, economies: Sequence[str], benchmarks: Sequence[str]) -> list[str]:
+    """Group columns of a plan: several economies or a benchmark are never pooled, so the economy comes first."""
+    pooled = economy not in by and (len(economies) != 1 or bool(benchmarks))
+    return [economy, *by] if pooled else list(by)
+
+
+def optional_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A catalog, coverage or comparability table; None where the file is missing, which switches its check off."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def catalog_variables(tables: DataFrame) -> DataFrame:
     """One row per (variable, table) from metadata rows with label and type maps."""
     each = tables.select("table_name", "cycle", "types", "labels", "value_labels", F.explode("types").alias("variable", "var_type"))
@@ -63,48 +125,74 @@ def describe_variable(catalog: DataFrame, name: str, cycle: str | None = None) -
     return out if cycle is None else out.where(F.col("cycle") == cycle)
 
 
-def _score(tokens: Sequence[str], phrase: str, entities: Sequence[str]) -> Column:
-    """Points of a catalog row: the phrase in its label, then each word in its name and label, then word stems."""
-    name, label = compact(F.col("variable")), F.lower("label")
-    parts = [F.when(label.contains(phrase.lower()), 25).otherwise(0)]
-    for t in tokens:
-        t = t.lower()
-        parts += [
-            F.when(name == t, 100).when(name.contains(t), 30).otherwise(0),
-            F.when(label.rlike(rf"\b{t}\b"), 8).when(label.contains(t), 3).otherwise(0),
-        ]
+#: Words that say nothing about a topic.
+STOP_WORDS = (
+    "the and for with how what which who are is of in on to by about data dataset variable variables well very much many any all from this "
+    "that these those you your their own do does did have has at as or an a be being"
+).split()
+#: Words that name the respondent, not a topic.
+ENTITY_WORDS = "teacher teachers student students school schools parent parents country countries".split()
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a query that say something: two characters or more, no stop words."""
+    return [t for t in re.split(r"\W+", text.lower()) if len(t) >= 2 and t not in STOP_WORDS]
+
+
+def _score(text: str, entities: Sequence[str] = ENTITY_WORDS) -> Column:
+    """Points of a catalog row. 25 for the whole phrase without spaces and hyphens (five characters), 100 for a
+    word that is the name and 30 more if the name holds it, 8 for a whole word of the label and 3 more if the label holds it,
+    4 and 30 for the stem at a word's start in the label and at the name's start."""
+    name = F.lower("variable")
+    extra = F.when(F.col("variable").rlike(r"^PV\d+"), " score plausible value pv").when(F.col("variable").rlike("^W_FST"), " weight").otherwise("")
+    label = F.concat(F.lower(F.coalesce("label", F.lit(""))), extra)
+    phrase = re.sub("[^a-z0-9]", "", text.lower())
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    parts = [points(compact(label).contains(phrase), 25)] if len(phrase) >= 5 else []
+    for t in words_of(text):
+        parts += [points(name == t, 100), points(name.contains(t), 30), points(label.rlike(rf"\b{t}\b"), 8), points(label.contains(t), 3)]
         if len(t) >= 6:
-            stem = t[:4]
-            parts.append(F.when(label.contains(stem), 4).otherwise(0))
+            parts.append(points(label.rlike(rf"\b{t[:4]}"), 4))
             if t not in entities:
-                parts.append(F.when(name.startswith(stem), 30).otherwise(0))
-    return reduce(lambda a, b: a + b, parts)
+                parts.append(points(name.startswith(t[:4]), 30))
+    return reduce(lambda a, b: a + b, parts) if parts else F.lit(0)
 
 
-def search(catalog: DataFrame, text: str, n: int = 20, entities: Sequence[str] = ()) -> DataFrame:
+def search(catalog: DataFrame, text: str, n: int = 20, entities: Sequence[str] = ENTITY_WORDS) -> DataFrame:
     """All rows of the ``n`` best variables for a phrase, with the variable's best score."""
-    tokens = [t for t in text.lower().split() if t]
-    best = catalog.withColumn("score", _score(tokens, text, entities)).groupBy("variable").agg(F.max("score").alias("score")).where("score > 0")
+    best = catalog.withColumn("score", _score(text, entities)).groupBy("variable").agg(F.max("score").alias("score")).where("score > 0")
     return catalog.join(best.orderBy(F.col("score").desc(), "variable").limit(n), "variable")
 
 
-def retrieve(catalog: DataFrame, terms: Sequence[str], n: int = 40, entities: Sequence[str] = ()) -> DataFrame:
+def retrieve(catalog: DataFrame, terms: Sequence[str], n: int = 40, entities: Sequence[str] = ENTITY_WORDS) -> DataFrame:
     """Variables for several terms: weighted best score, raised by 10 % for every further term that hits."""
     weights = [1.0, 0.5] + [0.3] * max(0, len(terms) - 2)
     hits = []
     for t, w in zip(terms, weights, strict=False):
-        tokens = t.lower().split()
-        hits.append(catalog.select("variable", (F.lit(w) * _score(tokens, t, entities)).alias("s"), F.lit(t).alias("term")).where("s > 0"))
+        hits.append(catalog.select("variable", (F.lit(w) * _score(t, entities)).alias("s"), F.lit(t).alias("term")).where("s > 0"))
     g = reduce(DataFrame.unionByName, hits).groupBy("variable").agg(F.max("s").alias("best"), F.count_distinct("term").alias("terms_hit"))
     scored = g.select("variable", "terms_hit", F.round(F.col("best") * (1 + 0.1 * (F.col("terms_hit") - 1)), 6).alias("score"))
     return scored.orderBy(F.col("score").desc(), "variable").limit(n)
 
 
-def explore(catalog: DataFrame, topics: DataFrame, topic: str, terms: Sequence[str], n: int = 40, least: float = 4.5) -> DataFrame:
-    """Variables of a verified topic first, then related ones, a row per family."""
+def explore(
+    catalog: DataFrame, topics: DataFrame, topic: str, terms: Sequence[str], n: int = 40, least: float = 4.5,
+    cycles: Sequence[str] = (), tables: str | None = None, own: Sequence[str] = (),
+) -> DataFrame:
+    """Variables of a verified topic first, then related ones, a row per family.
+
+    ``cycles`` keeps rows of those cycles and ``tables`` those of questionnaire tables (a pattern); a
+    related variable must hold one of the ``own`` words of the question, if there are any, in its name or
+    at a word's start in a label. The topic's patterns are a few, so the pattern join stays small.
+    """
+    rows = catalog.where(F.col("cycle").isin(*cycles)) if cycles else catalog
+    rows = rows.where(F.col("table_name").rlike(tables)) if tables else rows
     rule = topics.where(F.col("topic") == topic).select("pattern")
-    sure = catalog.join(F.broadcast(rule), F.expr("variable RLIKE pattern"), "left_semi").select("variable").distinct()
-    near = retrieve(catalog, terms, 10 * n).where(F.col("score") >= least).join(sure, "variable", "left_anti")
+    sure = rows.join(F.broadcast(rule), F.expr("variable RLIKE pattern"), "left_semi").select("variable").distinct()
+    near = retrieve(rows, terms, 10 * n).where(F.col("score") >= least).join(sure, "variable", "left_anti")
+    if own:
+        test = reduce(lambda a, b: a | b, [F.lower("variable").contains(w.lower()) | F.col("label").rlike(rf"(?i)\b{re.escape(w)}") for w in own])
+        near = near.join(rows.where(test).select("variable").distinct(), "variable", "left_semi")
     both = sure.select("variable", F.lit(True).alias("verified"), F.lit(None).cast("double").alias("score")).unionByName(near.select("variable", F.lit(False).alias("verified"), "score"))
     g = both.groupBy(collapse_family(F.col("variable")).alias("family")).agg(F.max("verified").alias("verified"), F.max("score").alias("score"), F.count("*").alias("n_variables"))
     return g.orderBy(F.col("verified").desc(), F.col("score").desc_nulls_last(), "family").limit(n)

@@ -28,6 +28,29 @@ def per_cycle(df: DataFrame, cycle: str, column: str, overrides: dict[str, Colum
     return df.withColumn(column, out)
 
 
+def recoded(column: Column, aliases: dict) -> Column:
+    """Codes with their aliases replaced; other values stay."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[column], column) if aliases else column
+
+
+def economy_filter(column: Column, include: Sequence[str] = (), exclude: Sequence[str] = (), aliases: dict[str, str] | None = None) -> Column:
+    """Rows of some economies without others; both lists may use alias codes."""
+    named = lambda codes: [(aliases or {}).get(c, c) for c in codes]
+    keep = column.isin(*named(include)) if include else F.lit(True)
+    return keep & ~column.isin(*named(exclude)) if exclude else keep
+
+
+def stratum_filter(column: Column, strata: Sequence, exclude: bool = False) -> Column:
+    """Rows in a set of strata; exclusion also drops rows without a stratum."""
+    return column.isNotNull() & ~column.isin(*strata) if exclude else column.isin(*strata)
+
+
+def region_rows(df: DataFrame, regions: DataFrame, region: str, economy: str) -> DataFrame:
+    """Respondents of a region's members."""
+    members = regions.where(F.col("region") == region).select(F.col("code").alias("_member"))
+    return df.join(members, F.col(economy) == F.col("_member"), "left_semi")
+
+
 def region_members(regions: DataFrame, present: DataFrame) -> DataFrame:
     """(region, code, cycle, present): members of every region in every cycle, absent ones marked."""
     cycles = present.select("cycle").distinct()
@@ -35,6 +58,11 @@ def region_members(regions: DataFrame, present: DataFrame) -> DataFrame:
     return regions.crossJoin(F.broadcast(cycles)).join(have, ["code", "cycle"], "left").select("region", "code", "cycle", F.coalesce("_here", F.lit(False)).alias("present"))
 
 
+def unknown_codes(asked: DataFrame, present: DataFrame) -> DataFrame:
+    """Codes that were asked for and that no cycle has."""
+    return asked.select("code").distinct().join(present.select("code"), "code", "left_anti")
+
+
 def participation(present: DataFrame, first: str, last: str) -> DataFrame:
     """Per code: cycles it took part in, and whether it is new in the last or gone since the first."""
     g = present.select("code", "cycle").distinct().groupBy("code")
@@ -73,10 +101,26 @@ def match_items(catalog: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def item_similarity(catalog: DataFrame, a: str, b: str, least: float = 0.85) -> DataFrame:
-    """Items of two cycles with equal codes and labels whose edit similarity reaches ``least``."""
-    one = lambda c: catalog.where(F.col("cycle") == c).select(F.col("variable").alias(f"variable_{c}"), normal_label(F.col("label")).alias(f"w_{c}"), F.coalesce("value_labels", F.lit("")).alias("codes"), "table_name")
-    # only items of one table with equal codes meet
-    pairs = one(a).join(one(b), ["table_name", "codes"])
-    long = F.greatest(F.length(f"w_{a}"), F.length(f"w_{b}"))
-    sim = 1 - F.try_divide(F.levenshtein(f"w_{a}", f"w_{b}"), long)
-    return pairs.withColumn("similarity", F.round(sim, 6)).where(F.col("similarity") >= least).select("table_name", f"variable_{a}", f"variable_{b}", "similarity")
+    """Items of two cycles with equal codes and labels whose edit similarity reaches ``least``.
+
+    Labels that close have a common piece: of the k + 1 pieces of a label at fixed places, k edits leave
+    one unchanged and at most k places away, so pairs meet by such pieces, by (table, codes, length band).
+    """
+    one = lambda c: catalog.where(F.col("cycle") == c).select(F.col("variable").alias(f"variable_{c}"), normal_label(F.col("label")).alias(f"w_{c}"), F.coalesce("value_labels", F.lit("")).alias("codes"), "table_name").distinct()
+    size = F.length(f"w_{a}")
+    # the longer label has at most size / least characters, so it differs by at most this many edits
+    edits = F.floor((1 - least) * size / least + 1e-9).cast("int")
+    width = F.greatest(F.floor(size / (edits + 1)), F.lit(1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct((i * width).alias("at"), width.alias("width"), F.substring(F.col(f"w_{a}"), i * width + 1, width).alias("piece")))
+    left = one(a).withColumn("edits", edits).select("*", F.explode(cut).alias("p")).select("*", "p.*").drop("p")
+    left = left.select("*", F.explode(F.sequence(F.greatest(F.col("at") - F.col("edits"), F.lit(0)), F.col("at") + F.col("edits"))).alias("place"))
+    long = F.length(f"w_{b}")
+    # piece widths of all labels that may be close to one of this length
+    lengths = F.sequence(F.floor(long * least).cast("int"), F.ceil(long / least).cast("int"))
+    every = F.array_distinct(F.transform(lengths, lambda n: F.greatest(F.floor(n / (F.floor((1 - least) * n / least + 1e-9) + 1)), F.lit(1)).cast("int")))
+    right = one(b).select("*", F.explode(every).alias("width"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.greatest(long - F.col("width"), F.lit(0)))).alias("place"))
+    right = right.withColumn("piece", F.substring(F.col(f"w_{b}"), F.col("place") + 1, F.col("width")))
+    pairs = left.join(right, ["table_name", "codes", "width", "place", "piece"]).select("table_name", f"variable_{a}", f"variable_{b}", f"w_{a}", f"w_{b}").distinct()
+    sim = 1 - F.try_divide(F.levenshtein(f"w_{a}", f"w_{b}"), F.greatest(F.length(f"w_{a}"), F.length(f"w_{b}")))
+    return pairs.withColumn("similarity", F.round(sim, 6)).where(F.col("similarity") >= least).select("table_name", f"variable_{a}", f"variable_{b}", "similarity").distinct()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import NUMBER
+
 
 def reconcile_means(published: DataFrame, computed: DataFrame, keys: Sequence[str], tolerance: float = 0.05) -> DataFrame:
     """Status of every published mean: ok, fail, or missing from the computed ones."""
@@ -32,8 +34,31 @@ def result_drift(golden: DataFrame, current: DataFrame, keys: Sequence[str], tol
     return out.select(*keys, "golden", "current", status.when(same, "same").otherwise("moved").alias("status"))
 
 
-def answer_drift(events: DataFrame, question: str, order: Column, split: Column, fields: Sequence[str]) -> DataFrame:
-    """The newest recorded and the newest new run of every question, field by field."""
-    one = lambda test, s: events.where(test).groupBy(question).agg(*[F.max_by(f, order).alias(f"{f}_{s}") for f in fields])
-    both = one(~split, "old").join(one(split, "new"), question)
-    return both.select(question, *[F.col(f"{f}_old").eqNullSafe(F.col(f"{f}_new")).alias(f"same_{f}") for f in fields])
+def answer_drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The newest recorded and the newest new run of every question: route, template, variables, numbers.
+
+    Both need question, ts, event_id, route, template, variables (array), answer, error. A number counts
+    as lost if the old answer has it, with decimals or from 100 on, and the new one does not, to one
+    decimal.
+    """
+    seen = F.transform(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(NUMBER), F.lit(0)), lambda x: F.regexp_replace(x, ",", ""))
+    counts = F.filter(seen, lambda x: F.contains(x, F.lit(".")) | (x.cast("double") >= 100))
+    numbers = F.array_distinct(F.transform(counts, lambda x: F.round(x.cast("double"), 1)))
+    fields = ["route", "template", "variables", "numbers", "error"]
+
+    def newest(df: DataFrame, s: str) -> DataFrame:
+        rows = df.withColumns({"question": F.trim("question"), "numbers": numbers}).where("question <> ''")
+        one = rows.groupBy("question").agg(F.max_by(F.struct(*fields), F.struct("ts", "event_id")).alias("x"))
+        return one.select("question", *[F.col(f"x.{f}").alias(f"{f}_{s}") for f in fields])
+
+    both = newest(old, "old").join(newest(new, "new"), "question")
+    none = F.array().cast("array<string>")
+    text = lambda c: F.array_join(F.array_sort(c), " ")
+    a, b = F.coalesce("variables_old", none), F.coalesce("variables_new", none)
+    known = (F.size(a) > 0) & (F.size(b) > 0)
+    lost = F.array_except("numbers_old", "numbers_new")
+    return both.select(
+        "question", F.col("route_old").eqNullSafe(F.col("route_new")).alias("same_route"), (F.col("template_old").isNull() | F.col("template_old").eqNullSafe(F.col("template_new"))).alias("same_template"),
+        F.when(known, text(F.array_except(a, b))).otherwise("").alias("variables_gone"), F.when(known, text(F.array_except(b, a))).otherwise("").alias("variables_new"),
+        F.size(lost).alias("n_numbers_lost"), F.when(F.col("error_new").isNotNull(), "fails now").when(F.col("error_old").isNotNull(), "fixed").alias("error"),
+    )

@@ -33,6 +33,12 @@ def suppress_small_cells(df: DataFrame, least: int = 30, least_schools: int = 5)
     return out.withColumns(blank).drop("n", "n_schools", "wcov")
 
 
+def suppressed_counts(df: DataFrame, by: Sequence[str] = (), least: int = 30, least_schools: int = 5) -> DataFrame:
+    """How many estimates each reason blanks, before ``suppress_small_cells``."""
+    why = df.where("estimate IS NOT NULL").withColumn("suppressed", small_cell(F.col("n"), F.col("n_schools"), least, least_schools))
+    return why.where("suppressed IS NOT NULL").groupBy(*by, "suppressed").agg(F.count("*").alias("n_cells"))
+
+
 def low_coverage(df: DataFrame, least: float = 0.85) -> DataFrame:
     """Published rows whose measure is known for too few: per cent without a value."""
     return df.where(small_cell(F.col("n"), F.col("n_schools")).isNull() & (F.col("wcov") < least)).withColumn("missing_percent", F.round(100 * (1 - F.col("wcov"))))
@@ -45,6 +51,22 @@ def drop_null_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(known).crossJoin(F.broadcast(dropped))
 
 
+def comparability_reasons(measures: DataFrame) -> DataFrame:
+    """(measure, reason) of the measures whose change says nothing.
+
+    ``measures`` has a row a measure: ``measure``, ``domain`` (of a test score, whose scales are linked;
+    else NULL), ``label``, ``index`` (standardised within the cycle), ``trend_scaled``, and
+    ``renamed``, ``differs`` and ``same_wording`` for measures under other codes in some cycle: a renamed
+    index and items of the same wording compare, other different variables do not.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    other = yes("differs") & ~yes("renamed")
+    reason = F.when(F.col("domain").isNotNull() | (other & yes("same_wording")), None)
+    reason = reason.when(other, "different variables are used in different cycles")
+    reason = reason.when(yes("index") & ~yes("trend_scaled"), F.concat("label", F.lit(" is standardised within each cycle")))
+    return measures.select("measure", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def blank_non_comparable(trend: DataFrame, reasons: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Blank change and error where a (keys, reason) row says that cycles do not compare."""
     out = trend.join(reasons, list(keys), "left")
@@ -143,18 +165,37 @@ def change_of_difference(pairs: DataFrame, first: str, last: str, keys: Sequence
     return out.select(*keys, diff.alias("change"), se.alias("se_change"), verdict(diff, se).alias("significant"))
 
 
-def trend_shape(trend: DataFrame) -> DataFrame:
-    """How many changes are clear rises, clear falls, or flat."""
+def trend_shape(trend: DataFrame, key: str = "cnt", most: int = 5) -> DataFrame:
+    """How many changes are clear rises, clear falls, or flat, and the ``most`` largest clear ones by name."""
     clear = F.coalesce(verdict(F.col("change"), F.col("se_change")), F.lit(False))
     shape = F.when(clear & (F.col("change") > 0), "rise").when(clear, "fall").otherwise("flat")
-    return trend.where("change IS NOT NULL").groupBy(shape.alias("shape")).agg(F.count("*").alias("n"), F.max("change").alias("highest"), F.min("change").alias("lowest"))
+    rows = trend.where("change IS NOT NULL").withColumn("shape", shape)
+    place = F.row_number().over(Window.partitionBy("shape").orderBy(F.abs("change").desc(), key))
+    named = F.when((F.col("shape") != "flat") & (F.col("_k") <= most), F.struct("_k", F.col(key).alias("name")))
+    largest = F.array_join(F.transform(F.sort_array(F.collect_list(named)), lambda x: x["name"]), " ")
+    g = rows.withColumn("_k", place).groupBy("shape")
+    return g.agg(F.count("*").alias("n"), F.max("change").alias("highest"), F.min("change").alias("lowest"), largest.alias("largest"))
+
 
+def fact_rows(df: DataFrame, key: str, average: Column, least: float = 0.85, change: str | None = None, term: str | None = None) -> DataFrame:
+    """One tidy row per result row: level, error, rank among how many, verdict, low coverage.
 
-def fact_rows(df: DataFrame, key: str, average: Column, least: float = 0.85) -> DataFrame:
-    """One tidy row per result row: level, error, rank among how many, verdict, low coverage."""
+    ``average`` marks benchmark rows, which have no rank; with ``change`` (and ``se_change``) the verdict
+    is that of the change, which is a column more; of regression terms (``term``) the intercept has
+    neither rank nor verdict.
+    """
     blank = small_cell(F.col("n"), F.col("n_schools")).isNotNull()
+    aside = average if term is None else average | (F.col(term) == "(intercept)")
     shown = df.withColumns({"level": F.when(~blank, F.col("estimate")), "error": F.when(~blank, F.col("se"))})
-    out = ranked(shown, "level", average)
-    counted = F.sum(F.when(F.col("rank").isNotNull(), 1)).over(Window.partitionBy())
+    by = [term] if term else []
+    out = ranked(shown, "level", aside, by)
+    counted = F.sum(F.when(F.col("rank").isNotNull(), 1)).over(Window.partitionBy(*by))
     low = F.when(~blank & (F.col("wcov") < least), F.round(100 * (1 - F.col("wcov"))))
-    return out.select(key, "level", "error", "rank", F.when(F.col("rank").isNotNull(), counted).alias("ranked"), verdict(F.col("level"), F.col("error")).alias("significant"), low.alias("missing_percent"))
+    judged = verdict(F.col(change), F.col("se_change")) if change else verdict(F.col("level"), F.col("error"))
+    if term:
+        judged = F.when(F.col(term) != "(intercept)", judged)
+    more = [F.when(~blank, F.col(change)).alias("change")] if change else []
+    return out.select(
+        key, *by, "level", "error", *more, "rank", F.when(F.col("rank").isNotNull(), counted).alias("ranked"),
+        judged.alias("significant"), low.alias("missing_percent"),
+    )

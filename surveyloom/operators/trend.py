@@ -77,9 +77,18 @@ def average_constant_membership(results: DataFrame, key: str, label: str, cycles
     return group_average(results.join(kept, key, "left_semi"), key, label, ["cycle"]).crossJoin(F.broadcast(dropped))
 
 
-def benchmark_groups(results: DataFrame, members: DataFrame, key: str, by: By = ("cycle",)) -> DataFrame:
-    """Averages of every labelled group (label, ``key``), over all its members whatever rows are shown."""
+def benchmark_groups(results: DataFrame, members: DataFrame, key: str, by: By = ("cycle",), excluded: DataFrame | None = None) -> DataFrame:
+    """Averages of every labelled group (label, ``key``), over all its members whatever rows are shown.
+
+    ``excluded`` names members that a group leaves out in some cycle or domain: label, ``key`` and any of
+    ``by``; a NULL label leaves the member out of every group.
+    """
     named = results.join(members, key).where("estimate IS NOT NULL")
+    if excluded is not None:
+        keys = [c for c in excluded.columns if c != "label"]
+        out = excluded.select(*[F.col(c).alias(f"_x_{c}") for c in excluded.columns])
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_x_{c}") for c in keys])
+        named = named.join(out, same & (F.col("_x_label").isNull() | (F.col("_x_label") == F.col("label"))), "left_anti")
     n = F.count("*")
     out = named.groupBy("label", *by).agg(F.avg("estimate").alias("estimate"), (F.sqrt(F.sum(F.pow("se", 2))) / n).alias("se"), n.alias("n_members"))
     return out.withColumn("label", F.concat("label", F.lit(" avg")))

@@ -119,10 +119,10 @@ def sql_quarters(value, out="quarter", src="f", within="cnt", dest="q"):
     return f"{dest} AS (SELECT * EXCLUDE (_p), 1 + CAST(_p > 0.25 AS INT) + CAST(_p > 0.5 AS INT) + CAST(_p > 0.75 AS INT) AS {out} FROM (SELECT *, {p} AS _p FROM {src} WHERE {value} IS NOT NULL))"
 
 
-@query("weighted_quarters", f"WITH {sql_f()}, {sql_quarters('escs')} SELECT cnt, {_ORDER}, round(escs, 6) AS escs, quarter FROM q")
+@query("weighted_quarters", f"WITH {sql_f()}, {sql_quarters('escs')} SELECT cnt, {_ORDER}, quarter FROM q")
 def weighted_quarters(spark, d):
     q = quarters(survey(spark, d), DESIGN, F.col("escs"), CNT)
-    return rounded(q.select("cnt", *DESIGN.order, "escs", "quarter"))
+    return rounded(q.select("cnt", *DESIGN.order, "quarter"))
 
 
 _KNOWN = "y AS (SELECT cnt, sum(CASE WHEN escs IS NOT NULL THEN w0 END) / sum(w0) AS wcov FROM f GROUP BY cnt)"

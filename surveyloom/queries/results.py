@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as ms
 from ..operators import regress, rules, stats, trend
+from ..operators.schools import school_mean
 from .fixture import ALL, DESIGN, EST, pv, query, rounded, sql_comb, sql_f, sql_join, sql_mean, sql_rep, sql_stats, survey, table
 from .linear import CNT, pva, pvb, sql_quarters
 
@@ -42,6 +43,31 @@ def regression(spark, d):
     return rounded(regress.regression(survey(spark, d), DESIGN, pva(), {"escs": F.col("escs")}, CNT))
 
 
+def _two_sql(by):
+    """Closed form of two predictors from sums about the means."""
+    parts = []
+    for i, p in enumerate(pv(), 1):
+        ok = f"({p} IS NOT NULL AND escs IS NOT NULL AND x2 IS NOT NULL)"
+        total = lambda e, ok=ok: f"sum(CASE WHEN {ok} THEN w * {e} END) / sum(CASE WHEN {ok} THEN w END)"
+        pairs = {"a": "escs", "b": "x2", "y": p, "aa": "escs * escs", "bb": "x2 * x2", "ab": "escs * x2", "ay": f"escs * {p}", "yb": f"x2 * {p}"}
+        s = f"SELECT {', '.join(by)}, rep, {', '.join(f'{total(e)} AS {k}' for k, e in pairs.items())} FROM l GROUP BY {', '.join(by)}, rep"
+        det = "((aa - a * a) * (bb - b * b) - (ab - a * b) * (ab - a * b))"
+        one = f"(((ay - a * y) * (bb - b * b) - (yb - y * b) * (ab - a * b)) / {det})"
+        two = f"(((yb - y * b) * (aa - a * a) - (ay - a * y) * (ab - a * b)) / {det})"
+        terms = {"escs": one, "x2": two, "(intercept)": f"y - {one} * a - {two} * b"}
+        parts += [f"SELECT {', '.join(by)}, '{t}' AS term, {i} AS pv, rep, {e} AS value FROM ({s})" for t, e in terms.items()]
+    ws = ", ".join(f"w{r}" for r in range(81))
+    return (
+        f"WITH {sql_f()}, l AS (SELECT {', '.join(by)}, escs, x2, {', '.join(pv())}, unnest(range(81)) AS rep, unnest([{ws}]) AS w FROM f), v AS ({' UNION ALL '.join(parts)}), "
+        f"s AS ({sql_stats(by, 'CASE WHEN escs IS NOT NULL AND x2 IS NOT NULL THEN pv1a END', 'f')}), r AS (SELECT v.*, n, n_schools, wcov FROM {sql_join(by, 'v', 's')}), {sql_comb([*by, 'term'])} SELECT {', '.join(by)}, term, {ALL} FROM c"
+    )
+
+
+@query("regression_two", _two_sql(CNT))
+def regression_two(spark, d):
+    return rounded(regress.regression(survey(spark, d), DESIGN, pva(), {"escs": F.col("escs"), "x2": F.col("x2")}, CNT))
+
+
 @query("regression_by_quarter", _beta_sql(["quarter", "cnt"], "q", sql_quarters("sch_x") + ", "))
 def regression_by_quarter(spark, d):
     return rounded(regress.regression_by_quarter(survey(spark, d), DESIGN, pva(), {"escs": F.col("escs")}, F.col("sch_x"), CNT))
@@ -130,10 +156,17 @@ def average_constant_membership(spark, d):
 _MEM = "SELECT r_name AS label, n_name AS cnt FROM {nation} n JOIN {region} r ON n_regionkey = r_regionkey UNION ALL SELECT 'flag', n_name FROM {nation} m WHERE n_regionkey IN (0, 1, 2)"
 
 
-@query("benchmark_groups", f"WITH {_cte()}, m AS ({_MEM.replace('{nation}', 'nation').replace('{region}', 'region')}), a AS (SELECT label, cycle, {_AVG} FROM res JOIN m ON res.cnt = m.cnt WHERE estimate IS NOT NULL GROUP BY label, cycle) SELECT label || ' avg' AS label, cycle, {EST}, n_members FROM a")
+_EXCL = "SELECT CAST(NULL AS STRING) AS label, n_name AS cnt, 'c2' AS cycle FROM {nation} WHERE n_nationkey = 4 UNION ALL SELECT 'flag', n_name, 'c1' FROM {nation} m WHERE n_nationkey = 6"
+
+
+@query(
+    "benchmark_groups",
+    f"WITH {_cte()}, m AS ({_MEM.replace('{nation}', 'nation').replace('{region}', 'region')}), x AS ({_EXCL.replace('{nation}', 'nation')}), "
+    f"a AS (SELECT label, cycle, {_AVG} FROM res JOIN m ON res.cnt = m.cnt WHERE estimate IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x WHERE x.cnt = res.cnt AND x.cycle = res.cycle AND (x.label IS NULL OR x.label = m.label)) GROUP BY label, cycle) SELECT label || ' avg' AS label, cycle, {EST}, n_members FROM a",
+)
 def benchmark_groups(spark, d):
     members = spark.sql(_MEM, nation=table(spark, d, "nation"), region=table(spark, d, "region"))
-    return rounded(trend.benchmark_groups(_means(spark, d), members, "cnt"))
+    return rounded(trend.benchmark_groups(_means(spark, d), members, "cnt", excluded=spark.sql(_EXCL, nation=table(spark, d, "nation"))))
 
 
 @query("stratum_rows", f"WITH {sql_f(chr(34) + 'cnt' + chr(34) + ' = ' + chr(39) + 'NATION_3' + chr(39))}, {sql_rep(CNT, pv())}, {sql_comb(CNT)}, g AS (SELECT * FROM f WHERE stratum NOT IN ('BUILDING')), {sql_rep(CNT, pv(), p='h', src='g')}, {sql_comb(CNT, p='h')} SELECT cnt, {ALL} FROM c UNION ALL SELECT 'NATION_3 without', {ALL} FROM hc")
@@ -146,9 +179,7 @@ _SCHOOL = "avg(escs) OVER (PARTITION BY sch)"
 
 @query("school_mean_measure", f"WITH g AS (SELECT *, {_SCHOOL} AS school_escs FROM ({sql_f()[6:-1]})), {sql_rep(CNT, ['school_escs'], src='g')}, {sql_comb(CNT)} SELECT cnt, {ALL} FROM c")
 def school_mean_measure(spark, d):
-    from pyspark.sql import Window
-
-    df = survey(spark, d).withColumn("school_escs", F.avg("escs").over(Window.partitionBy("sch")))
+    df = survey(spark, d).withColumn("school_escs", school_mean("escs", "sch"))
     return rounded(stats.weighted_mean(df, DESIGN, [F.col("school_escs")], CNT))
 
 
@@ -201,6 +232,26 @@ def suppress_small_cells(spark, d):
     return rounded(rules.suppress_small_cells(_means(spark, d, CELL)))
 
 
+@query("suppressed_counts", f"WITH {_cte(CELL)} SELECT cycle, {_WHY} AS suppressed, count(*) AS n_cells FROM res WHERE estimate IS NOT NULL AND ({_WHY}) IS NOT NULL GROUP BY ALL")
+def suppressed_counts(spark, d):
+    return rules.suppressed_counts(_means(spark, d, CELL), ["cycle"])
+
+
+_MEAS = (
+    "SELECT p_name AS measure, p_type AS label, CASE WHEN p_partkey % 5 = 0 THEN 'math' END AS domain, p_size % 2 = 0 AS index, p_size % 3 = 0 AS trend_scaled, "
+    "p_partkey % 4 = 0 AS differs, p_partkey % 8 = 0 AS renamed, p_partkey % 12 = 0 AS same_wording FROM {part}"
+)
+
+
+@query(
+    "comparability_reasons",
+    f"WITH m AS ({_MEAS.replace('{part}', 'part')}), r AS (SELECT measure, CASE WHEN domain IS NOT NULL OR (differs AND NOT renamed AND same_wording) THEN NULL WHEN differs AND NOT renamed THEN 'different variables are used in different cycles' "
+    "WHEN index AND NOT trend_scaled THEN label || ' is standardised within each cycle' END AS reason FROM m) SELECT * FROM r WHERE reason IS NOT NULL",
+)
+def comparability_reasons(spark, d):
+    return rules.comparability_reasons(spark.sql(_MEAS, part=table(spark, d, "part")))
+
+
 @query("low_coverage", f"WITH {_cte(CNT, ['item'])} SELECT cnt, {ALL}, round(100 * (1 - wcov)) AS missing_percent FROM res WHERE ({_WHY}) IS NULL AND wcov < 0.85")
 def low_coverage(spark, d):
     return rounded(rules.low_coverage(_means(spark, d, CNT, [F.col("item").cast("double")])))
@@ -330,7 +381,14 @@ def ci95(spark, d):
     return rounded(rules.ci95(_means(spark, d, CNT).select("cnt", "estimate", "se"), {"estimate": "se"}))
 
 
-@query("trend_shape", f"WITH q AS ({_TRES}) SELECT CASE WHEN se_change > 0 AND abs(change) > 1.96 * se_change THEN CASE WHEN change > 0 THEN 'rise' ELSE 'fall' END ELSE 'flat' END AS shape, count(*) AS n, max(change) AS highest, min(change) AS lowest FROM q WHERE change IS NOT NULL GROUP BY 1")
+_SHAPES = "SELECT *, CASE WHEN se_change > 0 AND abs(change) > 1.96 * se_change THEN CASE WHEN change > 0 THEN 'rise' ELSE 'fall' END ELSE 'flat' END AS shape FROM q WHERE change IS NOT NULL"
+
+
+@query(
+    "trend_shape",
+    f"WITH q AS ({_TRES}), s AS ({_SHAPES}), k AS (SELECT *, row_number() OVER (PARTITION BY shape ORDER BY abs(change) DESC, cnt) AS k FROM s) "
+    "SELECT shape, count(*) AS n, max(change) AS highest, min(change) AS lowest, coalesce(string_agg(CASE WHEN shape <> 'flat' AND k <= 5 THEN cnt END, ' ' ORDER BY k), '') AS largest FROM k GROUP BY shape",
+)
 def trend_shape(spark, d):
     return rounded(rules.trend_shape(trend.trend(_means(spark, d), CNT, CYC)))
 

@@ -113,14 +113,13 @@ def safe_sql(spark, d):
 
 @query("filter_economy", sql_mean(CNT, pv(), "cnt IN ('NATION_3', 'NATION_4') AND cnt NOT IN ('NATION_4')", f"cnt, {EST}"))
 def filter_economy(spark, d):
-    alias = {"N3": "NATION_3", "N4": "NATION_4"}
-    keep = F.col("cnt").isin(*[alias.get(c, c) for c in ("N3", "NATION_4")]) & ~F.col("cnt").isin(alias["N4"])
+    keep = joins.economy_filter(F.col("cnt"), ["N3", "NATION_4"], ["N4"], {"N3": "NATION_3", "N4": "NATION_4"})
     return rounded(stats.weighted_mean(survey(spark, d), DESIGN, pva(), CNT, keep).select("cnt", "estimate", "se"))
 
 
 @query("filter_stratum", sql_mean(["cnt", "stratum"], pv(), "stratum NOT IN ('BUILDING', 'MACHINERY')", f"cnt, stratum, {EST}"))
 def filter_stratum(spark, d):
-    return rounded(stats.weighted_mean(survey(spark, d), DESIGN, pva(), ["cnt", "stratum"], ~F.col("stratum").isin("BUILDING", "MACHINERY")).select("cnt", "stratum", "estimate", "se"))
+    return rounded(stats.weighted_mean(survey(spark, d), DESIGN, pva(), ["cnt", "stratum"], joins.stratum_filter(F.col("stratum"), ["BUILDING", "MACHINERY"], True)).select("cnt", "stratum", "estimate", "se"))
 
 
 @query("filter_region", f"WITH {sql_f()}, c AS (SELECT DISTINCT cycle FROM f), p AS (SELECT DISTINCT cycle, cnt FROM f) SELECT r_name AS region, n_name AS code, c.cycle, p.cnt IS NOT NULL AS present FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN c LEFT JOIN p ON p.cycle = c.cycle AND p.cnt = n_name")
@@ -195,7 +194,7 @@ def match_items(spark, d):
     return joins.match_items(_catalog(spark, d), "c1", "c3")
 
 
-@query("item_similarity", f"WITH k AS ({_CATD}), m AS (SELECT a.table_name, variable_c1, variable_c3, round(1 - levenshtein(w_c1, w_c3) / CAST(greatest(length(w_c1), length(w_c3)) AS DOUBLE), 6) AS similarity FROM ({_ONE('c1')}) a JOIN ({_ONE('c3')}) b ON a.codes = b.codes AND a.table_name = b.table_name) SELECT * FROM m WHERE similarity >= 0.85")
+@query("item_similarity", f"WITH k AS ({_CATD}), m AS (SELECT a.table_name, variable_c1, variable_c3, round(1 - levenshtein(w_c1, w_c3) / CAST(greatest(length(w_c1), length(w_c3)) AS DOUBLE), 6) AS similarity FROM ({_ONE('c1')}) a JOIN ({_ONE('c3')}) b ON a.codes = b.codes AND a.table_name = b.table_name) SELECT DISTINCT * FROM m WHERE similarity >= 0.85")
 def item_similarity(spark, d):
     return joins.item_similarity(_catalog(spark, d), "c1", "c3")
 
@@ -205,7 +204,24 @@ def item_similarity(spark, d):
 
 @query("sample_counts", f"WITH {sql_f()} SELECT cycle, count(*) AS students, count(DISTINCT sch) AS schools, count(DISTINCT cnt) AS economies, round(sum(w0), 6) AS population FROM f GROUP BY cycle")
 def sample_counts(spark, d):
-    return rounded(survey(spark, d).groupBy("cycle").agg(F.count("*").alias("students"), F.count_distinct("sch").alias("schools"), F.count_distinct("cnt").alias("economies"), F.sum("w0").alias("population")))
+    return rounded(cat.sample_counts(survey(spark, d), DESIGN, ["cycle"]))
+
+
+@query("flag_members", f"WITH {sql_f()} SELECT DISTINCT cnt FROM f WHERE oecd = 1")
+def flag_members(spark, d):
+    return cat.flag_members(survey(spark, d), "cnt", F.col("oecd") == 1)
+
+
+@query("unknown_codes", "SELECT DISTINCT 'NATION_' || CAST(c_custkey % 40 AS VARCHAR) AS code FROM customer WHERE c_custkey % 40 >= 25")
+def unknown_codes(spark, d):
+    asked = table(spark, d, "customer").select(F.concat(F.lit("NATION_"), (F.col("c_custkey") % 40).cast("string")).alias("code"))
+    return joins.unknown_codes(asked, table(spark, d, "nation").select(F.col("n_name").alias("code")))
+
+
+@query("region_rows", f"WITH {sql_f()} SELECT cnt, count(*) AS n FROM f WHERE cnt IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') GROUP BY cnt")
+def region_rows(spark, d):
+    regions = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("region"), F.col("n_name").alias("code"))
+    return joins.region_rows(survey(spark, d), regions, "ASIA", "cnt").groupBy("cnt").agg(F.count("*").alias("n"))
 
 
 _COVSRC = "SELECT *, CASE WHEN cnt IN ('NATION_5', 'NATION_6') THEN NULL ELSE item END AS item2, CASE WHEN substr(cnt, 8, 1) = '1' THEN NULL ELSE escs END AS escs2 FROM f"
@@ -233,12 +249,29 @@ def no_school_link(spark, d):
     return cat.no_school_link(survey(spark, d).withColumn("sch", F.when(F.col("cnt") != "NATION_3", F.col("sch"))), "cnt", "sch")
 
 
-@query("mode_by_economy", f"WITH {sql_f()}, c AS (SELECT cycle, cnt, CASE WHEN cnt = 'NATION_3' THEN 1 ELSE adm END AS adm, count(*) AS n FROM f GROUP BY ALL) SELECT cycle, cnt, CASE WHEN CAST(max(n) AS DOUBLE) / sum(n) >= 0.9 THEN CASE arg_max(adm, n) WHEN 1 THEN 'paper' ELSE 'computer' END ELSE 'mixed' END AS mode FROM c GROUP BY cycle, cnt")
-def mode_by_economy(spark, d):
-    df = survey(spark, d).withColumn("adm", F.when(F.col("cnt") == "NATION_3", 1).otherwise(F.col("adm")))
+_MODES = (
+    f"{sql_f()}, k AS (SELECT cycle, cnt, CASE WHEN cnt = 'NATION_3' OR (cnt = 'NATION_4' AND cycle = 'c1') THEN 1 WHEN cnt = 'NATION_4' THEN 2 ELSE adm END AS adm, count(*) AS n FROM f GROUP BY ALL), "
+    "c AS (SELECT cycle, cnt, CASE WHEN CAST(max(n) AS DOUBLE) / sum(n) >= 0.9 THEN CASE arg_max(adm, n * 10 - adm) WHEN 1 THEN 'paper' ELSE 'computer' END ELSE 'mixed' END AS mode FROM k GROUP BY cycle, cnt)"
+)
+
+
+def _modes(spark, d):
+    four = F.col("cnt") == "NATION_4"
+    paper = (F.col("cnt") == "NATION_3") | (four & (F.col("cycle") == "c1"))
+    df = survey(spark, d).withColumn("adm", F.when(paper, 1).when(four, 2).otherwise(F.col("adm")))
     return cat.mode_by_economy(df, "cnt", "adm", {1: "paper", 2: "computer"})
 
 
+@query("mode_by_economy", f"WITH {_MODES} SELECT * FROM c")
+def mode_by_economy(spark, d):
+    return _modes(spark, d)
+
+
+@query("mode_changes", f"WITH {_MODES} SELECT a.cnt, a.mode AS mode_first, b.mode AS mode_last FROM c a JOIN c b ON a.cnt = b.cnt WHERE a.cycle = 'c1' AND b.cycle = 'c3' AND a.mode <> b.mode")
+def mode_changes(spark, d):
+    return cat.mode_changes(_modes(spark, d), "cnt", "c1", "c3")
+
+
 @query("catalog_variables", f"WITH k AS ({_CATD}) SELECT DISTINCT table_name, cycle, variable, first_value(var_type) OVER w AS var_type, first_value(label) OVER w AS label FROM k WINDOW w AS (PARTITION BY table_name, cycle, variable ORDER BY label, var_type)")
 def catalog_variables(spark, d):
     k = _catalog(spark, d)
@@ -263,22 +296,26 @@ def collapse_family(spark, d):
     return _catalog(spark, d).groupBy(text.collapse_family(F.col("variable")).alias("family")).agg(F.count("*").alias("n"))
 
 
-def _score_sql(tokens, phrase):
-    name, parts = "regexp_replace(lower(variable), '[^a-z0-9]', '', 'g')", [f"CASE WHEN contains(lower(label), '{phrase}') THEN 25 ELSE 0 END"]
-    for t in tokens:
-        parts += [f"CASE WHEN {name} = '{t}' THEN 100 WHEN contains({name}, '{t}') THEN 30 ELSE 0 END", f"CASE WHEN regexp_matches(lower(label), '\\b{t}\\b') THEN 8 WHEN contains(lower(label), '{t}') THEN 3 ELSE 0 END"]
+def _score_sql(words):
+    name = "lower(variable)"
+    label = "(lower(label) || CASE WHEN regexp_matches(variable, '^PV[0-9]+') THEN ' score plausible value pv' WHEN variable LIKE 'W\\_FST%' ESCAPE '\\' THEN ' weight' ELSE '' END)"
+    phrase = "".join(words.lower().split()).replace("-", "")
+    parts = [f"CASE WHEN contains(regexp_replace({label}, '[^a-z0-9]', '', 'g'), '{phrase}') THEN 25 ELSE 0 END"]
+    for t in words.lower().split():
+        tests = [(f"{name} = '{t}'", 100), (f"contains({name}, '{t}')", 30), (f"regexp_matches({label}, '\\b{t}\\b')", 8), (f"contains({label}, '{t}')", 3)]
         if len(t) >= 6:
-            parts += [f"CASE WHEN contains(lower(label), '{t[:4]}') THEN 4 ELSE 0 END", f"CASE WHEN starts_with({name}, '{t[:4]}') THEN 30 ELSE 0 END"]
+            tests += [(f"regexp_matches({label}, '\\b{t[:4]}')", 4), (f"starts_with({name}, '{t[:4]}')", 30)]
+        parts += [f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in tests]
     return " + ".join(parts)
 
 
-@query("catalog_search", f"WITH k AS ({_CATD}), b AS (SELECT variable, CAST(max({_score_sql(['widget', 'st1'], 'widget st1')}) AS INTEGER) AS score FROM k GROUP BY variable ORDER BY score DESC, variable LIMIT 20) SELECT k.*, score FROM k JOIN b ON k.variable = b.variable WHERE score > 0")
+@query("catalog_search", f"WITH k AS ({_CATD}), b AS (SELECT variable, CAST(max({_score_sql('widget st1')}) AS INTEGER) AS score FROM k GROUP BY variable ORDER BY score DESC, variable LIMIT 20) SELECT k.*, score FROM k JOIN b ON k.variable = b.variable WHERE score > 0")
 def catalog_search(spark, d):
     return cat.search(_catalog(spark, d), "widget st1")
 
 
 _TERMS = ["widget", "blue ring", "economy"]
-_RET = " UNION ALL ".join(f"SELECT variable, {w} * ({_score_sql(t.split(), t)}) AS s, '{t}' AS term FROM k" for t, w in zip(_TERMS, ("1.0", "0.5", "0.3"), strict=True))
+_RET = " UNION ALL ".join(f"SELECT variable, {w} * ({_score_sql(t)}) AS s, '{t}' AS term FROM k" for t, w in zip(_TERMS, ("1.0", "0.5", "0.3"), strict=True))
 _RETQ = f"SELECT variable, count(DISTINCT term) AS terms_hit, round(CAST(max(s) AS DOUBLE) * (1 + 0.1 * (count(DISTINCT term) - 1)), 6) AS score FROM ({_RET}) WHERE s > 0 GROUP BY variable"
 
 
@@ -320,32 +357,74 @@ def region_lookup(spark, d):
     return text.region_lookup(_sql(spark, d, _NAMES, "customer", "nation", "region"), aliases)
 
 
-_DICT = "SELECT * FROM (VALUES ('the', 'EN', 'of'), ('der', 'DE', NULL), ('les', 'FR', 'de'), ('los', 'ES', NULL)) AS t(word, code, negative)"
+_ALIASES = "SELECT * FROM (VALUES ('EN', 'the and'), ('EN', 'of the'), ('DE', 'der'), ('DIE', 'und die'), ('LA', 'y la'), ('FR', 'les'), ('FR', 'et les')) AS t(code, alias)"
+_NOTS = "SELECT * FROM (VALUES ('FR', 'de les'), ('DE', 'in der'), ('EN', 'and of the')) AS t(code, alias)"
 
 
-@query("tag_entities", f"WITH d AS ({_DICT}), w AS (SELECT doc_id AS id, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') AS a FROM documents), x AS (SELECT id, unnest(a) AS word, unnest(list_concat([NULL], a[1:len(a) - 1])) AS before FROM w) SELECT id, code, count(*) AS n FROM x JOIN d ON x.word = d.word WHERE negative IS NULL OR before IS NULL OR before <> negative GROUP BY id, code")
+@query(
+    "tag_entities",
+    f"WITH al AS ({_ALIASES}), ng AS ({_NOTS}), d AS (SELECT doc_id AS id, ' ' || regexp_replace(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' +', ' ', 'g') || ' ' AS low, ' ' || regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', ' ', 'g') || ' ' AS caps FROM documents), "
+    "c AS (SELECT DISTINCT code FROM al), h AS (SELECT id, al.code, bool_or(contains(low, ' ' || alias || ' ') AND NOT EXISTS (SELECT 1 FROM ng WHERE ng.code = al.code AND contains(ng.alias, al.alias))) AS name, "
+    "bool_or(contains(low, ' ' || alias || ' ')) AS any_name, bool_or(contains(caps, ' ' || al.code || ' ')) AS code_hit FROM d, al GROUP BY id, al.code), "
+    "n AS (SELECT id, ng.code, bool_or(contains(low, ' ' || alias || ' ')) AS wrong FROM d, ng GROUP BY id, ng.code) "
+    "SELECT h.id, h.code FROM h LEFT JOIN n ON h.id = n.id AND h.code = n.code WHERE code_hit OR name OR (any_name AND NOT coalesce(wrong, FALSE))",
+)
 def tag_entities(spark, d):
-    return text.tag_entities(table(spark, d, "documents"), "doc_id", "text", spark.sql(_DICT))
+    return text.tag_entities(table(spark, d, "documents"), "doc_id", "text", spark.sql(_ALIASES), spark.sql(_NOTS))
+
+
+_TOKEN = "regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{M}\\p{N}_.,]+')"
 
 
 @query(
     "ungrounded_numbers",
-    "WITH n AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(' ' || regexp_replace(text, '[^0-9.]', '  ', 'g') || ' ', '[^0-9.]([0-9]{1,9}(?:[.][0-9]{1,2})?)[^0-9]', 1)) AS number FROM documents), v AS (SELECT *, CAST(number AS DOUBLE) AS value, CASE WHEN contains(number, '.') THEN length(split_part(number, '.', 2)) ELSE 0 END AS digits FROM n) "
-    "SELECT id, number FROM v WHERE NOT (digits = 0 AND (value < 10 OR value BETWEEN 1900 AND 2100)) AND NOT EXISTS (SELECT 1 FROM documents d WHERE round(CAST(d.n_chars AS DOUBLE), CAST(digits AS INTEGER)) = value)",
+    f"WITH t AS (SELECT doc_id AS id, unnest({_TOKEN}) AS token FROM documents), m AS (SELECT DISTINCT id, regexp_extract(token, '^([0-9]{{1,3}}(?:,[0-9]{{3}})+(?:[.][0-9]+)?|[0-9]+(?:[.][0-9]+)?)(?:$|[.,]$|[.,][^0-9]|,[0-9]{{1,2}}(?:$|[^0-9]))', 1) AS number, token FROM t), "
+    "n AS (SELECT DISTINCT id, number FROM m WHERE number <> ''), "
+    "v AS (SELECT id, number, CAST(replace(number, ',', '') AS DOUBLE) AS value, least(CASE WHEN contains(number, '.') THEN length(split_part(number, '.', 2)) ELSE 0 END, 12) AS digits FROM n) "
+    "SELECT id, number FROM v WHERE NOT (regexp_full_match(number, '(19|20)[0-9][0-9]') OR (digits = 0 AND value <= 12)) AND NOT EXISTS (SELECT 1 FROM documents d WHERE abs(d.n_chars - value) <= 0.5 * pow(10, -digits) + 1e-9)",
 )
 def ungrounded_numbers(spark, d):
     docs = table(spark, d, "documents")
     return text.ungrounded_numbers(docs, "doc_id", "text", docs.select(F.col("n_chars").alias("value")))
 
 
+@query("number_format", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'no estimate' WHEN o_orderkey % 2 = 0 THEN printf('%.1f', CAST(o_custkey + 10 AS DOUBLE)) ELSE printf('%.2f', CAST(o_custkey % 8 AS DOUBLE) / 4) END AS shown FROM orders")
+def number_format(spark, d):
+    value = F.when(F.col("o_orderkey") % 5 != 0, F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") + 10.0).otherwise((F.col("o_custkey") % 8) / 4))
+    return table(spark, d, "orders").select("o_orderkey", text.number_text(value).alias("shown"))
+
+
 # -- events ----------------------------------------------------------------------------------------
 
 
-def _events(spark, d):
-    return table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+#: The log of a question service, derived from the events; lists are comma-joined here.
+_LOG = """SELECT event_id, ts, user_id AS session, CASE WHEN event_id % 13 = 0 THEN 'rate_limited' ELSE 'ask' END AS kind,
+ 'inst' || CAST(user_id % 7 AS STRING) AS institution, event_type, value AS total_ms, event_id % 6 AS calls, 'q' || CAST(user_id AS STRING) AS question,
+ CASE event_id % 9 WHEN 0 THEN 'clarify' WHEN 1 THEN 'error' WHEN 2 THEN 'conversational' ELSE 'data' END AS route,
+ CASE WHEN event_id % 31 = 0 THEN 'timeout' END AS error,
+ CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN 'bar' ELSE 'line' END AS chart,
+ CASE event_id % 11 WHEN 0 THEN 'up' WHEN 1 THEN 'down' END AS vote, event_id % 3 = 0 AS mobile,
+ CASE event_id % 4 WHEN 0 THEN 'mean' WHEN 1 THEN 'gap' WHEN 2 THEN 'raw_sql' ELSE 'trend' END AS template,
+ CASE WHEN event_id % 2 = 0 THEN 'c1' ELSE 'c1 + c3' END AS cycles,
+ 'N' || CAST(event_id % 25 AS STRING) || ',N' || CAST(user_id % 10 AS STRING) AS countries,
+ 'V' || CAST(event_id % 40 AS STRING) || ',W' || CAST(user_id % 30 AS STRING) AS variables,
+ CASE WHEN event_id % 3 = 0 THEN '' ELSE 'g' || CAST(event_id % 4 AS STRING) || ',h' || CAST(event_id % 5 AS STRING) END AS guards,
+ CASE WHEN event_id % 8 = 0 THEN 'app' ELSE 'llm' END AS summary_mode, 'b' || CAST(event_id % 3 AS STRING) AS build,
+ CASE WHEN event_id % 17 = 0 THEN 'wrong number' ELSE '' END AS prose_issues,
+ CASE event_id % 3 WHEN 0 THEN translate('CNT IN (~DEU~, ~FRA~)', '~', chr(39)) WHEN 1 THEN translate('ESCS > 0 AND CNT = ~FIN~', '~', chr(39)) END AS filter,
+ CASE WHEN event_id % 2 = 0 THEN 'CNT,GENDER' ELSE 'GENDER' END AS groups, CASE WHEN event_id % 10 <> 0 THEN CAST(event_id % 50 AS INT) END AS rows,
+ CASE WHEN event_id % 6 = 0 THEN 'other' ELSE '' END AS substitution, CASE WHEN event_id % 8 = 0 THEN 'few' END AS limitation,
+ CASE WHEN event_id % 4 = 0 THEN 'OECD' ELSE '' END AS benchmarks,
+ 'mean ' || CAST(100 + event_id % 7 AS STRING) || '.5 of ' || CAST(event_id % 3 * 60 AS STRING) || ' in 2022' AS answer FROM {events}"""
+_LISTS = ("countries", "variables", "guards", "prose_issues", "groups", "benchmarks")
+
+
+def _log(spark, d):
+    rows = _sql(spark, d, _LOG, "events")
+    return rows.withColumns({c: F.array_remove(F.split(c, ","), "") for c in _LISTS})
 
 
-_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+_LOGD = f"l AS ({_V(_LOG, 'events')}), a AS (SELECT * FROM l WHERE kind = 'ask')"
 
 
 @query("latest_state", "WITH s AS (SELECT user_id, min((ts, event_id)) AS start FROM events WHERE ts >= TIMESTAMP '2024-01-03' GROUP BY user_id), e AS (SELECT e.*, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS kind FROM events e JOIN s ON e.user_id = s.user_id WHERE (ts, event_id) >= start) SELECT user_id, arg_max(kind, (ts, event_id)) FILTER (WHERE kind IS NOT NULL) AS kind, round(arg_max(value, (ts, event_id)) FILTER (WHERE value IS NOT NULL), 6) AS value FROM e GROUP BY user_id ORDER BY max((ts, event_id)) DESC LIMIT 5000")
@@ -359,14 +438,40 @@ def top_counts(spark, d):
     return ev.top_counts(table(spark, d, "documents"), F.split("text", " "), array=True)
 
 
-@query("usage_kpis", "SELECT count(CASE WHEN event_type = 'view' THEN 1 END) AS asks, count(DISTINCT user_id) AS sessions, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(CASE WHEN event_type = 'click' THEN 1 END) AS charted, round(count(CASE WHEN value > 10 THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS data_share FROM events")
+_PC = "round(100.0 * count(CASE WHEN {t} THEN 1 END) / nullif(count(CASE WHEN {o} THEN 1 END), 0))"
+_DRAWN = "kind = 'ask' AND chart IS NOT NULL"
+
+
+def _pc(test: str, of: str = "kind = 'ask'") -> str:
+    return _PC.replace("{t}", f"{of} AND ({test})").replace("{o}", of)
+
+
+@query(
+    "usage_kpis",
+    f"WITH {_LOGD} SELECT count(CASE WHEN kind = 'ask' THEN 1 END) AS asks, count(DISTINCT CASE WHEN kind = 'ask' THEN session END) AS sessions, "
+    f"count(DISTINCT CASE WHEN kind = 'ask' THEN institution END) AS institutions, {_pc(chr(114) + 'oute = ' + chr(39) + 'data' + chr(39))} AS data_percent, "
+    f"{_pc('route = ' + chr(39) + 'error' + chr(39) + ' OR error IS NOT NULL')} AS error_percent, {_pc('chart <> ' + chr(39) + 'none' + chr(39), _DRAWN)} AS charted_percent, "
+    "count(CASE WHEN kind = 'ask' AND vote = 'up' THEN 1 END) AS votes_up, count(CASE WHEN kind = 'ask' AND vote = 'down' THEN 1 END) AS votes_down, "
+    f"{_pc('mobile', _DRAWN)} AS mobile_percent, count(CASE WHEN kind = 'rate_limited' THEN 1 END) AS rate_limited FROM l",
+)
 def usage_kpis(spark, d):
-    return ev.usage_kpis(table(spark, d, "events"))
+    return ev.usage_kpis(_log(spark, d))
 
 
-@query("usage_latency", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(CASE WHEN i = least(floor(0.5 * n), n - 1) THEN value END) AS p50, max(CASE WHEN i = least(floor(0.95 * n), n - 1) THEN value END) AS p95 FROM r GROUP BY event_type")
+_AT = "max(CASE WHEN i = least(floor({q} * n), n - 1) THEN {c} END)"
+
+
+def _ranked(column: str) -> str:
+    return f"SELECT institution, {column}, row_number() OVER (PARTITION BY institution ORDER BY {column}) - 1 AS i, count(*) OVER (PARTITION BY institution) AS n FROM a WHERE {column} IS NOT NULL"
+
+
+@query(
+    "usage_latency",
+    f"WITH {_LOGD}, t AS ({_ranked('total_ms')}), k AS ({_ranked('calls')}), x AS (SELECT institution, {_AT.format(q='0.5', c='total_ms')} AS p50, {_AT.format(q='0.95', c='total_ms')} AS p95 FROM t GROUP BY institution), "
+    f"y AS (SELECT institution, {_AT.format(q='0.5', c='calls')} AS median_calls FROM k GROUP BY institution) SELECT x.institution, p50, p95, median_calls FROM x LEFT JOIN y ON x.institution = y.institution",
+)
 def usage_latency(spark, d):
-    return ev.nearest_rank(table(spark, d, "events"), ["event_type"], "value", (0.5, 0.95))
+    return ev.usage_latency(_log(spark, d).where("kind = 'ask'"), ["institution"])
 
 
 @query("usage_per_day", "SELECT CAST(ts AS DATE) AS day, count(*) AS asks FROM events GROUP BY 1 ORDER BY 1")
@@ -374,32 +479,55 @@ def usage_per_day(spark, d):
     return ev.usage_per_day(table(spark, d, "events"))
 
 
-_TOPN = lambda k, c: f"(SELECT '{k}' AS breakdown, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM events GROUP BY {c} ORDER BY n DESC, {c} LIMIT 20)"
+def _breakdown(name: str, column: str, is_list: bool, data: bool, most: int) -> str:
+    value = f"unnest(string_split({column}, ','))" if is_list else column
+    rows = f"SELECT {value} AS value FROM a" + (" WHERE route = 'data'" if data else "")
+    return f"(SELECT '{name}' AS breakdown, value, count(*) AS n FROM ({rows}) WHERE value <> '' GROUP BY value ORDER BY n DESC, value LIMIT {most})"
 
 
-@query("usage_breakdowns", f"SELECT * FROM {_TOPN('kind', 'event_type')} UNION ALL SELECT * FROM {_TOPN('session', 'user_id')}")
+@query("usage_breakdowns", f"WITH {_LOGD} " + " UNION ALL ".join(f"SELECT * FROM {_breakdown(*b)}" for b in ev.BREAKDOWNS))
 def usage_breakdowns(spark, d):
-    return ev.usage_breakdowns(table(spark, d, "events"), {"kind": F.col("event_type"), "session": F.col("user_id")})
+    return ev.usage_breakdowns(_log(spark, d))
 
 
-@query("guard_downvotes", f"WITH g AS (SELECT value < 5 AS down, unnest(['guard' || CAST({_K} % 5 AS VARCHAR), 'rule' || CAST({_K} % 3 AS VARCHAR)]) AS guard FROM events) SELECT guard, count(*) AS n, count(CASE WHEN down THEN 1 END) AS n_down FROM g GROUP BY guard")
+@query("guard_downvotes", f"WITH {_LOGD}, g AS (SELECT vote = 'down' AS down, unnest(string_split(guards, ',')) AS guard FROM a) SELECT guard, count(*) AS n, count(CASE WHEN down THEN 1 END) AS n_down FROM g WHERE guard <> '' GROUP BY guard")
 def guard_downvotes(spark, d):
-    name = lambda p, m: F.concat(F.lit(p), (F.col("k") % m).cast("string"))
-    return ev.guard_downvotes(_events(spark, d), F.array(name("guard", 5), name("rule", 3)), F.col("value") < 5)
+    return ev.guard_downvotes(_log(spark, d).where("kind = 'ask'"), F.col("guards"), F.col("vote") == "down")
 
 
-_QUEUE = lambda k, c: f"(SELECT '{k}' AS queue, event_id, user_id FROM events WHERE {c} ORDER BY ts DESC, event_id DESC LIMIT 200)"
+_QUEUES = {"rejected": "route = 'data' AND prose_issues <> ''", "down": "vote = 'down'", "error": "route = 'error' OR error IS NOT NULL", "clarify": "route = 'clarify'"}
 
 
-@query("review_queues", f"SELECT * FROM {_QUEUE('errors', chr(101) + 'vent_type = ' + chr(39) + 'error' + chr(39))} UNION ALL SELECT * FROM {_QUEUE('slow', 'value > 50')}")
+@query("review_queues", f"WITH {_LOGD} " + " UNION ALL ".join(f"SELECT '{q}' AS queue, event_id, ts FROM a WHERE {t}" for q, t in _QUEUES.items()) + " UNION ALL SELECT * FROM (SELECT 'recent', event_id, ts FROM a ORDER BY ts DESC, event_id DESC LIMIT 200)")
 def review_queues(spark, d):
-    return ev.review_queues(table(spark, d, "events"), {"errors": F.col("event_type") == "error", "slow": F.col("value") > 50})
+    return ev.review_queues(_log(spark, d))
 
 
-@query("event_facts", f"SELECT event_id, event_type || '-' || CAST({_K} % 5 AS VARCHAR) AS route, {_K} % 2 = 0 AS has_data, CAST(ts AS DATE) AS day FROM events")
+@query(
+    "event_facts",
+    f"WITH {_LOGD}, f AS (SELECT *, list_sort(list_distinct(regexp_extract_all(coalesce(filter, ''), chr(39) || '([A-Z]{{3}})' || chr(39), 1))) AS c FROM a) "
+    "SELECT event_id, template, array_to_string(c, ' ') AS countries, contains(groups, 'CNT') AND len(c) = 0 AS all_countries, coalesce(rows, 0) AS rows, template = 'raw_sql' AS raw_sql, "
+    "coalesce(substitution <> '', FALSE) AS substitution, coalesce(limitation <> '', FALSE) AS limitation, benchmarks <> '' AS has_benchmarks FROM f",
+)
 def event_facts(spark, d):
-    k = F.col("k")
-    return _events(spark, d).select("event_id", F.concat_ws("-", "event_type", (k % 5).cast("string")).alias("route"), (k % 2 == 0).alias("has_data"), F.to_date("ts").alias("day"))
+    return ev.event_facts(_log(spark, d).where("kind = 'ask'"))
+
+
+@query("scan_event_export", f"WITH {_LOGD} SELECT event_id, route, len(string_split(countries, ',')) AS n_countries, string_split(variables, ',')[1] AS variable FROM a")
+def scan_event_export(spark, d):
+    path = work_path(spark, "export")
+    _sql(spark, d, _LOG, "events").select("event_id", "kind", "route", F.replace("countries", F.lit(","), F.lit("|")).alias("countries"), F.replace("variables", F.lit(","), F.lit("||")).alias("variables")).write.option("header", True).csv(path)
+    rows = ingest.scan_event_export(spark, path, ["countries", "variables"])
+    return rows.select(F.col("event_id").cast("long").alias("event_id"), "route", F.size("countries").cast("long").alias("n_countries"), F.get("variables", 0).alias("variable"))
+
+
+@query("append_events", f"WITH {_LOGD} SELECT event_id, route, CASE WHEN vote = 'down' THEN 'down' END AS vote FROM a")
+def append_events(spark, d):
+    path, asks = work_path(spark, "log"), _log(spark, d).where("kind = 'ask'")
+    ingest.append_events(asks.select(F.col("event_id").alias("id"), F.lit(1).alias("seq"), "route"), path)
+    ingest.append_events(asks.where("vote = 'down'").select(F.col("event_id").alias("id"), F.lit(2).alias("seq"), "vote"), path)
+    rows = spark.read.schema("id bigint, seq int, route string, vote string").json(path)
+    return ev.latest_state(rows, "id", ["seq"], ["route", "vote"], limit=1 << 30).select(F.col("id").alias("event_id"), "route", "vote")
 
 
 # -- reconciliation --------------------------------------------------------------------------------
@@ -430,8 +558,19 @@ def result_drift(spark, d):
     return rounded(quality.result_drift(golden, res.where("cnt <> 'NATION_2'"), CNT))
 
 
-@query("answer_drift", "WITH o AS (SELECT user_id, arg_max(event_type, event_id) AS a, arg_max(value, event_id) AS b FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id), n AS (SELECT user_id, arg_max(event_type, event_id) AS a, arg_max(value, event_id) AS b FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY user_id) SELECT o.user_id, o.a IS NOT DISTINCT FROM n.a AS same_event_type, o.b IS NOT DISTINCT FROM n.b AS same_value FROM o JOIN n ON o.user_id = n.user_id")
-def answer_drift(spark, d):
-    return quality.answer_drift(table(spark, d, "events"), "user_id", F.col("event_id"), F.col("ts") >= F.lit("2024-01-15").cast("timestamp"), ["event_type", "value"])
+_RUN = "SELECT question, arg_max(event_id, (ts, event_id)) AS e FROM a WHERE {w} GROUP BY question"
+_ONE = "SELECT a.*, [100.5 + event_id % 7] || CASE WHEN event_id % 3 * 60 >= 100 THEN [event_id % 3 * 60.0] ELSE [] END || [2022.0] AS nums FROM a JOIN ({r}) r ON a.event_id = r.e"
+_SPLIT = "ts < TIMESTAMP '2024-01-15'"
+
 
+@query(
+    "answer_drift",
+    f"WITH {_LOGD}, o AS ({_ONE.replace('{r}', _RUN.replace('{w}', _SPLIT))}), n AS ({_ONE.replace('{r}', _RUN.replace('{w}', 'NOT ' + _SPLIT))}), "
+    "x AS (SELECT o.question, o.route IS NOT DISTINCT FROM n.route AS same_route, o.template IS NOT DISTINCT FROM n.template AS same_template, string_split(o.variables, ',') AS v, string_split(n.variables, ',') AS w, "
+    "len(list_filter(o.nums, lambda z: NOT list_contains(n.nums, z))) AS n_numbers_lost, CASE WHEN n.error IS NOT NULL THEN 'fails now' WHEN o.error IS NOT NULL THEN 'fixed' END AS error FROM o JOIN n ON o.question = n.question) "
+    "SELECT question, same_route, same_template, array_to_string(list_sort(list_filter(v, lambda z: NOT list_contains(w, z))), ' ') AS variables_gone, array_to_string(list_sort(list_filter(w, lambda z: NOT list_contains(v, z))), ' ') AS variables_new, CAST(n_numbers_lost AS INTEGER) AS n_numbers_lost, error FROM x",
+)
+def answer_drift(spark, d):
+    log, old = _log(spark, d).where("kind = 'ask'"), F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    return quality.answer_drift(log.where(old), log.where(~old))
 

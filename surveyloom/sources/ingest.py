@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,15 +67,104 @@ def scan_published(df: DataFrame, name: str, value: str, codes: DataFrame) -> Da
     return rows.join(codes, "name").select("code", "published")
 
 
+#: Plan nodes that pass rows on as they are; what they show is aggregated if their inputs are.
+_PASSING = {"Project", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "SubqueryAlias", "Distinct", "Deduplicate", "Window", "Union", "Join", "Except", "Intersect", "View"}
+
+
+def _aggregated(plan: object, ctes: dict[int, object]) -> bool:
+    """Whether every row of a plan comes from an aggregate."""
+    name = plan.nodeName()
+    inputs = [plan.children().apply(i) for i in range(plan.children().size())]
+    if name == "Aggregate":
+        return True
+    if name == "WithCTE":
+        defs = [plan.cteDefs().apply(i) for i in range(plan.cteDefs().size())]
+        return _aggregated(plan.plan(), ctes | {d.id(): d.child() for d in defs})
+    if name == "CTERelationRef":
+        return _aggregated(ctes[plan.cteId()], ctes)
+    return name in _PASSING and bool(inputs) and all(_aggregated(x, ctes) for x in inputs)
+
+
 def safe_sql(spark: SparkSession, sql: str, identifiers: Sequence[str], most: int = 500) -> DataFrame:
-    """Run one aggregating SELECT; identifiers may not come out, and at most ``most`` rows do."""
+    """Run one aggregating SELECT; at most ``most`` rows come out.
+
+    Every input of the result must be an aggregate, ``SELECT *`` is refused, and identifiers may
+    stand nowhere in the statement but in its literals.
+    """
     text = sql.strip().rstrip(";")
-    if ";" in text or text.split(None, 1)[0].upper() not in ("SELECT", "WITH"):
+    bare = re.sub(r"'(?:[^']|'')*'", "''", re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.S))
+    if ";" in bare or not re.match(r"(?i)(select|with)\b", bare.strip()):
         raise ValueError("one SELECT or WITH statement is allowed")
+    if re.search(r"(?i)\bselect\s+(distinct\s+)?\*|\w\.\*", bare):
+        raise ValueError("the query must aggregate: SELECT * is not allowed")
+    if bad := {i for i in identifiers if re.search(rf"(?i)\b{re.escape(i)}\b", bare)}:
+        raise ValueError(f"identifiers {sorted(bad)} may not be used")
     df = spark.sql(text)
-    plan = df._jdf.queryExecution().analyzed().toString()
-    if "Aggregate" not in plan:
-        raise ValueError("the query must aggregate")
-    if bad := {c.lower() for c in df.columns} & {i.lower() for i in identifiers}:
-        raise ValueError(f"identifiers {sorted(bad)} may not be selected")
+    if not _aggregated(df._jdf.queryExecution().analyzed(), {}):
+        raise ValueError("the query must aggregate: rows of respondents are never returned")
     return df.limit(most)
+
+
+@dataclass(frozen=True)
+class Source:
+    """One file of a survey: where it comes from and where its published table goes."""
+
+    name: str
+    instrument: str
+    cycle: str
+    path: str
+    output: str
+
+
+def select_sources(sources: Sequence[Source], only: Sequence[str] = ()) -> list[Source]:
+    """Sources by name, instrument or cycle (all without a filter); an unknown word raises."""
+    known = {w for s in sources for w in (s.name, s.instrument, s.cycle)}
+    if unknown := set(only) - known:
+        raise ValueError(f"no source is called {sorted(unknown)}")
+    return [s for s in sources if not only or {s.name, s.instrument, s.cycle} & set(only)]
+
+
+def convert(spark: SparkSession, sources: Sequence[Source], only: Sequence[str] = (), force: bool = False) -> dict[str, str]:
+    """Publish every selected source as Parquet; outputs that exist are skipped unless forced. (name: published or skipped.)"""
+    done = {}
+    for s in select_sources(sources, only):
+        path = spark._jvm.org.apache.hadoop.fs.Path(s.output)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path) and not force:
+            done[s.name] = "skipped"
+            continue
+        df = spark.read.parquet(s.path) if not s.path.endswith(".csv") else spark.read.option("header", True).csv(s.path)
+        if fs.exists(path):
+            # the new table is whole before the old one goes
+            kept = publish_parquet(df, f"{s.output}.new", df.count())
+            fs.delete(path, True)
+            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{s.output}.new"), path)
+            del kept
+        else:
+            publish_parquet(df, s.output, df.count())
+        done[s.name] = "published"
+    return done
+
+
+def scan_event_export(spark: SparkSession, path: str, arrays: Sequence[str] = ("variables",)) -> DataFrame:
+    """A CSV export of the event log: asks only, ``|``-joined lists back to arrays without empty parts."""
+    df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).where("kind = 'ask'")
+    return df.withColumns({c: F.array_remove(F.split(F.coalesce(F.col(c), F.lit("")), r"\|"), "") for c in arrays if c in df.columns})
+
+
+def append_events(rows: DataFrame, path: str) -> None:
+    """Append whole events or partial updates (an id and some fields) as JSON lines; absent fields are not written.
+
+    An event without an id or time gets one, as the first line of an event has both.
+    """
+    made = {}
+    if "id" not in rows.columns:
+        made["id"] = F.expr("uuid()")
+    if "ts" not in rows.columns and "id" not in rows.columns:
+        made["ts"] = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    rows.withColumns(made).write.mode("append").json(path)
+
+
+def since_days(days: int, now: Column | None = None) -> Column:
+    """The time so many days ago, from which a log is read."""
+    return (now if now is not None else F.current_timestamp()) - F.make_interval(days=F.lit(days))

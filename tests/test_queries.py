@@ -11,10 +11,6 @@ import pytest
 from surveyloom.queries import fixture, linear, results, tables  # noqa: F401
 
 ALL_TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
-#: A few of each kind; the whole list runs in the driver's comparison.
-SOME = ["weighted_mean", "gap", "quartile_means", "percentiles", "regression", "trend", "suppress_small_cells", "pairwise_differences", "catalog_search", "coverage_table", "latest_state", "ungrounded_numbers", "scan_events", "result_drift"]
-
-
 def norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 5) + 0.0
@@ -29,7 +25,7 @@ def db(sf):
     return c
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(fixture.ORACLE))
 def test_query_equals_sql(spark, sf, db, name):
     df = fixture.QUERIES[name](spark, sf)
     r = db.execute(fixture.ORACLE[name])
