@@ -527,3 +527,63 @@ def test_chat_collapse(spark):
     assert (got[3].n_turns, got[3].n_collapsed) == (3, 1)
     assert got[7].chat == "<|user|>\nx\n<|end|>\n<|user|>\ny\n<|end|>\n" and got[8].n_turns == 2
     assert chat.collapse(df.limit(0)).count() == 0
+
+
+CLASH = ["_gone", "_bad", "_doc", "_secrets", "_uid", "_rep", "_item", "path", "row", "key", "block", "host", "hits", "x", "c", "named", "candidate", "version"]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls, an empty text, ties, repeated rows, one very long text, and columns with the names of inner ones."""
+    rng = random.Random(11)
+    long = "\n".join(prose(rng, 50, 10**5) for _ in range(2000)) + " password=Kq82xZw91pLm"
+    docs = [(0, None), (1, ""), (2, long), (3, long), (3, long), (4, prose(rng, 80, 10**5)), (None, prose(rng, 80, 10**5)), (5, "secret: aB3dE6gH9kL2 " + prose(rng, 90, 10**5))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    return spark.createDataFrame([(i, t, "en", None, len(t or ""), *(f"{c}{k}" for c in CLASH)) for k, (i, t) in enumerate(docs)], schema).repartition(3)
+
+
+def test_stages_keep_awkward_rows_and_columns(spark, awkward):
+    long = awkward.where("doc_id = 2").first().text
+    bench = spark.createDataFrame([(1, " ".join(long.split()[5000:5030]))], "item_id long, text string")
+    kept = {
+        "dedup": (deduplicate(awkward), [0, 1, 2, 4, 5, None]), "clean": (decontaminate(awkward, bench), [0, 1, 4, 5, None]), "secret": (redact(awkward), [0, 1, 2, 3, 3, 4, 5, None]),
+        "rules": (clean_documents(awkward), [2, 3, 3, 4, 5, None]), "none": (deduplicate(awkward.limit(0)), []), "no bench": (decontaminate(awkward, bench.limit(0)), [0, 1, 2, 3, 3, 4, 5, None]),
+    }
+    for name, (df, ids) in kept.items():
+        assert df.columns == awkward.columns, name
+        rows = df.collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((i is None, i or 0) for i in ids), name
+        assert all(r[c].startswith(c) for r in rows for c in CLASH), name
+    hidden = {r.doc_id: r.text for r in kept["secret"][0].collect()}
+    assert hidden[2].endswith("password=[SECRET]") and hidden[5].startswith("secret: [SECRET] ")
+    out = sharding.shard_corpus([awkward], fresh_path(spark, "t"))
+    assert out.columns == [*awkward.columns, "shard"] and out.drop("shard").exceptAll(awkward).count() == 0 and out.count() == 8
+
+
+def test_queries_answer_every_awkward_row(spark, awkward):
+    labels = spark.createDataFrame([(2, 1), (4, 0)], "doc_id long, quality int")
+    for name, df in {"sets": jaccard_components(awkward), "spans": parse(awkward), "rules": quality_rules(awkward), "licences": scan_licenses(awkward), "scores": classify(awkward, labels)}.items():
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect()) == [(False, i) for i in (0, 1, 2, 3, 3, 4, 5)] + [(True, 0)], name
+    words = {r.doc_id: r for r in parse(awkward).collect()}
+    assert words[3].n_removed == words[2].n_words and words[2].n_removed == 0
+    whole = Encoder(*TOKENS).whole
+    rows = pack(awkward, *TOKENS).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.doc_id] += r.length
+    long = awkward.where("doc_id = 2").first().text
+    assert sizes[3] == 2 * sizes[2] == 2 * (len(whole.encode(long, add_special_tokens=False).ids) + 1) and sizes[0] == 1
+
+
+def test_hot_groups_stay_whole(spark):
+    """A third of all rows in one class, one host and one conversation."""
+    rng = random.Random(21)
+    base = prose(rng, 60, 10**6)
+    near = [" ".join([*base.split()[:k], f"n{k}", *base.split()[k + 1 :]]) for k in range(30, 60)]
+    docs = [base] * 60 + near + [prose(rng, 60, 10**6) for _ in range(60)]
+    df = table(spark, docs)
+    got = {r.doc_id: r.component_id for r in jaccard_components(df, n=3, percent=80).collect()}
+    assert all(got[i] == 0 for i in range(90)) and all(got[i] == i for i in range(90, 150))
+    turns = [(7, k, "user", f"t{k}") for k in range(300)] + [(c, k, "user", f"t{k}") for c in range(10) for k in range(c + 1) if c != 7]
+    kept = chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.conv_id, r.n_turns) for r in kept] == [(7, 300)]
