@@ -22,6 +22,7 @@ from .replicate import _codes, _matrix, analysis_frame, null_safe_join
 
 #: Rows that a bucket aims at, the most buckets of a group, and how many cuts a search passes at a time.
 PIECE, MOST, STRIDE = 50_000, 1024, 32
+QUARTERS = (0.25, 0.5, 0.75)
 
 
 def _cut(fine: Column, n: Column, piece: int, least: int = 1) -> Column:
@@ -58,31 +59,40 @@ def weighted_quarters(df: DataFrame, design: SurveyDesign, value: Column, within
 
     A row's place is (weights up to it - half its own) / all weights of the group; ties are split by
     ``design.order``, whose first column must be a number: a value that fills pieces alone is cut again
-    at quantiles of that column. A place that equals a cut belongs to the lower quarter. The cuts, a row
-    a group, are made at once.
+    at quantiles of that column. A place that equals a cut belongs to the lower quarter. Only the first
+    row past each cut is looked for, in narrow rows and in the pieces where a cut lies; the rows
+    themselves are compared with it where they are read. The cuts, a row a group, are made at once.
     """
     rows = df.withColumn("_v", value).where("_v IS NOT NULL")
-    cuts = materialized(edges(rows, within, "_v", piece), "edges")
-    rows = null_safe_join(rows, cuts, within).withColumn("_bucket", _below("_cuts", "_coarse", F.col("_v"))).drop("_cuts", "_coarse")
-    keys, by = [*within, "_bucket", "_sub"], F.col(design.order[0]).cast("double")
+    w0 = F.coalesce(F.col(design.weight).cast("double"), F.lit(0.0))
+    place_of = F.struct("_v", *design.order)
+    narrow = rows.select(*within, "_v", F.col(design.order[0]).cast("double").alias("_o"), place_of.alias("_at"), w0.alias("_w"))
+    cuts = materialized(edges(narrow, within, "_v", piece), "edges")
+    narrow = null_safe_join(narrow, cuts, within).withColumn("_bucket", _below("_cuts", "_coarse", F.col("_v"))).drop("_cuts", "_coarse")
+    keys = [*within, "_bucket", "_sub"]
     if cuts.where("size(_ties) > 0").isEmpty():
-        rows = rows.withColumn("_sub", F.lit(0)).drop("_ties")
+        narrow = narrow.withColumn("_sub", F.lit(0))
     else:
-        tied = rows.withColumn("_tie", F.when(F.array_contains("_ties", F.col("_v")), F.col("_v"))).drop("_ties").withColumn("_o", by)
+        tied = narrow.withColumn("_tie", F.when(F.array_contains("_ties", F.col("_v")), F.col("_v")))
         more = materialized(edges(tied.where("_tie IS NOT NULL"), [*within, "_tie"], "_o", piece).drop("_ties"), "edges")
-        rows = null_safe_join(tied, more, [*within, "_tie"], "left")
+        narrow = null_safe_join(tied, more, [*within, "_tie"], "left")
         # the tied value's own rows follow the bucket's smaller ones
         sub = F.when(F.col("_tie").isNull(), 0).otherwise(1 + F.coalesce(_below("_cuts", "_coarse", F.col("_o")), F.lit(0)))
-        rows = rows.withColumn("_sub", sub).drop("_cuts", "_coarse", "_tie", "_o")
-    w = F.coalesce(F.col(design.weight).cast("double"), F.lit(0.0))
-    sums = rows.groupBy(*keys).agg(F.sum(w).alias("_in"))
+        narrow = narrow.withColumn("_sub", sub)
+    narrow = narrow.select(*keys, "_at", "_w")
+    sums = narrow.groupBy(*keys).agg(F.sum("_w").alias("_in"))
     up_to = Window.partitionBy(*within).orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, 0)
-    starts = sums.select(*keys, (F.sum("_in").over(up_to) - F.col("_in")).alias("_start"), F.sum("_in").over(Window.partitionBy(*within)).alias("_total"))
-    placed = null_safe_join(rows, starts, keys)
-    run = Window.partitionBy(*keys).orderBy("_v", *design.order).rowsBetween(Window.unboundedPreceding, 0)
-    place = (F.col("_start") + F.sum(w).over(run) - w / 2) / F.col("_total")
-    above = sum((place > c).cast("int") for c in (0.25, 0.5, 0.75))
-    return placed.withColumn(out, 1 + above).drop("_v", "_bucket", "_sub", "_start", "_total")
+    ends = sums.select(*keys, F.sum("_in").over(up_to).alias("_end"), "_in", F.sum("_in").over(Window.partitionBy(*within)).alias("_total"))
+    ends = ends.select("*", F.explode(F.array(*[F.lit(c) for c in QUARTERS])).alias("_cut")).where("_end > _cut * _total")
+    # half a weight may move the first row past a cut into the next piece
+    first = Window.partitionBy(*within, "_cut").orderBy("_bucket", "_sub")
+    hits = ends.withColumn("_k", F.row_number().over(first)).where("_k <= 2").groupBy(*keys).agg(F.min(F.col("_end") - F.col("_in")).alias("_start"), F.min("_total").alias("_total"))
+    run = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    near = null_safe_join(narrow, materialized(hits, "hits"), keys).withColumn("_place", (F.col("_start") + F.sum("_w").over(run) - F.col("_w") / 2) / F.col("_total"))
+    bounds = near.groupBy(*within).agg(*[F.min(F.when(F.col("_place") > c, F.col("_at"))).alias(f"_q{i}") for i, c in enumerate(QUARTERS)])
+    placed = null_safe_join(rows.withColumn("_at", place_of), materialized(bounds, "bounds"), within)
+    above = sum(F.coalesce((F.col("_at") >= F.col(f"_q{i}")).cast("int"), F.lit(0)) for i in range(len(QUARTERS)))
+    return placed.withColumn(out, 1 + above).drop("_v", "_at", *[f"_q{i}" for i in range(len(QUARTERS))])
 
 
 def _cells(frame: DataFrame, cuts: DataFrame, by: Sequence[str], n: int) -> DataFrame:
