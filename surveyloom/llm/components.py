@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,6 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     while not _are_stars(now):
-        now = _star(_star(now, True), False)
+        large = _star(now, True)
+        small = _star(large, False)
+        discard(now, large)
+        now = small
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

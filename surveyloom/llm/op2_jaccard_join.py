@@ -238,28 +238,64 @@ def prefix_length(size: int, percent: int) -> tuple[int, int]:
 
 
 def _sent_prefixes(docs: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
-    """(range, hashes, owners): per block of documents and hash range, the prefixes' elements with their sets' keys."""
+    """(range, hashes, owners): per block of documents and hash range, the prefixes' elements with their sets' keys.
+
+    An element that sets of one block share is counted for them there, in rows of the ranges from
+    ``ranges`` on (keys and counts instead), and sent once, with the owner 0: a passage or a group of
+    near copies costs an entry a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
                 own = {int(set_key(x)): x for x in shingle_sets(part.column(1), n) if len(x)}
+                if not own:
+                    continue
                 cut = [x[: prefix_length(len(x), percent)[0]] for x in own.values()]
-                h = np.concatenate(cut) if cut else np.zeros(0, np.uint64)
-                owner = np.repeat(np.array(list(own), np.uint64), [len(x) for x in cut]) if cut else h
+                h = np.concatenate(cut)
+                owner = np.repeat(np.array(list(own), np.uint64), [len(x) for x in cut])
+                order = np.argsort(h, kind="stable")
+                h, owner = h[order], owner[order]
+                same = np.zeros(len(h) + 1, bool)
+                same[1:-1] = h[1:] == h[:-1]
+                shared = same[:-1] | same[1:]
+                counted = _counted(*np.unique(owner[shared], return_counts=True), ranges)
+                first = ~same[:-1]
+                h, owner = h[first], np.where(shared, np.uint64(0), owner)[first]
                 where = (((h >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                at = np.flatnonzero(np.diff(where[order], prepend=-1))
+                at = np.flatnonzero(np.diff(where, prepend=-1))
                 ends = [*at[1:].tolist(), len(h)][: len(at)]
-                packed = [pa.array([x[order][i:j].tobytes() for i, j in zip(at.tolist(), ends, strict=True)], pa.binary()) for x in (h, owner)]
-                yield pa.RecordBatch.from_arrays([pa.array(where[order][at]), *packed], names=["range", "hashes", "owners"])
+                packed = [pa.array([x[i:j].tobytes() for i, j in zip(at.tolist(), ends, strict=True)], pa.binary()) for x in (h, owner)]
+                names = ["range", "hashes", "owners"]
+                yield pa.RecordBatch.from_arrays([pa.array(where[at]), *packed], names=names)
+                local = pa.array(counted.column("part").to_numpy() + ranges)
+                yield pa.RecordBatch.from_arrays([local, *(counted.column(c).combine_chunks() for c in ("keys", "counts"))], names=names)
 
     return docs.mapInArrow(run, "range long, hashes binary, owners binary")
 
 
-def _shared_elements(table: pa.Table) -> pa.Table:
-    """(key, shared): how many elements of the range each set shares with any other."""
-    h, owner = (np.concatenate([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()] or [np.zeros(0, np.uint64)]) for c in ("hashes", "owners"))
+_COUNTS = "part long, keys binary, counts binary"
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
+    """Counts per set, packed into one row for each part of the keys."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.diff(part[order], prepend=-1))
+    ends = [*at[1:].tolist(), len(keys)][: len(at)]
+    cells = [pa.array([x[order][i:j].tobytes() for i, j in zip(at.tolist(), ends, strict=True)], pa.binary()) for x in (keys, counts.astype(np.int32))]
+    return pa.table([pa.array(part[order][at]), *cells], names=["part", "keys", "counts"])
+
+
+def _unpacked(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table.column(column).to_pylist()] or [np.zeros(0, kind)])
+
+
+def _shared_elements(table: pa.Table, parts: int) -> pa.Table:
+    """How many elements of the range each set shares with any other; counts of blocks pass as they are."""
+    if table.num_rows and table.column("range")[0].as_py() >= parts:
+        return pa.table([pa.array(table.column("range").to_numpy() - parts), table.column("hashes"), table.column("owners")], names=["part", "keys", "counts"])
+    h, owner = _unpacked(table, "hashes", np.uint64), _unpacked(table, "owners", np.uint64)
     order = np.lexsort((owner, h))
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
@@ -267,8 +303,16 @@ def _shared_elements(table: pa.Table) -> pa.Table:
     h, owner = h[new], owner[new]
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[1:] == h[:-1]
-    key, many = np.unique(owner[same[:-1] | same[1:]], return_counts=True)
-    return pa.table({"key": pa.array(key.view(np.int64)), "shared": pa.array(many.astype(np.int64))})
+    # the owner 0 stands for sets that their block has counted
+    asks = (same[:-1] | same[1:]) & (owner != 0)
+    return _counted(*np.unique(owner[asks], return_counts=True), parts)
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """(key, shared): a part's counts added up over all ranges."""
+    keys, inverse = np.unique(_unpacked(table, "keys", np.uint64), return_inverse=True)
+    total = np.bincount(inverse, _unpacked(table, "counts", np.int32), len(keys)).astype(np.int64)
+    return pa.table({"key": pa.array(keys.view(np.int64)), "shared": pa.array(total)})
 
 
 def promising(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -276,8 +320,8 @@ def promising(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> Data
     spark = docs.sparkSession
     # a range takes the prefixes of about as many documents as BLOCK times eight
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() // (8 * BLOCK))
-    shared = _sent_prefixes(docs, n, percent, ranges).groupBy("range").applyInArrow(_shared_elements, "key long, shared long")
-    shared = shared.groupBy("key").agg(F.sum("shared").alias("shared"))
+    shared = _sent_prefixes(docs, n, percent, ranges).groupBy("range").applyInArrow(lambda t: _shared_elements(t, ranges), _COUNTS)
+    shared = shared.groupBy("part").applyInArrow(_total, "key long, shared long")
     size = F.col("n_shingles")
     must = F.ceil(size * percent / F.lit(100)).cast("long")
     need = F.least(F.floor(F.lit(GUARD) * must).cast("long") + 1, F.ceil(must * percent / F.lit(100)).cast("long"))
@@ -327,7 +371,8 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     shared = seg.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("often"))
     shared = stored(shared.where("low <> high").select("segment", "often"), "shared")
     order = Window.partitionBy("key", "slot").orderBy(F.col("often").desc(), "segment")
-    rows = seg.join(shared, "segment").withColumn("place", F.row_number().over(order))
+    # the join always shuffles, so that its cost grows evenly with the input
+    rows = seg.join(shared.hint("merge"), "segment").withColumn("place", F.row_number().over(order))
     kept = stored(rows.where("place > extra").select("segment", "key"), "kept")
     low = kept.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("segment", "low")
     return kept.join(low, "segment").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct()
@@ -388,9 +433,11 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     sets = promising(docs, classes, n, percent)
     tied = stored(candidates(sets, percent), "tied")
     groups = stored(components(tied), "groups")
-    sized = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
-    cut = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("cuts"))
-    placed = stored(groups.join(sized, "component").select(F.col("component").alias("group"), "cuts", cut.alias("cut"), F.col("node").alias("key")), "placed")
+    # only large groups are named, so that a group's rows need not meet
+    sized = stored(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("cuts")).where("cuts > 1"), "sized")
+    cuts = F.coalesce("cuts", F.lit(1))
+    cut = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), cuts)
+    placed = stored(groups.join(sized, "component", "left").select(F.col("component").alias("group"), cuts.alias("cuts"), cut.alias("cut"), F.col("node").alias("key")), "placed")
     block = lambda *c: F.xxhash64("group", *c)
     first = placed.where("key = group and cuts > 1").select("group", "key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
     rows = placed.select(block("cut").alias("block"), F.lit(1).alias("half"), "key").unionByName(first.select(block("cut").alias("block"), F.lit(1).alias("half"), "key"))
