@@ -393,7 +393,12 @@ def trend_shape(spark, d):
     return rounded(rules.trend_shape(trend.trend(_means(spark, d), CNT, CYC)))
 
 
-@query("fact_rows", f"WITH {_cte(['cnt'], ['item'], 'k2 <> 4')}, x AS (SELECT *, ({_WHY}) IS NOT NULL AS blank FROM res) SELECT cnt, round(estimate, 6) AS level, round(se, 6) AS error, CAST(rank() OVER (ORDER BY estimate DESC) AS INTEGER) AS rank, count(*) OVER () AS ranked, {_SIG('estimate', 'se')} AS significant, CASE WHEN NOT blank AND wcov < 0.85 THEN round(100 * (1 - wcov)) END AS missing_percent FROM x")
+@query(
+    "fact_rows",
+    f"WITH {_cte(['cnt'], ['item'], 'k2 <> 4')}, x AS (SELECT *, ({_WHY}) IS NOT NULL AS blank FROM res), y AS (SELECT *, CASE WHEN NOT blank THEN estimate END AS lv, CASE WHEN NOT blank THEN se END AS er FROM x) "
+    "SELECT cnt, round(lv, 6) AS level, round(er, 6) AS error, CASE WHEN lv IS NOT NULL THEN CAST(rank() OVER (PARTITION BY lv IS NULL ORDER BY lv DESC) AS INTEGER) END AS rank, CASE WHEN lv IS NOT NULL THEN count(lv) OVER () END AS ranked, "
+    f"{_SIG('lv', 'er')} AS significant, CASE WHEN NOT blank AND wcov < 0.85 THEN round(100 * (1 - wcov)) END AS missing_percent FROM y",
+)
 def fact_rows(spark, d):
     res = stats.weighted_mean(survey(spark, d), DESIGN, [F.col("item").cast("double")], CNT, F.col("k2") != 4)
     return rounded(rules.fact_rows(res, "cnt", F.lit(False)))

@@ -92,9 +92,9 @@ def scan_metadata_json(spark, d):
     return spark.read.schema("source string, labels map<string,string>").json(path).select("source", F.explode("labels").alias("variable", "label"))
 
 
-@query("scan_published", "SELECT 'Q' || CAST(n_nationkey AS VARCHAR) AS code, round(avg(c_acctbal), 2) AS published FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 0 GROUP BY n_nationkey")
+@query("scan_published", "SELECT 'Q' || CAST(n_nationkey AS VARCHAR) AS code, round(max(c_acctbal), 2) AS published FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 0 GROUP BY n_nationkey")
 def scan_published(spark, d):
-    raw = table(spark, d, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).cast("string").alias("value")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    raw = table(spark, d, "customer").groupBy("c_nationkey").agg(F.round(F.max("c_acctbal"), 2).cast("string").alias("value")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     letters = lambda c: F.concat(F.lit("Land "), F.translate(c.cast("string"), "0123456789", "abcdefghij"))
     raw = raw.select(F.concat(letters(F.col("n_nationkey")), F.lit(" 2)")).alias("name"), "value")
     codes = table(spark, d, "nation").where("n_nationkey % 5 <> 0").select(letters(F.col("n_nationkey")).alias("name"), F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("code"))
