@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, stored
+from .shared import discard, free_shuffles, stored
 from .words import blocks, mix, windows, words_of
 
 #: Sizes of one interval span this factor; sets of two sizes that can match share an interval.
@@ -431,6 +431,7 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     classes = own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"))
     classes = stored(classes, "classes")
     sets = promising(docs, classes, n, percent)
+    free_shuffles(df.sparkSession)  # texts and prefixes that were dealt out are not needed again
     tied = stored(candidates(sets, percent), "tied")
     groups = stored(components(tied), "groups")
     # only large groups are named, so that a group's rows need not meet
@@ -464,6 +465,7 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     named = stored(linked.join(least, "part").select("key", "component_id", "class_size"), "named")
     out = own.where("n_shingles > 0").join(named, "key", "left").unionByName(own.where("n_shingles = 0").selectExpr("*", "CAST(NULL AS BIGINT) AS component_id", "CAST(NULL AS BIGINT) AS class_size"))
     discard(sets, tied, groups, placed, links)
+    free_shuffles(df.sparkSession)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
@@ -474,6 +476,6 @@ def deduplicate(df: DataFrame, **options: object) -> DataFrame:
     once.
     """
     parts = jaccard_components(df, **options)
-    gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = stored(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     id_col = options.get("id_col", "doc_id")
     return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
