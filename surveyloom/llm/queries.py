@@ -17,6 +17,9 @@ from .op7_quality_rules import quality_rules
 from .op8_packing import first_line_bytes, pack
 from .op9_licenses import scan_licenses
 from .op10_quality_classifier import classify
+from .op11_bpe import round_trip
+from .op12_repair import damage, repair_conversations
+from .op13_whitening import whiten
 from .oracles import ORACLES
 from .shared import fresh_path
 
@@ -77,6 +80,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    return round_trip(_table(spark, sf_dir, "documents"), files.path("byte_bpe_multi_50k.tiktoken"), files.PATTERN)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair_conversations(damage(conversations), conversations)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
@@ -88,6 +106,9 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_bpe": op11_bpe,
+    "op12_repair": op12_repair,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {"op6_chat": op6.ORACLE} | ORACLES
