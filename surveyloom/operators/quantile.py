@@ -1,27 +1,29 @@
 """Weighted quarters and percentiles in bounded pieces.
 
-Both need running sums of weights in value order. A group is cut at approximate quantiles
-into buckets, more of them the larger it is; sums per bucket give every bucket its start,
-and only rows of one bucket are ever sorted together, so a group may hold any share of the
-data.
+Both need running sums of weights in value order. For quarters a group is cut at approximate
+quantiles into buckets, more of them the larger it is; sums per bucket give every bucket its
+start, and only rows of one bucket are ever sorted together. Percentiles are selected by
+narrowing brackets, from sums per bin. So a group may hold any share of the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.design import SurveyDesign
 from ..sources.work import materialized
-from .replicate import _codes, _matrix, analysis_frame, null_safe_join
+from .replicate import STATS, _codes, _matrix, analysis_frame, group_stats, null_safe_join
 
 #: Rows that a bucket aims at, the most buckets of a group, and how many cuts a search passes at a time.
 PIECE, MOST, STRIDE = 50_000, 1024, 32
+#: Bins that a percentile's bracket is cut into.
+BINS = 256
 QUARTERS = (0.25, 0.5, 0.75)
 
 
@@ -95,109 +97,136 @@ def weighted_quarters(df: DataFrame, design: SurveyDesign, value: Column, within
     return placed.withColumn(out, 1 + above).drop("_v", "_at", *[f"_q{i}" for i in range(len(QUARTERS))])
 
 
-def _cells(frame: DataFrame, cuts: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    """Rows with their values as an array and, per imputation, the bucket of each (-1 without a value)."""
-    rows = null_safe_join(frame, cuts, by)
-    one = lambda i: F.when(F.col(f"m_{i}").isNull(), -1).otherwise(_below(f"_e{i}", f"_c{i}", F.col(f"m_{i}")))
-    return rows.select(*by, F.array(*[f"m_{i}" for i in range(1, n + 1)]).alias("_m"), F.array(*[one(i) for i in range(1, n + 1)]).alias("_b"), "_weights")
+def _bin(v: Column, low: Column, high: Column) -> Column:
+    """Which of ``BINS`` parts of equal width of [low, high] holds a value; the ends never share one unless they are equal."""
+    part = F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * BINS)
+    return F.when(v.isNull(), None).when(low == high, 0).when(v >= high, BINS - 1).when(v <= low, 0).otherwise(F.least(F.greatest(part, F.lit(0)), F.lit(BINS - 1))).cast("int")
 
 
-def _reduced(keys: list[np.ndarray], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights added up over rows with equal keys: (a row of each, its sums)."""
-    order = np.lexsort(keys)
-    if not len(order):
-        return order, w
-    new = np.any([np.diff(k[order], prepend=k[order[0]] - 1) != 0 for k in keys], axis=0)
-    starts = np.flatnonzero(new)
-    return order[starts], np.add.reduceat(w[order], starts, axis=0)
+_HIT = "struct<rep:int,percentile:double,need:double>"
+_FOUND = "rep int, percentile double, value double, low double, high double, many long, need double, bin int"
 
 
-def percentiles(df: DataFrame, design: SurveyDesign, measure: Sequence[Column], by: Sequence[str], points: Sequence[float], where: Column | None = None, piece: int = 10_000) -> DataFrame:
-    """``[*by, pv, rep, percentile, value]``: smallest value whose cumulative weight reaches the share.
+def _reach(wanted: list[dict], bins: list[dict]) -> Iterator[dict]:
+    """For each wanted (rep, percentile, need): the first bin, in value order, up to which the weights reach what is needed."""
+    bins = sorted(bins, key=lambda b: b["low"])
+    up_to = np.cumsum(np.array([b["w"] for b in bins]), 0)
+    for h in wanted:
+        run = up_to[:, h["rep"]]
+        # rounding may put a target above the total; it is the last bin's
+        k = min(int(np.searchsorted(run, h["need"])), len(bins) - 1)
+        b = bins[k]
+        yield {
+            "rep": h["rep"], "percentile": h["percentile"], "value": b["low"] if b["low"] == b["high"] else None,
+            "low": b["low"], "high": b["high"], "many": b["many"], "need": h["need"] - (run[k - 1] if k else 0.0), "bin": b["bin"],
+        }
 
-    The first pass finds the cuts of every imputation, the second adds up each bucket's weights, and the
-    third reads the weights of the buckets that hold a percentile under some weight; the rows of such a
-    bucket meet in one task, equal values added up before.
+
+def percentiles(df: DataFrame, design: SurveyDesign, measure: Sequence[Column], by: Sequence[str], points: Sequence[float], where: Column | None = None, small: int = 1024) -> DataFrame:
+    """``[*by, pv, rep, percentile, value, n, n_schools, wcov]``: smallest value whose cumulative weight reaches the share.
+
+    Exact selection by narrowing brackets. The first scan takes each group's range and counts, without the
+    weights. The second adds up the weights of every bin of the range, a vector of all weights a bin; where
+    the target of some weight falls into a bin of one value, that is the answer. The third writes the few
+    rows of the other bins that are hit. Such a bracket of at most ``small`` rows is finished at once; a
+    larger one is cut into bins again, until none is left. Only sums, and brackets of bounded size, are
+    shuffled, and a group's size decides nothing but the number of rounds.
     """
-    n, reps, n_by = len(measure), design.groups + 1, len(by)
+    n, reps, keys = len(measure), design.groups + 1, [*by, "pv"]
     frame = analysis_frame(df, design, measure, by, where)
-    fine = frame.groupBy(*by).agg(*[_fine(f"m_{i}").alias(f"_f{i}") for i in range(1, n + 1)], F.count("*").alias("_n"))
-    # at least 16 buckets, so that few of a small group's rows meet a percentile
-    cuts = fine.select(*by, *[_cut(F.coalesce(f"_f{i}", F.array().cast("array<double>")), F.col("_n"), piece, 16).alias(f"_e{i}") for i in range(1, n + 1)])
-    cuts = materialized(cuts.withColumns({f"_c{i}": _coarse(F.col(f"_e{i}")) for i in range(1, n + 1)}), "cuts")
-    cells = _cells(frame, cuts, by, n)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*by).schema]
-    keys = [*by, "pv"]
-
-    def opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = batch.num_rows
-        x = batch.column(n_by).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(size, n)
-        return x, batch.column(n_by + 1).flatten().to_numpy().reshape(size, n), _matrix(batch.column(n_by + 2), size)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = [f(f"m_{i}").alias(f"_{k}{i}") for i in range(1, n + 1) for k, f in (("low", F.min), ("high", F.max))]
+    spans = materialized(group_stats(frame, by, more=span), "spans")
+    ends = spans.select(*by, *[f"_{k}{i}" for i in range(1, n + 1) for k in ("low", "high")])
+    one = lambda i: F.coalesce(_bin(F.col(f"m_{i}"), F.col(f"_low{i}"), F.col(f"_high{i}")), F.lit(-1))
+    flat = F.array(*[f"m_{i}" for i in range(1, n + 1)]).alias("_m")
+    binned = null_safe_join(frame, ends, by).select(*by, flat, F.array(*[one(i) for i in range(1, n + 1)]).alias("_b"), "_weights")
+    sums = _bin_sums(binned, by, n, reps)
+    total = F.expr(f"transform(sequence(0, {reps - 1}), r -> aggregate(_bins, 0D, (s, b) -> s + b.w[r]))")
+    marks = F.array(*[F.lit(float(p)) for p in points])
+    need = F.flatten(F.transform("_total", lambda t, r: F.transform(marks, lambda p: F.struct(r.alias("rep"), p.alias("percentile"), (t * p / 100).alias("need"))))).cast(f"array<{_HIT}>")
+    found = materialized(_searched(sums.withColumn("_total", total).select(*keys, need.alias("_wanted"), "_bins"), keys), "found")
+    out = [found.where("value IS NOT NULL").select(*keys, "rep", "percentile", "value")]
+    spot = [*keys, "_at"]  # a bracket is told by its lower end
+    left = found.where("value IS NULL").withColumn("_at", F.lit(0.0))
+    rows = None
+    while not left.isEmpty():
+        hits = F.collect_list(F.struct("rep", "percentile", "need")).cast(f"array<{_HIT}>")
+        brackets = left.groupBy(*spot, "bin", "low", "high").agg(F.first("many").alias("_many"), hits.alias("_wanted"))
+        brackets = materialized(brackets, "brackets")
+        if rows is None:
+            rows = _hit_rows(binned, brackets, by, n).withColumn("_at", F.lit(0.0))
+        rows = null_safe_join(rows, brackets.select(*spot, "bin", "low", "high", "_many"), [*spot, "bin"])
+        inner = _bin(F.col("value"), F.col("low"), F.col("high")).alias("bin")
+        rows = materialized(rows.select(*keys, F.col("low").alias("_at"), "value", "_w", inner, "_many"), "bracket_rows")
+        cell = F.struct("bin", F.col("value").alias("low"), F.col("value").alias("high"), F.lit(1).cast("long").alias("many"), F.col("_w").alias("w"))
+        few = rows.where(F.col("_many") <= small).groupBy(*spot).agg(F.collect_list(cell).alias("_bins"))
+        wide = rows.where(F.col("_many") > small).select(*spot, F.array("value").alias("_m"), F.array("bin").alias("_b"), F.col("_w").alias("_weights"))
+        wide = _bin_sums(wide, spot, 1, reps, None)
+        wanted = brackets.select(*keys, F.col("low").alias("_at"), "_wanted")
+        found = null_safe_join(few.unionByName(wide), wanted, spot).select(*spot, "_wanted", "_bins")
+        found = materialized(_searched(found, spot), "found")
+        out.append(found.where("value IS NOT NULL").select(*keys, "rep", "percentile", "value"))
+        left = found.where("value IS NULL")
+        rows = null_safe_join(rows.drop("_many"), left.select(*spot, "bin").distinct(), [*spot, "bin"])
+    values = reduce(DataFrame.unionByName, out)
+    return null_safe_join(values, spans.select(*by, *STATS), by)
+
+
+def _bin_sums(binned: DataFrame, by: Sequence[str], n: int, reps: int, pv: str | None = "pv") -> DataFrame:
+    """``[*by, pv, _bins]``: of every bin its range, rows and summed weights, as one array; rows are added up where they are read."""
+    n_by = len(by)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in binned.select(*by).schema]
+    keys, widths = [*by, *([pv] if pv else [])], [f"s{r}" for r in range(reps)]
+    names = [*keys, "bin", "low", "high", "many", *widths]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            size = batch.num_rows
+            if not size:
                 continue
-            _, bucket, w = opened(batch)
+            x = batch.column(n_by).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(size, n)
+            bins, w = batch.column(n_by + 1).flatten().to_numpy().reshape(size, n), _matrix(batch.column(n_by + 2), size)
             code = _codes(batch, range(n_by))
             for i in range(n):
-                some = np.flatnonzero(bucket[:, i] >= 0)
-                at, total = _reduced([bucket[some, i], code[some]], w[some])
-                at = some[at]
-                cols = [batch.column(k).take(pa.array(at)) for k in range(n_by)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(at), i + 1, np.int32)), pa.array(bucket[at, i].astype(np.int32)), *[pa.array(np.ascontiguousarray(total[:, r])) for r in range(reps)]], names=[*keys, "_bucket", *[f"s{r}" for r in range(reps)]])
-
-    per = cells.mapInArrow(sums, ", ".join([*kinds, "pv int, _bucket int", *[f"s{r} double" for r in range(reps)]]))
-    per = per.groupBy(*keys, "_bucket").agg(*[F.sum(f"s{r}").alias(f"s{r}") for r in range(reps)])
-    per = per.select(*keys, "_bucket", F.posexplode(F.array(*[f"s{r}" for r in range(reps)])).alias("rep", "_in"))
-    up_to = Window.partitionBy(*keys, "rep").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    per = per.select(*keys, "rep", "_bucket", F.sum("_in").over(up_to).alias("_end"), "_in", F.sum("_in").over(Window.partitionBy(*keys, "rep")).alias("_total"))
-    per = per.select("*", F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("percentile")).withColumn("_target", F.col("_total") * F.col("percentile") / 100)
-    # the last bucket also takes a target that rounding has put above the total
-    last = F.col("_end") == F.col("_total")
-    hit = per.where(((F.col("_end") >= F.col("_target")) | last) & (F.col("_end") - F.col("_in") < F.col("_target")) | (F.col("_target") <= 0))
-    first = Window.partitionBy(*keys, "rep", "percentile").orderBy("_bucket")
-    hit = hit.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(*keys, "_bucket", "rep", "percentile", (F.col("_target") - (F.col("_end") - F.col("_in"))).alias("_left"))
-    wanted = materialized(hit.groupBy(*keys, "_bucket").agg(F.collect_list(F.struct("rep", "percentile", "_left")).alias("_hits")), "hits")
-    mine = wanted.groupBy(*by).agg(F.collect_set(F.struct("pv", "_bucket")).alias("_wanted"))
-    some = null_safe_join(cells, mine, by)
-    keep = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array_contains("_wanted", F.struct(i.alias("pv"), F.get("_b", i - 1).alias("_bucket"))))
-    some = some.select(*by, "_m", F.zip_with("_b", keep, lambda b, k: F.when(k, b).otherwise(-1)).alias("_b"), "_weights").where(F.exists("_b", lambda b: b >= 0))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                some = np.flatnonzero(bins[:, i] >= 0)
+                order = some[np.lexsort([bins[some, i], code[some]])]
+                if not len(order):
+                    continue
+                pair = code[order] * BINS + bins[order, i]
+                starts = np.flatnonzero(np.diff(pair, prepend=-1))
+                at, v = order[starts], x[order, i]
+                cols = [batch.column(k).take(pa.array(at)) for k in range(n_by)] + ([pa.array(np.full(len(at), i + 1, np.int32))] if pv else [])
+                cols += [pa.array(bins[at, i].astype(np.int32)), pa.array(np.minimum.reduceat(v, starts)), pa.array(np.maximum.reduceat(v, starts)), pa.array(np.diff(np.append(starts, len(order))))]
+                total = np.add.reduceat(w[order], starts, axis=0)
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(total[:, r])) for r in range(reps)]], names=names)
+
+    sent = binned.mapInArrow(run, ", ".join([*kinds, *([f"{pv} int"] if pv else []), "bin int, low double, high double, many long", *[f"{s} double" for s in widths]]))
+    per = sent.groupBy(*keys, "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("many").alias("many"), *[F.sum(s).alias(s) for s in widths])
+    return per.groupBy(*keys).agg(F.collect_list(F.struct("bin", "low", "high", "many", F.array(*widths).alias("w"))).alias("_bins"))  # BINS at most
+
+
+def _hit_rows(binned: DataFrame, brackets: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """(by, pv, bin, value, _w): a row for each imputation of a row that lies in a bin that is hit."""
+    wanted = brackets.groupBy(*by).agg(F.collect_set(F.col("pv") * BINS + F.col("bin")).alias("_hits"))
+    met = lambda i: F.array_contains("_hits", F.lit(i * BINS) + F.get("_b", F.lit(i - 1))) & (F.get("_b", F.lit(i - 1)) >= 0)
+    cells = F.array_compact(F.array(*[F.when(met(i), F.struct(F.lit(i).alias("pv"), F.get("_b", F.lit(i - 1)).alias("bin"), F.get("_m", F.lit(i - 1)).alias("value"))) for i in range(1, n + 1)]))
+    rows = null_safe_join(binned, wanted, by).select(*by, cells.alias("_cells"), "_weights").where("size(_cells) > 0")
+    return rows.select(*by, F.explode("_cells").alias("_c"), F.col("_weights").alias("_w")).select(*by, "_c.*", "_w")
+
+
+def _searched(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ``_FOUND``): every wanted target looked up in the bins of its row."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema]
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, bucket, w = opened(batch)
-            code = _codes(batch, range(n_by))
-            for i in range(n):
-                rows = np.flatnonzero(bucket[:, i] >= 0)
-                at, total = _reduced([x[rows, i], code[rows]], w[rows])
-                at = rows[at]
-                cols = [batch.column(k).take(pa.array(at)) for k in range(n_by)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * reps, pa.int32()), pa.array(total.ravel()))
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(at), i + 1, np.int32)), pa.array(bucket[at, i].astype(np.int32)), pa.array(x[at, i]), lists], names=[*keys, "_bucket", "value", "_w"])
-
-    rows = some.mapInArrow(near, ", ".join([*kinds, "pv int, _bucket int, value double, _w array<double>"]))
-
-    def reached(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The value at which each hit of a bucket is reached."""
-        left, right = left.combine_chunks(), right.combine_chunks()
-        hits = [h for x in right.column("_hits").to_pylist() for h in x]
-        if not left.num_rows or not hits:
-            return out_schema.empty_table()
-        value = left.column("value").to_numpy()
-        order = np.argsort(value, kind="stable")
-        value = value[order]
-        w = left.column("_w").combine_chunks().flatten().to_numpy().reshape(len(value), -1)[order]
-        cum = np.cumsum(w, 0)
-        got = [value[min(int(np.searchsorted(cum[:, h["rep"]], h["_left"])), len(value) - 1)] for h in hits]
-        at = pa.array(np.zeros(len(hits), np.int64))
-        cols = [left.column(k).take(at) for k in keys]
-        return pa.Table.from_arrays([*cols, pa.array([h["rep"] for h in hits], pa.int32()), pa.array([h["percentile"] for h in hits], pa.float64()), pa.array(got, pa.float64())], schema=out_schema)
-
-    out_kinds = ", ".join([*kinds, "pv int, rep int, percentile double, value double"])
-    shape = df.sparkSession.createDataFrame([], out_kinds).schema
-    out_schema = to_arrow_schema(shape)
-    group = [*keys, "_bucket"]
-    return rows.groupBy(*group).cogroup(wanted.groupBy(*group)).applyInArrow(reached, shape)
+            for k in range(batch.num_rows):
+                got = list(_reach(batch.column(n)[k].as_py(), batch.column(n + 1)[k].as_py()))
+                at = pa.array(np.full(len(got), k))
+                cols = [pa.array([g[c] for g in got], t) for c, t in zip(names, found_types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(at) for j in range(n)), *cols], names=[*keys, *names])
+
+    found_types = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[x.split()[1]] for x in _FOUND.split(", ")]
+    return rows.mapInArrow(run, ", ".join([*kinds, _FOUND]))

@@ -8,10 +8,11 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.design import SurveyDesign
+from ..sources.work import materialized
 from .replicate import STATS, analysis_frame, combine, null_safe_join, weighted_sums
 from .stats import _quartered
 
@@ -31,37 +32,86 @@ def _pairs(k: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(k + 1) for b in range(a, k + 1)]
 
 
-def regression(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predictors: dict[str, Column], by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
-    """Coefficients with standard errors: ``[*by, term, ...]``; groups of ``regression_skipped`` are left out."""
-    frame, k = _frame(df, design, y, predictors, by, where), len(predictors)
-    x = lambda j: F.lit(1.0) if j == 0 else F.col(f"x_{j}")
+#: A predictor whose part that the others leave open is this share of its variance, or less, depends on them.
+OPEN = 1e-10
+
+
+def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """(coefficients with the intercept first, dependent predictor or 0, the single predictor that it repeats or 0).
+
+    ``a`` and ``b`` are the cross products of the intercept and the predictors with each other and with the
+    outcome. They are centred and scaled, so that correlations are left whatever the units, and decomposed
+    predictor by predictor: of one that those before it determine the step leaves nothing. Such a system,
+    and one without weight, has no coefficients (NaN).
+    """
+    k, none = len(a) - 1, np.full(len(a), np.nan)
+    if not a[0, 0] > 0:
+        return none, 1, 0
+    mean, y = a[0, 1:] / a[0, 0], b[0] / a[0, 0]
+    cov = a[1:, 1:] / a[0, 0] - np.outer(mean, mean)
+    size = np.sqrt(np.maximum(np.diag(cov), 0))
+    flat = np.flatnonzero(size**2 <= OPEN * np.diag(a)[1:] / a[0, 0])
+    if len(flat):
+        return none, int(flat[0]) + 1, 0
+    corr, low = cov / np.outer(size, size), np.zeros((k, k))
+    for j in range(k):
+        low[j, :j] = np.linalg.solve(low[:j, :j], corr[:j, j])
+        rest = corr[j, j] - low[j, :j] @ low[j, :j]
+        if rest <= OPEN:
+            same = np.flatnonzero(corr[:j, j] ** 2 >= 1 - OPEN)
+            return none, j + 1, int(same[0]) + 1 if len(same) else 0
+        low[j, j] = np.sqrt(rest)
+    right = (b[1:] / a[0, 0] - mean * y) / size
+    slope = np.linalg.solve(low.T, np.linalg.solve(low, right)) / size
+    return np.array([y - slope @ mean, *slope]), 0, 0
+
+
+def _solved(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(groups with a reason why they have no regression, ``[*by, rep, pv, STATS, beta, reason]`` of the others).
+
+    A first scan without the weights counts values and takes each predictor's mean and range; in the second
+    one predictors are shifted and scaled by these, so that cross products keep their digits.
+    """
+    k = len(names)
+    spans = materialized(_spans(frame, by, n_y, names), "spans")
+    fit = null_safe_join(frame, spans.where("reason IS NULL").drop("reason"), by)
+    x = lambda j: F.lit(1.0) if j == 0 else (F.col(f"x_{j}") - F.col("_shift")[j - 1]) / F.col("_range")[j - 1]
     terms: dict[str, Column] = {}
-    for i in range(1, len(y) + 1):
+    for i in range(1, n_y + 1):
         m = F.col(f"m_{i}")
         terms |= {f"a_{i}_{a}_{b}": F.when(m.isNotNull(), x(a) * x(b)) for a, b in _pairs(k)}
         terms |= {f"c_{i}_{a}": F.when(m.isNotNull(), x(a) * m) for a in range(k + 1)}
-    sums = weighted_sums(frame, by, terms, [F.col("m_1").isNotNull()]).withColumnsRenamed({f"{c}_0": c for c in STATS})
-    skipped = _skipped(frame, by, len(y), list(predictors))
-    sums = null_safe_join(sums, skipped.select(*by).withColumn("_bad", F.lit(1)), by, "left").where("_bad IS NULL") if by else sums
+    sums = weighted_sums(fit, by, terms, [F.col("m_1").isNotNull()]).withColumnsRenamed({f"{c}_0": c for c in STATS})
     cell = lambda i: F.struct(F.lit(i).alias("pv"), F.array(*[f"a_{i}_{a}_{b}" for a, b in _pairs(k)], *[f"c_{i}_{a}" for a in range(k + 1)]).alias("s"))
-    long = sums.select(*by, "rep", F.explode(F.array(*[cell(i) for i in range(1, len(y) + 1)])).alias("c"), *STATS).select(*by, "rep", "c.pv", *STATS, "c.s")
-    names, n_by = [INTERCEPT, *predictors], len(by) + len(STATS)
-    upper = np.array(_pairs(k))
+    long = sums.select(*by, "rep", F.explode(F.array(*[cell(i) for i in range(1, n_y + 1)])).alias("c"), *STATS).select(*by, "rep", "c.pv", *STATS, "c.s")
+    long = null_safe_join(long, spans.select(*by, "_shift", "_range"), by)
+    upper, n_keys = np.array(_pairs(k)), len(by) + 2 + len(STATS)
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = batch.column(n_by + 2).flatten().to_numpy().reshape(batch.num_rows, -1)
-            a = np.zeros((len(s), k + 1, k + 1))
-            a[:, upper[:, 0], upper[:, 1]] = a[:, upper[:, 1], upper[:, 0]] = s[:, : len(upper)]
-            ok = np.linalg.matrix_rank(a) == k + 1 if len(a) else np.zeros(0, bool)
-            beta = np.full((len(s), k + 1), np.nan)
-            beta[ok] = np.linalg.solve(a[ok], s[ok, len(upper) :, None])[:, :, 0]
-            at = pa.array(np.repeat(np.arange(len(s)), k + 1))
-            keys = [batch.column(j).take(at) for j in range(n_by + 2)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(names * len(s), pa.string()), pa.array(beta.ravel(), mask=np.isnan(beta.ravel()))], names=[*by, "rep", "pv", *STATS, "term", "value"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*by, "rep", "pv", *STATS).schema)
-    values = long.mapInArrow(solve, f"{kinds}, term string, value double")
+            betas, reasons = [], []
+            for s, shift, size in zip(*(batch.column(n_keys + c).to_pylist() for c in range(3)), strict=True):
+                s, a = np.array(s), np.zeros((k + 1, k + 1))
+                a[upper[:, 0], upper[:, 1]] = a[upper[:, 1], upper[:, 0]] = s[: len(upper)]
+                beta, depends, on = solve(a, s[len(upper) :])
+                beta[1:] = beta[1:] / size
+                beta[0] -= beta[1:] @ np.array(shift)
+                betas.append(None if depends else beta.tolist())
+                reasons.append(f"{names[depends - 1]} depends on {names[on - 1] if on else 'the predictors before it'}" if depends else None)
+            cols = [*(batch.column(c) for c in range(n_keys)), pa.array(betas, pa.list_(pa.float64())), pa.array(reasons, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*by, "rep", "pv", *STATS, "beta", "reason"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.select(*by, "rep", "pv", *STATS).schema)
+    return spans.where("reason IS NOT NULL").select(*by, "reason"), long.mapInArrow(run, f"{kinds}, beta array<double>, reason string")
+
+
+def regression(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predictors: dict[str, Column], by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
+    """Coefficients with standard errors: ``[*by, term, ...]``; groups of ``regression_skipped`` are left out."""
+    _, solved = _solved(_frame(df, design, y, predictors, by, where), by, len(y), list(predictors))
+    whole = solved.withColumn("_bad", F.max("reason").over(Window.partitionBy(*by))).where("_bad IS NULL")
+    names = F.array(*[F.lit(x) for x in (INTERCEPT, *predictors)])
+    cells = F.explode(F.arrays_zip(names.alias("term"), F.col("beta").alias("value"))).alias("_c")
+    values = whole.select(*by, "rep", "pv", *STATS, cells).select(*by, "rep", "pv", *STATS, "_c.term", "_c.value")
     return combine(values, [*by, "term"], design)
 
 
@@ -69,14 +119,14 @@ def regression_by_quarter(df: DataFrame, design: SurveyDesign, y: Sequence[Colum
     return regression(_quartered(df, design, over, by, where), design, y, predictors, ["quarter", *by])
 
 
-def _skipped(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str]) -> DataFrame:
+def _spans(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str]) -> DataFrame:
+    """``[*by, reason, _shift, _range]``: what keeps a group out at once, and where its predictors lie."""
     k = len(names)
     full = reduce(and_, [F.col(f"m_{i}").isNotNull() for i in range(1, n_y + 1)])
     x = [F.when(full, F.col(f"x_{j}")) for j in range(1, k + 1)]
     counts = [F.count(f"m_{i}").alias(f"y{i}") for i in range(1, n_y + 1)] + [F.count(f"x_{j}").alias(f"n{j}") for j in range(1, k + 1)]
-    spread = [F.stddev_pop(c).alias(f"s{j}") for j, c in enumerate(x, 1)]
-    cross = [F.corr(x[a], x[b]).alias(f"r{a}_{b}") for a in range(k) for b in range(a + 1, k)]
-    g = frame.groupBy(*by).agg(*counts, *spread, *cross, F.count(F.when(full, 1)).alias("complete"))
+    places = [f(c).alias(f"{name}{j}") for j, c in enumerate(x, 1) for name, f in (("mean", F.avg), ("low", F.min), ("high", F.max))]
+    g = frame.groupBy(*by).agg(*counts, *places, F.count(F.when(full, 1)).alias("complete"))
     # the outcome counts only where all predictors are known, so they are named first
     reason = F.when(F.col("n1") == 0, f"{names[0]} has no values")
     for j, name in enumerate(names[1:], 2):
@@ -84,30 +134,16 @@ def _skipped(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str]
     reason = reason.when(F.least(*[F.col(f"y{i}") for i in range(1, n_y + 1)], F.lit(1 << 60)) == 0, "outcome has no values")
     reason = reason.when(F.col("complete") < k + 2, "too few complete rows")
     for j, name in enumerate(names, 1):
-        reason = reason.when(F.coalesce(F.col(f"s{j}"), F.lit(0.0)) < 1e-12, f"{name} has a single value")
-    pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
-    out = g.select(*by, reason.alias("reason"), F.array(*[F.coalesce(F.col(f"r{a}_{b}"), F.lit(0.0)) for a, b in pairs], F.lit(0.0)).alias("_r"))
-    if k < 2:
-        return out.drop("_r").where("reason IS NOT NULL")
-
-    def dependent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Name the first predictor that the ones before it determine, from the correlations."""
-        for batch in batches:
-            said = batch.column(len(by)).to_pylist()
-            for row, r in enumerate(batch.column(len(by) + 1).to_pylist()):
-                m = np.eye(k)
-                for (a, b), v in zip(pairs, r, strict=False):
-                    m[a, b] = m[b, a] = v
-                for j in range(1, k):
-                    if said[row] is None and np.linalg.matrix_rank(m[: j + 1, : j + 1], tol=1e-9) <= j:
-                        one = next((i for i in range(j) if abs(m[i, j]) > 1 - 1e-12), None)
-                        said[row] = f"{names[j]} depends on {names[one] if one is not None else 'the predictors before it'}"
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(by))), pa.array(said, pa.string())], names=[*by, "reason"])
-
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*by).schema]
-    return out.mapInArrow(dependent, ", ".join([*kinds, "reason string"])).where("reason IS NOT NULL")
+        reason = reason.when(F.col(f"low{j}") == F.col(f"high{j}"), f"{name} has a single value")
+    ranges = F.array(*[F.col(f"high{j}") - F.col(f"low{j}") for j in range(1, k + 1)])
+    return g.select(*by, reason.alias("reason"), F.array(*[f"mean{j}" for j in range(1, k + 1)]).alias("_shift"), ranges.alias("_range"))
 
 
 def regression_skipped(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predictors: dict[str, Column], by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
-    """(group, reason) of groups without a regression; a predictor that others determine is named."""
-    return _skipped(_frame(df, design, y, predictors, by, where), by, len(y), list(predictors))
+    """(group, reason) of groups without a regression; a predictor that others determine is named.
+
+    The reasons come from the very systems that ``regression`` solves, so every group is in one of the two.
+    """
+    early, solved = _solved(_frame(df, design, y, predictors, by, where), by, len(y), list(predictors))
+    late = solved.where("reason IS NOT NULL").groupBy(*by).agg(F.min_by("reason", F.struct("pv", "rep")).alias("reason"))
+    return early.unionByName(late.where("reason IS NOT NULL"))

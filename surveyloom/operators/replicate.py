@@ -58,10 +58,10 @@ def analysis_frame(df: DataFrame, design: SurveyDesign, measures: Sequence[Colum
     )
 
 
-def group_stats(frame: DataFrame, by: Sequence[str], seen: Column | None = None) -> DataFrame:
+def group_stats(frame: DataFrame, by: Sequence[str], seen: Column | None = None, more: Sequence[Column] = ()) -> DataFrame:
     """Rows and schools with a value of the first measure, and the weighted share of such rows.
 
-    ``n_schools`` is -1 where no row of the group has a school.
+    ``n_schools`` is -1 where no row of the group has a school. ``more`` are further aggregates of the same scan.
     """
     seen = F.col("m_1").isNotNull() if seen is None else seen
     schools = F.count_distinct(F.when(seen, F.col("_school")))
@@ -69,6 +69,7 @@ def group_stats(frame: DataFrame, by: Sequence[str], seen: Column | None = None)
         F.count(F.when(seen, 1)).alias("n"),
         F.when(F.count("_school") > 0, schools).otherwise(F.lit(-1)).alias("n_schools"),
         F.try_divide(F.sum(F.when(seen, F.col("_w0"))), F.sum("_w0")).alias("wcov"),
+        *more,
     )
 
 

@@ -14,19 +14,30 @@ from .replicate import _codes, _matrix, null_safe_join
 
 
 def _share(design: SurveyDesign, column: Column, codes: Sequence) -> Column:
+    """Weighted share of students with ``codes`` among those with a value: 0, not NULL, where nobody has one of them."""
     w = F.col(design.weight).cast("double")
-    return F.try_divide(F.sum(F.when(column.isin(*codes), w)), F.sum(F.when(column.isNotNull(), w)))
+    return F.try_divide(F.sum(F.when(column.isin(*codes), w).otherwise(0.0)), F.sum(F.when(column.isNotNull(), w)))
+
+
+def _schools(df: DataFrame, design: SurveyDesign, column: Column, codes: Sequence, out: str) -> DataFrame:
+    """(economy, school, share, n) of every school with a known share; students without a school are in none."""
+    known = df.where(F.col(design.school).isNotNull())
+    shares = known.groupBy(design.economy, design.school).agg(_share(design, column, codes).alias(out), F.count("*").alias("n"))
+    return shares.where(F.col(out).isNotNull())
 
 
 def school_share(df: DataFrame, design: SurveyDesign, column: Column, codes: Sequence, out: str) -> DataFrame:
-    """Add each student's school's weighted share of students with ``codes``; grouped first, then joined."""
+    """Add each student's school's weighted share of students with ``codes``; NULL without a school or a known share."""
     keys = [design.economy, design.school]
-    return null_safe_join(df, df.groupBy(*keys).agg(_share(design, column, codes).alias(out)), keys, "left")
+    return null_safe_join(df, _schools(df, design, column, codes, out).drop("n"), keys, "left")
 
 
 def school_split(df: DataFrame, design: SurveyDesign, column: Column, codes: Sequence, cut: float) -> DataFrame:
-    """Per economy: schools, schools at or above the cut, percentiles of the share, median students a school."""
-    schools = df.groupBy(design.economy, design.school).agg(_share(design, column, codes).alias("share"), F.count("*").alias("n"))
+    """Per economy: schools, schools at or above the cut, percentiles of the share, median students a school.
+
+    Schools without a known share and students without a school count nowhere.
+    """
+    schools = _schools(df, design, column, codes, "share")
     points = {f"p{int(100 * p)}": F.percentile("share", p) for p in (0.1, 0.5, 0.9)}
     return schools.groupBy(design.economy).agg(
         F.count("*").alias("n_schools"), F.count_if(F.col("share") >= cut).alias("n_at_cut"), *[c.alias(k) for k, c in points.items()], F.percentile("n", 0.5).alias("median_students")

@@ -13,7 +13,7 @@ from ..sources.work import materialized
 from .quantile import percentiles as percentile_values
 from .quantile import weighted_quarters
 from .replicate import STATS, analysis_frame, combine, contrast, null_safe_join, replicate_frame, replicate_means, stack, weighted_sums, with_stats
-from .schools import school_sums
+from .schools import school_share, school_sums
 
 By = Sequence[str]
 Measure = Sequence[Column]
@@ -61,6 +61,21 @@ def gap_levels(df: DataFrame, design: SurveyDesign, measure: Measure, group: Col
     return weighted_mean(rows, design, measure, [*by, "side"], F.col("side").isin(a, b))
 
 
+def school_share_gap(
+    df: DataFrame, design: SurveyDesign, measure: Measure, column: Column, codes: Sequence, cut: float, by: By = (), students: Sequence | None = None, label: str | None = None
+) -> DataFrame:
+    """Students in schools where at least ``cut`` of the students have ``codes``, minus students in schools below it.
+
+    ``students`` restricts the compared students to codes of the same column; it leaves the schools' shares as
+    they are, which count every student. Students without a school, and of schools without a known share, are
+    on neither side.
+    """
+    rows = school_share(df, design, column, codes, "_share")
+    who = F.lit(True) if students is None else column.isin(*students)
+    side = F.when(who & (F.col("_share") >= cut), 1).when(who & (F.col("_share") < cut), 0)
+    return gap(rows, design, measure, side, 1, 0, by, label=label or "high minus low")
+
+
 def _quartered(df: DataFrame, design: SurveyDesign, over: Column, by: By, where: Column | None) -> DataFrame:
     """Quarters are cut within the economy, or in all rows when it is not a group; the filter comes first."""
     rows = df if where is None else df.where(where)
@@ -133,17 +148,12 @@ def weighted_sd(df: DataFrame, design: SurveyDesign, measure: Measure, by: By =
     return combine(replicate_frame(frame, by, len(measure), sums, value), by, design)
 
 
-def percentile_replicates(df: DataFrame, design: SurveyDesign, measure: Measure, by: By, points: Sequence[float], where: Column | None = None) -> DataFrame:
-    values = percentile_values(df, design, measure, by, points, where)
-    return with_stats(values, analysis_frame(df, design, measure, by, where), by)
-
-
 def percentiles(df: DataFrame, design: SurveyDesign, measure: Measure, by: By = (), points: Sequence[float] = (10, 25, 50, 75, 90), where: Column | None = None) -> DataFrame:
-    return combine(percentile_replicates(df, design, measure, by, points, where), [*by, "percentile"], design)
+    return combine(percentile_values(df, design, measure, by, points, where), [*by, "percentile"], design)
 
 
 def percentile_spread(df: DataFrame, design: SurveyDesign, measure: Measure, by: By = (), lower: float = 10, upper: float = 90, where: Column | None = None) -> DataFrame:
-    reps = percentile_replicates(df, design, measure, by, (lower, upper), where)
+    reps = percentile_values(df, design, measure, by, (lower, upper), where)
     diff = contrast(reps, by, "percentile", float(upper), float(lower))
     return combine(diff, by, design).select(F.lit(f"P{upper:g} minus P{lower:g}").alias("contrast"), "*")
 

@@ -183,23 +183,42 @@ def school_mean_measure(spark, d):
     return rounded(stats.weighted_mean(df, DESIGN, [F.col("school_escs")], CNT))
 
 
-_SHARE_W = "sum(CASE WHEN item IN (1, 2) THEN w0 END) OVER (PARTITION BY cnt, sch) / sum(CASE WHEN item IS NOT NULL THEN w0 END) OVER (PARTITION BY cnt, sch)"
+# a school's share counts every student of it; the students compared are chosen afterwards
+_SHARE_W = """sum(CASE WHEN item IN (1, 2) THEN w0 ELSE 0 END) OVER (PARTITION BY cnt, sch)
+  / sum(CASE WHEN item IS NOT NULL THEN w0 END) OVER (PARTITION BY cnt, sch)"""
 
 
-@query(
-    "school_share_gap",
-    f"WITH f AS (SELECT *, CASE WHEN {_SHARE_W} >= 0.4 THEN 1 ELSE 0 END AS hi FROM ({sql_f()[6:-1]})), {sql_rep(['cnt', 'hi'], pv())}, d AS (SELECT cnt, pv, rep, max(CASE WHEN hi = 1 THEN value END) - max(CASE WHEN hi = 0 THEN value END) AS value, min(n) AS n, min(n_schools) AS n_schools, min(wcov) AS wcov FROM r WHERE hi IN (0, 1) GROUP BY cnt, pv, rep), {sql_comb(CNT, src='d')} SELECT 'high minus low' AS contrast, cnt, {ALL} FROM c",
-)
+def _school_gap_sql(who="sch IS NOT NULL"):
+    return f"""WITH x AS (SELECT *, {_SHARE_W} AS share FROM ({sql_f()[6:-1]})),
+f AS (SELECT *, CASE WHEN {who} AND share >= 0.4 THEN 1 WHEN {who} AND share < 0.4 THEN 0 END AS hi FROM x),
+{sql_rep(['cnt', 'hi'], pv())},
+d AS (SELECT cnt, pv, rep, max(CASE WHEN hi = 1 THEN value END) - max(CASE WHEN hi = 0 THEN value END) AS value,
+  min(n) AS n, min(n_schools) AS n_schools, min(wcov) AS wcov FROM r WHERE hi IN (0, 1) GROUP BY cnt, pv, rep),
+{sql_comb(CNT, src='d')}
+SELECT 'high minus low' AS contrast, cnt, {ALL} FROM c"""
+
+
+@query("school_share_gap", _school_gap_sql())
 def school_share_gap(spark, d):
-    from ..operators.schools import school_share
+    return rounded(stats.school_share_gap(survey(spark, d), DESIGN, pva(), F.col("item"), [1, 2], 0.4, CNT))
+
 
-    df = school_share(survey(spark, d), DESIGN, F.col("item"), [1, 2], "share")
-    return rounded(stats.gap(df, DESIGN, pva(), F.when(F.col("share") >= 0.4, 1).otherwise(0), 1, 0, CNT, label="high minus low"))
+@query("school_share_gap_students", _school_gap_sql("sch IS NOT NULL AND item IN (1)"))
+def school_share_gap_students(spark, d):
+    """Only students of one code are compared; the schools' shares count all."""
+    return rounded(stats.school_share_gap(survey(spark, d), DESIGN, pva(), F.col("item"), [1, 2], 0.4, CNT, students=[1]))
 
 
 @query(
     "school_split",
-    f"WITH {sql_f()}, s AS (SELECT cnt, sch, sum(CASE WHEN item IN (1, 2) THEN w0 END) / sum(CASE WHEN item IS NOT NULL THEN w0 END) AS share, count(*) AS n FROM f GROUP BY cnt, sch) SELECT cnt, count(*) AS n_schools, count(CASE WHEN share >= 0.4 THEN 1 END) AS n_at_cut, round(quantile_cont(share, 0.1), 6) AS p10, round(quantile_cont(share, 0.5), 6) AS p50, round(quantile_cont(share, 0.9), 6) AS p90, round(quantile_cont(CAST(n AS DOUBLE), 0.5), 6) AS median_students FROM s GROUP BY cnt",
+    f"""WITH {sql_f()},
+s AS (SELECT cnt, sch, count(*) AS n,
+    sum(CASE WHEN item IN (1, 2) THEN w0 ELSE 0 END) / sum(CASE WHEN item IS NOT NULL THEN w0 END) AS share
+  FROM f WHERE sch IS NOT NULL GROUP BY cnt, sch)
+SELECT cnt, count(*) AS n_schools, count(*) FILTER (WHERE share >= 0.4) AS n_at_cut,
+  round(quantile_cont(share, 0.1), 6) AS p10, round(quantile_cont(share, 0.5), 6) AS p50, round(quantile_cont(share, 0.9), 6) AS p90,
+  round(quantile_cont(CAST(n AS DOUBLE), 0.5), 6) AS median_students
+FROM s WHERE share IS NOT NULL GROUP BY cnt""",
 )
 def school_split(spark, d):
     from ..operators.schools import school_split as split

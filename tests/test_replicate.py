@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surveyloom.functions import measures as ms
-from surveyloom.operators import regress, rules, stats, trend
+from surveyloom.operators import quantile, regress, rules, schools, stats, trend
 from surveyloom.operators.quantile import weighted_quarters
 from surveyloom.operators.replicate import combine, contrast, replicate_means
 from surveyloom.plans.design import SurveyDesign
@@ -159,13 +159,46 @@ def test_one_statistic_reads_its_rows_once(spark, df, tmp_path):
     assert scans(stats.crosstab(stored, DESIGN, "cnt", "id", categories=[1, 2, 3])) == 1
 
 
-def test_percentiles_match_sorted_rule(df, rows):
-    got = {(r.cnt, r.percentile): r.estimate for r in stats.percentiles(df, DESIGN, [F.col("m1")], ["cnt"], (0, 10, 50, 100)).collect()}
-    for (g, p), e in got.items():
-        own = sorted((r["m1"], r["w0"]) for r in rows if r["cnt"] == g)
+@pytest.mark.parametrize("small", [1024, 1])
+def test_percentiles_match_sorted_rule(df, rows, small):
+    """Every weight's own percentile; with ``small`` 1 brackets are cut again and again."""
+    measures = {1: "m1", 2: "m2", 3: "t"}
+    tied = F.round(F.col("m1") / 200).cast("double")
+    got = quantile.percentiles(df, DESIGN, [F.col("m1"), F.col("m2"), tied], ["cnt"], (0, 10, 50, 100), small=small).collect()
+    assert len(got) == 4 * 3 * (G + 1) * 4
+    for r in got:
+        own = [({"m1": x["m1"], "m2": x["m2"], "t": float(np.floor(x["m1"] / 200 + 0.5))}[measures[r.pv]], x[f"w{r.rep}"]) for x in rows if x["cnt"] == r.cnt]
+        own = sorted(x for x in own if x[0] is not None)
         cum = np.cumsum([w for _, w in own])
-        k = min(int(np.searchsorted(cum, cum[-1] * p / 100)), len(own) - 1)
-        assert e == own[k][0], (g, p)
+        k = min(int(np.searchsorted(cum, cum[-1] * r.percentile / 100 - 1e-9)), len(own) - 1)
+        assert r.value == own[k][0], r
+        assert r.n == sum(x["cnt"] == r.cnt for x in rows)
+
+
+def test_percentiles_of_odd_values(spark):
+    """Infinite and huge values, one value, none at all, weights of nothing."""
+    inf = float("inf")
+    values = {"a": [1e308, -1e308, 0.0, 1.0, 1.0 + 1e-15, inf, -inf], "b": [5.0] * 4, "c": [None, None], "d": [float("nan"), 2.0]}
+    data = [(g, k, v, *[1.0] * (G + 1)) for g, vs in values.items() for k, v in enumerate(vs)] + [("d", 9, 3.0, *[None] * (G + 1))]
+    df = spark.createDataFrame(data, "cnt string, id long, m double, " + ", ".join(f"w{r} double" for r in range(G + 1)))
+    for small in (1, 1024):
+        got = {(r.cnt, r.percentile): r.value for r in quantile.percentiles(df, DESIGN, [F.col("m")], ["cnt"], (10, 50, 75, 100), small=small).where("rep = 0").collect()}
+        assert [got["a", p] for p in (10, 50, 75, 100)] == [-inf, 1.0, 1e308, inf] and {got["b", p] for p in (10, 50, 75, 100)} == {5.0}
+        assert ("c", 50) not in got and got["d", 50] == 2.0
+
+
+def test_percentiles_send_sums_and_hit_rows_only(spark):
+    """Of 20,000 rows a few hundredths are written; the rest goes as sums per bin."""
+    df = spark.range(20_000).select(F.col("id"), F.lit("A").alias("cnt"), F.lit(1).alias("sch"), F.rand(5).alias("m"), *[F.lit(1.0).alias(f"w{r}") for r in range(G + 1)])
+    got = quantile.percentiles(df, DESIGN, [F.col("m")], ["cnt"], (50,))
+    assert got.count() == G + 1
+    frame = quantile.analysis_frame(df, DESIGN, [F.col("m")], ["cnt"])
+    spans = frame.groupBy("cnt").agg(F.min("m_1").alias("_low1"), F.max("m_1").alias("_high1"))
+    binned = quantile.null_safe_join(frame, spans, ["cnt"]).select("cnt", F.array("m_1").alias("_m"), F.array(quantile._bin(F.col("m_1"), F.col("_low1"), F.col("_high1"))).alias("_b"), "_weights")
+    sums = quantile._bin_sums(binned, ["cnt"], 1, G + 1).first()
+    assert len(sums["_bins"]) == quantile.BINS and sum(b.many for b in sums["_bins"]) == 20_000
+    brackets = spark.createDataFrame([("A", 1, 127)], "cnt string, pv int, bin int")
+    assert 0 < quantile._hit_rows(binned, brackets, ["cnt"], 1).count() < 200
 
 
 def test_regression_matches_least_squares(df, rows):
@@ -190,6 +223,63 @@ def test_regression_skips_and_says_why(df):
     assert regress.regression(df, DESIGN, [F.col("m1")], three, ["cnt"]).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e7])
+def test_regression_of_predictors_in_any_units(spark, shift):
+    """Incomes and a rare 0-1 dummy: coefficients as least squares on the rows, nothing missing without a reason."""
+    rng = np.random.default_rng(3)
+    big, small = rng.normal(size=400) * 1e6 + shift, (rng.random(400) < 0.1) * 0.1
+    y = 3 + 2e-6 * big + 40 * small + rng.normal(size=400)
+    w = rng.uniform(0.5, 2, (400, G + 1))
+    rows = [("A", k, float(a), float(b), float(a) * 2 + 1, float(v), *map(float, ws)) for k, (a, b, v, ws) in enumerate(zip(big, small, y, w))]
+    rows += [("B", k, 1.0, float(k), 2.0 * k, 0.5 * k, *[1.0] * (G + 1)) for k in range(30)] + [("C", k, float(k), float(k % 3), float(k), None, *[1.0] * (G + 1)) for k in range(30)]
+    df = spark.createDataFrame(rows, "cnt string, id long, a double, b double, c double, y double, " + ", ".join(f"w{r} double" for r in range(G + 1)))
+    got = {(r.cnt, r.term): r.estimate for r in regress.regression(df, DESIGN, [F.col("y")], {"a": F.col("a"), "b": F.col("b")}, ["cnt"]).collect()}
+    X = np.stack([np.ones(400), big - shift, small], 1)
+    root = np.sqrt(w[:, 0])
+    want = np.linalg.lstsq(X * root[:, None], y * root, rcond=None)[0]
+    assert set(got) == {("A", t) for t in ("(intercept)", "a", "b")}
+    assert np.allclose([got["A", "a"], got["A", "b"]], want[1:], rtol=1e-8) and abs(got["A", "(intercept)"] - (want[0] - want[1] * shift)) < 1e-6
+    skipped = lambda xs: {r.cnt: r.reason for r in regress.regression_skipped(df, DESIGN, [F.col("y")], {x: F.col(x) for x in xs}, ["cnt"]).collect()}
+    assert skipped("ab") == {"B": "a has a single value", "C": "outcome has no values"}
+    assert skipped("ac") == {"A": "c depends on a", "B": "a has a single value", "C": "outcome has no values"}
+    assert regress.regression(df, DESIGN, [F.col("y")], {x: F.col(x) for x in "ac"}, ["cnt"]).count() == 0
+
+
+def school_rows():
+    rng = np.random.default_rng(9)
+    out = []
+    for i in range(400):
+        sch = None if i % 29 == 0 else int(rng.integers(1, 25))
+        # schools 1-4 have none of the codes, school 5 has no known value
+        item = None if sch == 5 or i % 31 == 0 else int(rng.integers(2, 4)) if sch and sch <= 4 else int(rng.integers(0, 4))
+        out.append(dict(id=i, cnt="AB"[i % 2], sch=sch, item=item, m=float(rng.normal(500, 50)), **{f"w{r}": float(rng.uniform(0.5, 2)) for r in range(G + 1)}))
+    return out
+
+
+@pytest.mark.parametrize("students", [None, [1]])
+def test_school_shares_match_loop(spark, students):
+    """A school without any of the codes has a share of 0; no school or no known share is on neither side."""
+    rows, cut = school_rows(), 0.3
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, cnt string, sch long, item long, m double, " + ", ".join(f"w{r} double" for r in range(G + 1)))
+    shares, sizes = {}, {}
+    for r in rows:
+        if r["sch"] is not None:
+            own = [x for x in rows if (x["cnt"], x["sch"]) == (r["cnt"], r["sch"])]
+            known = sum(x["w0"] for x in own if x["item"] is not None)
+            sizes[r["cnt"], r["sch"]] = len(own)
+            shares[r["cnt"], r["sch"]] = sum(x["w0"] for x in own if x["item"] in (0, 1)) / known if known else None
+    for g, r in {r.cnt: r for r in schools.school_split(df, DESIGN, F.col("item"), [0, 1], cut).collect()}.items():
+        own = {k: v for k, v in shares.items() if k[0] == g and v is not None}
+        assert (r.n_schools, r.n_at_cut, r.median_students) == (len(own), sum(v >= cut for v in own.values()), np.median([sizes[k] for k in own]))
+        assert np.allclose([r.p10, r.p50, r.p90], np.quantile(list(own.values()), [0.1, 0.5, 0.9])) and min(own.values()) == 0
+    for g, r in {r.cnt: r for r in stats.school_share_gap(df, DESIGN, [F.col("m")], F.col("item"), [0, 1], cut, ["cnt"], students).collect()}.items():
+        mine = [x for x in rows if x["cnt"] == g and shares.get((g, x["sch"])) is not None and (students is None or x["item"] in students)]
+        sides = [[x for x in mine if (shares[g, x["sch"]] >= cut) == high] for high in (True, False)]
+        mean = lambda own, k: np.average([x["m"] for x in own], weights=[x[f"w{k}"] for x in own])
+        e, s = finish([np.array([mean(sides[0], k) - mean(sides[1], k) for k in range(G + 1)])])
+        assert abs(r.estimate - e) < 1e-9 and abs(r.se - s) < 1e-9
+
+
 def test_crosstab_rows_sum_to_100_and_limit(df):
     d = df.withColumns({"r": F.col("id") % 2, "c": F.col("sch") % 3})
     sums = stats.crosstab(d, DESIGN, "r", "c").groupBy("row").agg(F.sum("estimate").alias("s")).collect()
