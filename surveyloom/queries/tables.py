@@ -267,6 +267,19 @@ def mode_by_economy(spark, d):
     return _modes(spark, d)
 
 
+@query(
+    "mode_labels_by_cycle",
+    f"WITH {_MODES} SELECT cycle, cnt, CASE WHEN cycle = 'c1' AND mode = 'paper' THEN 'computer' WHEN cycle = 'c1' AND mode = 'computer' THEN 'paper' ELSE mode END AS mode FROM c",
+)
+def mode_labels_by_cycle(spark, d):
+    """In the first cycle the codes mean the other way round."""
+    four = F.col("cnt") == "NATION_4"
+    paper = (F.col("cnt") == "NATION_3") | (four & (F.col("cycle") == "c1"))
+    df = survey(spark, d).withColumn("adm", F.when(paper, 1).when(four, 2).otherwise(F.col("adm")))
+    usual = {1: "paper", 2: "computer"}
+    return cat.mode_by_economy(df, "cnt", "adm", {"c1": {2: "paper", 1: "computer"}, "c2": usual, "c3": usual})
+
+
 @query("mode_changes", f"WITH {_MODES} SELECT a.cnt, a.mode AS mode_first, b.mode AS mode_last FROM c a JOIN c b ON a.cnt = b.cnt WHERE a.cycle = 'c1' AND b.cycle = 'c3' AND a.mode <> b.mode")
 def mode_changes(spark, d):
     return cat.mode_changes(_modes(spark, d), "cnt", "c1", "c3")
