@@ -3,10 +3,12 @@
 Every document becomes its token ids plus an end token and is cut into pieces; a piece
 is a vector (tokens, one segment, loss-bearing tokens). Each task packs the documents of
 its partition: of the open pieces the one with the largest dot product between its vector
-and what the sequence has left goes in next; when no whole piece fits, one is cut to fill
-the rest. Where another limit than the tokens ends a sequence, it is cut back to a power of
-two, which needs no padding, and what was cut off waits on. Nothing is shuffled, a task
-holds a bounded number of documents, and a retried task rebuilds the same sequences.
+and what the sequence has left goes in next; when no whole piece fits, pieces are cut to fill
+the rest. The loss limit may be one for instruction data alone, which holds for sequences that
+hold prompts; prompts are then brought together so that such sequences are full too. Only where what a task
+has left, or a limit of segments, cannot fill a sequence, it is cut back to a power of two,
+which needs no padding. Nothing is shuffled, a task holds a bounded number of documents, and
+a retried task rebuilds the same sequences.
 """
 
 from __future__ import annotations
@@ -98,8 +100,8 @@ class Encoder:
 class Packer:
     """Documents waiting in one task, and the sequences made of them so far."""
 
-    def __init__(self, room: int, segments: int, loss: int, base: int):
-        self.room = room
+    def __init__(self, room: int, segments: int, loss: int, base: int, plain_loss: int | None = None):
+        self.room, self.plain_loss = room, loss if plain_loss is None else plain_loss
         self.caps = np.array([room, segments, loss], np.float64)
         self.sequence, self.rows, self.open, self.tokens = base, [], [], 0
 
@@ -128,31 +130,55 @@ class Packer:
         self.open = [p for p in self.open if p[2] < len(p[1])]
         self.sequence += 1
 
-    def fill(self) -> None:
-        """Fill one sequence: whole pieces by the dot-product rule, then a cut piece in the gap or the last segment."""
+    def fill(self, last: bool = False) -> bool:
+        """Fill one sequence; False if what waits cannot fill one yet (never with ``last``).
+
+        With ``plain_loss`` as large as the room, text without a prompt, and what follows a prompt that stands
+        in an earlier sequence, fills sequences of its own. A sequence with prompts takes documents with prompts until their prompts make
+        up what must bear no loss, then any. Whole pieces go by the dot-product rule, then pieces are cut to
+        fill the rest. Where too few prompts wait they wait on; the task's last sequences take them as they are.
+        """
         left_of = np.array([len(ids) - at for _, ids, at, _ in self.open], np.float64)
         free = np.array([max(0, m - at) for _, _, at, m in self.open], np.float64)
+        quiet = self.room - self.caps[2]  # tokens without loss that a full sequence must have
+        mixed = quiet <= 0 or self.plain_loss < self.room or (free.any() and free.sum() >= quiet and left_of.sum() >= self.room)
+        if not mixed and left_of[free == 0].sum() < self.room:
+            if not last:
+                return False
+            mixed = bool(free.any())
+        caps = self.caps if mixed else np.array([self.room, self.caps[1], self.room], np.float64)
         need = np.stack([left_of, np.ones(len(left_of)), left_of - free], 1)
-        weight = need / self.caps
-        gap, live, chosen = self.caps.copy(), np.ones(len(need), bool), []
-        while gap[0] >= 1 and gap[1] >= 1:
-            fits = live & (need <= gap).all(1)
+        weight, gap, chosen = need / caps, caps.copy(), []
+        live = np.ones(len(need), bool) if mixed else free == 0
+
+        def put(k: int, length: float) -> None:
+            chosen.append((k, int(length)))
+            gap[:] -= (length, 1, max(0.0, length - free[k]))
+            live[k] = False
+
+        if mixed and self.plain_loss >= self.room and 0 < free.sum() < quiet:  # at the end: all prompts that are left, at once
+            for k in np.flatnonzero(free)[: int(caps[1]) - 1]:
+                put(int(k), min(free[k], gap[0]))
+        while gap[0] >= 1 and gap[1] >= 1 and live.any():
+            some = live & (free > 0) if mixed and gap[0] > gap[2] and (live & (free > 0)).any() else live
+            fits = some & (need <= gap).all(1)
             if gap[1] == 1 or not fits.any():
-                most = np.where(live, np.minimum(np.minimum(left_of, gap[0]), free + gap[2]), 0)
+                most = np.where(some, np.minimum(np.minimum(left_of, gap[0]), free + gap[2]), 0)
                 k = int(most.argmax())
-                if most[k] >= 1:
-                    chosen.append((k, int(most[k])))
-                break
-            k = int(np.where(fits, weight @ (gap / self.caps), -1.0).argmax())
-            chosen.append((k, int(left_of[k])))
-            gap = gap - need[k]
-            live[k] = False
+                if most[k] < 1:
+                    break
+                put(k, most[k])
+            else:
+                k = int(np.where(fits, weight @ (gap / caps), -1.0).argmax())
+                put(k, left_of[k])
         self._close(chosen)
+        return True
 
     def drain(self, waiting: int) -> None:
-        """Fill sequences until at most ``waiting`` documents, of ``waiting`` sequences' tokens, wait."""
+        """Fill sequences until at most ``waiting`` documents, of ``waiting`` sequences' tokens, wait (or too few to fill one)."""
         while self.open and (len(self.open) > waiting or self.tokens > waiting * self.room):
-            self.fill()
+            if not self.fill(last=not waiting):
+                break
 
     def take(self) -> pa.RecordBatch:
         """The rows made since the last call."""
@@ -178,6 +204,7 @@ def pack(
     room: int = 2048,
     segments: int = 64,
     loss: int = 2048,
+    plain_loss: int | None = None,
     waiting: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -189,8 +216,10 @@ def pack(
     packed as often as it stands there; an empty table gives no rows; other columns are ignored.
     Every sequence is full or has a length that is a power of two. ``prompt_bytes`` tells how many
     of a text's first bytes are a prompt; tokens inside it bear no loss (null: none). ``room`` must
-    be a power of two and ``loss`` positive. A task holds at most ``waiting`` documents beside the
-    block of texts at hand.
+    be a power of two and ``loss`` positive. ``plain_loss`` is the limit of sequences without a prompt
+    (``loss`` unless given); with ``room`` itself no sequence stays half empty for want of prompts. A task holds about ``waiting`` documents beside the
+    block of texts at hand; while too few prompts wait to fill a sequence, up to ``room - loss`` documents
+    more.
     """
     if room < 1 or room & (room - 1) or segments < 1 or loss < 1:
         raise ValueError("room must be a power of two, segments and loss positive")
@@ -199,7 +228,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, ranks, pattern)
-        packer = Packer(room, segments, loss, TaskContext.get().partitionId() << 40)
+        packer = Packer(room, segments, loss, TaskContext.get().partitionId() << 40, plain_loss)
         end = np.array([end_id], "<u4")
         for batch in batches:
             for part in blocks(batch, most=1 << 20):

@@ -65,11 +65,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A first line before other text is a prompt; at most 1,984 of a sequence's tokens bear loss."""
+    """A first line before other text is a prompt; where a sequence holds prompts, at most 1,984 of its tokens bear loss."""
     import public_tokenizers as files
 
     paths = files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN
-    return pack(_table(spark, sf_dir, "documents"), *paths, loss=1984, prompt_bytes=first_line_bytes(F.col("text")))
+    return pack(_table(spark, sf_dir, "documents"), *paths, segments=256, loss=1984, plain_loss=2048, prompt_bytes=first_line_bytes(F.col("text")))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

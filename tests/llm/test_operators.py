@@ -587,3 +587,38 @@ def test_hot_groups_stay_whole(spark):
     turns = [(7, k, "user", f"t{k}") for k in range(300)] + [(c, k, "user", f"t{k}") for c in range(10) for k in range(c + 1) if c != 7]
     kept = chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     assert [(r.conv_id, r.n_turns) for r in kept] == [(7, 300)]
+
+
+@pytest.mark.parametrize("kind", ["plain", "prompts", "few prompts", "short prompts", "tiny"])
+def test_sequences_are_full(kind):
+    """At least 97 % of the room is used in all sequences but a task's last ones, and every limit holds."""
+    rng, room, loss, segments = random.Random(13), 2048, 1984, 256
+    packer, masks, sizes = Packer(room, segments, loss, 0, room), {}, {}
+    for doc in range(1500):
+        n = rng.randrange(3, 21) if kind == "tiny" else rng.randrange(50, 1500)
+        masks[doc] = {"plain": 0, "tiny": 0, "prompts": rng.randrange(20, 50), "few prompts": 30 * (doc % 40 == 0), "short prompts": rng.randrange(1, 4)}[kind]
+        sizes[doc] = n
+        packer.add(doc, np.arange(n, dtype="<u4"), masks[doc])
+        packer.drain(64)
+    before = packer.sequence
+    packer.drain(0)
+    names = ["doc_id", "start", "length", "crc", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
+    rows = [dict(zip(names, r)) for r in packer.rows]
+    used, seen, bears = collections.Counter(), collections.defaultdict(list), collections.Counter()
+    held, prompts = collections.Counter(), collections.Counter()
+    for r in rows:
+        assert r["offset"] == used[r["sequence_id"]] and r["loss_tokens"] == r["length"] - max(0, min(masks[r["doc_id"]] - r["start"], r["length"]))
+        used[r["sequence_id"]] += r["length"]
+        bears[r["sequence_id"]] += r["loss_tokens"]
+        held[r["sequence_id"]] += 1
+        prompts[r["sequence_id"]] += r["length"] - r["loss_tokens"]
+        seen[r["doc_id"]].append((r["start"], r["length"]))
+    for doc, n in sizes.items():
+        at = 0
+        for start, length in sorted(seen[doc]):
+            assert start == at
+            at += length
+        assert at == n
+    assert all(v & (v - 1) == 0 and v <= room and held[k] <= segments and (bears[k] <= loss or not prompts[k]) for k, v in used.items())
+    early = [v for k, v in used.items() if k < before]
+    assert sum(early) >= 0.97 * room * len(early)
