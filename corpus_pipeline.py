@@ -39,11 +39,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into sequences of 2048 tokens, 1,984 of which bear loss at most; first lines are prompts."""
+    """Pack the documents into sequences of 2048 tokens; first lines are prompts, and beside them at most 1,984 tokens bear loss."""
     import public_tokenizers as files
 
     paths = files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN
-    return pack(docs, *paths, loss=1984, prompt_bytes=first_line_bytes(docs["text"]))
+    return pack(docs, *paths, segments=256, loss=1984, plain_loss=2048, prompt_bytes=first_line_bytes(docs["text"]))
 
 
 STAGES = [
