@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import near, stored, without
+
 #: Word positions that a seed looks at; 1 keeps, 0 ignores. Fixed values.
 MASKS = ("1110111", "110110011", "101100111")
 SPAN = max(map(len, MASKS))
@@ -54,10 +56,14 @@ def whole(d: DataFrame, short: DataFrame) -> DataFrame:
     def runs(n: int) -> Column:
         last = F.size("dw") - n
         at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
-        return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.struct(i.alias("doc_start"), F.slice("dw", i + 1, F.lit(n)).alias("run")))
+        one = lambda i: F.struct(i.alias("doc_start"), F.xxhash64(F.slice("dw", i + 1, F.lit(n))).alias("key"), F.slice("dw", i + 1, F.lit(n)).alias("run"))
+        return F.transform(F.coalesce(at, F.array().cast("array<int>")), one)
 
     each = w.select("doc_id", F.explode(F.concat(*[runs(n) for n in sizes])).alias("r"))
-    met = each.select("doc_id", "r.*").join(short, F.col("run") == F.col("iw"))
+    keyed = short.withColumn("_key", F.xxhash64("iw"))
+    if keyed.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        keyed = F.broadcast(keyed)
+    met = each.select("doc_id", "r.*").join(keyed, (F.col("key") == F.col("_key")) & (F.col("run") == F.col("iw")))
     n = F.size("iw")
     return met.select("doc_id", "item_id", F.struct(n.alias("score"), n.alias("length"), n.alias("n_equal"), "doc_start").alias("x"))
 
@@ -103,11 +109,12 @@ def overlaps(docs: DataFrame, bench: DataFrame, *, min_score: int = 13, id_col:
         wanted = F.broadcast(wanted)
     hits = found.join(wanted, "seed").select(F.col("doc_id").alias("_doc"), "item_id", "n", (F.col("i") - F.col("j")).alias("shift"))
     # a document's diagonals come to it together, so that its words are made once; each takes only the words beside its item
-    hits = hits.groupBy("_doc").agg(F.collect_set(F.struct("item_id", "n", "shift")).alias("hits"))
-    met = d.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", words(F.col("_text")).alias("dw"), "hits")
+    hits = stored(hits.groupBy("_doc").agg(F.collect_set(F.struct("item_id", "n", "shift")).alias("hits")), "hits")
+    # only texts with a hit, and few others, may be shuffled
+    met = near(d, "doc_id", hits, "_doc").join(hits, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", words(F.col("_text")).alias("dw"), "hits")
     start = lambda x: F.greatest(x["shift"], F.lit(0))
-    near = lambda x, w: F.slice(w, start(x) + 1, F.greatest(x["n"] + F.least(x["shift"], F.lit(0)), F.lit(0)))
-    cut = lambda w: F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), start(x).alias("from"), F.greatest(-x["shift"], F.lit(0)).alias("first"), near(x, w).alias("dw")))
+    beside = lambda x, w: F.slice(w, start(x) + 1, F.greatest(x["n"] + F.least(x["shift"], F.lit(0)), F.lit(0)))
+    cut = lambda w: F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), start(x).alias("from"), F.greatest(-x["shift"], F.lit(0)).alias("first"), beside(x, w).alias("dw")))
     # inside a lambda the words are split once a text, not once a hit
     met = met.select("doc_id", F.explode(F.flatten(F.transform(F.array("dw"), cut))).alias("x")).select("doc_id", "x.*")
     pair = met.join(b.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item")))
@@ -124,5 +131,5 @@ def overlaps(docs: DataFrame, bench: DataFrame, *, min_score: int = 13, id_col:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item; same columns, repeated rows included."""
-    bad = overlaps(docs, bench, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[options.get("id_col", "doc_id")].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = stored(overlaps(docs, bench, **options).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
+    return without(docs, options.get("id_col", "doc_id"), bad, "_bad", null_safe=True)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, free_shuffles, stored
+from .shared import discard, near, stored, without
 from .words import blocks, mix, windows, words_of
 
 #: Sizes of one interval span this factor; sets of two sizes that can match share an interval.
@@ -315,7 +315,7 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(keys.view(np.int64)), "shared": pa.array(total)})
 
 
-def promising(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+def promising(docs: DataFrame, classes: DataFrame, n: int, percent: int, scratch: list[DataFrame]) -> DataFrame:
     """(key, set) of the classes that share enough of their prefixes with others to have a similar one; written."""
     spark = docs.sparkSession
     # a range takes the prefixes of about as many documents as BLOCK times eight
@@ -325,9 +325,8 @@ def promising(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> Data
     size = F.col("n_shingles")
     must = F.ceil(size * percent / F.lit(100)).cast("long")
     need = F.least(F.floor(F.lit(GUARD) * must).cast("long") + 1, F.ceil(must * percent / F.lit(100)).cast("long"))
-    kept = stored(shared.join(classes, "key").where(F.col("shared") >= need).select("key", "rep"), "promising")
-    d = docs.withColumnRenamed("doc_id", "_rep")
-    rows = d.join(kept, F.col("_rep").eqNullSafe(F.col("rep"))).select("key", "text")
+    kept = stored(shared.join(classes, "key").where(F.col("shared") >= need).select("key", "rep"), "promising", scratch=scratch)
+    rows = near(docs.withColumnRenamed("doc_id", "_rep"), "_rep", kept, "rep").join(kept, F.col("_rep").eqNullSafe(F.col("rep"))).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +339,7 @@ def promising(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> Data
                 flat = np.concatenate([sets[i] for i in good]) if good else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good, pa.int64())), pa.ListArray.from_arrays(offs, pa.array(flat.view(np.int64)))], names=["key", "set"])
 
-    return stored(rows.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"]), "sets")
+    return stored(rows.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"]), "sets", scratch=scratch)
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -365,15 +364,14 @@ def segments(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(run, "segment long, key long, slot int, extra int")
 
 
-def candidates(sets: DataFrame, percent: int) -> DataFrame:
+def candidates(sets: DataFrame, percent: int, scratch: list[DataFrame]) -> DataFrame:
     """(u, v): ties of each class to the smallest one that keeps an equal segment."""
     seg = segments(sets, percent)
     shared = seg.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("often"))
-    shared = stored(shared.where("low <> high").select("segment", "often"), "shared")
+    shared = stored(shared.where("low <> high").select("segment", "often"), "shared", scratch=scratch)
     order = Window.partitionBy("key", "slot").orderBy(F.col("often").desc(), "segment")
-    # the join always shuffles, so that its cost grows evenly with the input
-    rows = seg.join(shared.hint("merge"), "segment").withColumn("place", F.row_number().over(order))
-    kept = stored(rows.where("place > extra").select("segment", "key"), "kept")
+    rows = seg.join(shared, "segment").withColumn("place", F.row_number().over(order))
+    kept = stored(rows.where("place > extra").select("segment", "key"), "kept", scratch=scratch)
     low = kept.groupBy("segment").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("segment", "low")
     return kept.join(low, "segment").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct()
 
@@ -429,20 +427,21 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     docs = _documents(df, id_col, text_col)
     own = stored(document_sets(docs, n), "sets")
     classes = own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"))
-    classes = stored(classes, "classes")
-    sets = promising(docs, classes, n, percent)
-    free_shuffles(df.sparkSession)  # texts and prefixes that were dealt out are not needed again
-    tied = stored(candidates(sets, percent), "tied")
-    groups = stored(components(tied), "groups")
+    scratch: list[DataFrame] = []
+    stored_ = lambda x, name: stored(x, name, scratch=scratch)
+    classes = stored_(classes, "classes")
+    sets = promising(docs, classes, n, percent, scratch)
+    tied = stored_(candidates(sets, percent, scratch), "tied")
+    groups = stored_(components(tied), "groups")
     # only large groups are named, so that a group's rows need not meet
-    sized = stored(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("cuts")).where("cuts > 1"), "sized")
+    sized = stored_(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("cuts")).where("cuts > 1"), "sized")
     cuts = F.coalesce("cuts", F.lit(1))
     cut = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), cuts)
-    placed = stored(groups.join(sized, "component", "left").select(F.col("component").alias("group"), cuts.alias("cuts"), cut.alias("cut"), F.col("node").alias("key")), "placed")
+    placed = stored_(groups.join(sized, "component", "left").select(F.col("component").alias("group"), cuts.alias("cuts"), cut.alias("cut"), F.col("node").alias("key")), "placed")
     block = lambda *c: F.xxhash64("group", *c)
     first = placed.where("key = group and cuts > 1").select("group", "key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
     rows = placed.select(block("cut").alias("block"), F.lit(1).alias("half"), "key").unionByName(first.select(block("cut").alias("block"), F.lit(1).alias("half"), "key"))
-    links = stored(_joined(_with_sets(rows, sets), percent), "links")
+    links = stored_(_joined(_with_sets(rows, sets), percent), "links")
     large = placed.where("cuts > 1")
     if large.isEmpty():
         found = _stars(links)
@@ -450,22 +449,21 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
         found = components(links)
         apart = large.join(found, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key"))
         main = apart.where("key = group").select("group", F.col("part").alias("main"))
-        left = stored(apart.join(main, "group").where("part <> main").select("group", "cuts", "key"), "left")
+        left = stored_(apart.join(main, "group").where("part <> main").select("group", "cuts", "key"), "left")
         some = left.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("probe_cuts"))
         probes = left.join(some, "group").withColumn("p", F.pmod(F.xxhash64(F.col("key"), F.lit(11)), F.col("probe_cuts")))
         probes = probes.select("group", "p", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "key").select(block("p", "cut").alias("block"), F.lit(0).alias("half"), "key")
         against = placed.join(some, "group").select("group", "cut", F.explode(F.sequence(F.lit(0), F.col("probe_cuts") - 1)).alias("p"), "key")
         against = against.select(block("p", "cut").alias("block"), F.lit(1).alias("half"), "key")
         more = _joined(_with_sets(probes.unionByName(against), sets), percent)
-        found = components(stored(links.unionByName(more), "links"))
+        found = components(stored_(links.unionByName(more), "links"))
     # classes of one document without links keep their own id, so only the others are joined to documents
-    linked = classes.join(stored(found, "found"), F.col("key") == F.col("node"), "left").where("node IS NOT NULL OR class_size > 1")
+    linked = classes.join(stored_(found, "found"), F.col("key") == F.col("node"), "left").where("node IS NOT NULL OR class_size > 1")
     linked = linked.withColumn("part", F.coalesce("component", "key"))
     least = linked.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = stored(linked.join(least, "part").select("key", "component_id", "class_size"), "named")
     out = own.where("n_shingles > 0").join(named, "key", "left").unionByName(own.where("n_shingles = 0").selectExpr("*", "CAST(NULL AS BIGINT) AS component_id", "CAST(NULL AS BIGINT) AS class_size"))
-    discard(sets, tied, groups, placed, links)
-    free_shuffles(df.sparkSession)
+    discard(*scratch)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
@@ -477,5 +475,4 @@ def deduplicate(df: DataFrame, **options: object) -> DataFrame:
     """
     parts = jaccard_components(df, **options)
     gone = stored(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    id_col = options.get("id_col", "doc_id")
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    return without(df, options.get("id_col", "doc_id"), gone, "_gone")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.work import shared_dir
 
@@ -16,10 +15,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, row_group: int | None = None, scratch: list[DataFrame] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    ``row_group`` bounds the bytes that a reader takes at once, for tables with large rows.
+    ``scratch`` gets the table, for ``discard`` when nothing reads it any more. ``row_group`` bounds the bytes that a reader takes at once, for tables with large rows.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
@@ -27,6 +26,8 @@ def stored(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if scratch is not None:
+        scratch.append(out)
     return out
 
 
@@ -38,13 +39,30 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now rather than at its driver's next full collection.
+#: Hash buckets of ids that are broadcast to tell which rows cannot meet a table: so many at most, whatever the table's size.
+BUCKETS = 1 << 20
 
-    It drops them once their plans are garbage. Python lets go of its handles first, on a thread of its
-    own, so a second round finds what the first one could not.
+
+def _buckets(ids: DataFrame, column: str) -> DataFrame:
+    return F.broadcast(ids.select(F.pmod(F.xxhash64(column), F.lit(BUCKETS)).alias("_bucket")).distinct())
+
+
+def near(df: DataFrame, id_col: str, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose id may stand in ``ids`` (a stored table): those that share a bucket with one there.
+
+    An exact join may follow; it then shuffles few texts where ``ids`` is a small part of the rows.
+    """
+    b = _buckets(ids, column)
+    return df.join(b, F.pmod(F.xxhash64(df[id_col]), F.lit(BUCKETS)) == b["_bucket"], "left_semi")
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame, column: str, null_safe: bool = False) -> DataFrame:
+    """The rows of ``df`` whose id does not stand in ``ids`` (a stored table). Rows that share no bucket pass by.
+
+    Null ids stay, or with ``null_safe`` go where ``ids`` has a null.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    b, gone = _buckets(ids, column), ids.select(F.col(column).alias("_gone"))
+    far = df.join(b, F.pmod(F.xxhash64(df[id_col]), F.lit(BUCKETS)) == b["_bucket"], "left_anti")
+    some = near(df, id_col, ids, column)
+    same = some[id_col].eqNullSafe(gone["_gone"]) if null_safe else some[id_col] == gone["_gone"]
+    return far.unionByName(some.join(gone, same, "left_anti"))
