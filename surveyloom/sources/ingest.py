@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,14 +39,18 @@ def validate_source(df: DataFrame, rows: int, keys: Sequence[str], economy: str,
 
 
 def publish_parquet(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
-    """Write to a staging folder, verify the count, then rename; a mismatch deletes the staging and raises."""
+    """Write to a staging folder, verify the count, then rename; a mismatch deletes the staging and raises.
+
+    The rows are counted as they are written (``Observation``), so nothing is read twice.
+    """
     spark = df.sparkSession
     staging = f"{path}.{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(staging)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(staging)
     hadoop = spark._jvm.org.apache.hadoop.fs
     source, target = hadoop.Path(staging), hadoop.Path(path)
     fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = spark.read.parquet(staging).count()
+    found = seen.get["rows"]
     if rows is not None and found != rows:
         fs.delete(source, True)
         raise ValueError(f"{path}: {found} rows, {rows} expected")
@@ -85,11 +89,70 @@ def _aggregated(plan: object, ctes: dict[int, object]) -> bool:
     return name in _PASSING and bool(inputs) and all(_aggregated(x, ctes) for x in inputs)
 
 
+def _listed(seq: object) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+class _Lineage:
+    """Which attributes of an analysed plan carry identifiers, by their expression ids, and whether a statement uses one.
+
+    A column of a relation with an identifier's name carries one; so does every alias made from such a
+    column, other than a count of it, through views, subqueries and common tables.
+    """
+
+    def __init__(self, identifiers: Sequence[str]):
+        self.names = {i.lower() for i in identifiers}
+        self.carry: dict[int, str] = {}
+        self.used: set[str] = set()
+
+    def _of(self, expression: object) -> set[str]:
+        return {self.carry[a.exprId().id()] for a in _listed(expression.references().toSeq()) if a.exprId().id() in self.carry}
+
+    def visit(self, plan: object, in_view: bool, ctes: dict[int, list]) -> None:
+        name, inputs = plan.nodeName(), _listed(plan.children())
+        if name == "WithCTE":
+            for d in _listed(plan.cteDefs()):
+                self.visit(d.child(), in_view, ctes)
+                ctes = ctes | {d.id(): _listed(d.child().output())}
+            self.visit(plan.plan(), in_view, ctes)
+            return
+        for x in [*inputs, *_listed(plan.subqueries())]:
+            self.visit(x, in_view or name == "View", ctes)
+        output, expressions = _listed(plan.output()), _listed(plan.expressions())
+        if name == "CTERelationRef":
+            self._same(output, ctes[plan.cteId()])
+        elif not inputs:
+            self.carry.update({a.exprId().id(): a.name() for a in output if a.name().lower() in self.names})
+        elif name == "Union":
+            for x in inputs:
+                self._same(output, _listed(x.output()))
+        else:
+            before = {a.exprId().id() for x in inputs for a in _listed(x.output())}
+            for e in expressions:
+                if met := self._of(e):
+                    if not in_view:
+                        self.used |= met
+                    made = [e] if hasattr(e, "exprId") and self._named(e) else [a for a in output if a.exprId().id() not in before]
+                    for a in made:
+                        if a.exprId().id() not in before and not re.match(r"count\(", e.toString()):
+                            self.carry[a.exprId().id()] = min(met)
+
+    @staticmethod
+    def _named(expression: object) -> bool:
+        return expression.getClass().getSimpleName() in ("Alias", "AttributeReference")
+
+    def _same(self, output: list, source: list) -> None:
+        for a, b in zip(output, source, strict=False):
+            if b.exprId().id() in self.carry:
+                self.carry[a.exprId().id()] = self.carry[b.exprId().id()]
+
+
 def safe_sql(spark: SparkSession, sql: str, identifiers: Sequence[str], most: int = 500) -> DataFrame:
     """Run one aggregating SELECT; at most ``most`` rows come out.
 
-    Every input of the result must be an aggregate, ``SELECT *`` is refused, and identifiers may
-    stand nowhere in the statement but in its literals.
+    Every input of the result must be an aggregate, ``SELECT *`` is refused, and the statement may use no
+    column that comes from an identifier, under whatever name a view or a subquery gives it. A literal or an
+    alias that reads like one is no identifier. What a view does inside is its owner's business.
     """
     text = sql.strip().rstrip(";")
     bare = re.sub(r"'(?:[^']|'')*'", "''", re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.S))
@@ -97,23 +160,27 @@ def safe_sql(spark: SparkSession, sql: str, identifiers: Sequence[str], most: in
         raise ValueError("one SELECT or WITH statement is allowed")
     if re.search(r"(?i)\bselect\s+(distinct\s+)?\*|\w\.\*", bare):
         raise ValueError("the query must aggregate: SELECT * is not allowed")
-    if bad := {i for i in identifiers if re.search(rf"(?i)\b{re.escape(i)}\b", bare)}:
-        raise ValueError(f"identifiers {sorted(bad)} may not be used")
     df = spark.sql(text)
-    if not _aggregated(df._jdf.queryExecution().analyzed(), {}):
+    plan = df._jdf.queryExecution().analyzed()
+    lineage = _Lineage(identifiers)
+    lineage.visit(plan, False, {})
+    if lineage.used:
+        raise ValueError(f"identifiers {sorted(lineage.used)} may not be used")
+    if not _aggregated(plan, {}):
         raise ValueError("the query must aggregate: rows of respondents are never returned")
     return df.limit(most)
 
 
 @dataclass(frozen=True)
 class Source:
-    """One file of a survey: where it comes from and where its published table goes."""
+    """One file of a survey: where it comes from, where its published table goes, and its official number of rows, if known."""
 
     name: str
     instrument: str
     cycle: str
     path: str
     output: str
+    rows: int | None = None
 
 
 def select_sources(sources: Sequence[Source], only: Sequence[str] = ()) -> list[Source]:
@@ -125,7 +192,10 @@ def select_sources(sources: Sequence[Source], only: Sequence[str] = ()) -> list[
 
 
 def convert(spark: SparkSession, sources: Sequence[Source], only: Sequence[str] = (), force: bool = False) -> dict[str, str]:
-    """Publish every selected source as Parquet; outputs that exist are skipped unless forced. (name: published or skipped.)"""
+    """Publish every selected source as Parquet; outputs that exist are skipped unless forced. (name: published or skipped.)
+
+    A source whose rows are not its official number raises, and its old output stays.
+    """
     done = {}
     for s in select_sources(sources, only):
         path = spark._jvm.org.apache.hadoop.fs.Path(s.output)
@@ -136,12 +206,11 @@ def convert(spark: SparkSession, sources: Sequence[Source], only: Sequence[str]
         df = spark.read.parquet(s.path) if not s.path.endswith(".csv") else spark.read.option("header", True).csv(s.path)
         if fs.exists(path):
             # the new table is whole before the old one goes
-            kept = publish_parquet(df, f"{s.output}.new", df.count())
+            publish_parquet(df, f"{s.output}.new", s.rows)
             fs.delete(path, True)
             fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{s.output}.new"), path)
-            del kept
         else:
-            publish_parquet(df, s.output, df.count())
+            publish_parquet(df, s.output, s.rows)
         done[s.name] = "published"
     return done
 

@@ -1,9 +1,13 @@
 """Sources, guards, search, text and rules on small made-up tables."""
 
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from surveyloom.functions import text
+from surveyloom.functions.phrases import Phrases
 from surveyloom.operators import catalog, events, joins, rules, trend
 from surveyloom.plans.design import SurveyDesign
 from surveyloom.sources import ingest
@@ -153,3 +157,97 @@ def test_item_similarity_equals_all_pairs(spark):
     sim = F.round(1 - F.try_divide(F.levenshtein("wc1", "wc3"), F.greatest(F.length("wc1"), F.length("wc3"))), 6)
     want = {(r[0], r[1], r[2]) for r in one("c1").join(one("c3")).select("vc1", "vc3", sim.alias("s")).where("s >= 0.85").collect()}
     assert got == want and len(want) > 25
+
+
+def test_safe_sql_follows_identifiers_through_names(spark):
+    people = spark.createDataFrame([(k, "AB"[k % 2], float(k)) for k in range(20)], "c_custkey long, grp string, x double")
+    people.createOrReplaceTempView("people")
+    people.selectExpr("c_custkey AS k", "grp", "x").createOrReplaceTempView("renamed")
+    people.groupBy("grp").agg(F.count("c_custkey").alias("n")).createOrReplaceTempView("counted")
+    run = lambda sql: ingest.safe_sql(spark, sql, ["c_custkey"]).collect()
+    for sql in (
+        "SELECT k, count(*) AS n FROM renamed GROUP BY k", "SELECT c_custkey, count(*) AS n FROM people GROUP BY c_custkey", "SELECT grp, max(k) AS top FROM renamed GROUP BY grp",
+        "SELECT id, sum(n) AS n FROM (SELECT k + 1 AS id, count(*) AS n FROM renamed GROUP BY k + 1) GROUP BY id", "SELECT count(*) AS n FROM people WHERE C_CUSTKEY = 3",
+        "WITH t AS (SELECT k AS z, x FROM renamed) SELECT z, avg(x) AS m FROM t GROUP BY z", "SELECT avg(x) AS m FROM people WHERE x > (SELECT max(k) FROM renamed)",
+        "SELECT z, count(*) AS n FROM (SELECT grp AS z FROM people UNION ALL SELECT CAST(k AS STRING) FROM renamed) GROUP BY z",
+    ):
+        with pytest.raises(ValueError, match="identifiers"):
+            run(sql)
+    assert {r.grp: r.n for r in run("SELECT grp, count(*) AS n FROM renamed WHERE grp <> 'c_custkey' GROUP BY grp")} == {"A": 10, "B": 10}
+    assert run("SELECT sum(n) AS total FROM counted")[0].total == 20 and run("SELECT count(*) AS c_custkey FROM people")[0][0] == 20
+
+
+def test_publishing_counts_while_it_writes(spark, tmp_path):
+    df = spark.range(30).where("id >= 0")
+    assert ingest.publish_parquet(df, str(tmp_path / "a"), 30).count() == 30
+    with pytest.raises(ValueError, match="30 rows, 31 expected"):
+        ingest.publish_parquet(df, str(tmp_path / "b"), 31)
+    assert [x for x in os.listdir(tmp_path)] == ["a"]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    ingest.publish_parquet(spark.range(50).mapInArrow(counted, "id long"), str(tmp_path / "c"), 50)
+    assert reads.value == 50
+
+
+def test_phrase_automaton_finds_what_plain_search_finds():
+    rng = random.Random(4)
+    words = "a b c d".split()
+    for _ in range(200):
+        phrases = [[rng.choice(words) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 9))]
+        text = [rng.choice(words) for _ in range(rng.randrange(0, 30))]
+        want = {k for k, p in enumerate(phrases) if any(text[i : i + len(p)] == p for i in range(len(text)))}
+        assert Phrases(phrases).found(text) == want
+
+
+def test_entities_by_automaton_and_by_join(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(1, "In Korea and north-korea KOR"), (2, "north korea only"), (3, None), (4, "the republic of korea, kor"), (5, "new  zealand\nwins"), (5, "NZL"), (None, "korea"), (7, "Zealand newcomers")], "id long, text string"
+    )
+    aliases = spark.createDataFrame([("KOR", "korea"), ("KOR", "Republic of Korea"), ("NZL", "new zealand")], "code string, alias string")
+    wrong = spark.createDataFrame([("KOR", "north korea")], "code string, alias string")
+    want = [(None, "KOR"), (1, "KOR"), (4, "KOR"), (5, "NZL")]
+    for most in (200_000, 1):
+        monkeypatch.setattr("surveyloom.functions.text.DICTIONARY", most)
+        got = text.tag_entities(docs, "id", "text", aliases, wrong)
+        assert sorted(map(tuple, got.collect()), key=lambda r: (r[0] is not None, r)) == want
+        assert ("Generate" in got._jdf.queryExecution().analyzed().toString()) == (most == 1)
+    assert text.tag_entities(docs.limit(0), "id", "text", aliases).count() == 0
+
+
+def test_regions_meet_by_runs_of_characters(spark):
+    names = spark.createDataFrame([("Latin America & Caribbean",), ("EU",), ("the eu zone",), ("nowhere",), (None,), ("Asia",), ("SE Asia",)], "name string")
+    aliases = spark.createDataFrame([("eu", "E"), ("latin america", "L"), ("america", "N"), ("asia", "A"), ("south-east asia", "S")], "alias string, region string")
+    got = text.region_lookup(names, aliases)
+    assert {r.name: r.region for r in got.collect()} == {"Latin America & Caribbean": "L", "EU": "E", "the eu zone": "E", "nowhere": None, None: None, "Asia": "A", "SE Asia": "A"}
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coverage_takes_one_scan_whatever_the_columns(spark, tmp_path):
+    columns = [f"v{k}" for k in range(200)]
+    rows = [("AB"[r % 2], *[None if (k % 7 == 0 and r % 2) or k == 63 else 1 for k in range(200)]) for r in range(10)]
+    spark.createDataFrame(rows, "cnt string, " + ", ".join(f"{c} int" for c in columns)).write.parquet(str(tmp_path / "t"))
+    got = catalog.coverage_table(spark.read.parquet(str(tmp_path / "t")), "cnt", columns)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    for r in got.collect():
+        k = int(r.variable[1:])
+        want = "" if k == 63 else "A" if k % 7 == 0 else "A B"
+        assert (r.with_data, r.n_with, r.n_economies) == (want, len(want.split()), 2) and r.missing.split() == [x for x in "AB" if x not in want]
+    assert got.count() == 200
+
+
+def test_search_looks_keys_up_in_the_index(spark):
+    rows = [("ST001", "Grade in school"), ("ST004D01T", "Student gender"), ("PV1MATH", "Plausible value 1 in mathematics"), ("W_FSTUWT", "Final weight"), ("MATHEFF", "Mathematics self-efficacy"), ("X", None)]
+    cat = spark.createDataFrame(rows, "variable string, label string")
+    index = catalog.search_index(cat)
+    points = {r.variable: r.score for r in catalog.scores(index, ["mathematics"]).collect()}
+    # phrase 25, word 8, in the label 3, stem in the label 4; the name's start 30
+    assert points == {"PV1MATH": 40, "MATHEFF": 70}
+    assert {r.variable: r.score for r in catalog.scores(index, ["st"]).collect()} == {"ST001": 30, "ST004D01T": 33, "W_FSTUWT": 30}
+    assert {r.variable for r in catalog.search(cat, "plausible", index=index).collect()} == {"PV1MATH"}
+    plan = catalog.retrieve(cat, ["mathematics", "gender", "weight"], index=index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.split("Generate")[0]
