@@ -175,19 +175,24 @@ def resilient_share(df: DataFrame, design: SurveyDesign, measure: Measure, over:
     rows = _quartered(df, design, over, by, where).withColumnRenamed("quarter", "_low")
     if cut is not None:
         return weighted_mean(rows, design, [share(m >= cut, m.isNotNull()) for m in measure], by, F.col("_low") == 1)
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("pv"), m.cast("double").alias("_score")) for i, m in enumerate(measure, 1)])).alias("_c")
+    # scores are long and narrow, a row's weights stand once beside them under its number
+    school = F.col(design.school) if design.school and design.school in df.columns else F.lit(None).cast("long")
+    w0 = F.coalesce(F.col(design.weight).cast("double"), F.lit(0.0))
     keep = list(dict.fromkeys([*by, *design.order, design.economy, design.weight, "_low"]))
-    school = [F.col(design.school).alias("_school")] if design.school and design.school in df.columns else [F.lit(None).cast("long").alias("_school")]
-    w0 = F.coalesce(F.col(design.weight).cast("double"), F.lit(0.0)).alias("_w0")
-    base = rows.select(*keep, *school, design.weights.alias("_weights"), w0, cells).select(*keep, "_school", "_weights", "_w0", "_c.*")
-    # the top quarter is cut among all rows with the index, so these are written before they are read again
-    base = materialized(base, "resilient")
+    scores = F.array(*[m.cast("double") for m in measure])
+    base = rows.select(*keep, scores.alias("_scores"), school.alias("_school"), design.weights.alias("_weights"), w0.alias("_w0"))
+    base = materialized(base.withColumn("_row", F.monotonically_increasing_id()), "resilient")
+    narrow = base.select(*keep, "_row", F.posexplode("_scores").alias("_pos", "_score")).withColumn("pv", F.col("_pos") + 1)
+    # the top quarter is cut among all rows with the index
     within = [design.economy, "pv"] if design.economy in by else ["pv"]
-    top = weighted_quarters(base, design, F.col("_score"), within, "_top").where("_low = 1")
-    frame = top.select(*by, "pv", share(F.col("_top") == 4, F.col("_top").isNotNull()).alias("m_1"), "_weights", "_w0", "_school")
-    values = weighted_sums(frame, [*by, "pv"], {"num": F.col("m_1"), "den": F.col("m_1").isNotNull()})
+    top = weighted_quarters(narrow, design, F.col("_score"), within, "_top").where("_low = 1")
+    tops = top.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pv", "_top"))).alias("_tops"))  # an entry an imputation
+    low = base.where("_low = 1").join(tops, "_row", "left")
+    frame = low.select(*by, F.explode(F.sequence(F.lit(1), F.lit(len(measure)))).alias("pv"), "_tops", "_weights", "_w0", "_school").withColumn("_top", F.col("_tops")[F.col("pv")])
+    met = share(F.col("_top") == 4, F.col("_top").isNotNull())
+    values = weighted_sums(frame.withColumn("m_1", met), [*by, "pv"], {"num": F.col("m_1"), "den": F.col("m_1").isNotNull()})
     values = values.select(*by, "pv", "rep", F.try_divide("num", "den").alias("value"))
-    first = base.where("_low = 1 AND pv = 1").select(*by, F.col("_score").alias("m_1"), "_weights", "_w0", "_school")
+    first = base.where("_low = 1").select(*by, F.get("_scores", F.lit(0)).alias("m_1"), "_weights", "_w0", "_school")
     return combine(with_stats(values, first, by), by, design)
 
 

@@ -71,9 +71,13 @@ def constant_members(results: DataFrame, key: str, cycles: int, cycle_col: str =
 
 
 def average_constant_membership(results: DataFrame, key: str, label: str, cycles: Sequence[str]) -> DataFrame:
-    """Group averages per cycle over members present in all cycles; ``n_dropped`` counts the others."""
+    """Group averages per cycle over members present in all cycles; the others are counted and named.
+
+    The one row about the others is joined to a row a cycle.
+    """
     kept = constant_members(results, key, len(cycles))
-    dropped = results.select(key).distinct().join(kept, key, "left_anti").agg(F.count("*").alias("n_dropped"))
+    gone = results.where(F.col(key).isNotNull()).select(key).distinct().join(kept, key, "left_anti")
+    dropped = gone.agg(F.count("*").alias("n_dropped"), F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), " ").alias("dropped"))
     return group_average(results.join(kept, key, "left_semi"), key, label, ["cycle"]).crossJoin(F.broadcast(dropped))
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import measures as ms
-from ..operators import regress, rules, stats, trend
+from ..operators import cycles, regress, rules, stats, trend
 from ..operators.schools import school_mean
-from .fixture import ALL, DESIGN, EST, pv, query, rounded, sql_comb, sql_f, sql_join, sql_mean, sql_rep, sql_stats, survey, table
+from .fixture import ALL, DESIGN, EST, pv, query, rounded, sql_comb, sql_diff, sql_f, sql_join, sql_mean, sql_rep, sql_stats, survey, table
 from .linear import CNT, pva, pvb, sql_quarters
 
 CYC = ["c1", "c2", "c3"]
@@ -148,7 +148,7 @@ def group_average(spark, d):
 _CONST = "k AS (SELECT cnt FROM res WHERE estimate IS NOT NULL GROUP BY cnt HAVING count(DISTINCT cycle) = 3)"
 
 
-@query("average_constant_membership", f"WITH {_cte()}, {_CONST}, a AS (SELECT cycle, {_AVG} FROM res WHERE cnt IN (SELECT cnt FROM k) AND estimate IS NOT NULL GROUP BY cycle) SELECT 'all avg' AS cnt, cycle, {EST}, n_members, (SELECT count(DISTINCT cnt) FROM res WHERE cnt NOT IN (SELECT cnt FROM k)) AS n_dropped FROM a")
+@query("average_constant_membership", f"WITH {_cte()}, {_CONST}, a AS (SELECT cycle, {_AVG} FROM res WHERE cnt IN (SELECT cnt FROM k) AND estimate IS NOT NULL GROUP BY cycle) SELECT 'all avg' AS cnt, cycle, {EST}, n_members, (SELECT count(DISTINCT cnt) FROM res WHERE cnt NOT IN (SELECT cnt FROM k)) AS n_dropped, (SELECT coalesce(string_agg(DISTINCT cnt, ' ' ORDER BY cnt), '') FROM res WHERE cnt NOT IN (SELECT cnt FROM k)) AS dropped FROM a")
 def average_constant_membership(spark, d):
     return rounded(trend.average_constant_membership(_means(spark, d), "cnt", "all", CYC))
 
@@ -433,6 +433,37 @@ def cycle_override(spark, d):
     return rounded(stats.weighted_mean(aligned, DESIGN, pva(), ["cycle", "cnt", "gender"], F.col("gender").isin(1, 2)).select("cycle", "cnt", "gender", "estimate", "se"))
 
 
+def _renamed_cycles(spark, d):
+    """Three cycles; the last one has ``male`` (1, 0) where the others have ``gender`` (1: male, 2: female)."""
+    df = survey(spark, d)
+    out = {c: df.where(F.col("cycle") == c).drop("cycle") for c in CYC}
+    out["c3"] = out["c3"].withColumn("male", 2 - F.col("gender")).drop("gender")
+    return out
+
+
+_MEANINGS = {"gender": {1: "male", 2: "female"}, "male": {1: "male", 0: "female"}}
+
+
+@query(
+    "cycle_override_contrast",
+    f"WITH {sql_f('gender IN (1, 2)')}, {sql_rep(['cycle', 'cnt', 'gender'], pv())}, {sql_diff(['cycle', 'cnt'], 'gender', '1', '2')}, {sql_comb(['cycle', 'cnt'], src='d')} "
+    f"SELECT cycle, '1 minus 2' AS contrast, cnt, {ALL} FROM c",
+)
+def cycle_override_contrast(spark, d):
+    """The last cycle's override points the other way; the plan's direction holds."""
+    plan = cycles.Plan(tuple(pv()), ("cnt",), group="gender", a=1, b=2)
+    out, _ = cycles.over_cycles(_renamed_cycles(spark, d), DESIGN, plan, {"c3": {"group": "male", "a": 0, "b": 1}}, _MEANINGS)
+    return rounded(out)
+
+
+@query("cycle_override_by", sql_mean(["cycle", "cnt", "gender"], pv(), "gender IN (1, 2)"))
+def cycle_override_by(spark, d):
+    """A group column that the last cycle names and codes otherwise comes under the plan's name and codes."""
+    plan = cycles.Plan(tuple(pv()), ("cnt", "gender"), "gender IN (1, 2)")
+    out, _ = cycles.over_cycles(_renamed_cycles(spark, d), DESIGN, plan, {"c3": {"by": ("cnt", "male"), "where": "male IN (0, 1)"}}, _MEANINGS)
+    return rounded(out)
+
+
 @query("level_of_score", f"WITH {sql_f()} SELECT cnt, CASE WHEN pv1a IS NULL THEN NULL WHEN pv1a < 100 THEN 'below level 1' WHEN pv1a < 200 THEN 'level 1' WHEN pv1a < 300 THEN 'level 2' WHEN pv1a < 400 THEN 'level 3' ELSE 'level 4' END AS level, count(*) AS n FROM f GROUP BY ALL")
 def level_of_score(spark, d):
     from ..functions.text import level_of_score as level
