@@ -58,7 +58,7 @@ def invented(n: int, salt: str = "finding") -> tuple[tuple[int, str], ...]:
     """``n`` labelled findings of every kind, made from counted hashes; another salt gives others of the same kinds.
 
     Secrets: hex, base-32 and base-64 keys after a credential's name, vendors' keys, random letters and
-    digits alone or named, short passwords, passphrases. No secrets: checksums and identifiers named as
+    digits alone or named, short passwords, passphrases, passwords in addresses. No secrets: public keys, checksums and identifiers named as
     such or alone, numbers, dates, addresses, paths, names in code, long and capital words, placeholders.
     """
     out: list[tuple[int, str]] = []
@@ -77,12 +77,14 @@ def invented(n: int, salt: str = "finding") -> tuple[tuple[int, str], ...]:
             f"{key}: {pick(mixed + '+/', 40)}", f"{key}={pick(mixed, 8 + k % 24, 7)}", f"{key}: {pick(mixed + '!$%&*', 6 + k % 10, 3)} {plain[2]}", f"{key}={pick(lower, 9 + k % 9)}",
             f"{say} {pick(mixed, 20 + k % 16, 11)} {plain[2]}", f"xoxb-{pick(digits, 11)}-{pick(mixed, 16)}", f'passphrase = "{" ".join(plain[:4])}"', f"password={'-'.join(plain[1:5])}",
             f"Authorization: Bearer {pick(mixed, 36)}", f"eyJ{pick(mixed, 17)}.{pick(mixed, 24, 5)}.{pick(mixed, 30, 9)}", f"sk_live_{pick(mixed, 24)}", f"{say} {pick(upper, 18, 20)}{pick(digits, 1)} {plain[3]}",
+            f"{say} postgres://{plain[2]}:{pick(mixed, 8 + k % 9, 13)}@db{k % 7}.example.net/{plain[3]}",
         )]
         out += [(0, x) for x in (
             f"{word} {plain[0]}", f"{say} {word.upper()}!! {plain[2]}", f"{say} {word.upper().replace('EI', 'ÉI').replace('ON', 'ÓN').replace('A', 'Ä')}!! {plain[1]}", f"{word.replace('e', 'é').replace('o', 'ö')}, {plain[3]}", f"{word.capitalize()}, {plain[0]}", f"commit {h[:40]} {plain[0]}", f"sha256:{h}", f"{say} md5 {h[:32]} {plain[3]}",
             f"{say} {h[:40]} {plain[2]}", f"id {h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}", f"call {pick(digits, 10 + k % 8)} {plain[1]}", f"{plain[2]}.{d[3]}@mail{d[4] % 9}.example.net {plain[0]}",
             f"https://www.example.com/{plain[0]}/{2000 + d[5] % 30}/{plain[1]}{d[6]}.html", f"/usr/share/{plain[0]}{d[7] % 10}/{plain[1]}.conf", f"{plain[0]}_{plain[1]}_v{d[8]}.tar.gz {plain[2]}", f"20{10 + d[9] % 20}-0{1 + d[10] % 9}-1{d[11] % 10}T1{d[12] % 10}:30:00Z",
             f"{plain[0]}{plain[1].capitalize()}{plain[2].capitalize()}{d[13] % 10}", f"{key}: {plain[3]} {plain[4]}", f"{key}={('changeme', 'none', 'string', 'your_token_here', 'example123', 'xxxxxxxx')[k % 6]}", f"{plain[0]}{d[14]} {plain[1]}",
+            f"ssh-rsa AAAAB3NzaC1yc2E{pick(mixed + '+/', 44, 9)} {plain[2]}@{plain[3]}", f"ssh-ed25519 AAAAC3NzaC1lZDI1NTE5{pick(mixed + '+/', 24, 2)} {plain[1]}",
             f"{pick('abcx0', 1) * 20} {plain[1]}", f"abcdefghijklm{digits[: 3 + k % 7]} {plain[0]}", f"{plain[0]}[{d[15]}].{plain[1]}_{plain[2]}", f"{pick(digits, 4)}x{pick(digits, 4)}px {plain[3]}", f"{d[16]}.{d[17]}.{d[18]}.{d[19]} {plain[0]}", f"isbn 978-{pick(digits, 1)}-{pick(digits, 2)}-{pick(digits, 6)}-{pick(digits, 1)}",
         )]
     return tuple(out)
@@ -126,7 +128,9 @@ NAME_BEFORE = NAME + r"\s*[=:]+\s*[\"']?(?:(?:bearer|basic)\s*)?$"
 NAME_INSIDE = NAME + "[=:]+."
 #: A value of several words in quotes after a credential's name.
 PHRASE = rf"""(?:{CREDENTIAL})[A-Za-z0-9_.-]{{0,40}}["']?\s*[=:]\s*(?:"[^"\s]+ [^"\n]{{1,200}}"|'[^'\s]+ [^'\n]{{1,200}}')"""
-HASHES = r"(?i)^(?:commit|sha\d*|md5|checksum|digest|id|uuid|isbn|hash)[:=]?$"
+#: A password inside an address, before the host.
+ADDRESS = r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]*:([^\s/@]+)@"
+HASHES = r"(?i)^(?:commit|sha\d*|md5|checksum|digest|id|uuid|isbn|hash|ssh-rsa|ssh-dss|ssh-ed25519|ecdsa-sha2-\w+)[:=]?$"
 #: Kinds of characters; a transition is the share of neighbouring characters of these two kinds.
 KINDS = "aA9."
 TRANSITIONS = [f"from_{i}_to_{j}" for i in range(4) for j in range(4)]
@@ -176,8 +180,9 @@ def _near(w: Column, text: Column) -> Column:
 
     def may(x: Column, i: Column) -> Column:
         alone = (F.length(x) >= 8) & ((F.length(x) >= 15) | (x.rlike("[0-9]") & x.rlike("[A-Za-z]")) | x.rlike(VENDOR_KEY))
+        address = F.contains(x, F.lit("://")) & F.contains(x, F.lit("@")) & x.rlike(ADDRESS)
         inside = (F.contains(x, F.lit("=")) | F.contains(x, F.lit(":"))) & x.rlike(NAME_INSIDE)
-        return alone | (text["named"] & (F.length(x) > 0) & (inside | F.coalesce(named(x, i), F.lit(False))))
+        return alone | address | (text["named"] & (F.length(x) > 0) & (inside | F.coalesce(named(x, i), F.lit(False))))
 
     words = F.transform(F.filter(F.transform(w, lambda x, i: F.when(may(x, i), i)), lambda i: i.isNotNull()), around)
     phrases = F.regexp_extract_all(text["t"], F.lit(PHRASE), F.lit(0))
@@ -192,7 +197,8 @@ def _parts(word: Column) -> Column:
     every = lambda pattern, k: F.regexp_extract_all(word, F.lit(pattern), F.lit(k))
     values = F.zip_with(every(VALUE, 1), every(VALUE, 2), lambda n, v: F.struct(n.alias("named"), trim(v).alias("candidate")))
     whole = F.concat(F.array(alone(word)), F.transform(every(r"[^,;|\"'<>()\[\]{}]{8,}", 0), alone))
-    got = F.when(F.size(values) > 0, values).otherwise(whole)
+    inner = F.transform(every(ADDRESS, 1), lambda v: F.struct(F.lit("password").alias("named"), trim(v).alias("candidate")))
+    got = F.when(F.size(inner) > 0, inner).when(F.size(values) > 0, values).otherwise(whole)
     keys = F.filter(F.transform(every(VENDOR_KEY, 0), alone), lambda x: ~F.exists(got, lambda y: y["candidate"] == x["candidate"]))
     return F.array_distinct(F.concat(got, keys))
 
@@ -217,7 +223,8 @@ def with_features(found: DataFrame, dictionary: Sequence[str] = DICTIONARY) -> D
     runs = F.regexp_replace(c, r"(.)\1{2,}", "")
     small = F.translate(F.lower("candidate"), "áàâäãåéèêëíìîïóòôöõúùûüñçß", "aaaaaaeeeeiiiiooooouuuuncs")
     triples = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(small, i, F.lit(3))), lambda g: g.rlike("^[a-z]{3}$"))
-    known = F.filter(triples, lambda g: F.contains(F.lit(" ".join(trigrams(dictionary))), g))
+    have = trigrams(dictionary)
+    known = F.filter(triples, lambda g: g.isin(*have))  # looked up in a set
     is_ = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     last = F.regexp_extract("before", r"(\S*)$", 1)
     got = {

@@ -61,6 +61,34 @@ NOTICES |= {
     for version in (2, 3, 4)
     for variant in ((), ("sa",), ("nc",), ("nd",), ("nc", "sa"), ("nc", "nd"))
 }
+#: Names without a lead-in, which carry a version or a variant themselves. Fixed values.
+NAMES = {
+    "=gnu =general public license version =1": "gpl-1",
+    "=gnu =general public license version =2": "gpl-2",
+    "=gnu =general public license version =3": "gpl-3",
+    "=gnu =lesser general public license version =2 =1": "lgpl-2.1",
+    "=gnu =lesser general public license version =3": "lgpl-3",
+    "=gnu =affero general public license version =3": "agpl-3",
+    "=apache license =1 =1": "apache-1.1",
+    "=apache license =2 =0": "apache-2.0",
+    "=apache license version =1 =1": "apache-1.1",
+    "=apache license version =2 =0": "apache-2.0",
+    "=bsd =2 clause license": "bsd-2",
+    "=bsd =3 clause license": "bsd-3",
+    "=mozilla public license =1 =1": "mpl-1.1",
+    "=mozilla public license =2 =0": "mpl-2.0",
+    "=mozilla public license version =2 =0": "mpl-2.0",
+    "=eclipse public license =1 =0": "epl-1.0",
+    "=eclipse public license =2 =0": "epl-2.0",
+}
+NAMES |= {w.removeprefix("licensed under "): label for w, label in NOTICES.items() if w.startswith("licensed under =cc ")}
+#: What stands after a licence identifier of a file's head, with its label. Fixed values.
+IDENTIFIERS = {
+    "=mit": "mit", "=isc": "isc", "=unlicense": "unlicense", "=apache =2 =0": "apache-2.0", "=bsd =2 =clause": "bsd-2", "=bsd =3 =clause": "bsd-3",
+    "=gpl =2 =0": "gpl-2", "=gpl =3 =0": "gpl-3", "=lgpl =2 =1": "lgpl-2.1", "=lgpl =3 =0": "lgpl-3", "=agpl =3 =0": "agpl-3",
+    "=mpl =2 =0": "mpl-2.0", "=epl =2 =0": "epl-2.0", "=bsl =1 =0": "bsl-1.0", "=cc0 =1 =0": "cc0", "=cc =by =4 =0": "cc-by", "=cc =by =sa =4 =0": "cc-by-sa",
+}
+NAMES |= {f"spdx license identifier {w}": label for w, label in IDENTIFIERS.items()}
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
     "spans array<struct<label: string, start: long, length: long, edits: long>>"
@@ -154,7 +182,7 @@ def scan_licenses(df: DataFrame, *, edits_per: int = 16, id_col: str = "doc_id",
     kinds.append(pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("edits", pa.int64())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        notices = [Notice(w, label, edits_per) for w, label in NOTICES.items()]
+        notices = [Notice(w, label, edits_per) for w, label in (NOTICES | NAMES).items()]
         for batch in batches:
             for part in blocks(batch):
                 cols = list(zip(*(scan(t, notices) for t in part.column(1).to_pylist()), strict=True))
