@@ -22,8 +22,8 @@ from .replicate import STATS, _codes, _matrix, analysis_frame, group_stats, null
 
 #: Rows that a bucket aims at, the most buckets of a group, and how many cuts a search passes at a time.
 PIECE, MOST, STRIDE = 50_000, 1024, 32
-#: Bins that a percentile's bracket is cut into.
-BINS = 256
+#: Bins that a percentile's bracket is cut into, and bytes of their sums that a task holds.
+BINS, HELD = 256, 64 << 20
 QUARTERS = (0.25, 0.5, 0.75)
 
 
@@ -62,13 +62,15 @@ def weighted_quarters(df: DataFrame, design: SurveyDesign, value: Column, within
     A row's place is (weights up to it - half its own) / all weights of the group; ties are split by
     ``design.order``, whose first column must be a number: a value that fills pieces alone is cut again
     at quantiles of that column. A place that equals a cut belongs to the lower quarter. Only the first
-    row past each cut is looked for, in narrow rows and in the pieces where a cut lies; the rows
-    themselves are compared with it where they are read. The cuts, a row a group, are made at once.
+    row past each cut is looked for, in narrow rows, which are written once, and in the pieces where a cut
+    lies; the rows themselves are read once more, to be compared with it. The cuts, a row a group, are made
+    at once.
     """
     rows = df.withColumn("_v", value).where("_v IS NOT NULL")
     w0 = F.coalesce(F.col(design.weight).cast("double"), F.lit(0.0))
     place_of = F.struct("_v", *design.order)
-    narrow = rows.select(*within, "_v", F.col(design.order[0]).cast("double").alias("_o"), place_of.alias("_at"), w0.alias("_w"))
+    # written once: edges, ties, sums and bounds are all made from these few columns
+    narrow = materialized(rows.select(*within, "_v", F.col(design.order[0]).cast("double").alias("_o"), place_of.alias("_at"), w0.alias("_w")), "narrow")
     cuts = materialized(edges(narrow, within, "_v", piece), "edges")
     narrow = null_safe_join(narrow, cuts, within).withColumn("_bucket", _below("_cuts", "_coarse", F.col("_v"))).drop("_cuts", "_coarse")
     keys = [*within, "_bucket", "_sub"]
@@ -172,6 +174,27 @@ def percentiles(df: DataFrame, design: SurveyDesign, measure: Sequence[Column],
     return null_safe_join(values, spans.select(*by, *STATS), by)
 
 
+class _Bins:
+    """Range, rows and weights of one group's bins."""
+
+    def __init__(self, key: list[pa.Array], n: int, reps: int):
+        self.key = key
+        self.low, self.high = np.full((n, BINS), np.inf), np.full((n, BINS), -np.inf)
+        self.many, self.total = np.zeros((n, BINS), np.int64), np.zeros((n, BINS, reps))
+
+    def add(self, x: np.ndarray, bins: np.ndarray, w: np.ndarray) -> None:
+        for i in range(x.shape[1]):
+            some = np.flatnonzero(bins[:, i] >= 0)
+            order = some[np.argsort(bins[some, i], kind="stable")]
+            if len(order):
+                starts = np.flatnonzero(np.diff(bins[order, i], prepend=-1))
+                b, v = bins[order[starts], i], x[order, i]
+                self.low[i, b] = np.minimum(self.low[i, b], np.minimum.reduceat(v, starts))
+                self.high[i, b] = np.maximum(self.high[i, b], np.maximum.reduceat(v, starts))
+                self.many[i, b] += np.diff(np.append(starts, len(order)))
+                self.total[i, b] += np.add.reduceat(w[order], starts, axis=0)
+
+
 def _bin_sums(binned: DataFrame, by: Sequence[str], n: int, reps: int, pv: str | None = "pv") -> DataFrame:
     """``[*by, pv, _bins]``: of every bin its range, rows and summed weights, as one array; rows are added up where they are read."""
     n_by = len(by)
@@ -179,7 +202,24 @@ def _bin_sums(binned: DataFrame, by: Sequence[str], n: int, reps: int, pv: str |
     keys, widths = [*by, *([pv] if pv else [])], [f"s{r}" for r in range(reps)]
     names = [*keys, "bin", "low", "high", "many", *widths]
 
+    def out(groups: list[pa.Array], rows: np.ndarray, i: np.ndarray, bins: np.ndarray, low: np.ndarray, high: np.ndarray, many: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        cols = [c.take(pa.array(rows)) for c in groups] + ([pa.array((i + 1).astype(np.int32))] if pv else [])
+        cols += [pa.array(bins.astype(np.int32)), pa.array(low), pa.array(high), pa.array(many.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(total[:, r])) for r in range(reps)]], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of up to ``HELD`` bytes stay over the batches of a task; what is over goes on at once."""
+        held: dict[tuple, _Bins] = {}
+        most = max(1, HELD // (8 * n * BINS * (reps + 3)))
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if held:
+                groups = [pa.concat_arrays([h.key[k] for h in held.values()]) for k in range(n_by)]
+                for at, h in enumerate(held.values()):
+                    i, b = np.nonzero(h.many)
+                    yield out(groups, np.full(len(i), at), i, b, h.low[i, b], h.high[i, b], h.many[i, b], h.total[i, b])
+                held.clear()
+
         for batch in batches:
             size = batch.num_rows
             if not size:
@@ -187,18 +227,27 @@ def _bin_sums(binned: DataFrame, by: Sequence[str], n: int, reps: int, pv: str |
             x = batch.column(n_by).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(size, n)
             bins, w = batch.column(n_by + 1).flatten().to_numpy().reshape(size, n), _matrix(batch.column(n_by + 2), size)
             code = _codes(batch, range(n_by))
-            for i in range(n):
-                some = np.flatnonzero(bins[:, i] >= 0)
-                order = some[np.lexsort([bins[some, i], code[some]])]
-                if not len(order):
-                    continue
-                pair = code[order] * BINS + bins[order, i]
-                starts = np.flatnonzero(np.diff(pair, prepend=-1))
-                at, v = order[starts], x[order, i]
-                cols = [batch.column(k).take(pa.array(at)) for k in range(n_by)] + ([pa.array(np.full(len(at), i + 1, np.int32))] if pv else [])
-                cols += [pa.array(bins[at, i].astype(np.int32)), pa.array(np.minimum.reduceat(v, starts)), pa.array(np.maximum.reduceat(v, starts)), pa.array(np.diff(np.append(starts, len(order))))]
-                total = np.add.reduceat(w[order], starts, axis=0)
-                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(total[:, r])) for r in range(reps)]], names=names)
+            _, firsts = np.unique(code, return_index=True)
+            if len(firsts) > most:
+                for i in range(n):
+                    some = np.flatnonzero(bins[:, i] >= 0)
+                    order = some[np.lexsort([bins[some, i], code[some]])]
+                    if len(order):
+                        starts = np.flatnonzero(np.diff(code[order] * BINS + bins[order, i], prepend=-1))
+                        at, v = order[starts], x[order, i]
+                        count = np.diff(np.append(starts, len(order)))
+                        edges = np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
+                        yield out(batch.columns[:n_by], at, np.full(len(at), i), bins[at, i], *edges, count, np.add.reduceat(w[order], starts, axis=0))
+                continue
+            if len(held) + len(firsts) > 2 * most:
+                yield from told()
+            keys_of = [tuple(batch.column(k)[int(f)].as_py() for k in range(n_by)) for f in firsts]
+            for f, key in zip(firsts, keys_of, strict=True):
+                if key not in held:
+                    held[key] = _Bins([batch.column(k).slice(int(f), 1) for k in range(n_by)], n, reps)
+                rows = np.flatnonzero(code == code[f])
+                held[key].add(x[rows], bins[rows], w[rows])
+        yield from told()
 
     sent = binned.mapInArrow(run, ", ".join([*kinds, *([f"{pv} int"] if pv else []), "bin int, low double, high double, many long", *[f"{s} double" for s in widths]]))
     per = sent.groupBy(*keys, "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("many").alias("many"), *[F.sum(s).alias(s) for s in widths])

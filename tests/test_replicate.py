@@ -159,9 +159,10 @@ def test_one_statistic_reads_its_rows_once(spark, df, tmp_path):
     assert scans(stats.crosstab(stored, DESIGN, "cnt", "id", categories=[1, 2, 3])) == 1
 
 
-@pytest.mark.parametrize("small", [1024, 1])
-def test_percentiles_match_sorted_rule(df, rows, small):
-    """Every weight's own percentile; with ``small`` 1 brackets are cut again and again."""
+@pytest.mark.parametrize(("small", "held"), [(1024, 64 << 20), (1, 64 << 20), (1024, 1)])
+def test_percentiles_match_sorted_rule(df, rows, small, held, monkeypatch):
+    """Every weight's own percentile; with ``small`` 1 brackets are cut again and again, with ``held`` 1 sums go on at once."""
+    monkeypatch.setattr(quantile, "HELD", held)
     measures = {1: "m1", 2: "m2", 3: "t"}
     tied = F.round(F.col("m1") / 200).cast("double")
     got = quantile.percentiles(df, DESIGN, [F.col("m1"), F.col("m2"), tied], ["cnt"], (0, 10, 50, 100), small=small).collect()
