@@ -24,13 +24,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one, so that what an ended application left can be told and removed."""
+    return f"{shared_dir(spark)}/surveyloom-{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back, where a plan would otherwise compute it again and again."""
+    """``df`` written once and read back, where a plan would otherwise compute it again and again.
+
+    The table stays until ``clear_work``, as results that are not yet collected still read it.
+    """
     path = work_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the tables that this application's queries have written for themselves.
+
+    Call it when their results have been collected or written; results that were not are lost. A folder of an
+    application that has ended may be removed at any time.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

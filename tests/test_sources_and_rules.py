@@ -10,7 +10,7 @@ from surveyloom.functions import text
 from surveyloom.functions.phrases import Phrases
 from surveyloom.operators import catalog, events, joins, rules, trend
 from surveyloom.plans.design import SurveyDesign
-from surveyloom.sources import ingest
+from surveyloom.sources import ingest, work
 
 
 @pytest.fixture(scope="module")
@@ -251,3 +251,13 @@ def test_search_looks_keys_up_in_the_index(spark):
     assert {r.variable for r in catalog.search(cat, "plausible", index=index).collect()} == {"PV1MATH"}
     plan = catalog.retrieve(cat, ["mathematics", "gender", "weight"], index=index)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan.split("Generate")[0]
+
+
+def test_work_tables_lie_in_one_folder_and_can_be_cleared(spark):
+    df = work.materialized(spark.range(5), "some")
+    assert df.count() == 5 and spark.sparkContext.applicationId in work.session_dir(spark)
+    folder = work.session_dir(spark).removeprefix("file:")
+    assert any(x.startswith("some-") for x in os.listdir(folder))
+    work.clear_work(spark)
+    assert not os.path.exists(folder)
+    assert work.materialized(spark.range(3), "some").count() == 3
