@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import discard, near, stored, without
 from .words import blocks, mix, windows, words_of
+from .workers import small_batches, tidy, tidy_group
 
 #: Sizes of one interval span this factor; sets of two sizes that can match share an interval.
 SPREAD = 1.4
@@ -222,7 +223,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
                 keys = np.array([set_key(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys)], names=["doc_id", "n_shingles", "key"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, key long")
 
 
 def prefix_length(size: int, percent: int) -> tuple[int, int]:
@@ -271,7 +272,7 @@ def _sent_prefixes(docs: DataFrame, n: int, percent: int, ranges: int) -> DataFr
                 local = pa.array(counted.column("part").to_numpy() + ranges)
                 yield pa.RecordBatch.from_arrays([local, *(counted.column(c).combine_chunks() for c in ("keys", "counts"))], names=names)
 
-    return docs.mapInArrow(run, "range long, hashes binary, owners binary")
+    return docs.mapInArrow(tidy(run), "range long, hashes binary, owners binary")
 
 
 _COUNTS = "part long, keys binary, counts binary"
@@ -320,8 +321,8 @@ def promising(docs: DataFrame, classes: DataFrame, n: int, percent: int, scratch
     spark = docs.sparkSession
     # a range takes the prefixes of about as many documents as BLOCK times eight
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() // (8 * BLOCK))
-    shared = _sent_prefixes(docs, n, percent, ranges).groupBy("range").applyInArrow(lambda t: _shared_elements(t, ranges), _COUNTS)
-    shared = shared.groupBy("part").applyInArrow(_total, "key long, shared long")
+    shared = _sent_prefixes(docs, n, percent, ranges).groupBy("range").applyInArrow(tidy_group(lambda t: _shared_elements(t, ranges)), _COUNTS)
+    shared = shared.groupBy("part").applyInArrow(tidy_group(_total), "key long, shared long")
     size = F.col("n_shingles")
     must = F.ceil(size * percent / F.lit(100)).cast("long")
     need = F.least(F.floor(F.lit(GUARD) * must).cast("long") + 1, F.ceil(must * percent / F.lit(100)).cast("long"))
@@ -339,7 +340,7 @@ def promising(docs: DataFrame, classes: DataFrame, n: int, percent: int, scratch
                 flat = np.concatenate([sets[i] for i in good]) if good else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good, pa.int64())), pa.ListArray.from_arrays(offs, pa.array(flat.view(np.int64)))], names=["key", "set"])
 
-    return stored(rows.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"]), "sets", scratch=scratch)
+    return stored(rows.mapInArrow(tidy(run), "key long, set array<long>").dropDuplicates(["key"]), "sets", scratch=scratch)
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -361,7 +362,7 @@ def segments(sets: DataFrame, percent: int) -> DataFrame:
                 own = [np.repeat(np.array([x[c] for x in rows], kind), lens) for c, kind in ((0, np.int64), (1, np.int32), (2, np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *map(pa.array, own)], names=["segment", "key", "slot", "extra"])
 
-    return sets.mapInArrow(run, "segment long, key long, slot int, extra int")
+    return sets.mapInArrow(tidy(run), "segment long, key long, slot int, extra int")
 
 
 def candidates(sets: DataFrame, percent: int, scratch: list[DataFrame]) -> DataFrame:
@@ -410,7 +411,7 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
         v = np.array([top[x] for x in label.tolist()], np.int64)
         return pa.table({"u": pa.array(k[k != v]), "v": pa.array(v[k != v])})
 
-    return rows.groupBy("block").applyInArrow(run, _LINKS)
+    return rows.groupBy("block").applyInArrow(tidy_group(run), _LINKS)
 
 
 def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,6 +425,7 @@ def jaccard_components(df: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     are dealt out at random, each block with the group's first class, and only what that leaves
     apart is matched block by block.
     """
+    small_batches(df.sparkSession)
     docs = _documents(df, id_col, text_col)
     own = stored(document_sets(docs, n), "sets")
     classes = own.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"))

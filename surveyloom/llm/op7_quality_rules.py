@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 from .words import blocks, mix, windows, words_of
+from .workers import small_batches, tidy
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -102,6 +103,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     ``uid`` is written with them, so it names the same row for every later reader. ``whole`` keeps the
     row itself as the struct ``row``. A null host counts as the host ''.
     """
+    small_batches(df.sparkSession)
     cols = [
         F.monotonically_increasing_id().alias("uid"),
         df[id_col].cast("long").alias("doc_id"),
@@ -111,7 +113,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     rows = df.select(*cols, own.alias("row") if whole else df[text_col].alias("text"))
     at = ["row", text_col] if whole else ["text"]
     schema = _SCHEMA + (f", row {rows.schema['row'].dataType.simpleString()}" if whole else "")
-    return stored(rows.mapInArrow(lambda batches: _measure(batches, at), schema), "lines")
+    return stored(rows.mapInArrow(tidy(lambda batches: _measure(batches, at)), schema), "lines")
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = 5, share: float = 0.03) -> DataFrame:

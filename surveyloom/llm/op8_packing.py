@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import blocks
+from .workers import small_batches, tidy
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -223,6 +224,7 @@ def pack(
     """
     if room < 1 or room & (room - 1) or segments < 1 or loss < 1:
         raise ValueError("room must be a power of two, segments and loss positive")
+    small_batches(df.sparkSession)
     prompt = F.lit(0) if prompt_bytes is None else F.coalesce(prompt_bytes, F.lit(0))
     cols = [df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), prompt.cast("long").alias("prompt")]
 
@@ -240,4 +242,4 @@ def pack(
         packer.drain(0)
         yield packer.take()
 
-    return df.select(*cols).mapInArrow(run, SCHEMA)
+    return df.select(*cols).mapInArrow(tidy(run), SCHEMA)

@@ -666,3 +666,25 @@ def test_secrets_of_a_kind_that_was_not_trained(spark, kind):
     held = [t for k, (_, t) in enumerate(secrets.invented(30, "left out")) if k % size == kind]
     found = {r.doc_id for r in scan(table(spark, held), model, dictionary=words).where("is_secret").collect()}
     assert len(found) >= 0.8 * len(held)
+
+
+def test_worker_memory_helpers_keep_rows_and_the_sessions_own_bound(spark):
+    from surveyloom.llm.workers import SMALL, small_batches, tidy, tidy_group
+
+    batches = [pa.RecordBatch.from_pydict({"x": [k, k + 1]}) for k in range(3)]
+    assert [b.to_pydict() for b in tidy(lambda given: (b for b in given))(iter(batches))] == [b.to_pydict() for b in batches]
+    assert list(tidy(lambda given: given)(iter([]))) == []
+    for rows in (3, SMALL):
+        table = pa.table({"x": pa.array(range(rows), pa.int64())})
+        assert tidy_group(lambda t: t.slice(1))(table).equals(table.slice(1))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, "1m")
+        small_batches(spark)
+        assert spark.conf.get(name) == "1m"
+        spark.conf.unset(name)
+        small_batches(spark)
+        assert spark.conf.get(name) == "8m"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
