@@ -104,23 +104,31 @@ def item_similarity(catalog: DataFrame, a: str, b: str, least: float = 0.85) ->
     """Items of two cycles with equal codes and labels whose edit similarity reaches ``least``.
 
     Labels that close have a common piece: of the k + 1 pieces of a label at fixed places, k edits leave
-    one unchanged and at most k places away, so pairs meet by such pieces, by (table, codes, length band).
+    one unchanged and at most k places away, so labels meet by such pieces, by (table, codes, length band).
+    Each wording is compared once, whatever the number of its items, which join the close ones afterwards.
+    Joins are merged: rows that are made of a label are no part of Spark's estimate, and a broadcast of them would
+    pass the driver.
     """
-    one = lambda c: catalog.where(F.col("cycle") == c).select(F.col("variable").alias(f"variable_{c}"), normal_label(F.col("label")).alias(f"w_{c}"), F.coalesce("value_labels", F.lit("")).alias("codes"), "table_name").distinct()
+    keys = ["table_name", "codes"]
+    items = lambda c: catalog.where(F.col("cycle") == c).select("table_name", F.coalesce("value_labels", F.lit("")).alias("codes"), normal_label(F.col("label")).alias(f"w_{c}"), F.col("variable").alias(f"variable_{c}")).distinct()
+    labels = lambda c: items(c).select(*keys, f"w_{c}").distinct()
     size = F.length(f"w_{a}")
     # the longer label has at most size / least characters, so it differs by at most this many edits
     edits = F.floor((1 - least) * size / least + 1e-9).cast("int")
     width = F.greatest(F.floor(size / (edits + 1)), F.lit(1)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct((i * width).alias("at"), width.alias("width"), F.substring(F.col(f"w_{a}"), i * width + 1, width).alias("piece")))
-    left = one(a).withColumn("edits", edits).select("*", F.explode(cut).alias("p")).select("*", "p.*").drop("p")
+    left = labels(a).withColumn("edits", edits).select("*", F.explode(cut).alias("p")).select("*", "p.*").drop("p")
     left = left.select("*", F.explode(F.sequence(F.greatest(F.col("at") - F.col("edits"), F.lit(0)), F.col("at") + F.col("edits"))).alias("place"))
     long = F.length(f"w_{b}")
     # piece widths of all labels that may be close to one of this length
     lengths = F.sequence(F.floor(long * least).cast("int"), F.ceil(long / least).cast("int"))
     every = F.array_distinct(F.transform(lengths, lambda n: F.greatest(F.floor(n / (F.floor((1 - least) * n / least + 1e-9) + 1)), F.lit(1)).cast("int")))
-    right = one(b).select("*", F.explode(every).alias("width"))
+    right = labels(b).select("*", F.explode(every).alias("width"))
     right = right.select("*", F.explode(F.sequence(F.lit(0), F.greatest(long - F.col("width"), F.lit(0)))).alias("place"))
     right = right.withColumn("piece", F.substring(F.col(f"w_{b}"), F.col("place") + 1, F.col("width")))
-    pairs = left.join(right, ["table_name", "codes", "width", "place", "piece"]).select("table_name", f"variable_{a}", f"variable_{b}", f"w_{a}", f"w_{b}").distinct()
+    met = left.hint("merge").join(right, [*keys, "width", "place", "piece"]).select(*keys, f"w_{a}", f"w_{b}").distinct()
     sim = 1 - F.try_divide(F.levenshtein(f"w_{a}", f"w_{b}"), F.greatest(F.length(f"w_{a}"), F.length(f"w_{b}")))
-    return pairs.withColumn("similarity", F.round(sim, 6)).where(F.col("similarity") >= least).select("table_name", f"variable_{a}", f"variable_{b}", "similarity").distinct()
+    close = met.withColumn("similarity", F.round(sim, 6)).where(F.col("similarity") >= least)
+    pairs = close.hint("merge").join(items(a), [*keys, f"w_{a}"]).drop(f"w_{a}")
+    pairs = pairs.hint("merge").join(items(b), [*keys, f"w_{b}"])
+    return pairs.select("table_name", f"variable_{a}", f"variable_{b}", "similarity").distinct()

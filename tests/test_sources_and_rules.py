@@ -261,3 +261,17 @@ def test_work_tables_lie_in_one_folder_and_can_be_cleared(spark):
     work.clear_work(spark)
     assert not os.path.exists(folder)
     assert work.materialized(spark.range(3), "some").count() == 3
+
+
+def _copies(spark, path, n):
+    """A catalog in a file, in which many items share few wordings."""
+    rows = [(f"V{k}", "t", f"c{1 + 2 * (k % 2)}", f"Student item {'ab'[k % 4 // 2]}", "{}") for k in range(n)]
+    spark.createDataFrame(rows, "variable string, table_name string, cycle string, label string, value_labels string").write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_item_similarity_broadcasts_no_pieces(spark, tmp_path):
+    got = joins.item_similarity(_copies(spark, tmp_path / "c", 200), "c1", "c3")
+    # pieces of labels are many times the file, whose size is all that Spark's estimate knows
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 10_000 and got.where("similarity = 1").count() == 5_000
