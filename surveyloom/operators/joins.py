@@ -93,10 +93,21 @@ def normal_label(label: Column) -> Column:
 
 
 def match_items(catalog: DataFrame, a: str, b: str) -> DataFrame:
-    """Items of cycle ``a`` under another code in cycle ``b``: equal wording and labels, exactly one partner."""
-    one = lambda c: catalog.where(F.col("cycle") == c).select(F.col("variable").alias(f"variable_{c}"), normal_label(F.col("label")).alias("wording"), F.coalesce("value_labels", F.lit("")).alias("codes"))
-    pairs = one(a).join(one(b), ["wording", "codes"]).where(F.col(f"variable_{a}") != F.col(f"variable_{b}"))
-    single = pairs.groupBy(f"variable_{a}").agg(F.count("*").alias("_n"), F.min(f"variable_{b}").alias(f"variable_{b}"))
+    """Items of cycle ``a`` under another code in cycle ``b``: equal wording and labels, exactly one partner.
+
+    Partners are counted, never listed: an item has as many as its wording has items in ``b``, less those under
+    its own code. A single one is the lowest or the highest code there, as all others are the item's own. The
+    join is merged, as the size of a catalog's file says little of its rows and a broadcast would pass the driver.
+    """
+    keys, cycle, variable = ["wording", "codes"], F.col("cycle"), F.col("variable")
+    rows = catalog.where(cycle.isin(a, b)).select("cycle", "variable", normal_label(F.col("label")).alias("wording"), F.coalesce("value_labels", F.lit("")).alias("codes"))
+    # dealt out first, as few rows of a part of the file fall together
+    dealt = rows.where("variable IS NOT NULL AND wording IS NOT NULL").repartition(*keys, "variable")
+    items = dealt.groupBy(*keys, "variable").agg(F.count_if(cycle == a).alias("_a"), F.count_if(cycle == b).alias("_b"))
+    there = items.where("_b > 0").groupBy(*keys).agg(F.sum("_b").alias("_all"), F.min("variable").alias("_low"), F.max("variable").alias("_high"))
+    met = items.where("_a > 0").hint("merge").join(there, keys).withColumn("_n", F.col("_a") * (F.col("_all") - F.col("_b"))).where("_n > 0")
+    other = F.when(F.col("_low") == variable, F.col("_high")).otherwise(F.col("_low"))
+    single = met.groupBy(variable.alias(f"variable_{a}")).agg(F.sum("_n").alias("_n"), F.min(other).alias(f"variable_{b}"))
     return single.where("_n = 1").drop("_n")
 
 

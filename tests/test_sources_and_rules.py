@@ -275,3 +275,16 @@ def test_item_similarity_broadcasts_no_pieces(spark, tmp_path):
     # pieces of labels are many times the file, whose size is all that Spark's estimate knows
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 10_000 and got.where("similarity = 1").count() == 5_000
+
+
+def test_match_items_lists_no_pairs(spark, tmp_path):
+    many = _copies(spark, tmp_path / "c", 400)
+    one = spark.createDataFrame([("X", "t", "c1", "Only here", None), ("Y", "t", "c3", "only HERE", None), ("X", "t", "c3", "only here", None), (None, "t", "c3", "only here", None), ("Z", "t", "c1", None, None)], many.schema)
+    got = joins.match_items(many.unionByName(one), "c1", "c3")
+    assert [tuple(r) for r in got.collect()] == [("X", "Y")]
+    joined = got._jdf.queryExecution().executedPlan()
+    assert "Broadcast" not in joined.toString()
+    # counts meet counts: both sides of the join are grouped before
+    assert joined.toString().split("Join", 1)[1].count("Aggregate") > 2
+    twice = one.unionByName(one.where("variable = 'Y'"))
+    assert joins.match_items(twice, "c1", "c3").count() == 0
