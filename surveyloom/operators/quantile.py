@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans.design import SurveyDesign
 from ..sources.work import materialized
-from .replicate import STATS, _codes, _matrix, analysis_frame, group_stats, null_safe_join
+from .replicate import STATS, _codes, _matrix, analysis_frame, group_stats, null_safe_join, stored
 
 #: Rows that a bucket aims at, the most buckets of a group, and how many cuts a search passes at a time.
 PIECE, MOST, STRIDE = 50_000, 1024, 32
@@ -56,21 +56,33 @@ def edges(df: DataFrame, keys: Sequence[str], value: str, piece: int = PIECE) ->
     return g.withColumn("_coarse", _coarse(F.col("_cuts")))
 
 
-def weighted_quarters(df: DataFrame, design: SurveyDesign, value: Column, within: Sequence[str], out: str = "quarter", piece: int = PIECE) -> DataFrame:
+def weighted_quarters(df: DataFrame, design: SurveyDesign, value: Column, within: Sequence[str], out: str = "quarter", piece: int = PIECE, written: bool = False) -> DataFrame:
     """Rows with a value, and their weighted quarter 1-4 by the midpoint rule.
 
     A row's place is (weights up to it - half its own) / all weights of the group; ties are split by
     ``design.order``, whose first column must be a number: a value that fills pieces alone is cut again
     at quantiles of that column. A place that equals a cut belongs to the lower quarter. Only the first
-    row past each cut is looked for, in narrow rows, which are written once, and in the pieces where a cut
-    lies; the rows themselves are read once more, to be compared with it. The cuts, a row a group, are made
-    at once.
+    row past each cut is looked for, in narrow rows, which are written once unless ``df`` is read from rows
+    that are ``written``; the rows themselves are read once more, to be compared with it. The cuts, a row a group,
+    are made at once.
     """
     rows = df.withColumn("_v", value).where("_v IS NOT NULL")
+    narrow = narrow_rows(rows, design, within)
+    # edges, ties, sums and bounds are all made from these few columns
+    bounds = quarter_bounds(narrow if written else materialized(narrow, "narrow"), within, piece)
+    placed = null_safe_join(rows.withColumn("_at", F.struct("_v", *design.order)), bounds, within)
+    above = sum(F.coalesce((F.col("_at") >= F.col(f"_q{i}")).cast("int"), F.lit(0)) for i in range(len(QUARTERS)))
+    return placed.withColumn(out, 1 + above).drop("_v", "_at", *[f"_q{i}" for i in range(len(QUARTERS))])
+
+
+def narrow_rows(rows: DataFrame, design: SurveyDesign, within: Sequence[str]) -> DataFrame:
+    """(within, value, first order column, place, weight) of rows with a value ``_v``: all that cuts are found from."""
     w0 = F.coalesce(F.col(design.weight).cast("double"), F.lit(0.0))
-    place_of = F.struct("_v", *design.order)
-    # written once: edges, ties, sums and bounds are all made from these few columns
-    narrow = materialized(rows.select(*within, "_v", F.col(design.order[0]).cast("double").alias("_o"), place_of.alias("_at"), w0.alias("_w")), "narrow")
+    return rows.select(*within, "_v", F.col(design.order[0]).cast("double").alias("_o"), F.struct("_v", *design.order).alias("_at"), w0.alias("_w"))
+
+
+def quarter_bounds(narrow: DataFrame, within: Sequence[str], piece: int = PIECE, shares: Sequence[float] = QUARTERS) -> DataFrame:
+    """``[*within, _q0, ..]``: place of the first row past each share of a group's weight, looked for in the pieces where the share lies."""
     cuts = materialized(edges(narrow, within, "_v", piece), "edges")
     narrow = null_safe_join(narrow, cuts, within).withColumn("_bucket", _below("_cuts", "_coarse", F.col("_v"))).drop("_cuts", "_coarse")
     keys = [*within, "_bucket", "_sub"]
@@ -87,16 +99,14 @@ def weighted_quarters(df: DataFrame, design: SurveyDesign, value: Column, within
     sums = narrow.groupBy(*keys).agg(F.sum("_w").alias("_in"))
     up_to = Window.partitionBy(*within).orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, 0)
     ends = sums.select(*keys, F.sum("_in").over(up_to).alias("_end"), "_in", F.sum("_in").over(Window.partitionBy(*within)).alias("_total"))
-    ends = ends.select("*", F.explode(F.array(*[F.lit(c) for c in QUARTERS])).alias("_cut")).where("_end > _cut * _total")
+    ends = ends.select("*", F.explode(F.array(*[F.lit(c) for c in shares])).alias("_cut")).where("_end > _cut * _total")
     # half a weight may move the first row past a cut into the next piece
     first = Window.partitionBy(*within, "_cut").orderBy("_bucket", "_sub")
     hits = ends.withColumn("_k", F.row_number().over(first)).where("_k <= 2").groupBy(*keys).agg(F.min(F.col("_end") - F.col("_in")).alias("_start"), F.min("_total").alias("_total"))
     run = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     near = null_safe_join(narrow, materialized(hits, "hits"), keys).withColumn("_place", (F.col("_start") + F.sum("_w").over(run) - F.col("_w") / 2) / F.col("_total"))
-    bounds = near.groupBy(*within).agg(*[F.min(F.when(F.col("_place") > c, F.col("_at"))).alias(f"_q{i}") for i, c in enumerate(QUARTERS)])
-    placed = null_safe_join(rows.withColumn("_at", place_of), materialized(bounds, "bounds"), within)
-    above = sum(F.coalesce((F.col("_at") >= F.col(f"_q{i}")).cast("int"), F.lit(0)) for i in range(len(QUARTERS)))
-    return placed.withColumn(out, 1 + above).drop("_v", "_at", *[f"_q{i}" for i in range(len(QUARTERS))])
+    bounds = near.groupBy(*within).agg(*[F.min(F.when(F.col("_place") > c, F.col("_at"))).alias(f"_q{i}") for i, c in enumerate(shares)])
+    return materialized(bounds, "bounds")
 
 
 def _bin(v: Column, low: Column, high: Column) -> Column:
@@ -132,10 +142,12 @@ def percentiles(df: DataFrame, design: SurveyDesign, measure: Sequence[Column],
     the target of some weight falls into a bin of one value, that is the answer. The third writes the few
     rows of the other bins that are hit. Such a bracket of at most ``small`` rows is finished at once; a
     larger one is cut into bins again, until none is left. Only sums, and brackets of bounded size, are
-    shuffled, and a group's size decides nothing but the number of rounds.
+    shuffled, and a group's size decides nothing but the number of rounds. The three scans read rows that are
+    written once where the design makes its weights.
     """
     n, reps, keys = len(measure), design.groups + 1, [*by, "pv"]
-    frame = analysis_frame(df, design, measure, by, where)
+    rows = stored(df, design, {f"_y{i}": m for i, m in enumerate(measure, 1)}, by, where)
+    frame = analysis_frame(rows, design, [F.col(f"_y{i}") for i in range(1, n + 1)], by)
     span = [f(f"m_{i}").alias(f"_{k}{i}") for i in range(1, n + 1) for k, f in (("low", F.min), ("high", F.max))]
     spans = materialized(group_stats(frame, by, more=span), "spans")
     ends = spans.select(*by, *[f"_{k}{i}" for i in range(1, n + 1) for k in ("low", "high")])

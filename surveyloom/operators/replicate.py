@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.design import SurveyDesign
+from ..sources.work import materialized
 
 STATS = ("n", "n_schools", "wcov")
 
@@ -41,6 +42,20 @@ def known_number(c: Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
+def stored(df: DataFrame, design: SurveyDesign, columns: dict[str, Column], keep: Sequence[str] = (), where: Column | None = None) -> DataFrame:
+    """The rows with further columns, for operators that read them several times.
+
+    Where the design can make the weights from few columns, these, ``keep`` and the new columns are written once,
+    so that whatever joins the rows come from run once; the weights are made again at every reading.
+    """
+    rows = df if where is None else df.where(where)
+    if not design.make:
+        return rows.withColumns(columns)
+    school = [design.school] if design.school and design.school in df.columns else []
+    names = dict.fromkeys([*keep, design.weight, *school, *design.made_from])
+    return design.make(materialized(rows.select(*[F.col(c) for c in names if c not in columns], *[c.alias(k) for k, c in columns.items()]), "rows"))
+
+
 def analysis_frame(df: DataFrame, design: SurveyDesign, measures: Sequence[Column], by: Sequence[str] = (), where: Column | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """Groups, measures ``m_1..`` (NaN is NULL), named extras, the weights as one array, the full-sample weight, and the school.
 
@@ -88,19 +103,23 @@ def _codes(batch: pa.RecordBatch, columns: Sequence[int]) -> np.ndarray:
     return code
 
 
-def weighted_sums(frame: DataFrame, by: Sequence[str], terms: dict[str, Column], seen: Sequence[Column] = ()) -> DataFrame:
+def weighted_sums(frame: DataFrame, by: Sequence[str], terms: dict[str, Column], seen: Sequence[Column] = (), products: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``[*by, rep, *terms]``: sum of weight x term of every group and weight; a NULL term adds nothing.
 
     For every condition in ``seen`` there are also ``n_k``, ``n_schools_k`` and ``wcov_k`` (k from 0), as in
     ``group_stats``, from the same scan: batches send their groups' schools beside the sums, marked by
-    rep -1.
+    rep -1. With ``products``, these are summed instead: each is the product of the named terms, and nothing
+    where the first of them is 0. Batches make them, so that only the factors leave Spark.
     """
     flat = F.array(*[F.coalesce(t.cast("double"), F.lit(0.0)) for t in terms.values()])
     seen_flat = F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in seen]) if seen else F.lit(None).cast("array<double>")
     school = F.col("_school") if seen else F.lit(None).cast("long")
     rows = frame.select(*by, flat.alias("_x"), "_weights", seen_flat.alias("_seen"), school.alias("_school"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    n_by, n_terms, n_seen = len(by), len(terms), len(seen)
+    sums_of = list(products or terms)
+    at = {t: k for k, t in enumerate(terms)}
+    factors = [[at[f] for f in fs] for fs in (products or {}).values()]
+    n_by, n_factors, n_terms, n_seen = len(by), len(terms), len(sums_of), len(seen)
     width = max(n_terms, 1 + 2 * n_seen)
     names = [*by, "_rep", "_school", *[f"_v{k}" for k in range(width)]]
     fields = [f"`{x}` {kinds[x]}" for x in by] + ["_rep int", f"_school {kinds['_school']}"] + [f"_v{k} double" for k in range(width)]
@@ -114,7 +133,9 @@ def weighted_sums(frame: DataFrame, by: Sequence[str], terms: dict[str, Column],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(n_by).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_terms)
+            x = batch.column(n_by).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_factors)
+            if factors:
+                x = np.column_stack([np.where(x[:, fs[0]] != 0, np.prod(x[:, fs], axis=1), 0.0) for fs in factors])
             w = _matrix(batch.column(n_by + 1), batch.num_rows)
             code = _codes(batch, range(n_by))
             order = np.argsort(code, kind="stable")
@@ -132,7 +153,7 @@ def weighted_sums(frame: DataFrame, by: Sequence[str], terms: dict[str, Column],
                 yield out(batch, first, np.full(len(first), -1), batch.column(n_by + 3).take(pa.array(first)), values)
 
     sent = rows.mapInArrow(run, ", ".join(fields)).groupBy(*by, "_rep", "_school").agg(*[F.sum(f"_v{k}").alias(f"_v{k}") for k in range(width)])
-    cell = F.struct(F.col("_rep").alias("rep"), *[F.col(f"_v{k}").alias(t) for k, t in enumerate(terms)])
+    cell = F.struct(F.col("_rep").alias("rep"), *[F.col(f"_v{k}").alias(t) for k, t in enumerate(sums_of)])
     if not seen:
         return sent.select(*by, cell.alias("_c")).select(*by, "_c.*")
     apart = F.col("_rep") < 0

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +16,8 @@ class SurveyDesign:
     ``order`` makes every row order total: ties of a ranked value are split by these columns.
     ``array`` may name a column that holds all weights, the full sample's first, in place of
     ``replicates``. ``school`` may be None where no school is known; school counts are then -1.
+    Where ``make`` adds the array to rows that have the columns ``made_from``, operators that read rows
+    several times write them once with these few columns in place of the weights.
     """
 
     weight: str = "w0"
@@ -25,6 +28,8 @@ class SurveyDesign:
     array: str | None = None
     reps: int = 80
     order: tuple[str, ...] = ("k1", "k2", "k3", "k4", "k5", "w0")
+    made_from: tuple[str, ...] = ()
+    make: Callable[[DataFrame], DataFrame] | None = None
 
     @property
     def scale(self) -> float:

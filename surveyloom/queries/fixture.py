@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..plans.design import SurveyDesign
 
 G, M = 80, 3
-DESIGN = SurveyDesign(array="wts", reps=G)
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,13 +57,20 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("lineitem", "orders", "customer", "nation")
     for t in names:
         sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-    rows = spark.sql(sql, **{t: table(spark, sf_dir, t) for t in names})
+    return with_weights(spark.sql(sql, **{t: table(spark, sf_dir, t) for t in names}))
+
+
+def with_weights(rows: DataFrame) -> DataFrame:
+    """Rows with their array of weights, from the school's pattern and the full-sample weight."""
     arrays = "transform(sequence(0, {G}), r -> w0 * CASE WHEN r = 0 THEN 1.0D WHEN bit_count(pattern & r) % 2 = 0 THEN 1.5D ELSE 0.5D END)".replace("{G}", str(G))
-    keys = spark.range(PATTERNS * WEIGHTS).select((F.col("id") % PATTERNS).alias("_p"), (F.floor(F.col("id") / PATTERNS) + 1).cast("double").alias("_w"))
+    keys = rows.sparkSession.range(PATTERNS * WEIGHTS).select((F.col("id") % PATTERNS).alias("_p"), (F.floor(F.col("id") / PATTERNS) + 1).cast("double").alias("_w"))
     held = keys.select("_p", "_w", F.expr(arrays.replace("w0", "_w").replace("pattern", "_p")).alias("_wts"))
     # a weight outside the usual range has its array made in place
     out = rows.join(F.broadcast(held), (F.col("pattern") == F.col("_p")) & (F.col("w0") == F.col("_w")), "left")
-    return out.withColumn("wts", F.coalesce("_wts", F.expr(arrays))).drop("pattern", "_p", "_w", "_wts")
+    return out.withColumn("wts", F.coalesce("_wts", F.expr(arrays))).drop("_p", "_w", "_wts")
+
+
+DESIGN = SurveyDesign(array="wts", reps=G, made_from=("pattern", "w0"), make=with_weights)
 
 
 def query(name: str, sql: str | None) -> Callable:

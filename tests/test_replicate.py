@@ -320,3 +320,31 @@ def test_ranks_share_ties_and_skip_averages(spark):
     res = spark.createDataFrame([("a", 3.0), ("b", 3.0), ("c", 1.0), ("avg", 2.0), ("d", None)], "k string, estimate double")
     got = {r.k: r["rank"] for r in rules.ranked(res, average=F.col("k") == "avg").collect()}
     assert got == {"a": 1, "b": 1, "c": 3, "avg": None, "d": None}
+
+
+READ_OFTEN = {
+    "percentiles": lambda d, s: stats.percentiles(d, s, [F.col("m1"), F.col("m2")], ["cnt"], (10, 90)),
+    "percentile_spread": lambda d, s: stats.percentile_spread(d, s, [F.col("m1"), F.col("m2")], ["cnt"]),
+}
+
+
+@pytest.mark.parametrize("name", READ_OFTEN)
+def test_rows_are_made_once_where_the_design_makes_its_weights(spark, df, name):
+    """The rows may come from joins, which must not run again at every reading; results are those of given weights."""
+    signs = F.array(F.col("w0"), *[F.col("w0") * F.when((F.col("sch") + r) % 2 == 0, 1.5).otherwise(0.5) for r in range(4)])
+    make = lambda d: d.withColumn("wts", signs)
+    given = SurveyDesign(array="wts", reps=4, order=("id",))
+    small = SurveyDesign(array="wts", reps=4, order=("id",), made_from=("sch", "w0"), make=make)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = df.select("id", "cnt", "sch", "w0", "x", "m1", "m2")
+    once = make(rows.mapInArrow(counted, rows.schema))
+    key = lambda d: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()), key=repr)
+    got = key(READ_OFTEN[name](once, small))
+    assert read.value == rows.count()
+    assert got == key(READ_OFTEN[name](make(rows), given)) and got
