@@ -13,19 +13,29 @@ from pyspark.sql import functions as F
 
 from ..plans.design import SurveyDesign
 from ..sources.work import materialized
-from .replicate import STATS, analysis_frame, combine, null_safe_join, weighted_sums
+from .replicate import STATS, analysis_frame, combine, null_safe_join, stored, weighted_sums
 from .stats import _quartered
 
 INTERCEPT = "(intercept)"
 
 
 def _frame(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predictors: dict[str, Column], by: Sequence[str], where: Column | None) -> DataFrame:
-    """Measures are NULL where a predictor is, so that each imputation deletes listwise."""
+    """Measures are NULL where a predictor is, so that each imputation deletes listwise. Two scans read it."""
+    return _listwise(stored(df, design, _columns(y, predictors), by, where), design, len(y), len(predictors), by)
+
+
+def _columns(y: Sequence[Column], predictors: dict[str, Column]) -> dict[str, Column]:
     if not 1 <= len(predictors) <= 6:
         raise ValueError("a regression takes 1 to 6 predictors")
-    known = reduce(and_, [p.isNotNull() for p in predictors.values()])
-    xs = {f"x_{k}": p.cast("double") for k, p in enumerate(predictors.values(), 1)}
-    return analysis_frame(df, design, [F.when(known, m.cast("double")) for m in y], by, where, xs | {"_known": known})
+    return {f"_y{i}": m for i, m in enumerate(y, 1)} | {f"_p{j}": p for j, p in enumerate(predictors.values(), 1)}
+
+
+def _listwise(rows: DataFrame, design: SurveyDesign, n_y: int, k: int, by: Sequence[str]) -> DataFrame:
+    """The frame of rows that have ``_columns``."""
+    y, predictors = [F.col(f"_y{i}") for i in range(1, n_y + 1)], [F.col(f"_p{j}") for j in range(1, k + 1)]
+    known = reduce(and_, [p.isNotNull() for p in predictors])
+    xs = {f"x_{j}": p.cast("double") for j, p in enumerate(predictors, 1)}
+    return analysis_frame(rows, design, [F.when(known, m.cast("double")) for m in y], by, None, xs | {"_known": known})
 
 
 def _pairs(k: int) -> list[tuple[int, int]]:
@@ -75,13 +85,14 @@ def _solved(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str])
     k = len(names)
     spans = materialized(_spans(frame, by, n_y, names), "spans")
     fit = null_safe_join(frame, spans.where("reason IS NULL").drop("reason"), by)
-    x = lambda j: F.lit(1.0) if j == 0 else (F.col(f"x_{j}") - F.col("_shift")[j - 1]) / F.col("_range")[j - 1]
-    terms: dict[str, Column] = {}
+    terms: dict[str, Column] = {f"x_{j}": (F.col(f"x_{j}") - F.col("_shift")[j - 1]) / F.col("_range")[j - 1] for j in range(1, k + 1)}
+    products: dict[str, tuple[str, ...]] = {}
     for i in range(1, n_y + 1):
-        m = F.col(f"m_{i}")
-        terms |= {f"a_{i}_{a}_{b}": F.when(m.isNotNull(), x(a) * x(b)) for a, b in _pairs(k)}
-        terms |= {f"c_{i}_{a}": F.when(m.isNotNull(), x(a) * m) for a in range(k + 1)}
-    sums = weighted_sums(fit, by, terms, [F.col("m_1").isNotNull()]).withColumnsRenamed({f"{c}_0": c for c in STATS})
+        x = lambda *js: [f"x_{j}" for j in js if j]
+        terms |= {f"known_{i}": F.col(f"m_{i}").isNotNull(), f"m_{i}": F.col(f"m_{i}")}
+        products |= {f"a_{i}_{a}_{b}": (f"known_{i}", *x(a, b)) for a, b in _pairs(k)}
+        products |= {f"c_{i}_{a}": (f"known_{i}", f"m_{i}", *x(a)) for a in range(k + 1)}
+    sums = weighted_sums(fit, by, terms, [F.col("m_1").isNotNull()], products).withColumnsRenamed({f"{c}_0": c for c in STATS})
     cell = lambda i: F.struct(F.lit(i).alias("pv"), F.array(*[f"a_{i}_{a}_{b}" for a, b in _pairs(k)], *[f"c_{i}_{a}" for a in range(k + 1)]).alias("s"))
     long = sums.select(*by, "rep", F.explode(F.array(*[cell(i) for i in range(1, n_y + 1)])).alias("c"), *STATS).select(*by, "rep", "c.pv", *STATS, "c.s")
     long = null_safe_join(long, spans.select(*by, "_shift", "_range"), by)
@@ -107,7 +118,11 @@ def _solved(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str])
 
 def regression(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predictors: dict[str, Column], by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
     """Coefficients with standard errors: ``[*by, term, ...]``; groups of ``regression_skipped`` are left out."""
-    _, solved = _solved(_frame(df, design, y, predictors, by, where), by, len(y), list(predictors))
+    return _estimates(_frame(df, design, y, predictors, by, where), design, len(y), predictors, by)
+
+
+def _estimates(frame: DataFrame, design: SurveyDesign, n_y: int, predictors: dict[str, Column], by: Sequence[str]) -> DataFrame:
+    _, solved = _solved(frame, by, n_y, list(predictors))
     whole = solved.withColumn("_bad", F.max("reason").over(Window.partitionBy(*by))).where("_bad IS NULL")
     names = F.array(*[F.lit(x) for x in (INTERCEPT, *predictors)])
     cells = F.explode(F.arrays_zip(names.alias("term"), F.col("beta").alias("value"))).alias("_c")
@@ -116,7 +131,8 @@ def regression(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predict
 
 
 def regression_by_quarter(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predictors: dict[str, Column], over: Column, by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
-    return regression(_quartered(df, design, over, by, where), design, y, predictors, ["quarter", *by])
+    rows = _quartered(df, design, over, by, where, _columns(y, predictors))
+    return _estimates(_listwise(rows, design, len(y), len(predictors), ["quarter", *by]), design, len(y), predictors, ["quarter", *by])
 
 
 def _spans(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str]) -> DataFrame:

@@ -11,8 +11,8 @@ from ..functions.measures import code_share, share
 from ..plans.design import SurveyDesign
 from ..sources.work import materialized
 from .quantile import percentiles as percentile_values
-from .quantile import weighted_quarters
-from .replicate import STATS, analysis_frame, combine, contrast, null_safe_join, replicate_frame, replicate_means, stack, weighted_sums, with_stats
+from .quantile import narrow_rows, quarter_bounds, weighted_quarters
+from .replicate import STATS, analysis_frame, combine, contrast, null_safe_join, replicate_frame, replicate_means, stack, stored, weighted_sums, with_stats
 from .schools import school_share, school_sums
 
 By = Sequence[str]
@@ -76,18 +76,31 @@ def school_share_gap(
     return gap(rows, design, measure, side, 1, 0, by, label=label or "high minus low")
 
 
-def _quartered(df: DataFrame, design: SurveyDesign, over: Column, by: By, where: Column | None) -> DataFrame:
-    """Quarters are cut within the economy, or in all rows when it is not a group; the filter comes first."""
-    rows = df if where is None else df.where(where)
-    return weighted_quarters(rows, design, over, [design.economy] if design.economy in by else [])
+def _ranked(df: DataFrame, design: SurveyDesign, over: Column, by: By, where: Column | None, columns: dict[str, Column]) -> DataFrame:
+    """The rows with ``columns`` and the index, ``_over``; the filter comes first."""
+    return stored(df, design, columns | {"_over": over}, [*by, *design.order], where)
+
+
+def _quartered(df: DataFrame, design: SurveyDesign, over: Column, by: By, where: Column | None, columns: dict[str, Column]) -> DataFrame:
+    """Rows with ``columns`` and their quarter, cut within the economy, or in all rows when it is not a group."""
+    return _cut(_ranked(df, design, over, by, where, columns), design, by)
+
+
+def _cut(ranked: DataFrame, design: SurveyDesign, by: By) -> DataFrame:
+    return weighted_quarters(ranked, design, F.col("_over"), [design.economy] if design.economy in by else [], written=bool(design.make))
+
+
+def _named(measure: Measure, name: str = "_y") -> dict[str, Column]:
+    return {f"{name}{i}": m for i, m in enumerate(measure, 1)}
 
 
 def quartile_replicates(df: DataFrame, design: SurveyDesign, measure: Measure, over: Column, by: By = (), where: Column | None = None) -> DataFrame:
     """Means per weighted quarter; ``wcov`` is the weighted share of rows whose quarter is known."""
-    rows = df if where is None else df.where(where)
+    columns = _named(measure)
+    rows = _ranked(df, design, over, by, where, columns)
     w = F.col(design.weight).cast("double")
-    known = rows.groupBy(*by).agg(F.try_divide(F.sum(F.when(over.isNotNull(), w)), F.sum(w)).alias("wcov"))
-    reps = replicate_means(_quartered(df, design, over, by, where), design, measure, [*by, "quarter"])
+    known = rows.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col("_over").isNotNull(), w)), F.sum(w)).alias("wcov"))
+    reps = replicate_means(_cut(rows, design, by), design, [F.col(c) for c in columns], [*by, "quarter"])
     return null_safe_join(reps.drop("wcov"), known, by)
 
 
@@ -131,7 +144,8 @@ def correlation(df: DataFrame, design: SurveyDesign, x: Measure, y: Measure, by:
 
 
 def correlation_by_quarter(df: DataFrame, design: SurveyDesign, x: Measure, y: Measure, over: Column, by: By = (), where: Column | None = None) -> DataFrame:
-    return correlation(_quartered(df, design, over, by, where), design, x, y, ["quarter", *by])
+    xs, ys = _named(x, "_x"), _named(y)
+    return correlation(_quartered(df, design, over, by, where, xs | ys), design, [F.col(c) for c in xs], [F.col(c) for c in ys], ["quarter", *by])
 
 
 def weighted_sd(df: DataFrame, design: SurveyDesign, measure: Measure, by: By = (), where: Column | None = None) -> DataFrame:
@@ -171,29 +185,30 @@ def crosstab(df: DataFrame, design: SurveyDesign, row: str, col: str, by: By = (
 
 
 def resilient_share(df: DataFrame, design: SurveyDesign, measure: Measure, over: Column, by: By = (), cut: float | None = None, where: Column | None = None) -> DataFrame:
-    """Of the bottom quarter of an index: per cent in the top quarter of each imputation (or at or above ``cut``)."""
-    rows = _quartered(df, design, over, by, where).withColumnRenamed("quarter", "_low")
+    """Of the bottom quarter of an index: per cent in the top quarter of each imputation (or at or above ``cut``).
+
+    Scores are long only while the cuts are looked for. A cut is a row a group and imputation, so each row is
+    compared with all of its own where it stands, and its weights are met once for all imputations.
+    """
+    names = [f"_y{i}" for i in range(1, len(measure) + 1)]
+    columns = dict(zip(names, [m.cast("double") for m in measure], strict=True))
     if cut is not None:
-        return weighted_mean(rows, design, [share(m >= cut, m.isNotNull()) for m in measure], by, F.col("_low") == 1)
-    # scores are long and narrow, a row's weights stand once beside them under its number
-    school = F.col(design.school) if design.school and design.school in df.columns else F.lit(None).cast("long")
-    w0 = F.coalesce(F.col(design.weight).cast("double"), F.lit(0.0))
-    keep = list(dict.fromkeys([*by, *design.order, design.economy, design.weight, "_low"]))
-    scores = F.array(*[m.cast("double") for m in measure])
-    base = rows.select(*keep, scores.alias("_scores"), school.alias("_school"), design.weights.alias("_weights"), w0.alias("_w0"))
-    base = materialized(base.withColumn("_row", F.monotonically_increasing_id()), "resilient")
-    narrow = base.select(*keep, "_row", F.posexplode("_scores").alias("_pos", "_score")).withColumn("pv", F.col("_pos") + 1)
+        rows = _quartered(df, design, over, by, where, columns)
+        return weighted_mean(rows, design, [share(F.col(c) >= cut, F.col(c).isNotNull()) for c in names], by, F.col("quarter") == 1)
     # the top quarter is cut among all rows with the index
-    within = [design.economy, "pv"] if design.economy in by else ["pv"]
-    top = weighted_quarters(narrow, design, F.col("_score"), within, "_top").where("_low = 1")
-    tops = top.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pv", "_top"))).alias("_tops"))  # an entry an imputation
-    low = base.where("_low = 1").join(tops, "_row", "left")
-    frame = low.select(*by, F.explode(F.sequence(F.lit(1), F.lit(len(measure)))).alias("pv"), "_tops", "_weights", "_w0", "_school").withColumn("_top", F.col("_tops")[F.col("pv")])
-    met = share(F.col("_top") == 4, F.col("_top").isNotNull())
-    values = weighted_sums(frame.withColumn("m_1", met), [*by, "pv"], {"num": F.col("m_1"), "den": F.col("m_1").isNotNull()})
-    values = values.select(*by, "pv", "rep", F.try_divide("num", "den").alias("value"))
-    first = base.where("_low = 1").select(*by, F.get("_scores", F.lit(0)).alias("m_1"), "_weights", "_w0", "_school")
-    return combine(with_stats(values, first, by), by, design)
+    rows = _ranked(df, design, over, by, where, columns).where("_over IS NOT NULL")
+    within = [design.economy] if design.economy in by else []
+    kept = (lambda narrow: narrow) if design.make else (lambda narrow: materialized(narrow, "narrow"))
+    low = quarter_bounds(kept(narrow_rows(rows.withColumn("_v", F.col("_over")), design, within)), within, shares=(0.25,))
+    score = F.explode(F.array(*[F.struct(F.lit(i).alias("pv"), F.col(c).alias("_v")) for i, c in enumerate(names, 1)]))
+    keep = list(dict.fromkeys([*within, *design.order, design.weight]))
+    long = rows.select(*keep, score.alias("_c")).select(*keep, "_c.*").where("_v IS NOT NULL")
+    top = quarter_bounds(kept(narrow_rows(long, design, [*within, "pv"])), [*within, "pv"], shares=(0.75,))
+    top = top.groupBy(*within).agg(*[F.min(F.when(F.col("pv") == i, F.col("_q0"))).alias(f"_top{i}") for i in range(1, len(names) + 1)])
+    placed = null_safe_join(null_safe_join(rows, low.withColumnRenamed("_q0", "_low"), within), top, within, "left")
+    past = lambda c, bound: F.coalesce(F.struct(F.col(c).alias("_v"), *design.order) >= F.col(bound), F.lit(False))
+    met = [share(past(c, f"_top{i}"), F.col(c).isNotNull()) for i, c in enumerate(names, 1)]
+    return weighted_mean(placed, design, met, by, ~past("_over", "_low"))
 
 
 def between_school_share(df: DataFrame, design: SurveyDesign, measure: Measure, by: By = (), where: Column | None = None) -> DataFrame:

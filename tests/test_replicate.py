@@ -325,6 +325,8 @@ def test_ranks_share_ties_and_skip_averages(spark):
 READ_OFTEN = {
     "percentiles": lambda d, s: stats.percentiles(d, s, [F.col("m1"), F.col("m2")], ["cnt"], (10, 90)),
     "percentile_spread": lambda d, s: stats.percentile_spread(d, s, [F.col("m1"), F.col("m2")], ["cnt"]),
+    "resilient_share": lambda d, s: stats.resilient_share(d, s, [F.col("m1"), F.col("m2")], F.col("x"), ["cnt"]),
+    "quartile_gap": lambda d, s: stats.quartile_gap(d, s, [F.col("m1")], F.col("x"), ["cnt"]),
 }
 
 
