@@ -328,8 +328,10 @@ READ_OFTEN = {
     "regression": lambda d, s: regress.regression(d, s, [F.col("m1")], {"x": F.col("x")}, ["cnt"]),
     "regression_two": lambda d, s: regress.regression(d, s, [F.col("m1"), F.col("m2")], {"x": F.col("x"), "sch": F.col("sch")}, ["cnt"]),
     "regression_skipped": lambda d, s: regress.regression_skipped(d, s, [F.col("m1")], {"x": F.lit(1.0)}, ["cnt"]),
+    "regression_by_quarter": lambda d, s: regress.regression_by_quarter(d, s, [F.col("m1")], {"x": F.col("m2")}, F.col("x"), ["cnt"]),
     "resilient_share": lambda d, s: stats.resilient_share(d, s, [F.col("m1"), F.col("m2")], F.col("x"), ["cnt"]),
     "quartile_gap": lambda d, s: stats.quartile_gap(d, s, [F.col("m1")], F.col("x"), ["cnt"]),
+    "correlation_by_quarter": lambda d, s: stats.correlation_by_quarter(d, s, [F.col("m1")], [F.col("m2")], F.col("x"), ["cnt"]),
 }
 
 
