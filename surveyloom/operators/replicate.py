@@ -8,7 +8,7 @@ weight matrix with them, and Spark adds the batches' sums: groups x reps rows ar
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,6 +21,9 @@ from ..sources.work import materialized
 
 STATS = ("n", "n_schools", "wcov")
 
+#: Bytes of sums that a task holds.
+HELD = 64 << 20
+
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys that match NULL with NULL; keys come once, from the side that has them.
@@ -109,7 +112,8 @@ def weighted_sums(frame: DataFrame, by: Sequence[str], terms: dict[str, Column],
     For every condition in ``seen`` there are also ``n_k``, ``n_schools_k`` and ``wcov_k`` (k from 0), as in
     ``group_stats``, from the same scan: batches send their groups' schools beside the sums, marked by
     rep -1. With ``products``, these are summed instead: each is the product of the named terms, and nothing
-    where the first of them is 0. Batches make them, so that only the factors leave Spark.
+    where the first of them is 0. Batches make them, so that only the factors leave Spark. A task adds up to
+    ``HELD`` bytes of sums before it sends any, and sends them in rows as narrow as those of the schools, which are many.
     """
     flat = F.array(*[F.coalesce(t.cast("double"), F.lit(0.0)) for t in terms.values()])
     seen_flat = F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in seen]) if seen else F.lit(None).cast("array<double>")
@@ -120,42 +124,64 @@ def weighted_sums(frame: DataFrame, by: Sequence[str], terms: dict[str, Column],
     at = {t: k for k, t in enumerate(terms)}
     factors = [[at[f] for f in fs] for fs in (products or {}).values()]
     n_by, n_factors, n_terms, n_seen = len(by), len(terms), len(sums_of), len(seen)
-    width = max(n_terms, 1 + 2 * n_seen)
-    names = [*by, "_rep", "_school", *[f"_v{k}" for k in range(width)]]
-    fields = [f"`{x}` {kinds[x]}" for x in by] + ["_rep int", f"_school {kinds['_school']}"] + [f"_v{k} double" for k in range(width)]
-
-    def out(batch: pa.RecordBatch, at: np.ndarray, rep: np.ndarray, school: pa.Array, values: list[np.ndarray]) -> pa.RecordBatch:
-        keys = [batch.column(k).take(pa.array(at)) for k in range(n_by)]
-        values = values + [np.zeros(len(at))] * (width - len(values))
-        return pa.RecordBatch.from_arrays([*keys, pa.array(rep.astype(np.int32)), school, *[pa.array(v) for v in values]], names=names)
+    width = 1 + 2 * n_seen if seen else n_terms
+    parts, most = -(-n_terms // width), HELD // 8
+    names = [*by, "_rep", "_part", "_school", *[f"_v{k}" for k in range(width)]]
+    fields = [f"`{x}` {kinds[x]}" for x in by] + ["_rep int", "_part int", f"_school {kinds['_school']}"] + [f"_v{k} double" for k in range(width)]
+
+    def out(keys: list[pa.Array], rep: np.ndarray, part: np.ndarray, school: pa.Array, values: Iterable[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*keys, pa.array(rep.astype(np.int32)), pa.array(part.astype(np.int32)), school, *[pa.array(v) for v in values]], names=names)
+
+    def told(firsts: list[list[pa.Array]], sums: np.ndarray, school: pa.DataType) -> pa.RecordBatch:
+        """The sums (groups, reps, terms) as rows of ``width`` terms."""
+        groups, reps, _ = sums.shape
+        cells = np.zeros((groups, reps, parts * width))
+        cells[:, :, :n_terms] = sums
+        cells = cells.reshape(-1, width)
+        where = pa.array(np.repeat(np.arange(groups), reps * parts))
+        keys = [pa.concat_arrays([f[k] for f in firsts]).take(where) for k in range(n_by)]
+        rep, part = np.tile(np.repeat(np.arange(reps), parts), groups), np.tile(np.arange(parts), groups * reps)
+        return out(keys, rep, part, pa.nulls(len(cells), school), np.ascontiguousarray(cells.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[list[pa.Array], np.ndarray]] = {}
+        kind = None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            kind = batch.column(n_by + 3).type
             x = batch.column(n_by).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_factors)
             if factors:
-                x = np.column_stack([np.where(x[:, fs[0]] != 0, np.prod(x[:, fs], axis=1), 0.0) for fs in factors])
+                f = np.ascontiguousarray(x.T)
+                x = np.column_stack([np.where(f[fs[0]] != 0, reduce(np.multiply, [f[k] for k in fs]), 0.0) for fs in factors])
             w = _matrix(batch.column(n_by + 1), batch.num_rows)
             code = _codes(batch, range(n_by))
             order = np.argsort(code, kind="stable")
             cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
-            sums = np.stack([w[o].T @ x[o] for o in np.split(order, cuts[1:])])
-            groups, reps, _ = sums.shape
-            none = pa.nulls(groups * reps, batch.column(n_by + 3).type)
-            yield out(batch, np.repeat(order[cuts], reps), np.tile(np.arange(reps), groups), none, [sums[:, :, j].ravel() for j in range(n_terms)])
+            w_in, x_in, ends = w[order], x[order], [*cuts[1:], len(order)]
+            for a, b in zip(cuts, ends, strict=True):
+                sums = w_in[a:b].T @ x_in[a:b]
+                first = [batch.column(k).slice(int(order[a]), 1) for k in range(n_by)]
+                key = tuple(c[0] for c in first)
+                if key in held:
+                    np.add(held[key][1], sums, out=held[key][1])
+                    continue
+                if (len(held) + 1) * sums.size > most and held:
+                    yield told([f for f, _ in held.values()], np.stack([v for _, v in held.values()]), kind)
+                    held.clear()
+                held[key] = first, sums
             if n_seen:
                 met = batch.column(n_by + 2).flatten().to_numpy().reshape(batch.num_rows, n_seen)
                 pair = _codes(batch, [*range(n_by), n_by + 3])
                 _, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
                 total = lambda v: np.bincount(inverse, v)  # noqa: E731, B023
                 values = [total(w[:, 0])] + [v for j in range(n_seen) for v in (total(met[:, j]), total(met[:, j] * w[:, 0]))]
-                yield out(batch, first, np.full(len(first), -1), batch.column(n_by + 3).take(pa.array(first)), values)
+                one = pa.array(first)
+                yield out([batch.column(k).take(one) for k in range(n_by)], np.full(len(first), -1), np.zeros(len(first)), batch.column(n_by + 3).take(one), values)
+        if held:
+            yield told([f for f, _ in held.values()], np.stack([v for _, v in held.values()]), kind)
 
-    sent = rows.mapInArrow(run, ", ".join(fields)).groupBy(*by, "_rep", "_school").agg(*[F.sum(f"_v{k}").alias(f"_v{k}") for k in range(width)])
-    cell = F.struct(F.col("_rep").alias("rep"), *[F.col(f"_v{k}").alias(t) for k, t in enumerate(sums_of)])
-    if not seen:
-        return sent.select(*by, cell.alias("_c")).select(*by, "_c.*")
+    sent = rows.mapInArrow(run, ", ".join(fields)).groupBy(*by, "_rep", "_part", "_school").agg(*[F.sum(f"_v{k}").alias(f"_v{k}") for k in range(width)])
     apart = F.col("_rep") < 0
     has = apart & F.col("_school").isNotNull()
     stats = []
@@ -166,9 +192,14 @@ def weighted_sums(frame: DataFrame, by: Sequence[str], terms: dict[str, Column],
             F.when(F.count_if(has) > 0, F.count_if(has & (many > 0))).otherwise(F.lit(-1)).alias(f"n_schools_{k}"),
             F.try_divide(F.sum(F.when(apart & (many > 0), weight)), F.sum(F.when(apart, F.col("_v0")))).alias(f"wcov_{k}"),
         ]
-    # a group's cells come together with its counts, so that the rows are read once
-    one = sent.groupBy(*by).agg(F.collect_list(F.when(~apart, cell)).alias("_cells"), *stats)
-    return one.select(*by, F.explode("_cells").alias("_c"), *[f"{c}_{k}" for k in range(n_seen) for c in STATS]).select(*by, "_c.*", *[f"{c}_{k}" for k in range(n_seen) for c in STATS])
+    counts = [f"{c}_{k}" for k in range(n_seen) for c in STATS]
+    # a group's cells come together with its counts, so that the rows are read once; every group has all parts of all weights
+    cell = F.struct("_rep", "_part", F.array(*[f"_v{k}" for k in range(width)]).alias("v"))
+    one = sent.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(~apart, cell))).alias("_cells"), *stats)
+    row = lambda r: F.struct(r.alias("rep"), F.flatten(F.transform(F.slice("_cells", r * parts + 1, F.lit(parts)), lambda c: c["v"])).alias("v"))
+    reps = F.when(F.size("_cells") > 0, F.sequence(F.lit(0), (F.size("_cells") / parts).cast("int") - 1))
+    long = one.select(*by, F.explode(F.transform(reps, row)).alias("_c"), *counts)
+    return long.select(*by, "_c.rep", *[F.get("_c.v", F.lit(k)).alias(t) for k, t in enumerate(sums_of)], *counts)
 
 
 def stack(wide: DataFrame, keys: Sequence[str], values: dict[int, Column]) -> DataFrame:

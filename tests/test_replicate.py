@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surveyloom.functions import measures as ms
-from surveyloom.operators import quantile, regress, rules, schools, stats, trend
+from surveyloom.operators import quantile, regress, replicate, rules, schools, stats, trend
 from surveyloom.operators.quantile import weighted_quarters
 from surveyloom.operators.replicate import combine, contrast, replicate_means
 from surveyloom.plans.design import SurveyDesign
@@ -355,3 +355,46 @@ def test_rows_are_made_once_where_the_design_makes_its_weights(spark, df, name):
     got = key(READ_OFTEN[name](once, small))
     assert read.value == rows.count()
     assert got == key(READ_OFTEN[name](make(rows), given)) and got
+
+
+def _python_rows(df):
+    """Rows that each Arrow function of an executed plan has given back."""
+    nodes, out = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        n = nodes.pop()
+        name = n.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(n.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(n.plan())
+        elif name == "MapInArrowExec":
+            out.append(n.metrics().apply("pythonNumRowsReceived").value())
+        children = n.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+@pytest.mark.parametrize("held", [1, 64 << 20])
+def test_a_task_sends_its_sums_once_in_rows_as_narrow_as_the_schools(spark, df, monkeypatch, held):
+    """Sums are held over the batches of a task, up to a limit; schools' rows carry no columns for the terms of the sums."""
+    monkeypatch.setattr(replicate, "HELD", held)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        frame = replicate.analysis_frame(df.coalesce(1), DESIGN, [F.col("m1"), F.col("m2")], ["cnt"])
+        terms = {f"t{k}": F.col("m_1") * k for k in range(5)} | {"one": F.lit(1.0), "m": F.col("m_2")}
+        for seen in ([], [F.col("m_1").isNotNull()]):
+            got = replicate.weighted_sums(frame, ["cnt"], terms, seen)
+            rows = {(r.cnt, r.rep): r for r in got.collect()}
+            local = df.collect()
+            groups = {r.cnt for r in local}
+            assert set(rows) == {(g, k) for g in groups for k in range(G + 1)}
+            for (g, k), r in rows.items():
+                own = [(x[f"w{k}"] or 0.0, x.m1, x.m2) for x in local if x.cnt == g]
+                assert abs(r.t3 - sum(w * 3 * (m or 0) for w, m, _ in own)) < 1e-6 and abs(r.one - sum(w for w, *_ in own)) < 1e-9 and abs(r.m - sum(w * (m or 0) for w, _, m in own)) < 1e-6
+            if seen:
+                assert "_v3" not in got._jdf.queryExecution().executedPlan().toString()
+            elif held > 1:
+                assert _python_rows(got) == [len(groups) * (G + 1)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
