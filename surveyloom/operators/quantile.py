@@ -20,8 +20,8 @@ from ..plans.design import SurveyDesign
 from ..sources.work import materialized
 from .replicate import STATS, _codes, _matrix, analysis_frame, group_stats, null_safe_join, stored
 
-#: Rows that a bucket aims at, the most buckets of a group, and how many cuts a search passes at a time.
-PIECE, MOST, STRIDE = 50_000, 1024, 32
+#: Rows that a bucket aims at, and the most buckets of a group.
+PIECE, MOST = 50_000, 1024
 #: Bins that a percentile's bracket is cut into, and bytes of their sums that a task holds.
 BINS, HELD = 256, 64 << 20
 QUARTERS = (0.25, 0.5, 0.75)
@@ -37,23 +37,18 @@ def _fine(value: str) -> Column:
     return F.percentile_approx(value, [i / MOST for i in range(1, MOST)], 4 * MOST)
 
 
-def _coarse(cuts: Column) -> Column:
-    return F.filter(cuts, lambda x, i: (i + 1) % STRIDE == 0)
-
-
-def _below(cuts: str, coarse: str, value: Column) -> Column:
-    """How many of the sorted cuts lie below a value, found among every ``STRIDE``-th first."""
-    skip = STRIDE * F.size(F.filter(coarse, lambda e: e < value))
-    return skip + F.size(F.filter(F.slice(cuts, skip + 1, F.lit(STRIDE)), lambda e: e < value))
+def _below(cuts: str, value: Column) -> Column:
+    """How many of the sorted cuts, fewer than ``MOST``, lie below a value: found in halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((MOST - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
 
 
 def edges(df: DataFrame, keys: Sequence[str], value: str, piece: int = PIECE) -> DataFrame:
-    """(keys, _cuts, _coarse, _ties): where to cut each group, and values that alone fill two pieces."""
+    """(keys, _cuts, _ties): where to cut each group, and values that alone fill two pieces."""
     g = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(_fine(value).alias("_fine"), F.count("*").alias("_n"))
     many = F.ceil(F.lit(2.0 * MOST * piece) / F.col("_n"))
     ties = F.array_distinct(F.filter("_fine", lambda x, i: F.get("_fine", (i + many).cast("int")) == x))
-    g = g.select(*keys, _cut(F.col("_fine"), F.col("_n"), piece).alias("_cuts"), ties.alias("_ties"))
-    return g.withColumn("_coarse", _coarse(F.col("_cuts")))
+    return g.select(*keys, _cut(F.col("_fine"), F.col("_n"), piece).alias("_cuts"), ties.alias("_ties"))
 
 
 def weighted_quarters(df: DataFrame, design: SurveyDesign, value: Column, within: Sequence[str], out: str = "quarter", piece: int = PIECE, written: bool = False) -> DataFrame:
@@ -84,7 +79,7 @@ def narrow_rows(rows: DataFrame, design: SurveyDesign, within: Sequence[str]) ->
 def quarter_bounds(narrow: DataFrame, within: Sequence[str], piece: int = PIECE, shares: Sequence[float] = QUARTERS) -> DataFrame:
     """``[*within, _q0, ..]``: place of the first row past each share of a group's weight, looked for in the pieces where the share lies."""
     cuts = materialized(edges(narrow, within, "_v", piece), "edges")
-    narrow = null_safe_join(narrow, cuts, within).withColumn("_bucket", _below("_cuts", "_coarse", F.col("_v"))).drop("_cuts", "_coarse")
+    narrow = null_safe_join(narrow, cuts, within).withColumn("_bucket", _below("_cuts", F.col("_v"))).drop("_cuts")
     keys = [*within, "_bucket", "_sub"]
     if cuts.where("size(_ties) > 0").isEmpty():
         narrow = narrow.withColumn("_sub", F.lit(0))
@@ -93,7 +88,7 @@ def quarter_bounds(narrow: DataFrame, within: Sequence[str], piece: int = PIECE,
         more = materialized(edges(tied.where("_tie IS NOT NULL"), [*within, "_tie"], "_o", piece).drop("_ties"), "edges")
         narrow = null_safe_join(tied, more, [*within, "_tie"], "left")
         # the tied value's own rows follow the bucket's smaller ones
-        sub = F.when(F.col("_tie").isNull(), 0).otherwise(1 + F.coalesce(_below("_cuts", "_coarse", F.col("_o")), F.lit(0)))
+        sub = F.when(F.col("_tie").isNull(), 0).otherwise(1 + F.coalesce(_below("_cuts", F.col("_o")), F.lit(0)))
         narrow = narrow.withColumn("_sub", sub)
     narrow = narrow.select(*keys, "_at", "_w")
     sums = narrow.groupBy(*keys).agg(F.sum("_w").alias("_in"))

@@ -398,3 +398,14 @@ def test_a_task_sends_its_sums_once_in_rows_as_narrow_as_the_schools(spark, df,
                 assert _python_rows(got) == [len(groups) * (G + 1)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_cuts_are_searched_by_halving(spark):
+    rng = np.random.default_rng(3)
+    cuts = [[], [1.0], [1.0, 2.0, float("nan")], sorted(rng.normal(0, 1, 33).tolist()), sorted(rng.normal(0, 1, 1023).tolist())]
+    data = [(c, float(v)) for c in cuts for v in [*c[:40], *c[-40:], *rng.normal(0, 1, 50), float("inf"), float("nan")]]
+    below = lambda c, v: sum(x < v or (np.isnan(v) and not np.isnan(x)) for x in c)
+    d = spark.createDataFrame([*data, (None, 1.0)], "c array<double>, v double").withColumn("n", quantile._below("c", F.col("v")))
+    assert [r.n for r in d.collect()] == [*[below(c, v) for c, v in data], 0]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "filter(" not in plan
