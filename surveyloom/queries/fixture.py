@@ -24,8 +24,11 @@ _PV = ",\n  ".join(
     for d, base in (("a", "l_extendedprice / 200"), ("b", "o_totalprice / 1000"))
     for i in range(1, M + 1)
 )
+_FROM = """FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+     JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+_YEAR = "year(l_shipdate) % 3"
 FRAME = f"""SELECT
-  CASE year(l_shipdate) % 3 WHEN 0 THEN 'c1' WHEN 1 THEN 'c2' ELSE 'c3' END AS cycle,
+  CASE {_YEAR} WHEN 0 THEN 'c1' WHEN 1 THEN 'c2' ELSE 'c3' END AS cycle,
   n_name AS cnt, o_custkey AS sch, c_mktsegment AS stratum,
   CASE WHEN n_regionkey IN (0, 1, 2) THEN 1 ELSE 0 END AS oecd, n_regionkey AS region,
   CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 END AS gender,
@@ -38,9 +41,8 @@ FRAME = f"""SELECT
   l_quantity AS w0,
   {_W},
   {_PV}
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-     JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE NOT (n_name = 'NATION_24' AND year(l_shipdate) % 3 = 0)"""
+{_FROM}
+WHERE NOT (n_name = 'NATION_24' AND {_YEAR} = 0)"""
 
 
 #: For Spark the weights are one array, looked up by the school's pattern of Walsh signs and the row's weight.
@@ -52,12 +54,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The respondents of all cycles."""
-    sql = FRAME.replace(_W, f"o_custkey % {PATTERNS} AS pattern")
-    names = ("lineitem", "orders", "customer", "nation")
-    for t in names:
-        sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-    return with_weights(spark.sql(sql, **{t: table(spark, sf_dir, t) for t in names}))
+    """The respondents of all cycles.
+
+    Orders meet their customers before the lines do, so that lines are shuffled once however many customers
+    there are, and of a line's date only the cycle's number is.
+    """
+    lines, orders, customers, nation = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation"))
+    orders = orders.join(customers, F.expr("o_custkey = c_custkey"))
+    sql = FRAME.replace(_W, f"o_custkey % {PATTERNS} AS pattern").replace(_YEAR, "l_cycle")
+    sql = sql.replace(_FROM, "FROM {lines} JOIN {orders} ON l_orderkey = o_orderkey JOIN {nation} ON c_nationkey = n_nationkey")
+    return with_weights(spark.sql(sql, lines=lines.withColumn("l_cycle", F.expr(_YEAR)), orders=orders, nation=nation))
 
 
 def with_weights(rows: DataFrame) -> DataFrame:

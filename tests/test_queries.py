@@ -46,3 +46,17 @@ def test_entry_imports_without_the_llm_part():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['surveyloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'weighted_mean' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_lines_are_joined_once_whatever_the_customers(spark, sf):
+    """Orders meet their customers first: with many customers the joined lines would be shuffled again; of the date only the cycle is."""
+    nodes, joins = [fixture.survey(spark, sf).select("cnt", "w0", "sch", "pv1a", "escs")._jdf.queryExecution().optimizedPlan()], {}
+    while nodes:
+        n = nodes.pop()
+        children = [n.children().apply(i) for i in range(n.children().size())]
+        if n.nodeName() == "Join":
+            joins |= {key: children for key in ("c_custkey", "l_orderkey") if key in n.condition().toString()}
+        nodes += children
+    assert all("l_orderkey" not in c.toString() for c in joins["c_custkey"])
+    out = lambda c: {c.output().apply(i).name() for i in range(c.output().size())}
+    assert [out(c) & {"l_shipdate", "l_cycle"} for c in joins["l_orderkey"]] == [{"l_cycle"}, set()]
