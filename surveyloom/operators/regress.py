@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 from functools import reduce
 from operator import and_
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.design import SurveyDesign
 from ..sources.work import materialized
-from .replicate import STATS, analysis_frame, combine, null_safe_join, stored, weighted_sums
+from .replicate import STATS, analysis_frame, combine, known_number, null_safe_join, stored, weighted_sums
 from .stats import _quartered
 
 INTERCEPT = "(intercept)"
@@ -76,27 +77,31 @@ def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int, int]:
     return np.array([y - slope @ mean, *slope]), 0, 0
 
 
-def _solved(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def _solved(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str], outcome: bool = True) -> tuple[DataFrame, DataFrame]:
     """(groups with a reason why they have no regression, ``[*by, rep, pv, STATS, beta, reason]`` of the others).
 
     A first scan without the weights counts values and takes each predictor's mean and range; in the second
-    one predictors are shifted and scaled by these, so that cross products keep their digits.
+    one predictors are shifted and scaled by these, so that cross products keep their digits. Whether a system
+    has a solution is seen from its left side: without ``outcome`` there are no sums with it, and no counts.
     """
-    k = len(names)
+    k, counts = len(names), STATS if outcome else ()
     spans = materialized(_spans(frame, by, n_y, names), "spans")
     fit = null_safe_join(frame, spans.where("reason IS NULL").drop("reason"), by)
     terms: dict[str, Column] = {f"x_{j}": (F.col(f"x_{j}") - F.col("_shift")[j - 1]) / F.col("_range")[j - 1] for j in range(1, k + 1)}
     products: dict[str, tuple[str, ...]] = {}
     for i in range(1, n_y + 1):
         x = lambda *js: [f"x_{j}" for j in js if j]
-        terms |= {f"known_{i}": F.col(f"m_{i}").isNotNull(), f"m_{i}": F.col(f"m_{i}")}
+        terms[f"known_{i}"] = F.col(f"m_{i}").isNotNull()
         products |= {f"a_{i}_{a}_{b}": (f"known_{i}", *x(a, b)) for a, b in _pairs(k)}
-        products |= {f"c_{i}_{a}": (f"known_{i}", f"m_{i}", *x(a)) for a in range(k + 1)}
-    sums = weighted_sums(fit, by, terms, [F.col("m_1").isNotNull()], products).withColumnsRenamed({f"{c}_0": c for c in STATS})
-    cell = lambda i: F.struct(F.lit(i).alias("pv"), F.array(*[f"a_{i}_{a}_{b}" for a, b in _pairs(k)], *[f"c_{i}_{a}" for a in range(k + 1)]).alias("s"))
-    long = sums.select(*by, "rep", F.explode(F.array(*[cell(i) for i in range(1, n_y + 1)])).alias("c"), *STATS).select(*by, "rep", "c.pv", *STATS, "c.s")
+        if outcome:
+            terms[f"m_{i}"] = F.col(f"m_{i}")
+            products |= {f"c_{i}_{a}": (f"known_{i}", f"m_{i}", *x(a)) for a in range(k + 1)}
+    sums = weighted_sums(fit, by, terms, [F.col("m_1").isNotNull()] if outcome else [], products).withColumnsRenamed({f"{c}_0": c for c in counts})
+    right = lambda i: [f"c_{i}_{a}" for a in range(k + 1)] if outcome else [F.lit(0.0)] * (k + 1)
+    cell = lambda i: F.struct(F.lit(i).alias("pv"), F.array(*[f"a_{i}_{a}_{b}" for a, b in _pairs(k)], *right(i)).alias("s"))
+    long = sums.select(*by, "rep", F.explode(F.array(*[cell(i) for i in range(1, n_y + 1)])).alias("c"), *counts).select(*by, "rep", "c.pv", *counts, "c.s")
     long = null_safe_join(long, spans.select(*by, "_shift", "_range"), by)
-    upper, n_keys = np.array(_pairs(k)), len(by) + 2 + len(STATS)
+    upper, n_keys = np.array(_pairs(k)), len(by) + 2 + len(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +115,9 @@ def _solved(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str])
                 betas.append(None if depends else beta.tolist())
                 reasons.append(f"{names[depends - 1]} depends on {names[on - 1] if on else 'the predictors before it'}" if depends else None)
             cols = [*(batch.column(c) for c in range(n_keys)), pa.array(betas, pa.list_(pa.float64())), pa.array(reasons, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*by, "rep", "pv", *STATS, "beta", "reason"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*by, "rep", "pv", *counts, "beta", "reason"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.select(*by, "rep", "pv", *STATS).schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.select(*by, "rep", "pv", *counts).schema)
     return spans.where("reason IS NOT NULL").select(*by, "reason"), long.mapInArrow(run, f"{kinds}, beta array<double>, reason string")
 
 
@@ -158,8 +163,10 @@ def _spans(frame: DataFrame, by: Sequence[str], n_y: int, names: Sequence[str])
 def regression_skipped(df: DataFrame, design: SurveyDesign, y: Sequence[Column], predictors: dict[str, Column], by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
     """(group, reason) of groups without a regression; a predictor that others determine is named.
 
-    The reasons come from the very systems that ``regression`` solves, so every group is in one of the two.
+    The reasons come from the very systems that ``regression`` solves, so every group is in one of the two. Of an
+    outcome it only matters where there is one, and schools are not counted.
     """
-    early, solved = _solved(_frame(df, design, y, predictors, by, where), by, len(y), list(predictors))
+    there = [F.when(known_number(m).isNotNull(), 1.0) for m in y]
+    early, solved = _solved(_frame(df, replace(design, school=None), there, predictors, by, where), by, len(y), list(predictors), outcome=False)
     late = solved.where("reason IS NOT NULL").groupBy(*by).agg(F.min_by("reason", F.struct("pv", "rep")).alias("reason"))
     return early.unionByName(late.where("reason IS NOT NULL"))

@@ -116,7 +116,8 @@ def weighted_sums(frame: DataFrame, by: Sequence[str], terms: dict[str, Column],
     ``HELD`` bytes of sums before it sends any, and sends them in rows as narrow as those of the schools, which are many.
     """
     flat = F.array(*[F.coalesce(t.cast("double"), F.lit(0.0)) for t in terms.values()])
-    seen_flat = F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in seen]) if seen else F.lit(None).cast("array<double>")
+    # empty where nothing is asked: of a list column that is always NULL Arrow writes all offsets again at every row
+    seen_flat = F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in seen]).cast("array<double>")
     school = F.col("_school") if seen else F.lit(None).cast("long")
     rows = frame.select(*by, flat.alias("_x"), "_weights", seen_flat.alias("_seen"), school.alias("_school"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -409,3 +409,20 @@ def test_cuts_are_searched_by_halving(spark):
     assert [r.n for r in d.collect()] == [*[below(c, v) for c, v in data], 0]
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" in plan and "filter(" not in plan
+
+
+def test_skipped_groups_are_found_without_outcomes_and_schools(spark, df, monkeypatch):
+    """A reason needs no sums with the outcome and no schools, so rows and sums are written without them."""
+    xs = {"x": F.col("x"), "twice": 2 * F.col("x")}
+    got = regress.regression_skipped(df.coalesce(1), DESIGN, [F.col("m1"), F.col("m2")], xs, ["cnt"])
+    assert "null AS _seen" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {r.cnt: r.reason for r in got.collect()}
+    assert rows == dict.fromkeys(["A", "B", "C", None], "twice depends on x")
+    assert sorted(_python_rows(got)) == [4 * (G + 1), 4 * (G + 1) * 2]
+    written, write = [], replicate.materialized
+    monkeypatch.setattr(replicate, "materialized", lambda d, name: written.append(d) or write(d, name))
+    small = SurveyDesign(array="wts", reps=4, order=("id",), made_from=("w0",), make=lambda d: d.withColumn("wts", F.array_repeat("w0", 5)))
+    flat = {"x": F.when(F.col("cnt") == "A", 1.0).otherwise(F.col("x"))}
+    kept = small.make(df.where("id % 50 > 0").withColumn("m1", F.when(F.col("cnt") == "B", float("nan")).otherwise(F.col("m1"))))
+    assert {r.cnt: r.reason for r in regress.regression_skipped(kept, small, [F.col("m1")], flat, ["cnt"]).collect()} == {"A": "x has a single value", "B": "outcome has no values"}
+    assert written[0].columns == ["cnt", "w0", "_y1", "_p1"] and {r._y1 for r in written[0].collect()} == {1.0, None}
